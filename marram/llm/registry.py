@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, sharding, token_files, urls
+from . import ann, decontaminate, langid, licenses, neardup, packing, secret_scan, sharding, token_files, urls
 
 QUERIES = {
+    "op1_min_max_hash": neardup.op1_min_max_hash,
     "op2_bloom_cascade": urls.op2_bloom_cascade,
+    "op3_kneser_ney": langid.op3_kneser_ney,
     "op4_bounded_ring": sharding.op4_bounded_ring,
+    "op5_markov_secrets": secret_scan.op5_markov_secrets,
+    "op6_one_bit_codes": ann.op6_one_bit_codes,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_suffix_arrays": decontaminate.op8_suffix_arrays,
+    "op9_license_windows": licenses.op9_license_windows,
     "op10_token_files": token_files.op10_token_files,
 }
 
-SQL = {"op2_bloom_cascade": urls.OP2_SQL, "op8_suffix_arrays": decontaminate.OP8_SQL}
+SQL = {
+    "op1_min_max_hash": neardup.OP1_SQL,
+    "op2_bloom_cascade": urls.OP2_SQL,
+    "op8_suffix_arrays": decontaminate.OP8_SQL,
+    "op9_license_windows": licenses.OP9_SQL,
+}
