@@ -24,7 +24,7 @@ from . import _shared
 #: n-gram order; documents a language, about, that models are fitted on (a quarter of them for calibration only).
 ORDER, SAMPLE_DOCS = 5, 1200
 #: A text is rejected beyond so many standard errors and nats a character above its language's mean.
-REJECT_SIGMAS, REJECT_MARGIN = 6.0, 0.35
+REJECT_SIGMAS, REJECT_MARGIN = 6.0, 1.2
 #: Most languages that are learned; more are an error, as the fitted model must stay small.
 MOST_LANGUAGES = 300
 UNKNOWN = "und"
