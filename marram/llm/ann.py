@@ -121,14 +121,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows of ``vectors`` with the largest inner product with each query.
 
     Both have vec_id and embedding. Rows of the query's own id are no candidates. Vectors that are null, empty, zero or
-    hold a null or non-finite component take no part, nor do candidates of another dimension than the query. Repeated
+    hold a null or non-finite component take no part, nor do rows without an id or candidates of another dimension than the query. Repeated
     candidates are candidates of their own; of a repeated query id the smallest vector asks. Ties go to smaller ids.
     """
     spark = vectors.sparkSession
     _shared.bounded_batches(spark)
     double = "double" in dict(vectors.dtypes)["embedding"] or "double" in dict(queries.dtypes)["embedding"]
     kind, cast = ("<f8", "array<double>") if double else ("<f4", "array<float>")
-    vectors, queries = (df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(cast).alias("embedding")).where(usable(F.col("embedding"))) for df in (vectors, queries))
+    vectors, queries = (df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(cast).alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))) for df in (vectors, queries))
     asked = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     candidates = _shared.store(vectors.mapInArrow(_blocks(CANDIDATES, kind, True), BLOCKS), "vectors")
     asking = _shared.store(asked.mapInArrow(_blocks(QUERIES, kind, False), BLOCKS), "queries")

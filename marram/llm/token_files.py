@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from . import _shared, tokens
 
 END_ID = 1
+#: Stands for a null doc_id in a file.
+NO_ID = -(1 << 63)
 #: Ids in a block, and ids after which a file image is closed (documents stay whole).
 BLOCK, IMAGE_IDS = 256, 1 << 18
 #: (ids in a word, bits of each) by selector; selector 0 is the escape. Fixed by the Simple-8b layout.
@@ -148,11 +150,11 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) ->
     """Write the token ids of all documents as file images under ``path``, doc_ids ascending over the segments.
 
     A null text is empty: its document is the end id alone. Rows that repeat a doc_id lie together, ordered by
-    their text's hash; a null doc_id is refused.
+    their text's hash; rows without a doc_id come first.
     """
     _shared.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.raise_error(F.lit("a document has no doc_id"))))
+    rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(_images(vocabulary, end_id), IMAGES).write.parquet(path)
 
@@ -178,7 +180,7 @@ def summarize(spark: SparkSession, path: str) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(to_here), F.lit(0)).alias("before_part"))
     in_part = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.join(parts, "part").select("segment", (F.col("before_part") + F.coalesce(F.sum("n_ids").over(in_part), F.lit(0))).alias("before"))
-    return docs.join(starts, "segment").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(starts, "segment").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,3 +75,9 @@ def test_components_of_paths_stars_and_cycles(spark):
     rng.shuffle(links)
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 0), **dict.fromkeys(range(101, 160), 100), 201: 200, 202: 200, 301: 300}
+
+
+def test_rows_without_id(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (None, "x y z p q r"), (None, None)], "doc_id long, text string")
+    rows = {(r.component_id, r.kept) for r in neardup.link(docs).collect()}
+    assert rows == {(4, False), (4, True), (None, True)} and neardup.deduplicate(docs).count() == 4

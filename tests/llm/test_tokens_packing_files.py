@@ -120,3 +120,12 @@ def test_token_files(spark, tmp_path, monkeypatch):
     again = docs.union(docs.where("doc_id = 3"))
     token_files.write(again, str(tmp_path / "r"), path)
     assert token_files.summarize(spark, str(tmp_path / "r")).count() == len(texts) + 1
+
+
+def test_rows_without_id(spark, tmp_path):
+    docs = spark.createDataFrame([(2, "b"), (None, "a a"), (None, None), (1, "c")], "doc_id long, text string")
+    token_files.write(docs, str(tmp_path / "n"), tokens.public_path("word_bpe_49k.json"))
+    rows = token_files.summarize(spark, str(tmp_path / "n")).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, None, 1, 2] and [r.start for r in rows] == np.cumsum([0] + [r.n_tokens for r in rows])[:-1].tolist()
+    placed = packing.pack(docs, tokens.public_path("byte_bpe_50k.json")).collect()
+    assert len(placed) == 4 and len({(r.sequence_id, r.offset) for r in placed}) == 4
