@@ -158,7 +158,7 @@ def _merge(state: list[dict], test: Suffixes, position: np.ndarray, suffix: np.n
 def _passes(benchmark: DataFrame, window: int) -> Iterator[Suffixes]:
     """Test items in passes of bounded size; none are ever all on the driver if they are many."""
     items, n = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
+    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("text").cast("string")).toLocalIterator():
         words = words_of(row[1])
         items.append((row[0], words))
         n += len(words)
@@ -172,7 +172,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     """All columns of ``docs`` and a struct ``_found``: n_words, hit spans and items, and the longest match.
 
     Null and empty texts have no words and no hits; an item of fewer words than ``window`` counts whole; an
-    item without words never occurs. Repeated rows are judged each by itself. A column of ``docs`` named
+    item without words never occurs, one without an item_id is named by the empty string. Repeated rows are judged each by itself. A column of ``docs`` named
     ``_found`` is replaced.
     """
     spark = docs.sparkSession

@@ -224,7 +224,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> Models:
     """Fit models on ``labelled`` (doc_id, text, lang): of each language, about ``sample_docs`` documents, picked by the
-    hash of their doc_id. Rows without a language or a letter teach nothing.
+    hash of their doc_id. Rows without a language, a doc_id or a letter teach nothing.
     """
     labelled = labelled.where("lang IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
@@ -288,7 +288,7 @@ def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
 
 def held_out(doc_id: str = "doc_id"):
     """Whether a document's label is kept from the models."""
-    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
