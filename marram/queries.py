@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marram.functions import dates, text
-from marram.operators import intervals, metrics, registry, traffic, usage
+from marram.operators import definitions, intervals, metrics, registry, relational, traffic, usage
 from marram.plans import models, oracle
 from marram.plans.catalog import METRICS, TIME, Metric
 from marram.sources.tables import table
@@ -356,6 +356,69 @@ def usage_funnel(spark: SparkSession, d: str) -> DataFrame:
     return usage.funnel(_usage(spark, d))
 
 
+# Catalog building and relational operators
+
+def _definitions(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size")
+    return table(spark, d, "part").select(
+        F.col("p_brand").alias("metric_id"), F.col("p_partkey").alias("position"), F.lit("page").alias("context"), F.lit("simple").alias("category"), F.lit("sessions").alias("model"),
+        F.when(size % 5 == 0, " Count Distinct ").otherwise("count_distinct").alias("agg"), F.concat(F.lit("expr_"), (size % 3).cast("string")).alias("expr"),
+        F.when(size % 2 == 0, "k <> null").otherwise("k IS NOT NULL").alias("filter"), F.when(size % 7 == 0, "a,b").otherwise("a , b").alias("dimensions"),
+    )
+
+
+@query("SELECT p_brand AS metric_id, count(DISTINCT p_size % 3) AS variants, CASE WHEN count(DISTINCT p_size % 3) = 1 THEN 'published' ELSE 'conflict' END AS status FROM part GROUP BY p_brand")
+def catalog_status(spark: SparkSession, d: str) -> DataFrame:
+    return definitions.catalog_status(_definitions(spark, d))
+
+
+@query("SELECT metric_id, uses, first FROM (SELECT p_brand AS metric_id, p_size % 3 AS kind, count(*) AS uses, min(p_partkey) AS first, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, min(p_partkey)) AS rank FROM part GROUP BY 1, 2) WHERE rank = 1")
+def preferred_definitions(spark: SparkSession, d: str) -> DataFrame:
+    return definitions.preferred(_definitions(spark, d)).select("metric_id", "uses", "first")
+
+
+@query("SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) = (SELECT count(DISTINCT o_orderpriority) FROM orders)")
+def relational_division(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    return relational.divide(orders, "o_custkey", "o_orderpriority", orders)
+
+
+@query("SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY first_key, o_orderpriority) AS priorities FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS first_key FROM orders GROUP BY 1, 2) GROUP BY o_custkey")
+def ordered_distinct_values(spark: SparkSession, d: str) -> DataFrame:
+    rows = relational.ordered_distinct(table(spark, d, "orders"), ["o_custkey"], "o_orderpriority", "o_orderkey")
+    return rows.select("o_custkey", F.array_join("o_orderpriority_list", "|").alias("priorities"))
+
+
+@query("SELECT event_id, event_type, reason FROM events LEFT JOIN (SELECT event_id, min(event_type || '!') AS reason FROM events WHERE event_type = 'error' GROUP BY event_id) USING (event_id)")
+def summary_attachment(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    extras = e.where("event_type = 'error'").select("event_id", F.concat("event_type", F.lit("!")).alias("reason"))
+    return relational.attach(e.select("event_id", "event_type"), extras, "event_id")
+
+
+@query("SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY CAST(o_orderdate AS DATE) ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM orders GROUP BY 1")
+def running_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Totals up to each day: rows are aggregated by day first, so the ordered part has one row a day."""
+    days = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    return days.withColumn("running", F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 20")
+def customers_without_or_many_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Anti-join, union and distinct."""
+    customers, orders = table(spark, d, "customer"), table(spark, d, "orders")
+    none = customers.join(orders, customers["c_custkey"] == orders["o_custkey"], "left_anti").select("c_custkey")
+    many = orders.groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 20").select(F.col("o_custkey").alias("c_custkey"))
+    return none.union(many).distinct()
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' GROUP BY event_type")
+def named_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """SQL text with bound parameters; the table is a parameter too."""
+    sql = "SELECT event_type, count(*) AS n FROM {events} WHERE ts >= :start AND ts < :end GROUP BY event_type"
+    return spark.sql(sql, args={"start": datetime(2024, 1, 10), "end": datetime(2024, 1, 20)}, events=table(spark, d, "events"))
+
+
 # Streams
 
 

@@ -297,3 +297,34 @@ def test_every_query_has_a_stable_schema(spark):
 
     assert __spark_entry__.entry(spark).count() == 30
     assert set(queries.SQL) <= set(queries.QUERIES) and len(queries.QUERIES) > 60
+
+
+def test_definitions(spark):
+    from marram.operators import definitions
+
+    columns = "metric_id string, position int, context string, category string, model string, agg string, expr string, filter string, dimensions string"
+    rows = [("a", 1, "x", "simple", "s", "AVG", "v", "k <> NULL", "a,b"), ("a", 2, "y", "simple", "s", "average ", "v", "k IS NOT NULL", "a , b"), ("b", 3, "x", "simple", "s", "sum", "v", " ", None), ("b", 4, "x", "simple", "s", "sum", "w", None, None), ("c", 5, "x", "simple", "s", "max", "v", None, None)]
+    df = spark.createDataFrame(rows, columns)
+    assert {r.metric_id: r.status for r in definitions.catalog_status(df).collect()} == {"a": "published", "b": "conflict", "c": "published"}
+    assert {r.metric_id: r["first"] for r in definitions.preferred(df).collect()} == {"a": 1, "b": 3, "c": 5}
+    assert [r["agg"] for r in definitions.normalized(df).orderBy("position").collect()] == ["average", "average", "sum", "sum", None]
+    report = definitions.validate(spark, {"good": SF, "bad": "/nowhere"})
+    assert {(r["dataset"], r["status"]) for r in report} == {("good", "passed"), ("bad", "failed")}
+
+
+def test_relational_operators(spark):
+    from marram.operators import relational
+
+    rows = spark.createDataFrame([(1, "a", 3), (1, "b", 1), (1, "a", 0), (2, "a", 5), (3, None, 1)], "k int, v string, at int")
+    need = spark.createDataFrame([("a",), ("b",)], "v string")
+    assert [r.k for r in relational.divide(rows, "k", "v", need).collect()] == [1]
+    assert {r.k for r in relational.divide(rows, "k", "v", need.limit(0)).collect()} == {1, 2, 3}
+    assert {r.k: r.v_list for r in relational.ordered_distinct(rows, ["k"], "v", "at").collect()} == {1: ["a", "b"], 2: ["a"], 3: [None]}
+    assert {(r.k, r.v, r.at) for r in relational.best_rows(rows, ["k"], F.col("at")).collect()} == {(1, "a", 3), (2, "a", 5), (3, None, 1)}
+    assert {(r.k, r.w) for r in relational.attach(rows.select("k").distinct(), spark.createDataFrame([(1, "z"), (1, "y")], "k int, w string"), "k").collect()} == {(1, "y"), (2, None), (3, None)}
+
+
+def test_session():
+    from marram.session import get_session
+
+    assert get_session().conf.get("spark.sql.session.timeZone") == "UTC"
