@@ -9,7 +9,10 @@ about 5e-7.
 Documents with equal sets form one class, so copies never meet pair by pair. In a bucket of the bands only
 some members, the centres, are compared with the rest; a bucket whose members are all in one component is
 done, in any other the centres leave and others take their turn, until no bucket holds two components that
-have not been compared. No bucket is capped, and no link between different components is lost.
+have not been compared. Documents that have too many shingles for themselves drop out first, and pairs are formed
+only where the shingles that both share with others suffice; a big bucket is split by shingles that few of its members
+have. No bucket is capped, and no link between different
+components is lost.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ PERMUTATIONS, BAND = 144, 3
 KEPT = 400_000
 #: Ids that are broadcast to pick documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Centres of a bucket by round; the last number holds from then on.
-CENTRES = (1, 4, 16, 64)
+#: Centres of a bucket in the first round and later; buckets of more members are split by their rare shingles.
+CENTRES, BIG = (1, 64), 64
 
 
 class _WordHashes(dict):
@@ -136,6 +139,61 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(_similar(both, F.size("of_a"), F.size("of_b"), percent)).select("a", "b")
 
 
+def _possible(common_a: Column, common_b: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether sets may be similar enough, by how many of their shingles other sets have too: no more can be in both."""
+    return _similar(F.least(common_a, common_b), n_a, n_b, percent)
+
+
+def _hopeful(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (bucket, node, n, common) that may have a link: a set can be linked only if ``percent`` of it occurs in others.
+
+    ``common`` counts a set's shingles that another candidate has too. That leaves out, exactly and without a pair
+    being formed, all that only share a passage.
+    """
+    once = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    own = once.groupBy("node").agg(F.count("*").alias("own"))
+    rows = buckets.join(own, "node", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    return rows.where(100 * F.col("common") >= percent * F.col("n"))
+
+
+def _rooted(rows: DataFrame, root: DataFrame | None) -> DataFrame:
+    """``rows`` with the present component of their node as ``root``."""
+    rows = rows.drop("root")
+    if root is None:
+        return rows.withColumn("root", F.col("node"))
+    return rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _split(rows: DataFrame, sets: DataFrame, root: DataFrame | None, percent: int) -> DataFrame:
+    """Big buckets, whose centre has met all members, are split into buckets by single shingles that few members have.
+
+    Call a shingle frequent if over ``BIG`` members of big buckets have it. For A and B to be similar enough they must
+    have ceil(p (|A| + |B|) / (1 + p)) shingles in common, p being the least similarity, and no more of these are
+    frequent than the smaller number of frequent ones in A and B. If that is too few they share a rare shingle, and so a
+    bucket of at most ``BIG`` members. Members for which it can be enough stay in the old bucket; of the centre's
+    component, only those for which it can be enough with a member outside.
+    """
+    columns = ("bucket", "node", "n", "common")
+    rows = _rooted(rows, root).withColumn("centre", F.col("centres")[0]["node"])
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    rows = _shared.store(rows.join(sizes.select("bucket", "members"), "bucket"), "members")
+    big = rows.where(F.col("members") > BIG)
+    facts = big.groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "common", "root")])
+    held = _shared.store(sets.join(facts, "node").select("node", F.explode("hashes").alias("h")).distinct(), "held")
+    frequent = held.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > BIG).select("h")
+    rare = _shared.store(held.join(frequent, "h", "left_anti"), "rare")
+    facts = facts.join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left").withColumn("frequent", F.col("n") - F.coalesce("rare", F.lit(0)))
+    # Most shingles that a partner may have for the frequent ones to suffice.
+    facts = facts.withColumn("most_n", F.floor((100 + percent) * F.col("frequent") / percent) - F.col("n"))
+    home = _rooted(big.select(F.col("centre").alias("node")).distinct(), root).select(F.col("node").alias("centre"), F.col("root").alias("home"))
+    old = big.join(home, "centre").join(facts.select("node", "most_n"), "node").withColumn("out", F.col("root") != F.col("home"))
+    bounds = old.groupBy("bucket").agg(F.min("n").alias("least_n"), F.max("most_n").alias("of_all"), F.max(F.when(F.col("out"), F.col("most_n"))).alias("of_out"))
+    stay = old.join(bounds, "bucket").where((F.col("most_n") >= F.col("least_n")) & (F.col("n") <= F.when(F.col("out"), F.col("of_all")).otherwise(F.col("of_out"))))
+    new = rare.join(facts, "node").select(F.xxhash64("h", F.lit("rare")).alias("bucket"), "node", "n", "common", "root")
+    shared = new.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+    return rows.where(F.col("members") <= BIG).select(*columns).union(stay.select(*columns)).union(new.join(shared, "bucket").select(*columns))
+
+
 def _near(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Documents whose id is in ``nodes`` (node)."""
     small = nodes.count() <= BROADCAST_IDS
@@ -155,7 +213,8 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
 
     Documents with ``percent`` of their united shingles in common are linked; component_id is the smallest doc_id
     reachable, kept marks that document. Null and empty texts have no shingles and are linked with nothing.
-    Repeated rows of a document are rows with its component; other columns are ignored.
+    Repeated rows of a document are rows with its component; a row without a doc_id has the component of an equal text,
+    if any. Other columns are ignored.
     """
     _shared.bounded_batches(docs.sparkSession)
     member = _shared.store(classes(docs, size), "classes")
@@ -165,40 +224,45 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     buckets = _shared.store(keyed.join(shared, "bucket").distinct(), "buckets")
     texts = _near(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), buckets.select("node").distinct())
     sets = _shared.store(texts.mapInArrow(_sets(size), "node long, hashes array<long>"), "shingle-sets")
+    buckets = _shared.store(_hopeful(buckets, sets, percent), "hopeful")
+    columns = buckets.columns
     links, root, tested, turn = None, None, None, 0
-    while True:
+    while not buckets.isEmpty():
         # Members by bucket with their component; a bucket of one component is done.
-        rows = buckets.withColumn("root", F.col("node")) if root is None else buckets.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        k = CENTRES[min(turn, len(CENTRES) - 1)]
-        order = [F.min(F.struct(F.xxhash64("node", F.lit(j)).alias("h"), F.struct("node", "root", "n").alias("c")))["c"] for j in range(k)] if turn else [F.min(F.struct("node", "root", "n"))]
-        chosen = rows.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.array_distinct(F.array(*order)).alias("centres")).where("least <> most")
-        open_ = _shared.store(rows.join(chosen.select("bucket", "centres"), "bucket"), "open")
-        c = F.col("centre")
-        met = open_.select("bucket", "node", "root", "n", F.explode("centres").alias("centre")).where(c["root"] != F.col("root"))
-        met = met.where(100 * F.least("n", c["n"]) >= percent * F.greatest("n", c["n"]))
-        pairs = met.select(F.least("node", c["node"]).alias("a"), F.greatest("node", c["node"]).alias("b")).distinct()
-        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = _shared.store(pairs, "pairs")
+        rows = _rooted(buckets, root)
+        # Centres are those with the smallest shares of shingles of their own: in a group of copies, the nearest to its origin.
+        share, c = F.floor(20 * (F.col("n") - F.col("common")) / F.col("n")), F.struct("node", "root", "n", "common")
+        order = [F.min(F.struct(share.alias("share"), F.xxhash64("node", F.lit(j)).alias("h"), c.alias("c")))["c"] for j in range(CENTRES[min(turn, 1)])]
+        chosen = rows.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("n").alias("least_n"), F.max("common").alias("most_common"), F.array_distinct(F.array(*order)).alias("centres")).where("least <> most")
+        able = _possible(F.col("common"), F.col("most_common"), F.col("n"), F.col("least_n"), percent)
+        open_ = _shared.store(rows.join(chosen.drop("least", "most"), "bucket").where(able).drop("least_n", "most_common"), "open")
+        meets = F.filter("centres", lambda x: (x["root"] != F.col("root")) & _possible(F.col("common"), x["common"], F.col("n"), x["n"], percent))
+        met = open_.select("node", F.explode(F.transform(meets, lambda x: x["node"])).alias("centre"))
+        pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        pairs = _shared.store(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = _shared.store(_verified(pairs, sets, percent), "verified")
         links = found if links is None else links.union(found)
         tested = pairs if tested is None else tested.union(pairs)
         if not found.isEmpty():
             root = components.components(links)
+        buckets = open_.where(~F.exists("centres", lambda x: x["node"] == F.col("node")))
+        buckets = buckets.select(*columns) if turn else _shared.store(_split(buckets, sets, root, percent).select(*columns), "split")
         turn += 1
-        buckets = open_.where(~F.exists("centres", lambda x: x["node"] == F.col("node"))).select("bucket", "node", "n")
-        if buckets.isEmpty():
-            break
     if root is None:
         root = docs.sparkSession.createDataFrame([], "node long, root long")
     out = member.select("doc_id", "n_shingles", "rep").join(root.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("root", "rep")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component of near duplicates, the one with the smallest doc_id, unchanged."""
-    gone = link(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One document of each component of near duplicates, the one with the smallest doc_id, unchanged.
+
+    Rows without a doc_id cannot be told apart and stay.
+    """
+    gone = _shared.store(link(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")), "near-duplicates")
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def op1_min_max_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

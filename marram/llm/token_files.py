@@ -45,12 +45,16 @@ def _pack_blocks(v: np.ndarray, escaped: list[int]) -> tuple[np.ndarray, np.ndar
     bits[: len(v)][small] = np.frexp(v[small].astype(float))[1]
     bits[: len(v)][~small] = [int(x).bit_length() for x in v[~small]]
     width[:, :BLOCK] = bits.reshape(blocks, BLOCK)
+    # Widest of 1, 2, 4, ... ids from each place on; any count is two of these that overlap.
+    widest, k = {1: width}, 1
+    while 2 * k <= max(c for c, _ in SELECTORS):
+        widest[2 * k] = width = np.maximum(width[:, :-k], width[:, k:])
+        k *= 2
     best = np.zeros((blocks, BLOCK), np.uint8)
     for s in range(len(SELECTORS) - 1, 0, -1):  # the selector that packs most ids is set last
         c, b = SELECTORS[s]
-        over = np.zeros((blocks, span + 1), np.uint16)
-        np.cumsum(width > b, axis=1, out=over[:, 1:])
-        best[over[:, c : c + BLOCK] == over[:, :BLOCK]] = s
+        k = 1 << (c.bit_length() - 1)
+        best[np.maximum(widest[k][:, :BLOCK], widest[k][:, c - k : c - k + BLOCK]) <= b] = s
     sizes = np.full(blocks, BLOCK)
     sizes[-1] = len(v) - (blocks - 1) * BLOCK
     at, rows, starts = np.zeros(blocks, int), np.arange(blocks), []

@@ -1,9 +1,9 @@
 """Token ids of whole texts by the ``tokenizers`` library, with the encodings of recurring words kept.
 
-``TextEncoder`` gives exactly ``Tokenizer.encode(text, add_special_tokens=False).ids``. It cuts a text at
-blanks where the tokenizer's own pre-tokenization always cuts too, so a piece's ids do not depend on its
-neighbours, and keeps the ids of pieces seen before (bounded). Texts or tokenizers for which that is not
-certain go to the library whole.
+``TextEncoder`` gives exactly ``Tokenizer.encode(text, add_special_tokens=False).ids``. A text of Latin letters,
+digits and common punctuation is cut into the tokenizer's pre-tokens, whose ids do not depend on their neighbours;
+each is encoded by the library's model once and kept (bounded). Other texts, and tokenizers of another make, go to
+the library whole.
 """
 
 from __future__ import annotations
@@ -11,19 +11,23 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
-from itertools import islice
 
-import numpy as np
+#: Pre-tokens whose ids a worker keeps, some 200 MB.
+KEPT = 800_000
 
-#: A blank before one of these is a cut: none is white space and none can join a preceding blank run.
-_CUT = re.compile(r" (?=[!-~¡-ᙿ])")
-_NO_CUT = re.compile(r" (?![!-~¡-ᙿ])")
-#: Letters, then nothing or something that starts with ASCII punctuation: a pre-token ends between them.
-_HEAD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~].*)?", re.S)
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
+#: Of these characters it is certain which are letters, digits and white space, and they are stable under NFC.
+_ODD = re.compile("[^\t\n\r -~¡-ÿ‐-‧€]")
 
-#: Pieces whose ids a worker keeps; at most some 100 MB.
-KEPT = 300_000
+#: The pre-tokenization patterns that are known, and their equals over the characters above. Fixed by the vocabularies.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_CUTS = {
+    "blank": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"),
+    "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+"),
+}
 
 
 @lru_cache(None)
@@ -34,17 +38,28 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
 
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Kept(dict):
-    """Ids by piece, as little-endian uint32 bytes; emptied when full."""
+    """Ids by pre-token, as little-endian uint32 bytes. Half full, it puts them aside; those asked for again come back."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEPT:
+        self.make, self.aside = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.aside.get(word)
+        if out is None:
+            out = self.make(word)
+        if len(self) >= KEPT // 2:
+            self.aside = dict(self)
             self.clear()
-        self[piece] = out = self.make(piece)
+        self[word] = out
         return out
 
 
@@ -58,47 +73,36 @@ class TextEncoder:
             spec = json.load(f)
         self.added = [x["content"] for x in spec["added_tokens"]]
         self.kind = self._kind(spec)
+        self.cut = _CUTS[self.kind].findall if self.kind else None
         self.model = self.tokenizer.model
-        self.heads = _Kept(self._head)
-        self.tails = _Kept(self._whole)
-        self.pieces = _Kept(self._piece)
+        self.blank = _byte_letters()[32]
+        self.words = _Kept(self._word)
 
     @staticmethod
     def _kind(spec: dict) -> str:
-        """``blank``: words carry the blank before them; ``word``: blanks vanish; empty: no piecewise encoding."""
+        """``blank``: words carry the blank before them; ``word``: text is lower-cased, white space vanishes; empty: another make."""
         model, pre, norm = spec["model"], spec["pre_tokenizer"] or {}, spec["normalizer"] or {}
-        if model["type"] != "BPE" or spec["post_processor"] and spec["post_processor"]["type"] != "ByteLevel":
+        if model["type"] != "BPE" or model["dropout"] or spec["post_processor"]:
             return ""
         if pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not norm:
             return "blank"
-        steps = [x["type"] for x in norm.get("normalizers", [])]
-        splits = pre.get("pretokenizers", [{}])
-        if steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("type") == "Split" and "[^\\s\\p{L}\\p{N}]+" in splits[0]["pattern"].get("Regex", ""):
+        steps, splits = [x["type"] for x in norm.get("normalizers", [])], pre.get("pretokenizers", [])
+        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"].get("Regex") == _WORDS and splits[0]["invert"] and not splits[1]["use_regex"] and not splits[1]["add_prefix_space"]:
             return "word"
         return ""
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _head(self, letters: str) -> bytes:
-        word = " " + letters if self.kind == "blank" else letters.lower()
-        word = word.encode().decode("latin-1").translate(_byte_letters())
-        return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        if m := _HEAD.fullmatch(piece):
-            head, tail = m.groups()
-            return self.heads[head] + self.tails[tail] if tail else self.heads[head]
-        return self._whole(" " + piece if self.kind == "blank" else piece)
+    def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():
+            word = word.replace(" ", self.blank)
+        else:
+            word = word.encode().decode("latin-1").translate(_byte_letters())
+        return _bytes([t.id for t in self.model.tokenize(word)])
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian uint32 bytes."""
-        if not self.kind or "<|" in text and any(x in text for x in self.added):
-            return self._whole(text)
-        if self.kind == "word":
-            return b"".join(map(self.pieces.__getitem__, text.split(" ")))
-        pieces = _CUT.split(text) if _NO_CUT.search(text) else text.split(" ")
-        return self.tails[pieces[0]] + b"".join(map(self.pieces.__getitem__, islice(pieces, 1, None)))
+        if not self.kind or _ODD.search(text) or "<|" in text and any(x in text for x in self.added):
+            return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.words.__getitem__, self.cut(text.lower() if self.kind == "word" else text)))
 
 
 @lru_cache(4)
