@@ -30,3 +30,14 @@ def components(links: DataFrame) -> DataFrame:
         if state == before:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
         now, before = _shared.store(_small_star(_large_star(now)), "links"), state
+
+
+def joined(root: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) once components ``root`` (None: none yet) are joined by more ``links``: only their roots are linked anew."""
+    if root is None:
+        return components(links)
+    for c in ("a", "b"):
+        links = links.join(root.select(F.col("node").alias(c), F.col("root").alias("of")), c, "left").withColumn(c, F.coalesce("of", c)).drop("of")
+    moved = components(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    old = root.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return _shared.store(old.union(moved), "components")

@@ -6,13 +6,13 @@ three permutations (six values); documents that share a band are candidates, and
 if their full sets are similar enough. With 48 bands a pair of similarity 0.8 is missed with a chance of
 about 5e-7.
 
-Documents with equal sets form one class, so copies never meet pair by pair. In a bucket of the bands only
-some members, the centres, are compared with the rest; a bucket whose members are all in one component is
-done, in any other the centres leave and others take their turn, until no bucket holds two components that
-have not been compared. Documents that have too many shingles for themselves drop out first, and pairs are formed
-only where the shingles that both share with others suffice; a big bucket is split by shingles that few of its members
-have. No bucket is capped, and no link between different
-components is lost.
+Documents with equal sets form one class, so copies never meet pair by pair. In a bucket of the bands one
+member, the centre, is compared with the rest; a bucket whose members are then all in one component is
+done. In any other, members outside the bucket's main component are compared with all, block by block: an odd sketch
+(the parity of the shingles that fall on each bit) bounds from below how far two sets differ, and a pair is formed only
+where the sketches and the shingles that both share with others allow a link. Documents that have too many shingles for
+themselves drop out first; a big bucket is split by shingles that few of its members have. No bucket is capped, and no
+link between different components is lost.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ PERMUTATIONS, BAND = 144, 3
 KEPT = 400_000
 #: Ids that are broadcast to pick documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Centres of a bucket in the first round and later; buckets of more members are split by their rare shingles.
-CENTRES, BIG = (1, 64), 64
+#: Buckets of more members are split by their rare shingles; members of a block, about; bytes of a sketch.
+BIG, BLOCK, SKETCH = 64, 256, 128
 
 
 class _WordHashes(dict):
@@ -122,7 +122,42 @@ def _sets(size: int):
             sets = [shingles(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
             offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(map(sketch, sets), pa.binary())], names=["node", "hashes", "sketch"])
+
+    return run
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """The odd sketch of a set; two sketches never differ in more bits than their sets differ in members."""
+    counts = np.bincount(hashes.view(np.uint64).astype(np.uint32) % (8 * SKETCH), minlength=8 * SKETCH)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+MEMBERS = "array<struct<node:bigint,root:bigint,n:bigint,common:bigint,sketch:binary>>"
+
+
+def _able(percent: int):
+    """Pairs (a < b) of two blocks of a bucket that may be linked: sketches and common shingles allow it, components differ."""
+
+    def columns(members: pa.ListArray, row: int) -> tuple[np.ndarray, ...]:
+        fields = members[row].values
+        bits = np.frombuffer(b"".join(fields.field("sketch").to_pylist()), np.uint64).reshape(len(fields), -1)
+        return *(fields.field(c).to_numpy() for c in ("node", "root", "n", "common")), bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros((0, 2), np.int64)]
+            for row in range(batch.num_rows):
+                (node, root, n, common, bits), (node_b, root_b, n_b, common_b, bits_b) = (columns(batch.column(c), row) for c in (0, 1))
+                apart = np.zeros((len(node), len(node_b)), np.int64)
+                for k in range(bits.shape[1]):
+                    apart += np.bitwise_count(bits[:, k, None] ^ bits_b[:, k])
+                both, shared = n[:, None] + n_b, np.minimum(common[:, None], common_b)
+                able = (root[:, None] != root_b) & ((100 + percent) * apart <= (100 - percent) * both) & (100 * shared >= percent * (both - shared))
+                i, j = np.nonzero(able)
+                found.append(np.stack([np.minimum(node[i], node_b[j]), np.maximum(node[i], node_b[j])], 1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     return run
 
@@ -164,7 +199,7 @@ def _rooted(rows: DataFrame, root: DataFrame | None) -> DataFrame:
     return rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _split(rows: DataFrame, sets: DataFrame, root: DataFrame | None, percent: int) -> DataFrame:
+def _split(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Big buckets, whose centre has met all members, are split into buckets by single shingles that few members have.
 
     Call a shingle frequent if over ``BIG`` members of big buckets have it. For A and B to be similar enough they must
@@ -173,10 +208,10 @@ def _split(rows: DataFrame, sets: DataFrame, root: DataFrame | None, percent: in
     bucket of at most ``BIG`` members. Members for which it can be enough stay in the old bucket; of the centre's
     component, only those for which it can be enough with a member outside.
     """
-    columns = ("bucket", "node", "n", "common")
-    rows = _rooted(rows, root).withColumn("centre", F.col("centres")[0]["node"])
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    rows = _shared.store(rows.join(sizes.select("bucket", "members"), "bucket"), "members")
+    columns = ("bucket", "node", "n", "common", "root")
+    own = F.max(F.when(F.col("node") == F.col("centre"), F.col("root"))).alias("home")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most"), own).where("least <> most")
+    rows = _shared.store(rows.join(sizes.select("bucket", "members", "home"), "bucket"), "members")
     big = rows.where(F.col("members") > BIG)
     facts = big.groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "common", "root")])
     held = _shared.store(sets.join(facts, "node").select("node", F.explode("hashes").alias("h")).distinct(), "held")
@@ -184,9 +219,8 @@ def _split(rows: DataFrame, sets: DataFrame, root: DataFrame | None, percent: in
     rare = _shared.store(held.join(frequent, "h", "left_anti"), "rare")
     facts = facts.join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left").withColumn("frequent", F.col("n") - F.coalesce("rare", F.lit(0)))
     # Most shingles that a partner may have for the frequent ones to suffice.
-    facts = facts.withColumn("most_n", F.floor((100 + percent) * F.col("frequent") / percent) - F.col("n"))
-    home = _rooted(big.select(F.col("centre").alias("node")).distinct(), root).select(F.col("node").alias("centre"), F.col("root").alias("home"))
-    old = big.join(home, "centre").join(facts.select("node", "most_n"), "node").withColumn("out", F.col("root") != F.col("home"))
+    facts = _shared.store(facts.withColumn("most_n", F.floor((100 + percent) * F.col("frequent") / percent) - F.col("n")), "facts")
+    old = big.join(facts.select("node", "most_n"), "node").withColumn("out", F.coalesce(F.col("root") != F.col("home"), F.lit(True)))
     bounds = old.groupBy("bucket").agg(F.min("n").alias("least_n"), F.max("most_n").alias("of_all"), F.max(F.when(F.col("out"), F.col("most_n"))).alias("of_out"))
     stay = old.join(bounds, "bucket").where((F.col("most_n") >= F.col("least_n")) & (F.col("n") <= F.when(F.col("out"), F.col("of_all")).otherwise(F.col("of_out"))))
     new = rare.join(facts, "node").select(F.xxhash64("h", F.lit("rare")).alias("bucket"), "node", "n", "common", "root")
@@ -194,6 +228,25 @@ def _split(rows: DataFrame, sets: DataFrame, root: DataFrame | None, percent: in
     return rows.where(F.col("members") <= BIG).select(*columns).union(stay.select(*columns)).union(new.join(shared, "bucket").select(*columns))
 
 
+def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of ``rows`` (bucket, node, n, common, root) in different components that may be linked.
+
+    Members outside a bucket's most frequent component meet all members. Blocks of about ``BLOCK`` members meet, each
+    pair of blocks in a row of its own, so that a hot bucket is spread over tasks.
+    """
+    counts = rows.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket")
+    counts = counts.agg(F.sum("c").alias("members"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("home")).where("members > most")
+    rows = rows.join(counts, "bucket").join(sets.select("node", "sketch").distinct(), "node")
+    rows = _shared.store(rows.select("bucket", "members", "most", "home", F.struct(*[F.col(c).cast("long").alias(c) for c in ("node", "root", "n", "common")], "sketch").alias("m")), "meeting")
+    deal = lambda count: F.pmod(F.xxhash64("m.node"), F.ceil(count / BLOCK))
+    every = rows.groupBy("bucket", deal(F.col("members")).alias("part")).agg(F.collect_list("m").alias("all"))
+    outside = F.col("members") - F.col("most")
+    out = rows.where("m.root <> home").groupBy("bucket", deal(outside).alias("own"), "members").agg(F.collect_list("m").alias("out"))
+    out = out.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / BLOCK) - 1)))
+    met = out.join(every, ["bucket", "part"]).select(F.col("out").cast(MEMBERS), F.col("all").cast(MEMBERS))
+    return met.mapInArrow(_able(percent), "a long, b long").distinct()
+
+
 def _near(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Documents whose id is in ``nodes`` (node)."""
     small = nodes.count() <= BROADCAST_IDS
@@ -223,31 +276,23 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     shared = keyed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("bucket")
     buckets = _shared.store(keyed.join(shared, "bucket").distinct(), "buckets")
     texts = _near(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), buckets.select("node").distinct())
-    sets = _shared.store(texts.mapInArrow(_sets(size), "node long, hashes array<long>"), "shingle-sets")
+    sets = _shared.store(texts.mapInArrow(_sets(size), "node long, hashes array<long>, sketch binary"), "shingle-sets")
     buckets = _shared.store(_hopeful(buckets, sets, percent), "hopeful")
-    columns = buckets.columns
-    links, root, tested, turn = None, None, None, 0
-    while not buckets.isEmpty():
-        # Members by bucket with their component; a bucket of one component is done.
-        rows = _rooted(buckets, root)
-        # Centres are those with the smallest shares of shingles of their own: in a group of copies, the nearest to its origin.
-        share, c = F.floor(20 * (F.col("n") - F.col("common")) / F.col("n")), F.struct("node", "root", "n", "common")
-        order = [F.min(F.struct(share.alias("share"), F.xxhash64("node", F.lit(j)).alias("h"), c.alias("c")))["c"] for j in range(CENTRES[min(turn, 1)])]
-        chosen = rows.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("n").alias("least_n"), F.max("common").alias("most_common"), F.array_distinct(F.array(*order)).alias("centres")).where("least <> most")
-        able = _possible(F.col("common"), F.col("most_common"), F.col("n"), F.col("least_n"), percent)
-        open_ = _shared.store(rows.join(chosen.drop("least", "most"), "bucket").where(able).drop("least_n", "most_common"), "open")
-        meets = F.filter("centres", lambda x: (x["root"] != F.col("root")) & _possible(F.col("common"), x["common"], F.col("n"), x["n"], percent))
-        met = open_.select("node", F.explode(F.transform(meets, lambda x: x["node"])).alias("centre"))
-        pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        pairs = _shared.store(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = _shared.store(_verified(pairs, sets, percent), "verified")
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        if not found.isEmpty():
-            root = components.components(links)
-        buckets = open_.where(~F.exists("centres", lambda x: x["node"] == F.col("node")))
-        buckets = buckets.select(*columns) if turn else _shared.store(_split(buckets, sets, root, percent).select(*columns), "split")
-        turn += 1
+    # The centre has the smallest share of shingles of its own: in a group of copies, it is the nearest to its origin.
+    share, c = F.floor(20 * (F.col("n") - F.col("common")) / F.col("n")), F.struct("node", "n", "common")
+    centre = F.min(F.struct(share.alias("share"), F.xxhash64("node").alias("h"), c.alias("c")))["c"].alias("c")
+    chosen = buckets.groupBy("bucket").agg(centre, F.min("node").alias("least"), F.max("node").alias("most"), F.min("n").alias("least_n"), F.max("common").alias("most_common")).where("least <> most")
+    able = _possible(F.col("common"), F.col("most_common"), F.col("n"), F.col("least_n"), percent)
+    open_ = _shared.store(buckets.join(chosen.drop("least", "most"), "bucket").where(able).drop("least_n", "most_common"), "open")
+    met = open_.where((F.col("node") != F.col("c.node")) & _possible(F.col("common"), F.col("c.common"), F.col("n"), F.col("c.n"), percent))
+    pairs = _shared.store(met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), "pairs")
+    links = _shared.store(_verified(pairs, sets, percent), "verified")
+    root = None if links.isEmpty() else components.components(links)
+    rows = _shared.store(_split(_rooted(open_.select("bucket", "node", "n", "common", F.col("c.node").alias("centre")), root), sets, percent), "split")
+    pairs = _shared.store(_across(rows, sets, percent), "pairs")
+    links = _shared.store(_verified(pairs, sets, percent), "verified")
+    if not links.isEmpty():
+        root = components.joined(root, links)
     if root is None:
         root = docs.sparkSession.createDataFrame([], "node long, root long")
     out = member.select("doc_id", "n_shingles", "rep").join(root.withColumnRenamed("node", "rep"), "rep", "left")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from marram.llm import components, neardup
 
@@ -44,10 +45,10 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize(("size", "big", "centres"), [(4, 64, (1, 64)), (5, 2, (1, 3))])
-def test_links_equal_brute_force(spark, monkeypatch, size, big, centres):
+@pytest.mark.parametrize(("size", "big", "block"), [(4, 64, 256), (5, 2, 3)])
+def test_links_equal_brute_force(spark, monkeypatch, size, big, block):
     monkeypatch.setattr(neardup, "BIG", big)
-    monkeypatch.setattr(neardup, "CENTRES", centres)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     texts = corpus(size)
     docs = spark.createDataFrame([(i, t, 1, "c") for i, t in enumerate(texts)], "doc_id long, text string, rep int, bucket string")
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.link(docs, size).collect())
@@ -57,6 +58,7 @@ def test_links_equal_brute_force(spark, monkeypatch, size, big, centres):
 
 def test_a_large_group_of_edited_copies(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BIG", 20)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
     rng = random.Random(12)
     base, texts = [f"b{i}" for i in range(70)], []
     for _ in range(160):
@@ -86,6 +88,21 @@ def test_signatures_keep_both_ends():
     assert abs(estimate - len(set(x) & set(y)) / len(set(x) | set(y))) < 0.05
 
 
+def test_sketches_bound_the_difference():
+    rng = random.Random(4)
+    for _ in range(50):
+        a = {rng.randrange(2**63) for _ in range(rng.randrange(1, 400))}
+        b = set(rng.sample(sorted(a), len(a) // 2)) | {rng.randrange(2**63) for _ in range(rng.randrange(100))}
+        x, y = (int.from_bytes(neardup.sketch(np.array(sorted(s), np.int64))) for s in (a, b))
+        assert (x ^ y).bit_count() <= len(a ^ b)
+
+
+def test_joined_components(spark):
+    root = spark.createDataFrame([(2, 1), (3, 1), (11, 10)], "node long, root long")
+    links = spark.createDataFrame([(3, 11), (0, 20), (2, 3)], "a long, b long")
+    assert {r.node: r.root for r in components.joined(root, links).collect()} == {2: 1, 3: 1, 11: 1, 10: 1, 20: 0}
+
+
 def test_components_of_paths_stars_and_cycles(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 202), (200, 202)] + [(300, 301)] * 3
     rng = random.Random(1)
