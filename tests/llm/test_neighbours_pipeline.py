@@ -18,7 +18,7 @@ def test_search_equals_brute_force(spark, monkeypatch):
     got = {}
     for r in ann.search(df, df.where("vec_id % 20 = 0 OR vec_id = 2006")).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
-    assert {q for q in got if q < 1000} == set(range(0, 900, 20)) and got[2006] == {1: (2008, 7.0)} and 2000 not in got and 2020 not in got
+    assert {q for q in got if q < 1000} == set(range(0, 900, 20)) and got[2006] == {1: (2008, 5.0)} and 2000 not in got and 2020 not in got
     found = 0
     for q in range(0, 900, 20):
         scores = (vectors.astype(float) * vectors[q].astype(float)).sum(1)
