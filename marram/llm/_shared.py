@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,7 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 _local: dict[str, str] = {}
+_kept: dict[Hashable, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +46,14 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept[T](name: Hashable, make: Callable[[], T]) -> T:
+    """What a worker keeps from batch to batch under ``name``. Workers serve one operator after another: asking for another name drops it."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session, unless its user has set bounds."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):

@@ -109,14 +109,14 @@ def _scan(shared):
         get = test.vocabulary.get
         for texts, states in batches:
             state = [s or dict(_EMPTY) for s in states.to_pylist()]
-            docs = [words_of(t) for t in texts.to_pylist()]
+            docs = []
+            for t in texts:  # the words of one text at a time are held
+                words = words_of(t.as_py())
+                docs.append(np.fromiter((get(w, 0) for w in words), np.int32, len(words)))
             sizes = np.array([len(d) for d in docs], np.int64)
             starts = np.cumsum(sizes + 1) - sizes - 1
-            flat: list[int] = []
-            for d in docs:
-                flat += [get(w, 0) for w in d]
-                flat.append(0)
-            position, suffix = test.search(np.array(flat + [0] * (test.window + 1), np.int32))
+            gap = np.zeros(1, np.int32)
+            position, suffix = test.search(np.concatenate([*(x for d in docs for x in (d, gap)), np.zeros(test.window + 1, np.int32)]))
             for k, n in enumerate(sizes.tolist()):
                 state[k] = state[k] | {"n_words": n}
             if len(position):

@@ -29,7 +29,7 @@ REJECT_SIGMAS, REJECT_MARGIN = 6.0, 1.2
 MOST_LANGUAGES = 300
 UNKNOWN = "und"
 #: Words whose scores a worker keeps.
-KEPT = 300_000
+KEPT = 200_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PAD, _END = "\x02", "\x03"
@@ -183,16 +183,10 @@ class Scorer:
         return entropy / np.maximum(sizes, 1)[:, None], sizes
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def _scorer(shared) -> Scorer:
-    """The worker's scorer of a broadcast model; the last one only is kept."""
+    """The worker's scorer of a broadcast model."""
     models = shared.value
-    if id(models) not in _scorers:
-        _scorers.clear()
-        _scorers[id(models)] = Scorer(models)
-    return _scorers[id(models)]
+    return _shared.kept(("language models", id(models)), lambda: Scorer(models))
 
 
 def _predict(shared):

@@ -22,7 +22,7 @@ from . import _shared
 from .decontaminate import words_of
 
 SHINGLE, PERCENT, BANDS = 5, 80, 32
-_KEPT = 400_000
+_KEPT = 200_000
 
 #: Texts that declare a license, as their publishers word them. Fixed values.
 TEMPLATES = {
@@ -48,14 +48,11 @@ class _WordHashes(dict):
         return out
 
 
-_hashes = _WordHashes()
-
-
 def _shingles(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of the shingles of a word sequence, in order."""
     if len(words) < SHINGLE:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(_shared.kept("license words", _WordHashes).__getitem__, words), np.uint64, len(words))
     out = np.zeros(len(h) - SHINGLE + 1, np.uint64)
     for k in range(SHINGLE):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - SHINGLE + 1 + k]

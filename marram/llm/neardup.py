@@ -32,7 +32,7 @@ from . import _shared, components
 SHINGLE, PERCENT = 5, 80
 PERMUTATIONS, BAND = 144, 3
 #: Words whose hashes a worker keeps.
-KEPT = 400_000
+KEPT = 200_000
 #: Ids that are broadcast to pick documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Buckets of more members are split by their rare shingles; members of a block, about; bytes of a sketch.
@@ -47,9 +47,6 @@ class _WordHashes(dict):
         return out
 
 
-_hashes = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -65,7 +62,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(_shared.kept("shingle words", _WordHashes).__getitem__, words), np.uint64, len(words))
     n = min(size, len(words))
     rolled = np.full(len(words) - n + 1, n, np.uint64)
     for k in range(n):

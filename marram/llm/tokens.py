@@ -15,8 +15,10 @@ import sys
 from array import array
 from functools import lru_cache
 
-#: Pre-tokens whose ids a worker keeps, some 200 MB.
-KEPT = 800_000
+from . import _shared
+
+#: Pre-tokens whose ids a worker keeps, some 100 MB.
+KEPT = 400_000
 
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
 #: Of these characters it is certain which are letters, digits and white space, and they are stable under NFC.
@@ -105,10 +107,9 @@ class TextEncoder:
         return b"".join(map(self.words.__getitem__, self.cut(text.lower() if self.kind == "word" else text)))
 
 
-@lru_cache(4)
 def encoder(path: str) -> TextEncoder:
-    """One per worker process and vocabulary file."""
-    return TextEncoder(path)
+    """The worker's encoder of a vocabulary file."""
+    return _shared.kept(("token ids", path), lambda: TextEncoder(path))
 
 
 def public_path(name: str) -> str:
