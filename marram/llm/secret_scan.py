@@ -18,14 +18,17 @@ from . import _shared
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run of these always starts its match where the longer form of the pattern does, so the length is in the pattern.
 ACCESS, HEX = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
-#: What the models judge: long tokens that hold a digit.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: What the models judge: all tokens from the length on that the threshold is calibrated for.
+LEAST_LENGTH = 12
+TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}"
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
 #: Labelled samples: identifiers are taken from about so many documents, and so many random strings are made.
 SAMPLE_DOCS, SAMPLE_RANDOM = 2000, 4000
 #: Share of the sample's identifiers that may be over the threshold, and the least threshold in nats a character.
 FALSE_SHARE, LEAST_THRESHOLD = 0.001, 0.3
+#: A long token that occurs so often in the sample is a word without further proof.
+RECURS = 5
 
 KINDS = ("assign", "access", "hex", "markov")
 
@@ -77,53 +80,98 @@ class Ratio:
 
 
 def _pair_counts(tokens: DataFrame) -> list[int]:
-    """How often each pair of symbols occurs in ``tokens`` (token)."""
+    """How often each pair of symbols occurs in ``tokens`` (token, n)."""
     n, out = len(SYMBOLS), [0] * len(SYMBOLS) ** 2
     codes = F.transform(F.split("token", ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
-    pairs = tokens.select(codes.alias("c")).select(F.explode(F.zip_with(F.expr("slice(c, 1, size(c) - 1)"), F.expr("slice(c, 2, size(c))"), lambda a, b: a * n + b)).alias("pair"))
-    for pair, count in pairs.where("pair >= 0").groupBy("pair").count().collect():  # at most one row a pair of symbols
+    pairs = tokens.select("n", codes.alias("c")).select("n", F.explode(F.zip_with(F.expr("slice(c, 1, size(c) - 1)"), F.expr("slice(c, 2, size(c))"), lambda a, b: a * n + b)).alias("pair"))
+    for pair, count in pairs.where("pair >= 0").groupBy("pair").agg(F.sum("n")).collect():  # at most one row a pair of symbols
         out[pair] = count
     return out
 
 
-def random_strings(spark: SparkSession, n: int = SAMPLE_RANDOM) -> DataFrame:
-    """Random strings, made by rule: digests in base 64 and in hexadecimal digits of either case, and base 36."""
-    digest = F.sha2(F.concat(F.lit("random "), F.col("id").cast("string")), 256)
-    plain = F.base64(F.unhex(digest))
-    kinds = [plain, F.translate(plain, "+/=", "-_"), digest, F.upper(digest), F.upper(F.translate(plain, "+/=", "xyz")), F.substring(digest, 1, 40)]
+def _by_rule(spark: SparkSession, n: int, kinds: list[Column]) -> DataFrame:
+    """``n`` tokens, of all kinds in turn; a kind is a column over ``id``."""
     pick = F.lit(None).cast("string")
     for i, k in enumerate(kinds):
         pick = F.when(F.col("id") % len(kinds) == i, k).otherwise(pick)
-    return spark.range(n).select(pick.alias("token"))
+    return spark.range(n).select("id", pick.alias("token"))
+
+
+def random_strings(spark: SparkSession, n: int = SAMPLE_RANDOM) -> DataFrame:
+    """Random strings, made by rule from digests: base 64 and 62, hexadecimal digits and base 36 of either case, and
+    letters only. Every other one is cut to 12 to 31 symbols, as keys are.
+    """
+    digest = F.sha2(F.concat(F.lit("random "), F.col("id").cast("string")), 256)
+    plain = F.base64(F.unhex(digest))
+    alphanumeric, letters = F.translate(plain, "+/=", "xyz"), F.translate(plain, "0123456789+/=", "")
+    kinds = [plain, F.translate(plain, "+/=", "-_"), F.translate(plain, "+/=", ""), digest, F.upper(digest), F.lower(alphanumeric), F.upper(alphanumeric), letters, F.lower(letters), F.upper(letters), F.substring(digest, 1, 40), F.substring(F.upper(digest), 1, 40), F.lower(letters)]
+    # The number of kinds is odd, so both halves hold all of them.
+    cut = F.when(F.col("id") % 2 == 1, F.lit(LEAST_LENGTH) + F.col("id").bitwiseAND(F.lit(62)).cast("int") % 20).otherwise(F.length("token"))
+    return _by_rule(spark, n, kinds).select(F.substr("token", F.lit(1), cut).alias("token"), F.lit(1).cast("long").alias("n"))
+
+
+def plain_numbers(spark: SparkSession, n: int = SAMPLE_RANDOM) -> DataFrame:
+    """Ordinary tokens without words, made by rule: card, phone and other numbers, dates and times, and ruled lines."""
+    digits = F.translate(F.sha2(F.concat(F.lit("number "), F.col("id").cast("string")), 256), "abcdef", "")
+    parts = lambda sep, *sizes: F.concat_ws(sep, *[F.substring(digits, 1 + sum(sizes[:i]), k) for i, k in enumerate(sizes)])
+    at = F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(2**31)))
+    day = F.date_format(at, "yyyy-MM-dd")
+    numbers = [F.substring(digits, 1, k) for k in (12, 13, 16, 19)]
+    numbers += [parts("-", 4, 4, 4, 4), F.concat(F.lit("+"), F.substring(digits, 1, 12)), F.concat(F.lit("+"), parts("-", 2, 3, 7)), parts("-", 3, 3, 4, 2), parts("/", 4, 4, 5), F.concat(F.lit("978-"), parts("-", 1, 2, 6, 1))]
+    numbers += [F.concat(day, F.lit("/"), day), F.concat(day, F.date_format(at, "'T'HH")), F.date_format(at, "yyyyMMdd'T'HHmmss'Z'"), F.date_format(at, "yyyy-MM-dd_HH-mm-ss"), F.date_format(at, "dd/MM/yyyy-HHmm"), F.date_format(at, "yyyyMMddHHmmss")]
+    lines = [F.repeat(F.lit(c), 24) for c in "-=_+/"] + [F.lit("+-------+-------+"), F.lit("-=-=-=-=-=-=-")]
+    return _by_rule(spark, n, numbers + lines).select("token", F.lit(1).cast("long").alias("n"))
 
 
 def identifiers(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Ordinary identifiers: tokens of four or more symbols of about ``sample_docs`` documents, outside base spans and without digit runs."""
+    """Ordinary identifiers: tokens of four or more symbols of about ``sample_docs`` documents, outside base spans and without digits in number, and how often each occurs (token, n)."""
     total = docs.count()
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20))
     some = docs.where(place < max(1, math.ceil(min(1.0, sample_docs / max(1, total)) * (1 << 20)))).select(F.col("text").cast("string").alias("text"))
     cleaned = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    words = some.select(F.explode(F.regexp_extract_all(cleaned, F.lit(r"[A-Za-z][A-Za-z0-9_-]{3,}"), F.lit(0))).alias("token"))
-    return words.where(~F.col("token").rlike("[0-9].*[0-9].*[0-9]"))
+    words = some.select(F.explode(F.regexp_extract_all(cleaned, F.lit(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9_-]{3,}"), F.lit(0))).alias("token"))
+    return words.where(~F.col("token").rlike("[0-9].*[0-9].*[0-9]")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def train(random: DataFrame, ordinary: DataFrame) -> Ratio:
-    """Fit both chains on labelled samples (token), add-one smoothed, and calibrate the threshold.
+def written_otherwise(words: DataFrame) -> DataFrame:
+    """Forms that words of a sample also take, for about a third of them: capitals, and joined as in paths and names."""
+    w = F.col("token")
+    forms = [F.upper(w), F.initcap(w), F.concat(w, F.initcap(w))] + [F.concat_ws(c, w, w) for c in "-_/+="]
+    place, pick = F.pmod(F.xxhash64(w), F.lit(3 * len(forms))), F.lit(None).cast("string")
+    for i, f in enumerate(forms):
+        pick = F.when(place == i, f).otherwise(pick)
+    return words.select(pick.alias("token"), "n").where("token IS NOT NULL")
 
-    The threshold is the mean ratio that all but ``FALSE_SHARE`` of the long ordinary tokens stay under, and lies at
-    least midway to the random sample's fifth percentile.
-    """
+
+def _ratios(random: DataFrame, ordinary: DataFrame) -> Ratio:
+    """Both chains' ratio, add-one smoothed, without a threshold."""
     n = len(SYMBOLS)
-    ordinary = _shared.store(ordinary, "identifiers")
     chains = []
     for counts in (_pair_counts(random), _pair_counts(ordinary)):
         rows = [counts[i * n : (i + 1) * n] for i in range(n)]
         chains.append([math.log((c + 1) / (sum(row) + n)) for row in rows for c in row])
-    ratio = Ratio(tuple(a - b for a, b in zip(*chains, strict=True)), 0.0)
-    score = lambda df: df.select(ratio.mean(F.col("token")).alias("s"))
-    high = score(ordinary.where(F.length("token") >= 12)).agg(F.percentile_approx("s", 1 - FALSE_SHARE, 10_000)).first()[0]
-    low = score(random).agg(F.percentile_approx("s", 0.05, 10_000)).first()[0]
-    threshold = max(LEAST_THRESHOLD, high or 0.0, ((high or 0.0) + (low or 0.0)) / 2)
+    return Ratio(tuple(a - b for a, b in zip(*chains, strict=True)), 0.0)
+
+
+def _low(random: DataFrame, ratio: Ratio) -> float:
+    """The fifth percentile of the random sample, cut to the least length, where scores scatter most."""
+    return random.select(ratio.mean(F.substr("token", F.lit(1), F.lit(LEAST_LENGTH))).alias("s")).agg(F.percentile_approx("s", 0.05, 10_000)).first()[0] or 0.0
+
+
+def train(random: DataFrame, ordinary: DataFrame, doubtful: DataFrame) -> Ratio:
+    """Fit both chains on labelled samples (token, n), and calibrate the threshold.
+
+    ``doubtful`` tokens are ordinary ones with random strings among them, as a corpus has: those that score as the
+    random sample does under a first fit without them are left out. The threshold is the mean ratio that all but
+    ``FALSE_SHARE`` of the long ordinary tokens stay under, and lies at least midway to the random sample's fifth
+    percentile.
+    """
+    first = _ratios(random, ordinary)
+    ordinary = ordinary.unionByName(doubtful.where(first.mean(F.col("token")) < max(LEAST_THRESHOLD, _low(random, first))))
+    ratio = _ratios(random, ordinary)
+    scores = ordinary.where(F.length("token") >= LEAST_LENGTH).select("n", ratio.mean(F.col("token")).alias("s"))
+    high = scores.agg(F.percentile("s", 1 - FALSE_SHARE, F.col("n"))).first()[0] or 0.0
+    threshold = max(LEAST_THRESHOLD, high, (high + _low(random, ratio)) / 2)
     return Ratio(ratio.pairs, threshold)
 
 
@@ -170,7 +218,10 @@ def redact(docs: DataFrame, ratio: Ratio, mark: str = "[SECRET]") -> DataFrame:
 
 
 def learn(docs: DataFrame) -> Ratio:
-    return train(random_strings(docs.sparkSession), identifiers(docs))
+    words = _shared.store(identifiers(docs), "identifiers")
+    known = (F.length("token") < LEAST_LENGTH) | (F.col("n") >= RECURS)
+    ordinary = words.where(known).unionByName(written_otherwise(words.where(known))).unionByName(plain_numbers(docs.sparkSession))
+    return train(random_strings(docs.sparkSession), ordinary, words.where(~known))
 
 
 def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

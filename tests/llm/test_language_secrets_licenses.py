@@ -1,5 +1,6 @@
 import random
 import re
+import string
 
 import numpy as np
 from marram.llm import langid, licenses, secret_scan
@@ -110,6 +111,21 @@ def test_models_add_random_tokens_and_redaction(spark):
     assert done[502].text == "[SECRET] and [SECRET]" and done[501].text is None and done[501].n_chars == 7 and done[3].text == docs[3][1]
 
 
+def test_short_and_letters_only_random_strings_are_spans(spark):
+    rng = random.Random(11)
+    hexes, letters = "0123456789abcdef", string.ascii_letters
+    kinds = [(a, n) for a in (letters + string.digits, letters, hexes, string.ascii_uppercase + string.digits) for n in (12, 16, 19)] + [(letters, 24), (string.ascii_lowercase, 24)]
+    words = ["".join(rng.choices(SYLLABLES["aa"] + SYLLABLES["bb"], k=rng.randrange(1, 7))) for _ in range(3000)]
+    plain = ["4111-1111-1111-1111", "4929353817006262", "+49-170-1234567", "+491701234567", "2024-01-30T12", "2024-01-30/2024-02-04", "20240130T123456Z", "978-3-16-148410-0", "-" * 40, "=" * 12, "_" * 20]
+    docs = [(i, " ".join(rng.choices(words, k=60) + rng.choices(plain, k=2))) for i in range(400)]
+    docs += [(1000 + i, f"ka {''.join(rng.choices(kinds[i % len(kinds)][0], k=kinds[i % len(kinds)][1]))} to") for i in range(60 * len(kinds))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: [(secret_scan.KINDS[s.kind], s.start, s.end) for s in r._spans] for r in secret_scan.scan(df, secret_scan.learn(df)).collect()}
+    assert [(i, rows[i]) for i in range(400) if rows[i]] == []
+    share = {(symbols, n): np.mean([rows[1000 + i] == [("markov", 3, 3 + n)] for i in range(k, 60 * len(kinds), len(kinds))]) for k, (symbols, n) in enumerate(kinds)}
+    assert min(share.values()) > 0.9, share
+
+
 def naive_licenses(t):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
     own = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)]
