@@ -116,10 +116,9 @@ def _find(docs: list[np.ndarray], templates: list[_Template], pad: int) -> list[
     for t in templates:
         blocks = minima[t.stride]
         window = blocks
-        for k in range(1, t.length // t.stride):
-            window = np.minimum(window[:, : blocks.shape[1] - k], blocks[:, k:]) if k < blocks.shape[1] else window
-            if window.shape[1] < blocks.shape[1]:  # windows at the end are shorter
-                window = np.concatenate([window, blocks[:, window.shape[1] :]], axis=1)
+        n = blocks.shape[1]
+        for k in range(1, min(t.length // t.stride, n)):  # windows at the end are shorter: they keep the blocks reached so far
+            window = np.concatenate([np.minimum(window[:, : n - k], blocks[:, k:]), window[:, n - k :]], axis=1)
         for w in np.flatnonzero((window == t.least[:, None]).any(0)).tolist():
             d = int(np.searchsorted(starts, w * t.stride, "right")) - 1
             own = docs[d][w * t.stride - starts[d] :][: t.length]

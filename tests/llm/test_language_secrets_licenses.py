@@ -139,6 +139,20 @@ def naive_licenses(t):
     return sorted(out)
 
 
+def test_templates_at_the_end_of_a_group():
+    rng = random.Random(8)
+    ready = licenses._prepare(licenses.TEMPLATES)
+    noise = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    for name in ("Apache-2.0-header", "GPL-notice"):
+        for before in range(9):
+            for place in range(8):
+                words = licenses.TEMPLATES[name].split()
+                words[place] = "changed"
+                texts = [" ".join(noise(100)), " ".join(noise(before) + words)]
+                found = licenses._find([licenses._shingles(licenses.words_of(t)) for t in texts], ready, max(t.stride for t in ready))
+                assert [sorted(f) for f in found] == [naive_licenses(t) for t in texts], (name, before, place)
+
+
 def test_licenses_equal_brute_force(spark):
     rng = random.Random(7)
     words = ["the", "license", "under", "of", "this", "work", "ünter", "x1"]
