@@ -38,13 +38,48 @@ def test_few_candidates_and_empty_tables(spark):
     assert ann.search(df.limit(0), df).collect() == [] and ann.search(df, df.limit(0)).collect() == []
 
 
-def test_estimates_stay_within_the_bound():
+def test_estimates_from_population_counts_stay_near_the_bits_own():
     rng = np.random.default_rng(1)
-    v, q = rng.standard_normal((4000, 64)), rng.standard_normal(64)
-    codes, scalars = ann.encode(v)
-    signs = np.unpackbits(codes, axis=1, count=64) * 2.0 - 1
-    off = np.abs((signs @ (q @ ann.rotation(64))) * scalars[0] - v @ q) / (np.linalg.norm(q) * scalars[1])
-    assert (off < ann.BOUND).mean() > 0.99
+    for dim in (64, 100):
+        v, q = rng.standard_normal((4000, dim)), rng.standard_normal((3, dim))
+        codes, scalars = ann.encode(v)
+        signs = np.unpackbits(codes.view(np.uint8), axis=1) * 2.0 - 1
+        plain = (q @ ann.rotation(dim)) @ signs.T * scalars[0]
+        counted = ann.Asking.of(q).estimates(codes, scalars, slice(0, 3))
+        asking, unit = ann.Asking.of(q), np.linalg.norm(q, axis=1)[:, None] * scalars[1]
+        rounding = asking.step[:, None] * scalars[2] * scalars[0]  # half a step for each bit set, twice
+        assert (np.abs(counted - plain) <= rounding * (1 + 1e-3) + 1e-3).all()
+        assert (np.abs(counted - q @ v.T) / unit < 3).mean() > 0.99
+
+
+def test_clustered_vectors_visit_few_centres_and_copies_do_not_multiply(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    middles = rng.standard_normal((40, 32)) * 3
+    vectors = (middles[rng.integers(0, 40, 3000)] + rng.standard_normal((3000, 32)) / 4).astype(np.float32)
+    vectors[500:1500] = vectors[500]  # a third are copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(ann, "ROWS_A_CENTRE", 100)
+    monkeypatch.setattr(ann, "CANDIDATES", 150)
+    monkeypatch.setattr(ann, "QUERIES", 20)
+    centres, visits = ann.fit(df, 20).of[32]
+    assert len(centres) == 30 and visits <= 12
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    found = 0
+    for q in range(0, 3000, 100):
+        scores = vectors.astype(float) @ vectors[q].astype(float)
+        best = [i for i in np.lexsort((np.arange(3000), -scores)).tolist() if i != q][:20]
+        found += len({i for i, _ in got[q].values()} & set(best))
+        if 500 <= q < 1500:
+            assert [got[q][k][0] for k in range(1, 21)] == best
+    assert found / (30 * 20) > 0.95
+
+
+def test_whole_numbers_are_read_as_doubles(spark):
+    df = spark.createDataFrame([(0, [2**40 + 1, 1]), (20, [1, 0]), (3, [2**40, 9])], "vec_id long, embedding array<long>")
+    rows = [(r.vec_id, r.score) for r in ann.search(df, df.where("vec_id = 20")).orderBy("rank").collect()]
+    assert rows == [(0, float(2**40 + 1)), (3, float(2**40))]
 
 
 def test_pipeline_stages(spark, tmp_path):
