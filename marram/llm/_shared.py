@@ -38,12 +38,32 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[app]
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
+def store(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the lineage is cut, a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``store`` wrote, once everything made from them is stored itself."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df.stored_at
+        path = jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores put before it as it takes to clash with no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def kept[T](name: Hashable, make: Callable[[], T]) -> T:

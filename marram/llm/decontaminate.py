@@ -1,20 +1,19 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
-Every batch of training documents is a shard with a suffix array of its own: positions of the shard's word
-sequence, sorted by the words that follow. It is sparse: positions whose next words, pair by pair, do not
-occur in any test item cannot begin a match and are left out. Every test suffix is binary-searched in it (all
-suffixes in step), which yields each verbatim occurrence and its place; runs of occurrences along a diagonal
-give the longest match of a document.
+Training texts are gathered in shards of about ``SHARD_WORDS`` words. A shard holds its words as numbers and its
+suffix array: every position, sorted by all the words that follow it in its document. Shards are stored once. Test
+items come in passes of bounded size; in each, every test suffix is binary-searched in every shard (all suffixes in
+step), which yields each verbatim occurrence and its place, and each occurrence is followed to its end: the longest
+matches. Results belong to a text's digest, so copies of a text need no search of their own in a shard.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _shared
@@ -22,13 +21,17 @@ from . import _shared
 WINDOW = 10
 #: Words of test items that are searched in one pass and sent to the executors; more items take more passes.
 PASS_WORDS = 2_000_000
+#: Words of a shard, about; a longer text is cut into pieces that overlap by a window.
+SHARD_WORDS = 1 << 20
+#: Rows of found matches, and ids of affected texts, that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_IDS = 100_000, 1_000_000
 
 #: Word characters are ASCII letters and digits and all of code points over 127; the rest parts words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-_MASK = (1 << 22) - 1
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-STATE = "n_words long, hit_from array<int>, hit_to array<int>, items array<string>, longest_words int, longest_from int, longest_item string, longest_item_from int"
-_EMPTY = {"n_words": 0, "hit_from": [], "hit_to": [], "items": [], "longest_words": 0, "longest_from": None, "longest_item": None, "longest_item_from": None}
+SHARDS = "starts binary, firsts binary, digests binary, vocabulary binary, ids binary, suffixes binary"
+RUNS = "h1 long, h2 long, item string, line long, shift long, begin long, end long"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -36,11 +39,95 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+def digest(text: Column) -> tuple[Column, Column]:
+    """Two hashes with seeds of their own."""
+    return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+
+
+def suffix_array(ids: np.ndarray) -> np.ndarray:
+    """All positions of ``ids`` (not negative), in the order of the suffixes that begin there.
+
+    Prefix doubling: suffixes are sorted by their first three words; groups of equals are sorted on by the ranks of
+    what follows, twice as many words known each time, until none are left.
+    """
+    n = len(ids)
+    padded = np.append(ids.astype(np.int64) + 1, [0, 0])
+    key = padded[:n] << 42 | padded[1 : n + 1] << 21 | padded[2:]
+    order = np.argsort(key, kind="stable")
+    rank, open_, known = np.full(n + 1, -1, np.int64), np.arange(n), 3
+    key = key[order]
+    while len(open_):
+        heads = np.append(True, key[1:] != key[:-1])
+        rank[order[open_]] = open_[np.maximum.accumulate(np.where(heads, np.arange(len(open_)), 0))]
+        open_ = open_[~(heads & np.append(heads[1:], True))]
+        at = order[open_]
+        key = rank[at] * (n + 2) + rank[np.minimum(at + known, n)] + 1
+        again = np.argsort(key, kind="stable")
+        order[open_], key, known = at[again], key[again], 2 * known
+    return order
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers under 2**24, all low bytes first: that compresses well."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3].tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    out = np.zeros((len(planes) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(planes, np.uint8).reshape(3, -1).T
+    return out.view("<u4").ravel().astype(np.int32)
+
+
+class _Shard:
+    """Texts of a shard under way: words are numbered as they come, every piece of a text ends with a number of its own."""
+
+    def __init__(self):
+        self.vocabulary: dict[bytes, int] = {}
+        self.pieces: list[np.ndarray] = []
+        self.of: list[tuple[int, int, int]] = []  # digest, and the place of a piece's first word in its text
+        self.seen: set[tuple[int, int]] = set()
+        self.words = 0
+
+    def row(self) -> pa.RecordBatch:
+        starts = np.cumsum([0, *(len(p) + 1 for p in self.pieces)])
+        ids = np.zeros(starts[-1], np.int64)
+        for k, (a, p) in enumerate(zip(starts.tolist(), self.pieces, strict=False)):
+            ids[a : a + len(p)], ids[a + len(p)] = p + len(self.pieces), k
+        of = np.array(self.of, "<i8").reshape(-1, 3)
+        columns = [starts[:-1].astype("<i8").tobytes(), of[:, 2].tobytes(), of[:, :2].tobytes(), b" ".join(self.vocabulary), _planes(ids), _planes(suffix_array(ids))]
+        return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=[c.split()[0] for c in SHARDS.split(", ")])
+
+
+def _shards(window: int, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = _Shard()
+        for batch in batches:
+            for h1, h2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if (h1, h2) in shard.seen:
+                    continue
+                shard.seen.add((h1, h2))
+                words = words_of(text.as_py())
+                for first in range(0, max(1, len(words) - window + 1) if words else 0, size):
+                    piece = words[first : first + size + window - 1]
+                    if shard.words and shard.words + len(piece) > size:
+                        yield shard.row()
+                        shard = _Shard()
+                        shard.seen.add((h1, h2))
+                    number = shard.vocabulary.setdefault
+                    shard.pieces.append(np.fromiter((number(w, len(shard.vocabulary)) for w in piece), np.int64, len(piece)))
+                    shard.of.append((h1, h2, first))
+                    shard.words += len(piece) + 1
+        if shard.words:
+            yield shard.row()
+
+    return run
+
+
 class Suffixes:
-    """Test suffixes that begin a window, ready to be searched: word ids, window lengths, items."""
+    """Test suffixes that begin a window, ready to be searched: word numbers, window lengths, items."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        self.window, self.vocabulary, self.names = window, {}, []
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int, lines_before: int = 0):
+        self.window, self.vocabulary, self.names, self.lines_before = window, {}, [], lines_before
         starts, lengths, of, at, ids = [], [], [], [], []
         for name, words in items:
             own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
@@ -52,162 +139,152 @@ class Suffixes:
             ids += [*own, 0]
             self.names.append(name)
         ids = np.array(ids + [0] * window, np.int32)
-        self.lengths, self.of, self.at = np.array(lengths, np.int32), np.array(of, np.int32), np.array(at, np.int32)
+        self.lengths, self.of, self.at = np.array(lengths, np.int64), np.array(of, np.int64), np.array(at, np.int64)
         self.rows = ids[np.array(starts, int)[:, None] + np.arange(window)] if starts else np.zeros((0, window), np.int32)
-        self.depth = min([4, *lengths]) - 1  # pairs that a match has at least
-        self.begins = np.zeros(len(self.vocabulary) + 1, bool)
-        self.begins[self.rows[:, 0]] = True
-        self.pairs = np.zeros(_MASK + 1, bool)
-        inside = np.arange(window - 1) < self.lengths[:, None] - 1
-        self.pairs[self._pair(self.rows[:, :-1], self.rows[:, 1:])[inside]] = True
-
-    @staticmethod
-    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a.astype(np.int64) * 2_654_435_761 + b) & _MASK
-
-    def array(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix array of a shard: positions in order, and the words that follow each."""
-        ok = self.begins[ids]
-        at = np.flatnonzero(ok)
-        at = at[at < len(ids) - self.window]
-        for k in range(self.depth):
-            at = at[self.pairs[self._pair(ids[at + k], ids[at + k + 1])]]
-        follow = ids[at[:, None] + np.arange(self.window)]
-        order = np.lexsort(follow.T[::-1]) if len(at) else at
-        return at[order], follow[order]
-
-    def _bound(self, follow: np.ndarray, upper: bool) -> np.ndarray:
-        """For every test suffix, the first place whose words do not come before it (upper: come after it)."""
-        lo, hi = np.zeros(len(self.rows), np.int64), np.full(len(self.rows), len(follow), np.int64)
-        inside = np.arange(self.window) < self.lengths[:, None]
-        pick = np.arange(len(self.rows))
+        self.inside = np.arange(window) < self.lengths[:, None]
+
+    def _bound(self, ids: np.ndarray, suffixes: np.ndarray, rows: np.ndarray, inside: np.ndarray, upper: bool) -> np.ndarray:
+        """For every test suffix, the first place in the suffix array whose words do not come before it (upper: come after it)."""
+        lo, hi = np.zeros(len(rows), np.int64), np.full(len(rows), len(suffixes), np.int64)
         while len(open_ := np.flatnonzero(lo < hi)):
             mid = (lo[open_] + hi[open_]) // 2
-            differ = (follow[mid] != self.rows[open_]) & inside[open_]
-            first = differ.argmax(1)
-            k = pick[: len(open_)]
-            less = follow[mid, first] < self.rows[open_, first]
-            before = np.where(differ[k, first], less, upper)
+            follow = ids[suffixes[mid][:, None] + np.arange(self.window)]
+            differ = (follow != rows[open_]) & inside[open_]
+            first, k = differ.argmax(1), np.arange(len(open_))
+            before = np.where(differ[k, first], follow[k, first] < rows[open_, first], upper)
             lo[open_[before]] = mid[before] + 1
             hi[open_[~before]] = mid[~before]
         return lo
 
-    def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, vocabulary: list[bytes], ids: np.ndarray, suffixes: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray]:
         """All occurrences in a shard: positions, and which test suffix begins there."""
-        at, follow = self.array(ids)
-        if not len(at):
-            return at, at
-        lo, hi = self._bound(follow, False), self._bound(follow, True)
+        number = np.full(len(self.vocabulary) + 1, -1, np.int32)
+        known = np.fromiter((self.vocabulary.get(w, 0) for w in vocabulary), np.int64, len(vocabulary))
+        number[known[known > 0]] = np.flatnonzero(known > 0) + pieces
+        rows = number[self.rows]
+        asked = np.flatnonzero(((rows >= 0) | ~self.inside).all(1))  # a word that the shard lacks cannot match
+        rows, inside = rows[asked], self.inside[asked]
+        padded = np.append(ids, np.full(self.window, -1, np.int32))
+        lo, hi = (self._bound(padded, suffixes, rows, inside, upper) for upper in (False, True))
         n = hi - lo
-        suffix = np.repeat(np.arange(len(n)), n)
-        return at[np.arange(len(suffix)) + np.repeat(lo - (np.cumsum(n) - n), n)], suffix
+        suffix = np.repeat(asked, n)
+        return suffixes[np.arange(len(suffix)) + np.repeat(lo - (np.cumsum(n) - n), n)].astype(np.int64), suffix
 
 
-def _scan(shared):
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def _search(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test: Suffixes = shared.value
-        get = test.vocabulary.get
-        for texts, states in batches:
-            state = [s or dict(_EMPTY) for s in states.to_pylist()]
-            docs = []
-            for t in texts:  # the words of one text at a time are held
-                words = words_of(t.as_py())
-                docs.append(np.fromiter((get(w, 0) for w in words), np.int32, len(words)))
-            sizes = np.array([len(d) for d in docs], np.int64)
-            starts = np.cumsum(sizes + 1) - sizes - 1
-            gap = np.zeros(1, np.int32)
-            position, suffix = test.search(np.concatenate([*(x for d in docs for x in (d, gap)), np.zeros(test.window + 1, np.int32)]))
-            for k, n in enumerate(sizes.tolist()):
-                state[k] = state[k] | {"n_words": n}
-            if len(position):
-                _merge(state, test, position, suffix, starts)
-            yield pa.array(state, states.type)
-
-    return F.arrow_udf(run, f"struct<{STATE.replace(', ', ',').replace(' ', ':')}>").asNondeterministic()
-
-
-def _merge(state: list[dict], test: Suffixes, position: np.ndarray, suffix: np.ndarray, starts: np.ndarray) -> None:
-    """Add the occurrences of a shard to the states of its documents."""
-    doc = np.searchsorted(starts, position, "right") - 1
-    length, item = test.lengths[suffix].astype(np.int64), test.of[suffix]
-    # Longest matches: along a diagonal (same item, same shift), windows at consecutive places are one match.
-    shift = position - test.at[suffix]
-    order = np.lexsort((position, shift, item))
-    breaks = np.flatnonzero(np.diff(item[order]).astype(bool) | np.diff(shift[order]).astype(bool) | (np.diff(position[order]) != 1)) + 1
-    head, tail = np.append(0, breaks), np.append(breaks, len(order)) - 1
-    run = position[order[tail]] - position[order[head]] + length[order[head]]
-    best: dict[int, tuple] = {}
-    for h, n in zip(order[head].tolist(), run.tolist(), strict=True):
-        d, name, at = int(doc[h]), test.names[item[h]], int(position[h] - starts[doc[h]])
-        found = (-n, at, name, int(test.at[suffix[h]]))
-        best[d] = min(best.get(d, found), found)
-    # Hit words, as the union of all occurrences.
-    order = np.argsort(position, kind="stable")
-    a, b, d = position[order], np.maximum.accumulate((position + length)[order]), doc[order]
-    new = np.append(True, a[1:] > b[:-1])
-    begin, end, own = a[new], b[np.append(np.flatnonzero(new)[1:], len(a)) - 1], d[new]
-    for x, y, k in zip((begin - starts[own]).tolist(), (end - starts[own]).tolist(), own.tolist(), strict=True):
-        state[k] = state[k] | {"hit_from": [*state[k]["hit_from"], x], "hit_to": [*state[k]["hit_to"], y]}
-    for k, i in np.unique(np.stack([doc, item], 1), axis=0).tolist():
-        state[k] = state[k] | {"items": [*state[k]["items"], test.names[i]]}
-    for k, (n, at, name, item_at) in best.items():
-        if -n > state[k]["longest_words"]:
-            state[k] = state[k] | {"longest_words": -n, "longest_from": at, "longest_item": name, "longest_item_from": item_at}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                starts, firsts, digests, vocabulary, ids, suffixes = (c[r].as_py() for c in batch.columns)
+                starts, firsts, digests = np.frombuffer(starts, "<i8"), np.frombuffer(firsts, "<i8"), np.frombuffer(digests, "<i8").reshape(-1, 2)
+                position, suffix = test.search(vocabulary.split(b" "), _numbers(ids), _numbers(suffixes), len(starts))
+                piece = np.searchsorted(starts, position, "right") - 1
+                begin = position - starts[piece] + firsts[piece]
+                line, shift = test.of[suffix], begin - test.at[suffix]
+                # Windows at consecutive places of a text and an item are one match.
+                order = np.lexsort((begin, shift, line, piece))
+                piece, begin, line, shift = piece[order], begin[order], line[order], shift[order]
+                head = np.append(True, (np.diff(piece) != 0) | (np.diff(line) != 0) | (np.diff(shift) != 0) | (np.diff(begin) != 1))[: len(begin)]
+                tail = np.append(head[1:], True)[: len(begin)]
+                end = (begin + test.lengths[suffix[order]])[tail]
+                columns = [*digests[piece[head]].T, [test.names[i] for i in line[head]], line[head] + test.lines_before, shift[head], begin[head], end]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 2 else pa.int64()) for k, c in enumerate(columns)], names=["h1", "h2", "item", "line", "shift", "begin", "end"])
+
+    return run
 
 
 def _passes(benchmark: DataFrame, window: int) -> Iterator[Suffixes]:
     """Test items in passes of bounded size; none are ever all on the driver if they are many."""
-    items, n = [], 0
-    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("text").cast("string")).toLocalIterator():
+    items, n, lines = [], 0, 0
+    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("text").cast("string")).distinct().toLocalIterator():
         words = words_of(row[1])
         items.append((row[0], words))
         n += len(words)
         if n >= PASS_WORDS:
-            yield Suffixes(items, window)
+            yield Suffixes(items, window, lines)
+            lines += len(items)
             items, n = [], 0
-    yield Suffixes(items, window)
-
+    yield Suffixes(items, window, lines)
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All columns of ``docs`` and a struct ``_found``: n_words, hit spans and items, and the longest match.
 
-    Null and empty texts have no words and no hits; an item of fewer words than ``window`` counts whole; an
-    item without words never occurs, one without an item_id is named by the empty string. Repeated rows are judged each by itself. A column of ``docs`` named
-    ``_found`` is replaced.
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The texts of ``docs`` in which an item occurs, by digest (h1, h2): a struct ``found`` of the union of hit spans (hit_from, hit_to),
+    n_hit, distinct items by name, and the longest match (of equals, the first in the text, then the smallest item).
     """
     spark = docs.sparkSession
     _shared.bounded_batches(spark)
-    empty, first = F.lit(None).cast(f"struct<{STATE.replace(', ', ',').replace(' ', ':')}>"), True
-    out = docs.drop("_found")
+    text = F.col("text").cast("string")
+    h1, h2 = digest(text)
+    texts = docs.select(h1.alias("h1"), h2.alias("h2"), text.alias("text")).where("text IS NOT NULL")
+    shards, runs = _shared.store(texts.mapInArrow(_shards(window, SHARD_WORDS), SHARDS), "suffix-arrays", "zstd"), None
     for test in _passes(benchmark, window):
-        before = empty if first else F.col("_found")
-        out = (out if first else _shared.store(out, "found")).withColumn("_found", _scan(spark.sparkContext.broadcast(test))(F.col("text").cast("string"), before))
-        first = False
-    return out
+        found = _shared.store(shards.mapInArrow(_search(spark.sparkContext.broadcast(test)), RUNS), "runs")
+        runs = found if runs is None else runs.unionByName(found)
+    _shared.drop(shards)
+    # A match that goes over the pieces of a very long text is put together again.
+    by = Window.partitionBy("h1", "h2", "line", "shift").orderBy("begin")
+    opens = F.when(F.col("begin") <= F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
+    pieces = runs.distinct().withColumn("opens", opens).withColumn("run", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = pieces.groupBy("h1", "h2", "item", "line", "shift", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    longest = F.min(F.struct((F.col("begin") - F.col("end")).alias("n"), F.col("begin"), F.col("item"), (F.col("begin") - F.col("shift")).alias("item_from")))
+    spans = F.array_sort(F.collect_set(F.struct(F.col("begin").alias("a"), F.col("end").alias("b"))))
+    texts = whole.groupBy("h1", "h2").agg(spans.alias("spans"), F.array_sort(F.collect_set("item")).alias("items"), longest.alias("longest"))
+    return texts.select("h1", "h2", F.struct(F.col("spans.a").alias("hit_from"), F.col("spans.b").alias("hit_to"), _covered(F.col("spans")).alias("n_hit"), "items", (-F.col("longest.n")).alias("longest_words"), F.col("longest.begin").alias("longest_from"), F.col("longest.item").alias("longest_item"), F.col("longest.item_from").alias("longest_item_from")).alias("found"))
+
+
+def _covered(spans: Column) -> Column:
+    """Places in the union of spans (a, b), which are sorted."""
 
+    def add(acc: Column, span: Column) -> Column:
+        begin = F.greatest(span["a"], acc["end"])
+        return F.struct((acc["n"] + F.greatest(span["b"] - begin, F.lit(0))).alias("n"), F.greatest(acc["end"], span["b"]).alias("end"))
 
-def hit_words() -> Column:
-    """Words of a document inside any occurrence, from ``_found``: the union of its spans (those of several passes may overlap)."""
-    spans = F.array_sort(F.arrays_zip("_found.hit_from", "_found.hit_to"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    zero = F.lit(0).cast("long")
+    return F.aggregate(spans, F.struct(zero.alias("n"), zero.alias("end")), add)["n"]
 
-    def add(acc: Column, span: Column) -> Column:
-        begin = F.greatest(span["hit_from"], acc["end"])
-        return F.struct((acc["n"] + F.greatest(span["hit_to"] - begin, F.lit(0))).alias("n"), F.greatest(acc["end"], span["hit_to"]).alias("end"))
 
-    return F.aggregate(spans, start, add)["n"].cast("long")
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """All columns of ``docs`` and a struct ``_found``: n_words, n_hit, hit spans (hit_from, hit_to), items, and the longest match.
+
+    Null and empty texts have no words and no hits; an item of fewer words than ``window`` counts whole; an
+    item without words never occurs, one without an item_id is named by the empty string. Several benchmark rows of one
+    item_id are one item that occurs where any of them does. Repeated rows of ``docs`` are judged alike. A column of
+    ``docs`` named ``_found`` is replaced; all others are kept, whatever their names.
+    """
+    docs = docs.drop("_found")
+    text = F.col("text").cast("string")
+    found = _shared.store(matches(docs, benchmark, window), "matches")
+    small = found.count() <= BROADCAST_ROWS and (found.agg(F.sum(F.size("found.hit_from"))).first()[0] or 0) <= 10 * BROADCAST_ROWS
+    a, b, at = _shared.free(docs, "_h1", "_h2", "_match")
+    found = found.select(F.col("h1").alias(a), F.col("h2").alias(b), F.col("found").alias(at))
+    h1, h2 = digest(text)
+    out = docs.withColumns({a: h1, b: h2}).join(F.broadcast(found) if small else found, [a, b], "left")
+    match, none = F.col(at), F.lit(0).cast("long")
+    empty = lambda c, kind: F.coalesce(match[c], F.array().cast(f"array<{kind}>")).alias(c)
+    whole = F.struct(
+        F.coalesce(F.regexp_count(text, F.lit(_WORD)).cast("long"), none).alias("n_words"), F.coalesce(match["n_hit"], none).alias("n_hit"), empty("hit_from", "bigint"), empty("hit_to", "bigint"), empty("items", "string"),
+        F.coalesce(match["longest_words"], none).alias("longest_words"), *[match[c].alias(c) for c in ("longest_from", "longest_item", "longest_item_from")],
+    )
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], whole.alias("_found"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents in which no test item occurs, unchanged."""
-    return scan(docs, benchmark, window).where(F.size("_found.items") == 0).drop("_found")
+    """The documents in which no test item occurs, unchanged, with all their columns; null and empty texts stay."""
+    gone = _shared.store(matches(docs, benchmark, window).select("h1", "h2"), "contaminated")
+    small = gone.count() <= BROADCAST_IDS
+    h1, h2 = digest(F.col("text").cast("string"))
+    a, b = _shared.free(docs, "_h1", "_h2")
+    gone = gone.select(F.col("h1").alias(a), F.col("h2").alias(b))
+    kept = docs.withColumns({a: h1, b: h2}).join(F.broadcast(gone) if small else gone, [a, b], "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _shared.read(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan(docs, _shared.read(spark, sf_dir, "benchmark"))
-    items = F.array_sort("_found.items")
-    return found.select("doc_id", F.col("_found.n_words").alias("n_words"), hit_words().alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size(items) > 0).alias("contaminated"))
+    items = F.col("_found.items")
+    return found.select("doc_id", "_found.n_words", "_found.n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("_found.n_hit") > 0).alias("contaminated"))
 
 
 OP8_SQL = """

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 from marram.llm import decontaminate, sharding, urls
 from pyspark.sql import functions as F
 
@@ -116,16 +117,54 @@ def test_decontaminate(spark, monkeypatch):
     texts += [f"{some(20)} {items[k][1] or ''}, {items[(k + 1) % 30][1]}" for k in range(30)] + [" ".join(f"w{i}" for i in range(20_000)) + " zebra"]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, _found string")
     benchmark = spark.createDataFrame([(n, t, 0) for n, t in items], "item_id string, text string, doc_id int")
+    items += [("dup", "lion lion"), ("7", "unicorn"), ("7", "unicorn"), ("7", items[3][1])]  # rows of one item
+    benchmark = spark.createDataFrame([(n, t, 0) for n, t in items], "item_id string, text string, doc_id int")
+    texts += ["a unicorn met a lion, lion", "unicorn"]
+    docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, _found string, h1 long")
     expected = [naive_hits(t, items) for t in texts]
-    for words in (decontaminate.PASS_WORDS, 40):
+    for words, size in ((decontaminate.PASS_WORDS, decontaminate.SHARD_WORDS), (40, 500)):
         monkeypatch.setattr(decontaminate, "PASS_WORDS", words)
-        rows = decontaminate.scan(docs, benchmark).select("doc_id", "_found", decontaminate.hit_words().alias("n_hit")).orderBy("doc_id").collect()
-        assert [(r._found.n_words, r.n_hit, sorted(r._found["items"]), r._found.longest_words) for r in rows] == expected
-    assert [r.doc_id for r in decontaminate.clean(docs, benchmark).orderBy("doc_id").collect()] == [i for i, e in enumerate(expected) if not e[1]]
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", size)
+        rows = decontaminate.scan(docs, benchmark).select("doc_id", "_found").orderBy("doc_id").collect()
+        assert [(r._found.n_words, r._found.n_hit, r._found["items"], r._found.longest_words) for r in rows] == expected
+    kept = decontaminate.clean(docs, benchmark).orderBy("doc_id")
+    assert kept.columns == docs.columns and [(r.doc_id, r._found) for r in kept.collect()] == [(i, "x") for i, e in enumerate(expected) if not e[1]]
     assert decontaminate.clean(docs, benchmark.limit(0)).count() == len(texts) and decontaminate.clean(docs.limit(0), benchmark).count() == 0
 
 
-def test_repeated_rows_are_kept_apart(spark):
+def test_long_matches_over_pieces_of_a_text(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 50)
+    item = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(1, "x y " + item + " z"), (2, "w1 w2"), (1, "x y " + item + " z")], DOCS)
+    rows = decontaminate.scan(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).orderBy("doc_id").collect()
+    for r in rows[:2]:
+        assert (r._found.n_hit, r._found.longest_words, r._found.longest_from, r._found.longest_item_from, r._found["items"]) == (300, 300, 2, 0, ["5"])
+    assert rows[2]._found.n_hit == 0 and rows[2]._found.n_words == 2
+
+
+def test_repeated_items_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    docs = [(1, "one two three"), (2, "Four"), (3, None), (4, "one TWO three four")]
+    spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("x", "two three"), ("x", "two three"), ("x", "four"), ("y", "one"), (None, "zzz")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    rows = decontaminate.op8_suffix_arrays(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in rows.collect()) == sorted(con.sql(f"SELECT {', '.join(rows.columns)} FROM ({decontaminate.OP8_SQL})").fetchall())
+    assert {r.doc_id: r.n_items for r in rows.collect()} == {1: 2, 2: 1, 3: 0, 4: 2}
+
+
+def test_suffix_arrays_are_sorted():
+    rng = random.Random(2)
+    for words in ([], [0], [0] * 200, [1, 2] * 300, [rng.randrange(3) for _ in range(900)], list(range(50)) * 7):
+        order = decontaminate.suffix_array(np.array(words, np.int64))
+        assert order.tolist() == sorted(range(len(words)), key=lambda i: words[i:])
+    assert (decontaminate._numbers(decontaminate._planes(np.array([0, 255, 256, 70_000, (1 << 24) - 1]))) == [0, 255, 256, 70_000, (1 << 24) - 1]).all()
+
+
+def test_repeated_rows_are_judged_alike(spark):
     docs = spark.createDataFrame([(1, "zebra"), (1, "zebra"), (1, "lion")], DOCS)
     rows = decontaminate.scan(docs, spark.createDataFrame([(5, "zebra")], "item_id long, text string")).select(F.size("_found.items")).collect()
     assert sorted(r[0] for r in rows) == [0, 1, 1]
