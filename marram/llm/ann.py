@@ -28,13 +28,13 @@ K = 20
 #: Standard deviations that the error bound covers.
 BOUND = 1.5
 #: Rows of a block of candidates and of queries, and blocks of either side that meet in one group of a join.
-CANDIDATES, QUERIES, MEETING = 16384, 512, 4
+CANDIDATES, QUERIES, MEETING = 8192, 512, 4
 #: Numbers of the sample that centres are fitted on, rows of it, rows a centre, and most centres.
-SAMPLE_VALUES, SAMPLE_ROWS, ROWS_A_CENTRE, CENTRES = 4_000_000, 20_000, 4096, 256
+SAMPLE_VALUES, SAMPLE_ROWS, ROWS_A_CENTRE, CENTRES = 4_000_000, 20_000, 2048, 256
 #: Dimensions that have centres of their own, by rows; others have one centre each.
 DIMENSIONS = 16
 #: Share of the sample's true neighbours that lie with the centres visited.
-COVERED = 0.98
+COVERED = 0.95
 #: Bits of a query's coordinates, estimates computed exactly before the bound applies (times k), and scores kept by a worker.
 PLANES, FIRST, FLOORS = 4, 8, 200_000
 

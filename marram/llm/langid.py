@@ -1,10 +1,11 @@
 """Language identification by interpolated Kneser-Ney character models, one a language.
 
 A word (a run of letters, lower-cased) is read as padded character n-grams. Models are fitted on a bounded
-sample of labelled documents; their n-gram and context hashes lie in sorted arrays, with one column a
-language, so a single binary search serves all languages. The language of a text is that of the lowest
-cross-entropy a character; a text is rejected if even that is far above what the language's own documents
-show, or if it has no letter.
+sample of labelled documents: Spark counts n-grams, what comes before and after them, and the discounts. What each
+order adds, and what weight it leaves to the order below, lies in sorted hash arrays, in sparse rows of (language,
+value), so a single binary search serves all languages. The language of a text is that of the lowest cross-entropy a
+character; a text is rejected if it has no letter, or if even that is further above its language's mean than nearly
+all held-out documents are.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +25,23 @@ from . import _shared
 
 #: n-gram order; documents a language, about, that models are fitted on (a quarter of them for calibration only).
 ORDER, SAMPLE_DOCS = 5, 1200
-#: A text is rejected beyond so many standard errors and nats a character above its language's mean.
-REJECT_SIGMAS, REJECT_MARGIN = 6.0, 1.2
-#: Most languages that are learned; more are an error, as the fitted model must stay small.
-MOST_LANGUAGES = 300
+#: Share of held-out documents that are not rejected, and nats a character that texts of a language differ by anyway.
+ACCEPTED, MANNER = 0.998, 0.1
 UNKNOWN = "und"
-#: Words whose scores a worker keeps.
-KEPT = 200_000
+#: Words whose scores a worker keeps; numbers that a worker computes at once and keeps; languages that are broadcast.
+KEPT, NUMBERS, BROADCAST_LANGUAGES = 200_000, 2_000_000, 100_000
+SHARPNESS = (2.0, 5.0, 10.0, 20.0, 40.0)
 
-_LETTERS = re.compile(r"[^\W\d_]+")
 _PAD, _END = "\x02", "\x03"
 
 
+@lru_cache(1)
+def letters() -> re.Pattern:
+    """Runs of letters: characters of the Unicode categories L. ``\\w`` has numerals of other kinds than digits besides."""
+    others = "".join(chr(i) for i in range(0x110000) if chr(i).isalnum() and not chr(i).isalpha())
+    return re.compile(f"[^\\W_{others}]+")
+
+
 def _hash(codes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-grams that end at each place from n - 1 on."""
     out = np.full(len(codes) - n + 1, n, np.uint64)
@@ -48,105 +55,77 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
 
+@dataclass
+class Rows:
+    """Sorted hashes, and for each its sparse row of (language, value)."""
+
+    keys: np.ndarray
+    starts: np.ndarray
+    languages: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, grams: list[str], n: int, languages: np.ndarray, values: np.ndarray) -> Rows:
+        """From one entry an n-gram and language."""
+        hashes = _hash(_codes("".join(grams)), n)[::n] if n and grams else np.zeros(len(grams), np.uint64)
+        order = np.lexsort((languages, hashes))
+        keys, starts = np.unique(hashes[order], return_index=True)
+        return cls(keys, np.append(starts, len(order)), languages[order].astype(np.int32), values[order])
+
+    def entries(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``hashes``, language, value) of all entries."""
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        place = np.flatnonzero(self.keys[at] == hashes) if len(self.keys) else np.zeros(0, int)
+        at = at[place]
+        n = self.starts[at + 1] - self.starts[at]
+        entry = np.arange(n.sum()) + np.repeat(self.starts[at] - (np.cumsum(n) - n), n)
+        return np.repeat(place, n), self.languages[entry], self.values[entry]
+
+
 @dataclass
 class Models:
     languages: list[str]
-    #: By order from 1: sorted n-gram hashes, and their probabilities in each language.
-    grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    #: By order from 1: sorted context hashes, and the weight of the next lower order in each language.
-    contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    floor: float = 1e-6
+    #: Symbols that a model can predict, with one for all unseen characters: the lowest order is even over them.
+    symbols: int = 2
+    #: By order from 1: what a seen n-gram adds to its probability, and the weight that its context leaves to the order below.
+    added: list[Rows] = field(default_factory=list)
+    left: list[Rows] = field(default_factory=list)
     sharpness: float = 20.0
+    #: By language: mean cross-entropy and its deviation a character; and the most that a text may be above, in scaled units.
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
-
-    def fit(self, counts: list[dict[str, int]]) -> Models:
-        """Fit on the counts of padded n-grams of the highest order, a dictionary a language."""
-        order = max((len(g) for c in counts for g in c), default=1)
-        alphabet = {ch for c in counts for g in c for ch in g}
-        self.floor = 1 / (len(alphabet) + 1)
-        tables: list[list[dict[str, int]]] = [[{} for _ in counts] for _ in range(order)]
-        tables[-1] = counts
-        for n in range(order - 1, 0, -1):  # continuation counts: kinds of characters before
-            for lang, higher in enumerate(tables[n]):
-                for g in higher:
-                    tables[n - 1][lang][g[1:]] = tables[n - 1][lang].get(g[1:], 0) + 1
-        lower: dict[str, np.ndarray] = {}
-        weights: list[dict[str, np.ndarray]] = []
-        for n in range(1, order + 1):
-            discount, total, kinds = np.zeros(len(counts)), [{} for _ in counts], [{} for _ in counts]
-            for lang, table in enumerate(tables[n - 1]):
-                ones, twos = sum(v == 1 for v in table.values()), sum(v == 2 for v in table.values())
-                discount[lang] = ones / (ones + 2 * twos) if ones and ones + 2 * twos else 0.5
-                for g, v in table.items():
-                    total[lang][g[:-1]] = total[lang].get(g[:-1], 0) + v
-                    kinds[lang][g[:-1]] = kinds[lang].get(g[:-1], 0) + 1
-            weight: dict[str, np.ndarray] = {}
-            for lang in range(len(counts)):
-                for context, v in total[lang].items():
-                    weight.setdefault(context, np.ones(len(counts)))[lang] = discount[lang] * kinds[lang][context] / v
-            now: dict[str, np.ndarray] = {}
-            for g in {g for table in tables[n - 1] for g in table}:
-                own = np.array([max(t.get(g, 0) - d, 0) / k[g[:-1]] if g in t else 0.0 for t, d, k in zip(tables[n - 1], discount, total, strict=True)])
-                below = lower.get(g[1:], np.full(len(counts), self.floor)) if n > 1 else self.floor
-                now[g] = own + weight[g[:-1]] * below
-            lower = now
-            weights.append(weight)
-            self.grams.append(self._sorted(now, n))
-            self.contexts.append(self._sorted(weight, n - 1))
-        return self
-
-    @staticmethod
-    def _sorted(rows: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([_hash(_codes(g), n) if n else np.zeros(1, np.uint64) for g in rows]) if rows else np.zeros(0, np.uint64)
-        order = np.argsort(keys)
-        return keys[order], np.stack(list(rows.values()))[order]
-
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-        return at, table[0][at] == keys
+    limit: float = math.inf
 
     def word_costs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(nats by language, characters) of each word, its end counted as a character."""
-        order = len(self.grams)
-        text = "".join(_PAD * (order - 1) + w + _END for w in words)
-        codes = _codes(text)
-        lengths = np.array([len(w) + 1 for w in words])
-        ends = np.cumsum(lengths + order - 1)
-        place = np.arange(len(codes))
-        # The places of characters and ends: all but each word's padding.
-        last = np.repeat(ends, lengths + order - 1)
-        size = np.repeat(lengths, lengths + order - 1)
-        place = place[place >= last - size]
-        p = np.full((len(place), len(self.languages)), self.floor)
-        weight = np.ones_like(p)
-        open_ = np.arange(len(place))
-        for n in range(order, 0, -1):
-            if not len(open_):
-                break
-            hashes = _hash(codes, n)
-            at, ok = self._find(self.grams[n - 1], hashes[place[open_] - n + 1])
-            hit = open_[ok]
-            p[hit] = weight[hit] * self.grams[n - 1][1][at[ok]]
-            open_ = open_[~ok]
-            if n > 1:
-                at, ok = self._find(self.contexts[n - 1], _hash(codes, n - 1)[place[open_] - n + 1])
-                weight[open_[ok]] *= self.contexts[n - 1][1][at[ok]]
-            else:
-                p[open_] = weight[open_] * self.contexts[0][1][0] * self.floor
-        return np.add.reduceat(-np.log(p), np.cumsum(lengths) - lengths, axis=0), lengths
-
-    def confidence(self, entropy: np.ndarray) -> np.ndarray:
-        """Share of the best language when entropies (a row a text) are weighed against each other."""
-        return 1 / np.exp(-self.sharpness * (entropy - entropy.min(1, keepdims=True))).sum(1)
+        order, lengths = len(self.added), np.array([len(w) + 1 for w in words])
+        at_once, costs = max(64, NUMBERS // max(1, len(self.languages))), []
+        cuts = np.unique(np.cumsum(lengths) // at_once, return_index=True)[1].tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(words)], strict=True):
+            codes = _codes("".join(_PAD * (order - 1) + w + _END for w in words[a:b]))
+            own = lengths[a:b]
+            ends = np.repeat(np.cumsum(own + order - 1), own)
+            place = ends - own.sum() + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own.sum(), own)  # all but each word's padding
+            p = np.full((len(place), len(self.languages)), 1 / self.symbols)
+            for n in range(1, order + 1):
+                context = _hash(codes, n - 1)[place - n + 1] if n > 1 else np.zeros(len(place), np.uint64)
+                i, lang, value = self.left[n - 1].entries(context)
+                p[i, lang] *= value
+                i, lang, value = self.added[n - 1].entries(_hash(codes, n)[place - n + 1])
+                p[i, lang] += value
+            costs.append(np.add.reduceat(-np.log(p), np.cumsum(own) - own, axis=0))
+        return np.concatenate(costs), lengths
+
+    def excess(self, entropy: np.ndarray, language: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """How far a text's cross-entropy is above its language's mean, in units that grow as texts get shorter."""
+        return (entropy - self.mean[language]) / (MANNER + self.spread[language] / np.sqrt(np.maximum(sizes, 1)))
 
 
 class Scorer:
     """Scores texts, and keeps the scores of words seen before."""
 
     def __init__(self, models: Models):
-        self.models, self.at, self.kept = models, {}, min(KEPT, 2_000_000 // max(1, len(models.languages)))
+        self.models, self.at, self.kept = models, {}, min(KEPT, NUMBERS // max(1, len(models.languages)))
         self.costs, self.sizes = np.zeros((1024, len(models.languages))), np.zeros(1024)
 
     def _learn(self, words: list[str]) -> None:
@@ -162,7 +141,7 @@ class Scorer:
         """(cross-entropy by language, characters) of each whole text; texts without letters have 0 characters."""
         entropy, sizes = np.zeros((len(texts), len(self.models.languages))), np.zeros(len(texts))
         for i in range(0, len(texts), 64):
-            words = [_LETTERS.findall((t or "").lower()) for t in texts[i : i + 64]]
+            words = [letters().findall((t or "").lower()) for t in texts[i : i + 64]]
             seen = set().union(*words)
             if len(seen) > self.kept:  # more than is ever kept
                 for k, own in enumerate(words):
@@ -199,67 +178,128 @@ def _predict(shared):
             entropy, sizes = scorer.entropies(texts.to_pylist())
             best, some = entropy.argmin(1), sizes > 0
             low = entropy[np.arange(len(best)), best]
-            limit = m.mean[best] + REJECT_MARGIN + REJECT_SIGMAS * m.spread[best] / np.sqrt(np.maximum(sizes, 1))
             lang = [m.languages[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)]
-            score = np.where(some, m.confidence(entropy), 0.0)
-            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(np.where(some, low, np.nan)), pa.array(~some | (low > limit))], fields=list(kind))
+            # The share of the best language when entropies are weighed against each other.
+            score = np.where(some, 1 / np.exp(-m.sharpness * (entropy - low[:, None])).sum(1), 0.0)
+            rejected = ~some | (m.excess(low, best, sizes) > m.limit)
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(np.where(some, low, np.nan)), pa.array(rejected)], fields=list(kind))
 
     return F.arrow_udf(run, "struct<lang:string,score:double,entropy:double,rejected:boolean>").asNondeterministic()
 
 
+def _measured(shared):
+    """Of labelled texts, the cross-entropy of their own language, characters, and the log-loss of the label for each sharpness."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, langs in batches:
+            scorer = _scorer(shared)
+            number = {lang: k for k, lang in enumerate(scorer.models.languages)}
+            own = np.array([number.get(lang, -1) for lang in langs.to_pylist()])
+            entropy, sizes = scorer.entropies(texts.to_pylist())
+            mine = entropy[np.arange(len(own)), own]
+            losses = np.stack([np.log(np.exp(-s * (entropy - mine[:, None])).sum(1)) for s in SHARPNESS], 1)
+            yield pa.StructArray.from_arrays([pa.array(np.where(own >= 0, mine, 0.0)), pa.array(np.where(own >= 0, sizes, 0.0)), pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * len(SHARPNESS), pa.int32()), pa.array(losses.ravel()))], names=["entropy", "size", "losses"])
+
+    return F.arrow_udf(run, "struct<entropy:double,size:double,losses:array<double>>").asNondeterministic()
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: dict[tuple[str, str], int] = {}
         for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for w in _LETTERS.findall(text.lower()):
+            for w in letters().findall((text or "").lower()):
                 found[lang, w] = found.get((lang, w), 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
 
 
+def counted(words: DataFrame, order: int) -> DataFrame:
+    """(lang, size, gram, c) from ``words`` (lang, word, n): how often an n-gram of the highest order occurs; of a lower
+    one, how many different characters come before it.
+    """
+    padded = F.concat(F.lit(_PAD * (order - 1)), "word", F.lit(_END))
+    grams = words.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substr(padded, i, F.lit(order)))).alias("gram"))
+    top = _shared.store(grams.groupBy("lang", "gram").agg(F.sum("n").alias("c")), "grams")
+    longer = top.select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.lit(order - 1)), lambda i: F.struct(i.alias("size"), F.substr("gram", order - i, i + 1).alias("gram")))).alias("x")) if order > 1 else None
+    out = top.select("lang", F.lit(order).alias("size"), "gram", "c")
+    if longer is not None:
+        kinds = longer.select("lang", "x.*").distinct().groupBy("lang", "size", F.substr("gram", F.lit(2)).alias("gram")).agg(F.count("*").alias("c"))
+        out = out.unionByName(kinds)
+    return out
+
+
+def train(words: DataFrame, order: int = ORDER) -> Models:
+    """Models of ``words`` (lang, word, n), not calibrated. What is gathered grows with the sample alone."""
+    counts = _shared.store(counted(words, order), "gram-counts")
+    is_ = lambda k: F.count_if(F.col("c") == k)
+    ones, twos = is_(1), is_(2)
+    discounts = counts.groupBy("lang", "size").agg(F.when(ones > 0, ones / (ones + 2 * twos)).otherwise(0.5).alias("d"))
+    context = F.substr("gram", F.lit(1), F.col("size") - 1)
+    contexts = counts.groupBy("lang", "size", context.alias("context")).agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).join(discounts, ["lang", "size"])
+    added = counts.withColumn("context", context).join(contexts, ["lang", "size", "context"]).select("size", "lang", "gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("value"))
+    left = contexts.select("size", "lang", F.col("context").alias("gram"), (F.col("d") * F.col("kinds") / F.col("total")).alias("value"))
+    tables = [df.toArrow() for df in (added, left)]
+    languages = sorted(set(tables[0]["lang"].unique().to_pylist()))
+    number = {lang: k for k, lang in enumerate(languages)}
+    models = Models(languages)
+    for table, out in zip(tables, (models.added, models.left), strict=True):
+        size, codes = table["size"].to_numpy(), table["lang"].combine_chunks().dictionary_encode()
+        lang = np.array([number[x] for x in codes.dictionary.to_pylist()], np.int32)[codes.indices.to_numpy()] if len(codes) else np.zeros(0, np.int32)
+        for n in range(1, order + 1):
+            rows = np.flatnonzero(size == n)
+            out.append(Rows.of(table["gram"].take(pa.array(rows)).to_pylist(), n if out is models.added else n - 1, lang[rows], table["value"].to_numpy()[rows]))
+    models.symbols = len(models.added[0].keys) + 1
+    _shared.drop(counts)
+    return models
+
+
 def fit(labelled: DataFrame, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> Models:
     """Fit models on ``labelled`` (doc_id, text, lang): of each language, about ``sample_docs`` documents, picked by the
-    hash of their doc_id. Rows without a language, a doc_id or a letter teach nothing.
+    hash of their doc_id; texts stay on the executors. Rows without a language, a doc_id or a letter teach nothing.
+    There is no limit on the number of languages; those that only occur in the calibration quarter are not learned.
     """
-    labelled = labelled.where("lang IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    picked = F.lit(False)
-    for lang, n in counts.items():
-        picked = picked | ((F.col("lang") == lang) & (place < max(1, math.ceil(min(1.0, sample_docs / n) * (1 << 20)))))
-    sample = _shared.store(labelled.where(picked).where(F.col("text").rlike(r"\p{L}")).withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) == 0), "language-sample")
+    spark = labelled.sparkSession
+    _shared.bounded_batches(spark)
+    labelled = labelled.where("lang IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    shares = _shared.store(labelled.groupBy("lang").agg(F.greatest(F.lit(1), F.ceil(F.least(F.lit(1.0), sample_docs / F.count("*")) * (1 << 20))).alias("share")), "language-shares")
+    shares = F.broadcast(shares) if shares.count() <= BROADCAST_LANGUAGES else shares
+    picked = labelled.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share"))
+    sample = _shared.store(picked.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) == 0).alias("calibrates")), "language-sample")
     words = sample.where("NOT calibrates").select("lang", "text").mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    padded = F.concat(F.lit(_PAD * (order - 1)), "word", F.lit(_END))
-    grams = words.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substr(padded, i, F.lit(order)))).alias("gram"))
-    languages = sorted(r[0] for r in sample.where("NOT calibrates").select("lang").distinct().collect())
-    tables: list[dict[str, int]] = [{} for _ in languages]
-    for lang, gram, n in grams.groupBy("lang", "gram").agg(F.sum("n")).toLocalIterator():
-        tables[languages.index(lang)][gram] = n
-    if not languages:
-        return Models([])
-    models = Models(languages).fit(tables)
-    # Calibration: spread of each language's own cross-entropies, and the sharpness that fits best.
-    rows = sample.where("calibrates").select("lang", "text").collect()  # a quarter of the sample
-    rows = [r for r in rows if r[0] in languages]
-    truth = np.array([languages.index(r[0]) for r in rows], int)
-    entropy, sizes = Scorer(models).entropies([r[1] for r in rows])
-    own = entropy[np.arange(len(rows)), truth] if len(rows) else np.zeros(0)
-    models.mean, models.spread = np.full(len(languages), math.log(1 / models.floor)), np.ones(len(languages))
-    for k in range(len(languages)):
-        if (of := truth == k).sum() >= 5:
-            weight = sizes[of] / sizes[of].sum()
-            models.mean[k] = (own[of] * weight).sum()
-            models.spread[k] = max(0.5, math.sqrt(float(np.median((own[of] - models.mean[k]) ** 2 * sizes[of])) / 0.455))
-    losses = {}
-    for sharpness in (2.0, 5.0, 10.0, 20.0, 40.0):
-        if len(rows):
-            scaled = -sharpness * (entropy - entropy.min(1, keepdims=True))
-            losses[sharpness] = float((np.log(np.exp(scaled).sum(1)) - scaled[np.arange(len(rows)), truth]).mean())
-    models.sharpness = min(losses, key=losses.get) if losses else models.sharpness
+    models = train(words, order)
+    calibrate(models, sample.where("calibrates"))
+    _shared.drop(sample)
     return models
 
 
+def calibrate(models: Models, held: DataFrame) -> None:
+    """Set mean and spread of each language, the limit of rejection and the sharpness of scores by held-out documents (lang, text)."""
+    if not models.languages:
+        return
+    n = len(models.languages)
+    models.mean, models.spread = np.full(n, math.log(models.symbols)), np.ones(n)
+    measured = held.select("lang", _measured(held.sparkSession.sparkContext.broadcast(models))("text", "lang").alias("m"))
+    rows = _shared.store(measured.select("lang", "m.*").where("size > 0"), "measured")
+    number = {lang: k for k, lang in enumerate(models.languages)}
+    own = rows.groupBy("lang").agg((F.sum(F.col("entropy") * F.col("size")) / F.sum("size")).alias("mean"), F.count("*").alias("n")).where("n >= 5")
+    off = rows.join(own, "lang").withColumn("off", F.col("entropy") - F.col("mean"))
+    for lang, mean, square in off.groupBy("lang", "mean").agg(F.percentile_approx(F.pow("off", F.lit(2)) * F.col("size"), 0.5, 1000)).collect():  # a row a language
+        models.mean[number[lang]], models.spread[number[lang]] = mean, max(0.5, math.sqrt(square / 0.455))
+    spreads = held.sparkSession.createDataFrame([(lang, float(s)) for lang, s in zip(models.languages, models.spread, strict=True)], "lang string, spread double")
+    scaled = off.join(spreads, "lang").select((F.col("off") / (MANNER + F.col("spread") / F.sqrt(F.greatest("size", F.lit(1.0))))).alias("x"))
+    limit = scaled.agg(F.percentile("x", ACCEPTED)).first()[0]
+    models.limit = math.inf if limit is None else max(3.0, limit)
+    losses = rows.agg(*[F.avg(F.col("losses")[i]) for i in range(len(SHARPNESS))]).first()
+    if losses[0] is not None:
+        models.sharpness = SHARPNESS[int(np.argmin(losses))]
+    _shared.drop(rows)
+
+
+def _predicted(docs: DataFrame, models: Models):
+    if not models.languages:
+        return F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.lit(float("nan")).alias("entropy"), F.lit(True).alias("rejected"))
+    return _predict(docs.sparkSession.sparkContext.broadcast(models))(F.col("text").cast("string"))
+
+
 def predict(docs: DataFrame, models: Models) -> DataFrame:
     """All columns of ``docs`` and a struct ``_language``: lang, score (0 to 1), entropy, rejected.
 
@@ -268,16 +308,19 @@ def predict(docs: DataFrame, models: Models) -> DataFrame:
     replaced.
     """
     _shared.bounded_batches(docs.sparkSession)
-    docs = docs.drop("_language")
-    if not models.languages:
-        return docs.withColumn("_language", F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.lit(float("nan")).alias("entropy"), F.lit(True).alias("rejected")))
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    return docs.withColumn("_language", _predict(shared)(F.col("text").cast("string")))
+    return docs.drop("_language").withColumn("_language", _predicted(docs, models))
 
 
 def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
-    """The documents that are not rejected, unchanged."""
-    return predict(docs, models).where("NOT _language.rejected").drop("_language")
+    """The documents that are not rejected, with all their columns; a column ``lang`` carries the language predicted.
+
+    Documents with null, empty or letterless texts go. Repeated rows are judged alike.
+    """
+    _shared.bounded_batches(docs.sparkSession)
+    (found,) = _shared.free(docs, "_language")
+    kept = docs.withColumn(found, _predicted(docs, models)).where(f"NOT `{found}`.rejected")
+    lang = F.col(f"`{found}`.lang")
+    return kept.select(*[lang.cast(docs.schema[c].dataType).alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -1,6 +1,7 @@
 import random
 import re
 import string
+from collections import Counter
 
 import numpy as np
 from marram.llm import langid, licenses, secret_scan
@@ -39,28 +40,78 @@ def test_language_edge_cases(spark):
     assert langid.predict(labelled(spark).limit(0), models).collect() == []
 
 
-def test_probabilities_sum_to_one():
-    models = langid.Models(["x", "y"]).fit([{"\x02\x02a": 3, "\x02ab": 2, "ab\x03": 2, "\x02aa": 1, "aa\x03": 1}, {"\x02\x02b": 1, "\x02ba": 1, "ba\x03": 1}])
-    for context in ("", "a", "ab", "zz"):
-        total = np.zeros(2)
-        for ch in "ab\x02\x03z":  # the alphabet and one unseen character
-            codes = langid._codes("\x02\x02" + context + ch)
-            word = models.word_costs([context + ch])[0][0] if ch not in "\x02\x03" else None
-            del word, codes
-            p = np.full(2, models.floor)
-            weight = np.ones(2)
-            for n in range(3, 0, -1):
-                g = ("\x02\x02" + context + ch)[-n:]
-                at, ok = models._find(models.grams[n - 1], langid._hash(langid._codes(g), n))
-                if ok[0]:
-                    p = weight * models.grams[n - 1][1][at[0]]
-                    break
-                key = langid._hash(langid._codes(g[:-1]), n - 1) if n > 1 else np.zeros(1, np.uint64)
-                at, ok = models._find(models.contexts[n - 1], key)
-                weight = weight * (models.contexts[n - 1][1][at[0]] if ok[0] else 1)
-                p = weight * models.floor
-            total += p
-        assert (total > 0.7).all() and (total < 1.0 + 1e-9).all()
+def naive_kneser_ney(words, order, symbols):
+    """Probability of a character after a context, by the textbook recursion over plain dictionaries."""
+    top = Counter()
+    for w, n in words.items():
+        padded = "\x02" * (order - 1) + w + "\x03"
+        for i in range(len(w) + 1):
+            top[padded[i : i + order]] += n
+    tables = {order: top}
+    for n in range(order - 1, 0, -1):
+        tables[n] = Counter()
+        for before_and_gram in {g[-n - 1 :] for g in top}:
+            tables[n][before_and_gram[1:]] += 1
+    discount = {}
+    for n, t in tables.items():
+        ones, twos = sum(v == 1 for v in t.values()), sum(v == 2 for v in t.values())
+        discount[n] = ones / (ones + 2 * twos) if ones else 0.5
+
+    def p(context, ch, n):
+        if n == 0:
+            return 1 / symbols
+        context = context[len(context) - n + 1 :]
+        following = {g: v for g, v in tables[n].items() if g[:-1] == context}
+        if not following:
+            return p(context, ch, n - 1)
+        total = sum(following.values())
+        return max(following.get(context + ch, 0) - discount[n], 0) / total + discount[n] * len(following) / total * p(context, ch, n - 1)
+
+    return p
+
+
+def test_models_equal_brute_force_and_sum_to_one(spark):
+    rng = random.Random(5)
+    counts = {lang: Counter("".join(rng.choices(SYLLABLES[lang], k=rng.randrange(1, 4))) for _ in range(300)) for lang in SYLLABLES}
+    counts["dd"] = Counter({"a": 1})
+    rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
+    for order in (1, 3, 5):
+        models = langid.train(spark.createDataFrame(rows, "lang string, word string, n long"), order)
+        alphabet = {ch for c in counts.values() for w in c for ch in w} | {"\x03"}
+        assert models.languages == ["aa", "bb", "cc", "dd"] and models.symbols == len(alphabet) + 1
+        words = ["kato", "sch", "ción", "a", "xyz", "kaxto", ""]
+        costs, sizes = models.word_costs(words)
+        assert sizes.tolist() == [len(w) + 1 for w in words]
+        for k, lang in enumerate(models.languages):
+            p = naive_kneser_ney(counts[lang], order, models.symbols)
+            for w, cost in zip(words, costs[:, k].tolist(), strict=True):
+                padded = "\x02" * (order - 1) + w + "\x03"
+                assert abs(cost + sum(np.log(p(padded[i : i + order - 1], padded[i + order - 1], order)) for i in range(len(w) + 1))) < 1e-9
+            for context in ("", "k", "kat", "zz", "schsch"):
+                padded = "\x02" * (order - 1) + context
+                assert abs(sum(p(padded[len(padded) - order + 1 :], ch, order) for ch in [*alphabet, "?"]) - 1) < 1e-9
+
+
+def test_numerals_are_no_letters(spark):
+    models = langid.fit(labelled(spark))
+    rows = langid.predict(spark.createDataFrame([(1, "²½ ① Ⅷ 〇 ٣"), (2, "²½ kato①rimu"), (3, "katorimu")], "doc_id long, text string"), models).orderBy("doc_id").collect()
+    assert (rows[0]._language.lang, rows[0]._language.score, rows[0]._language.rejected) == ("und", 0.0, True)
+    assert [r._language.lang for r in rows[1:]] == ["aa", "aa"]
+    assert langid.letters().findall("ab1c²dⅧé_ʰ x") == ["ab", "c", "d", "é", "ʰ", "x"]
+
+
+def test_junk_is_rejected_and_columns_are_kept(spark):
+    rng = random.Random(6)
+    docs = labelled(spark, n=400)
+    models = langid.fit(docs)
+    junk = ["".join(rng.choices(string.ascii_lowercase, k=rng.randrange(3, 9))) for _ in range(5000)]
+    rows = [(i, " ".join(junk[20 * i : 20 * i + 20]), None, 7) for i in range(200)] + [(1000 + i, text(rng, lang, 40), lang, 7) for i, lang in enumerate(list(SYLLABLES) * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _language int")
+    kept = langid.keep_identified(df, models)
+    assert kept.dtypes == df.dtypes
+    got = {r.doc_id: r for r in kept.collect()}
+    assert sum(i < 1000 for i in got) < 10 and sum(i >= 1000 for i in got) >= 177
+    assert all(r.lang == rows[r.doc_id - 1000 + 200][2] and r._language == 7 for r in got.values() if r.doc_id >= 1000)
 
 
 def test_kept_words_do_not_change_scores(spark, monkeypatch):
