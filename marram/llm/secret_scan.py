@@ -25,36 +25,64 @@ SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
 #: Labelled samples: identifiers are taken from about so many documents, and so many random strings are made.
 SAMPLE_DOCS, SAMPLE_RANDOM = 2000, 4000
-#: Share of the sample's identifiers that may be over the threshold, and the least threshold in nats a character.
-FALSE_SHARE, LEAST_THRESHOLD = 0.001, 0.3
+#: Share of the ordinary sample that may be over the threshold, and of the random sample, cut to the least length, that may be under it.
+FALSE_SHARE, MISSED_SHARE = 0.001, 0.05
+#: Code points of the chunks that a text is cut into to redact it.
+CHUNK = 4096
 #: A long token that occurs so often in the sample is a word without further proof.
 RECURS = 5
 
 KINDS = ("assign", "access", "hex", "markov")
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
+def _before(values: Column, zero: Column, merge) -> Column:
+    """For each of ``values``, those before it merged, from ``zero`` on.
+
+    A fold that appends to an array copies it each time, so values go in blocks of the square root of their number.
+    """
+
+    def along(xs: Column, first: Column) -> Column:
+        grown = F.aggregate(xs, F.array(first), lambda acc, x: F.concat(acc, F.array(merge(F.element_at(acc, -1), x))))
+        return F.slice(grown, 1, F.size(xs))
+
+    def by_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda x, y: merge(x, y)))
+        return F.flatten(F.zip_with(blocks, _let(totals, lambda t: along(t, zero)), along))
+
+    def cut(v: Column, width: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / width).cast("int") - 1), lambda i: F.slice(v, i * width + 1, width))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, _let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda width: _let(cut(v, width), by_blocks))).otherwise(F.slice(v, 1, 0)))
+
+
 def _spans(text: Column, pattern: str, kind: str, keep=None, group: int | None = None) -> Column:
     """Spans (start, kind number, end, match, group's length) of all matches of ``pattern``, leftmost first.
 
     What lies between the matches gives their places: the n-th starts after n pieces and n - 1 matches.
     """
-    pieces = F.transform(F.split(text, pattern, -1), F.length)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length) if group else F.transform(matches, F.length)
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,token:string,size:int>>")
+    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else F.array().cast("array<string>")
+    parts = F.zip_with(matches, F.split(text, pattern, -1), lambda m, p: F.struct(m.alias("match"), F.length(p).alias("piece")))
+
+    def placed(parts: Column) -> Column:
+        parts = F.filter(parts, lambda x: x["match"].isNotNull())  # a text has one piece more than it has matches
+        return _let(parts, lambda ps: F.zip_with(ps, _before(F.transform(ps, lambda x: x["piece"] + F.length(x["match"])), F.lit(0), lambda x, y: x + y), span))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["piece"]
-        end = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), x["match"].alias("token"), x["size"].alias("size"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def span(x: Column, before: Column) -> Column:
+        start = before + x["piece"]
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + F.length(x["match"])).alias("end"), x["match"].alias("token"))
 
-    rows = F.zip_with(F.slice(pieces, 1, F.size(matches)), F.arrays_zip(matches.alias("match"), inner.alias("size")), lambda p, m: F.struct(p.alias("piece"), m["match"].alias("match"), m["size"].alias("size")))
-    out = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("spans")), add)["spans"]
+    rows = F.zip_with(_let(parts, placed), inner, lambda s, g: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["token"].alias("token"), F.length(F.coalesce(g, s["token"])).alias("size")))
     if keep:
-        out = F.filter(out, keep)
+        rows = F.filter(rows, keep)
     # Most texts have no match: one search tells.
-    return F.when(text.rlike(pattern), out).otherwise(none)
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,token:string,size:int>>")
+    return F.when(text.rlike(pattern), rows).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -74,7 +102,7 @@ class Ratio:
         """Mean log-likelihood ratio of a token, over its pairs of neighbours."""
         n = len(SYMBOLS)
         codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
-        table = F.lit(list(self.pairs))
+        table = F.split(F.lit(",".join(map(repr, self.pairs))), ",").cast("array<double>")  # one constant, not one a pair
         places = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes)), lambda a, b: F.element_at(table, a * n + b + 1))
         return F.aggregate(places, F.lit(0.0), lambda acc, x: acc + x) / F.greatest(F.lit(1), F.size(codes) - 1)
 
@@ -154,25 +182,24 @@ def _ratios(random: DataFrame, ordinary: DataFrame) -> Ratio:
 
 
 def _low(random: DataFrame, ratio: Ratio) -> float:
-    """The fifth percentile of the random sample, cut to the least length, where scores scatter most."""
-    return random.select(ratio.mean(F.substr("token", F.lit(1), F.lit(LEAST_LENGTH))).alias("s")).agg(F.percentile_approx("s", 0.05, 10_000)).first()[0] or 0.0
+    """The mean ratio that all but ``MISSED_SHARE`` of the random sample reach, cut to the least length, where scores scatter most."""
+    return random.select(ratio.mean(F.substr("token", F.lit(1), F.lit(LEAST_LENGTH))).alias("s")).agg(F.percentile_approx("s", MISSED_SHARE, 10_000)).first()[0] or 0.0
 
 
 def train(random: DataFrame, ordinary: DataFrame, doubtful: DataFrame) -> Ratio:
-    """Fit both chains on labelled samples (token, n), and calibrate the threshold.
+    """Fit both chains on labelled samples (token, n), and calibrate the threshold by both.
 
     ``doubtful`` tokens are ordinary ones with random strings among them, as a corpus has: those that score as the
-    random sample does under a first fit without them are left out. The threshold is the mean ratio that all but
-    ``FALSE_SHARE`` of the long ordinary tokens stay under, and lies at least midway to the random sample's fifth
-    percentile.
+    random sample does under a first fit without them are left out. The threshold lies midway between the mean ratio
+    that all but ``FALSE_SHARE`` of the long ordinary tokens stay under and the one that all but ``MISSED_SHARE`` of the
+    random sample reach; if these cross, it is the first, so that ordinary tokens stay unmarked.
     """
     first = _ratios(random, ordinary)
-    ordinary = ordinary.unionByName(doubtful.where(first.mean(F.col("token")) < max(LEAST_THRESHOLD, _low(random, first))))
+    ordinary = ordinary.unionByName(doubtful.where(first.mean(F.col("token")) < _low(random, first)))
     ratio = _ratios(random, ordinary)
     scores = ordinary.where(F.length("token") >= LEAST_LENGTH).select("n", ratio.mean(F.col("token")).alias("s"))
     high = scores.agg(F.percentile("s", 1 - FALSE_SHARE, F.col("n"))).first()[0] or 0.0
-    threshold = max(LEAST_THRESHOLD, high, (high + _low(random, ratio)) / 2)
-    return Ratio(ratio.pairs, threshold)
+    return Ratio(ratio.pairs, max(high, (high + _low(random, ratio)) / 2))
 
 
 def markov_spans(text: Column, ratio: Ratio) -> Column:
@@ -180,17 +207,34 @@ def markov_spans(text: Column, ratio: Ratio) -> Column:
     return _spans(text, TOKEN, "markov", lambda s: ratio.mean(s["token"]) > ratio.threshold)
 
 
+def all_spans(text: Column, ratio: Ratio) -> Column:
+    """Structs (start, kind, end) of a text, by start, then kind: base spans, and the models' where they overlap none of these."""
+    is_base = lambda s: s["kind"] < len(KINDS) - 1
+    far = F.lit(2**31 - 1)
+
+    def apart(rows: Column) -> Column:
+        ends = _before(F.transform(rows, lambda s: F.when(is_base(s), s["end"]).otherwise(0)), F.lit(0), F.greatest)
+        starts = F.reverse(_before(F.transform(F.reverse(rows), lambda s: F.when(is_base(s), s["start"]).otherwise(far)), far, F.least))
+        beside = F.arrays_zip(rows.alias("s"), ends.alias("ends"), starts.alias("starts"))
+        return F.transform(F.filter(beside, lambda x: is_base(x["s"]) | ((x["ends"] <= x["s"]["start"]) & (x["starts"] >= x["s"]["end"]))), lambda x: x["s"])
+
+    def merged(pair: Column) -> Column:
+        both = _let(F.array_sort(F.concat(pair["base"], pair["more"])), apart)
+        return F.when(F.size(pair["base"]) == 0, pair["more"]).when(F.size(pair["more"]) == 0, pair["base"]).otherwise(both)
+
+    spans = _let(F.struct(base_spans(text).alias("base"), markov_spans(text, ratio).alias("more")), merged)
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+
 def scan(docs: DataFrame, ratio: Ratio) -> DataFrame:
     """All columns of ``docs`` and an array ``_spans`` of structs (start, kind, end), by start, then kind.
 
     ``kind`` counts in KINDS. Null and empty texts have no spans. Base spans are all there; a token of the models is
-    left out where it overlaps one. Repeated rows are scanned alike. A column named ``_spans`` is replaced.
+    left out where it overlaps one. Repeated rows are scanned alike. A column named ``_spans`` is replaced; all others
+    are kept, whatever their names.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.drop("_spans").withColumn("_base", base_spans(text)).withColumn("_more", markov_spans(text, ratio))
-    more = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
-    spans = F.transform(F.array_sort(F.concat("_base", more)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return found.withColumn("_spans", spans).drop("_base", "_more")
+    return docs.drop("_spans").withColumn("_spans", all_spans(text, ratio))
 
 
 def joined(spans: Column) -> Column:
@@ -199,22 +243,36 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def redacted(text: Column, spans: Column, mark: str) -> Column:
+    """A text with its spans (by start) replaced by ``mark``; a span that begins inside the one before goes with it.
+
+    The text is cut into chunks first, since a substring is looked for from the text's beginning on.
+    """
+    def between(chunks: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")
+        return F.when(b > a, F.substr(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), a - first * CHUNK + 1, b - a)).otherwise("")
+
+    def written(chunks: Column) -> Column:
+        reach = _before(F.transform(spans, lambda s: s["end"]), F.lit(0), F.greatest)
+        rows = F.filter(F.zip_with(spans, reach, lambda s, r: F.struct(s["start"].alias("start"), r.alias("reach"))), lambda x: x["start"] >= x["reach"])
+        head = F.transform(rows, lambda x: F.concat(between(chunks, x["reach"], x["start"]), F.lit(mark)))
+        return F.concat(F.array_join(head, ""), between(chunks, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
+
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), written)
+
+
 def redact(docs: DataFrame, ratio: Ratio, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every span's text replaced by ``mark`` and ``n_chars``, if there, counted anew; texts without spans are unchanged."""
-    found = scan(docs, ratio)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]  # a span that overlaps the one before is covered by its mark
-        gap = F.substr(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate("_spans", start, add)
-    text = F.when(F.size("_spans") > 0, F.concat(done["out"], F.substr(F.col("text"), done["at"] + 1, F.length("text")))).otherwise(F.col("text"))
-    out = found.withColumn("_text", text)
+    """The documents with every span's text replaced by ``mark`` and ``n_chars``, if there, counted anew; texts without spans
+    are unchanged, null ones stay null, and so do all other columns, whatever their names.
+    """
+    found, written = _shared.free(docs, "_spans", "_written")
+    text, spans = F.col("text").cast("string"), F.col(f"`{found}`")
+    out = docs.withColumn(found, all_spans(F.coalesce(text, F.lit("")), ratio)).withColumn(written, F.when(F.size(spans) > 0, redacted(text, spans, mark)))
+    fresh = F.col(f"`{written}`")
+    changed = {"text": F.coalesce(fresh, text).cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_text")).select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.coalesce(F.length(fresh).cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
 def learn(docs: DataFrame) -> Ratio:

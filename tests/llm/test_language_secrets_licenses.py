@@ -97,7 +97,7 @@ def test_numerals_are_no_letters(spark):
     rows = langid.predict(spark.createDataFrame([(1, "²½ ① Ⅷ 〇 ٣"), (2, "²½ kato①rimu"), (3, "katorimu")], "doc_id long, text string"), models).orderBy("doc_id").collect()
     assert (rows[0]._language.lang, rows[0]._language.score, rows[0]._language.rejected) == ("und", 0.0, True)
     assert [r._language.lang for r in rows[1:]] == ["aa", "aa"]
-    assert langid.letters().findall("ab1c²dⅧé_ʰ x") == ["ab", "c", "d", "é", "ʰ", "x"]
+    assert langid.words_of("Ab1c²dⅧé_ʰ x") == ["ab", "c", "d", "é", "ʰ", "x"]
 
 
 def test_junk_is_rejected_and_columns_are_kept(spark):
@@ -177,6 +177,52 @@ def test_short_and_letters_only_random_strings_are_spans(spark):
     assert min(share.values()) > 0.9, share
 
 
+def test_ratio_equals_brute_force(spark):
+    rng = random.Random(12)
+    samples = [["".join(rng.choices(secret_scan.SYMBOLS, k=20)) for _ in range(200)], ["".join(rng.choices("abcde_", k=9)) for _ in range(200)]]
+    frames = [spark.createDataFrame([(t, 1 + i % 3) for i, t in enumerate(ts)], "token string, n long") for ts in samples]
+    ratio, n, chains = secret_scan._ratios(*frames), len(secret_scan.SYMBOLS), []
+    for ts in samples:
+        pairs, firsts = Counter(), Counter()
+        for i, t in enumerate(ts):
+            for a, b in zip(t, t[1:]):
+                pairs[a, b] += 1 + i % 3
+                firsts[a] += 1 + i % 3
+        chains.append(lambda a, b, pairs=pairs, firsts=firsts: np.log((pairs[a, b] + 1) / (firsts[a] + n)))
+    tokens = ["abcde_abcde_", "Zx9+/=-_Zx9Q", "aa", "z"] + samples[0][:5]
+    got = spark.createDataFrame([(t,) for t in tokens], "token string").select(ratio.mean(F.col("token"))).collect()
+    for t, (mean,) in zip(tokens, got, strict=True):
+        assert abs(mean - sum(chains[0](a, b) - chains[1](a, b) for a, b in zip(t, t[1:])) / max(1, len(t) - 1)) < 1e-9
+
+
+def test_many_spans_and_clashing_columns(spark):
+    lone = "q9Xz7LmP2vKw8RtB4nYc"
+    many = " ".join(f"é\U0001f600 x{i % 7} password=abcdefgh{i % 10}" for i in range(20_000))
+    mixed = f"{'0123456789abcdef' * 2}apikey=abcdefgh1 {lone} token: {lone}{'f' * 40}" * 50
+    texts = [many, mixed, "", None, "x" * 10_000 + f" {lone}", f"{lone}"]
+    df = spark.createDataFrame([(i, t, "a", "b", "c", "d", i) for i, t in enumerate(texts)], "doc_id long, text string, _base string, _more string, _text string, _spans string, n_chars int")
+    n = len(secret_scan.SYMBOLS)
+    ratio = secret_scan.Ratio(tuple([1.0 if i != j else -1.0 for i in range(n) for j in range(n)]), 0.5)
+    spans = {r.doc_id: [(s.start, s.kind, s.end) for s in r._spans] for r in secret_scan.scan(df, ratio).collect()}
+    done = {r.doc_id: r for r in secret_scan.redact(df, ratio).collect()}
+    assert secret_scan.redact(df, ratio).dtypes == df.dtypes
+    token = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}")
+    for i, t in enumerate(texts):
+        base = naive_base(t)
+        more = [(m.start(), 3, m.end()) for m in token.finditer(t or "") if np.mean([1.0 if a != b else -1.0 for a, b in zip(m[0], m[0][1:])]) > 0.5]
+        expected = sorted(base + [m for m in more if not any(m[0] < b[2] and b[0] < m[2] for b in base)])
+        assert spans[i] == expected
+        out, at = [], 0
+        for a, _, b in expected:
+            if a >= at:
+                out += [t[at:a], "[SECRET]"]
+            at = max(at, b)
+        assert done[i].text == (None if t is None else "".join(out) + t[at:]), i
+        assert (done[i]._base, done[i]._more, done[i]._text, done[i]._spans) == ("a", "b", "c", "d")
+        assert done[i].n_chars == (len(done[i].text) if expected else i)
+    assert len(spans[0]) == 20_000 and spans[5] == [(0, 3, 20)]
+
+
 def naive_licenses(t):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
     own = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)]
