@@ -9,12 +9,16 @@ import uuid
 from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 #: Rows and bytes handed to Python at once; together they bound a worker's memory whatever the texts' lengths.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
+#: Frequent keys that a join spreads, at most (a broadcast of some 2 MB); the others are the less frequent ones.
+HOT_KEYS = 100_000
+
 _local: dict[str, str] = {}
 _kept: dict[Hashable, object] = {}
 
@@ -56,6 +60,22 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def skew_join(rows: DataFrame, table: DataFrame, key: str, by: str, how: str = "inner", heavy: int = 1000) -> DataFrame:
+    """``rows`` joined with ``table`` on ``key``, spread so that no frequent key is one task's.
+
+    The most frequent keys of ``rows``, of those with over ``heavy`` rows, are dealt to several tasks by the hash of the
+    column ``by``, and their rows of ``table`` go to each of these. ``rows`` is read twice: store it first if it is costly.
+    """
+    salt, n = free(rows, "_salt", "_n")
+    # Any key that is left out has at most 1 / HOT_KEYS of the rows.
+    hot = rows.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") > heavy).orderBy(F.desc("c")).limit(HOT_KEYS)
+    hot = F.broadcast(hot.select(F.col(key).alias("_key"), F.ceil(F.col("c") / heavy).cast("int").alias(n)))
+    count = F.coalesce(F.col(n), F.lit(1))
+    rows = rows.join(hot, rows[key] == hot["_key"], "left").withColumn(salt, F.pmod(F.xxhash64(by), count).cast("int")).drop("_key", n)
+    table = table.join(hot, table[key] == hot["_key"], "left").withColumn(salt, F.explode(F.sequence(F.lit(0), count - 1))).drop("_key", n)
+    return rows.join(table, [key, salt], how).drop(salt)
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores put before it as it takes to clash with no column of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -12,13 +12,13 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the node's smallest neighbour (or itself)."""
     both = links.union(links.select("b", "a"))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+    return _shared.skew_join(both.where("b > a"), least, "a", "b").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every neighbour below a node, and the node, are linked to its smallest neighbour. Links have a < b."""
     least = links.groupBy("b").agg(F.min("a").alias("m"))
-    moved = links.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    moved = _shared.skew_join(links, least, "b", "a").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.union(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
@@ -29,7 +29,10 @@ def components(links: DataFrame) -> DataFrame:
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        now, before = _shared.store(_small_star(_large_star(now)), "links"), state
+        larger = _shared.store(_large_star(now), "links")
+        smaller = _shared.store(_small_star(larger), "links")
+        _shared.drop(now, larger)
+        now, before = smaller, state
 
 
 def joined(root: DataFrame | None, links: DataFrame) -> DataFrame:

@@ -168,7 +168,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a"))
     b = sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b")).cast("long")
-    return pairs.join(b, "b").join(a, "a").where(_similar(both, F.size("of_a"), F.size("of_b"), percent)).select("a", "b")
+    found = _shared.skew_join(_shared.skew_join(pairs, b, "b", "a"), a, "a", "b")
+    return found.where(_similar(both, F.size("of_a"), F.size("of_b"), percent)).select("a", "b")
 
 
 def _possible(common_a: Column, common_b: Column, n_a: Column, n_b: Column, percent: int) -> Column:
@@ -208,21 +209,21 @@ def _split(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     columns = ("bucket", "node", "n", "common", "root")
     own = F.max(F.when(F.col("node") == F.col("centre"), F.col("root"))).alias("home")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most"), own).where("least <> most")
-    rows = _shared.store(rows.join(sizes.select("bucket", "members", "home"), "bucket"), "members")
+    rows = _shared.store(_shared.skew_join(rows, sizes.select("bucket", "members", "home"), "bucket", "node"), "members")
     big = rows.where(F.col("members") > BIG)
     facts = big.groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "common", "root")])
     held = _shared.store(sets.join(facts, "node").select("node", F.explode("hashes").alias("h")).distinct(), "held")
     frequent = held.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > BIG).select("h")
-    rare = _shared.store(held.join(frequent, "h", "left_anti"), "rare")
+    rare = _shared.store(_shared.skew_join(held, frequent, "h", "node", "left_anti"), "rare")
     facts = facts.join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left").withColumn("frequent", F.col("n") - F.coalesce("rare", F.lit(0)))
     # Most shingles that a partner may have for the frequent ones to suffice.
     facts = _shared.store(facts.withColumn("most_n", F.floor((100 + percent) * F.col("frequent") / percent) - F.col("n")), "facts")
     old = big.join(facts.select("node", "most_n"), "node").withColumn("out", F.coalesce(F.col("root") != F.col("home"), F.lit(True)))
     bounds = old.groupBy("bucket").agg(F.min("n").alias("least_n"), F.max("most_n").alias("of_all"), F.max(F.when(F.col("out"), F.col("most_n"))).alias("of_out"))
-    stay = old.join(bounds, "bucket").where((F.col("most_n") >= F.col("least_n")) & (F.col("n") <= F.when(F.col("out"), F.col("of_all")).otherwise(F.col("of_out"))))
+    stay = _shared.skew_join(old, bounds, "bucket", "node").where((F.col("most_n") >= F.col("least_n")) & (F.col("n") <= F.when(F.col("out"), F.col("of_all")).otherwise(F.col("of_out"))))
     new = rare.join(facts, "node").select(F.xxhash64("h", F.lit("rare")).alias("bucket"), "node", "n", "common", "root")
     shared = new.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-    return rows.where(F.col("members") <= BIG).select(*columns).union(stay.select(*columns)).union(new.join(shared, "bucket").select(*columns))
+    return rows.where(F.col("members") <= BIG).select(*columns).union(stay.select(*columns)).union(_shared.skew_join(new, shared, "bucket", "node").select(*columns))
 
 
 def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,7 +234,7 @@ def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     counts = rows.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket")
     counts = counts.agg(F.sum("c").alias("members"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("home")).where("members > most")
-    rows = rows.join(counts, "bucket").join(sets.select("node", "sketch").distinct(), "node")
+    rows = _shared.skew_join(rows, counts, "bucket", "node").join(sets.select("node", "sketch").distinct(), "node")
     rows = _shared.store(rows.select("bucket", "members", "most", "home", F.struct(*[F.col(c).cast("long").alias(c) for c in ("node", "root", "n", "common")], "sketch").alias("m")), "meeting")
     deal = lambda count: F.pmod(F.xxhash64("m.node"), F.ceil(count / BLOCK))
     every = rows.groupBy("bucket", deal(F.col("members")).alias("part")).agg(F.collect_list("m").alias("all"))
@@ -250,12 +251,21 @@ def _near(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(nodes) if small else nodes, docs["doc_id"] == nodes["node"], "left_semi")
 
 
-def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, bands, and rep: the smallest doc_id with an equal set (itself for an empty one)."""
+def classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, rep) of all documents, rep being the smallest doc_id with an equal set (itself for an empty
+    one); and (bucket, node, n), the bands of one document of each class. Both are stored.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = _shared.store(texts.mapInArrow(_signatures(size), "doc_id long, n_shingles long, set_hash binary, bands array<long>"), "signatures")
-    least = signed.where("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    return signed.join(least, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "bands")
+    facts = signed.select("doc_id", "n_shingles", "set_hash")
+    copied = facts.where("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    member = _shared.store(_shared.skew_join(facts, copied, "set_hash", "doc_id", "left").select("doc_id", "n_shingles", "set_hash", F.coalesce("rep", "doc_id").alias("rep")), "classes")
+    others = member.where("doc_id <> rep").select("doc_id", "set_hash").distinct()
+    small = others.count() <= BROADCAST_IDS
+    reps = signed.where("doc_id IS NOT NULL AND n_shingles > 0").join(F.broadcast(others) if small else others, ["doc_id", "set_hash"], "left_anti")
+    keyed = _shared.store(reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")), "bands")
+    _shared.drop(signed)
+    return member.drop("set_hash"), keyed
 
 
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -267,32 +277,31 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     if any. Other columns are ignored.
     """
     _shared.bounded_batches(docs.sparkSession)
-    member = _shared.store(classes(docs, size), "classes")
-    reps = member.where("doc_id = rep AND n_shingles > 0")
-    keyed = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("node"), F.col("n_shingles").alias("n"))
+    member, keyed = classes(docs, size)
     shared = keyed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("bucket")
-    buckets = _shared.store(keyed.join(shared, "bucket").distinct(), "buckets")
-    texts = _near(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), buckets.select("node").distinct())
+    every = _shared.store(_shared.skew_join(keyed, shared, "bucket", "node").distinct(), "buckets")
+    texts = _near(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), every.select("node").distinct())
     sets = _shared.store(texts.mapInArrow(_sets(size), "node long, hashes array<long>, sketch binary"), "shingle-sets")
-    buckets = _shared.store(_hopeful(buckets, sets, percent), "hopeful")
+    buckets = _shared.store(_hopeful(every, sets, percent), "hopeful")
     # The centre has the smallest share of shingles of its own: in a group of copies, it is the nearest to its origin.
     share, c = F.floor(20 * (F.col("n") - F.col("common")) / F.col("n")), F.struct("node", "n", "common")
     centre = F.min(F.struct(share.alias("share"), F.xxhash64("node").alias("h"), c.alias("c")))["c"].alias("c")
     chosen = buckets.groupBy("bucket").agg(centre, F.min("node").alias("least"), F.max("node").alias("most"), F.min("n").alias("least_n"), F.max("common").alias("most_common")).where("least <> most")
     able = _possible(F.col("common"), F.col("most_common"), F.col("n"), F.col("least_n"), percent)
-    open_ = _shared.store(buckets.join(chosen.drop("least", "most"), "bucket").where(able).drop("least_n", "most_common"), "open")
+    open_ = _shared.store(_shared.skew_join(buckets, chosen.drop("least", "most"), "bucket", "node").where(able).drop("least_n", "most_common"), "open")
     met = open_.where((F.col("node") != F.col("c.node")) & _possible(F.col("common"), F.col("c.common"), F.col("n"), F.col("c.n"), percent))
     pairs = _shared.store(met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), "pairs")
     links = _shared.store(_verified(pairs, sets, percent), "verified")
     root = None if links.isEmpty() else components.components(links)
     rows = _shared.store(_split(_rooted(open_.select("bucket", "node", "n", "common", F.col("c.node").alias("centre")), root), sets, percent), "split")
-    pairs = _shared.store(_across(rows, sets, percent), "pairs")
-    links = _shared.store(_verified(pairs, sets, percent), "verified")
-    if not links.isEmpty():
-        root = components.joined(root, links)
+    more = _shared.store(_across(rows, sets, percent), "pairs")
+    further = _shared.store(_verified(more, sets, percent), "verified")
+    if not further.isEmpty():
+        root = components.joined(root, further)
+    _shared.drop(keyed, every, sets, buckets, open_, pairs, rows, more)
     if root is None:
         root = docs.sparkSession.createDataFrame([], "node long, root long")
-    out = member.select("doc_id", "n_shingles", "rep").join(root.withColumnRenamed("node", "rep"), "rep", "left")
+    out = _shared.skew_join(member, root.withColumnRenamed("node", "rep"), "rep", "doc_id", "left")
     component = F.coalesce("root", "rep")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
