@@ -24,8 +24,9 @@ RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 #: Domains that are blocked with all their subdomains where no rule fits.
 BLOCKED_DOMAINS = [f"{name}.example.{tld}" for name in ("ads-track", "casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets") for tld in ("com", "net", "org")]
 
-#: Most bits of all levels that are sent to the executors (16 MB); a longer list is looked up by a join.
+#: Bits of a cascade's levels that are sent to the executors, about (16 MB). A longer list is split into several cascades by the hash of the key.
 MOST_BITS = 1 << 27
+#: Each level halves what is left, so these serve 2**64 keys. Beyond is only a pair of keys that share 128 bits of hashes: an error, not a wrong answer.
 MOST_LEVELS = 64
 
 
@@ -62,7 +63,8 @@ class Cascade:
 
 
 def hashes(key: Column) -> tuple[Column, Column]:
-    return F.xxhash64(key), F.xxhash64(key, F.lit("second"))
+    """Two hashes with seeds of their own."""
+    return F.xxhash64(key), F.xxhash64(F.lit("second"), key)
 
 
 def _u64(values: pa.Array) -> np.ndarray:
@@ -89,31 +91,31 @@ def _passing(shared, level: int):
     return F.arrow_udf(run, "boolean").asNondeterministic()
 
 
-def build(universe: DataFrame, listed: DataFrame) -> Cascade | None:
-    """The cascade of ``listed`` (key) over ``universe`` (key): both are reduced to distinct keys first.
-
-    Only keys of the universe take up room. Returns None if the filters would be over ``MOST_BITS``.
-    """
-    spark = universe.sparkSession
+def flagged(universe: DataFrame, listed: DataFrame) -> DataFrame:
+    """(h1, h2, listed) of the distinct keys of ``universe`` (key). Only these take up room, however long the list is."""
     keys = universe.select(F.col("key")).where(F.col("key").isNotNull()).distinct()
-    flagged = keys.join(listed.select("key").distinct().withColumn("listed", F.lit(True)), "key", "left")
-    sets = _shared.store(flagged.select(*[h.alias(n) for h, n in zip(hashes(F.col("key")), ("h1", "h2"), strict=True)], F.coalesce("listed", F.lit(False)).alias("listed")), "universe")
-    cascade, spent = Cascade(), 0
+    marked = keys.join(listed.select("key").distinct().withColumn("listed", F.lit(True)), "key", "left")
+    return marked.select(*[h.alias(n) for h, n in zip(hashes(F.col("key")), ("h1", "h2"), strict=True)], F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
+def _first_level(n: int, others: int) -> int:
+    """Hashes of level 1, which lets about as many others pass as there are listed keys over sqrt 2; later levels half."""
+    return max(1, round(-math.log2(min(0.5, max(1e-6, n * math.sqrt(0.5) / max(1, others))))))
+
+
+def build(sets: DataFrame) -> Cascade:
+    """The cascade of the listed keys of ``sets`` (h1, h2, listed), exact for all of its keys."""
+    spark, cascade = sets.sparkSession, Cascade()
     inside, outside = sets.where("listed"), sets.where("NOT listed")
     n, others = inside.count(), outside.count()
     for level in range(MOST_LEVELS):
         if not n:
             return cascade
-        # Level 1 lets about as many others pass as there are listed keys over sqrt 2; later levels half.
-        rate = min(0.5, max(1e-6, n * math.sqrt(0.5) / max(1, others))) if not level else 0.5
-        k = max(1, round(-math.log2(rate)))
+        k = _first_level(n, others) if not level else 1
         bits = max(64, math.ceil(n * k / math.log(2)))
-        spent += bits
-        if spent > MOST_BITS:
-            return None
         masks = inside.select("h1", "h2").mapInArrow(_level_positions(level, k, bits), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
         words = np.zeros(bits // 64 + 1, np.uint64)
-        got = masks.toArrow()  # at most MOST_BITS / 64 rows
+        got = masks.toArrow()  # a row a word of this level
         words[got["word"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
         cascade.levels.append((k, bits, words))
         passing = _passing(spark.sparkContext.broadcast(cascade), level)
@@ -157,30 +159,48 @@ def _any_listed(shared):
     return F.arrow_udf(run, "boolean").asNondeterministic()
 
 
+def _blocked_hosts(hosts: DataFrame, sets: DataFrame, cascades: int) -> DataFrame:
+    """Hosts that a long list blocks. Keys are dealt to ``cascades`` by their hash; each is built and asked in a pass of its own."""
+    deal = F.pmod(F.xxhash64("h1"), F.lit(cascades)).alias("deal")
+    h1, h2 = hashes(F.col("key"))
+    keys = hosts.select("host", F.explode(domains(F.col("host"))).alias("key")).select("host", h1.alias("h1"), h2.alias("h2"))
+    keys = _shared.store(keys.select("host", F.array("h1").alias("h1"), F.array("h2").alias("h2"), deal), "host-keys")
+    sets, out = _shared.store(sets.withColumn("deal", deal), "dealt-keys"), None
+    for k in range(cascades):
+        cascade = build(sets.where(F.col("deal") == k).drop("deal"))
+        found = keys.where(F.col("deal") == k).where(_any_listed(hosts.sparkSession.sparkContext.broadcast(cascade))("h1", "h2")).select("host")
+        found = _shared.store(found, "blocked-hosts")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """All columns of ``pages`` (page_id, url, ...) and host, path, rule, verdict.
 
     The longest rule that fits decides; without one, a page is blocked if its host or a parent domain is in
     ``listed`` (key), else allowed. Null URLs and those without ``://`` have an empty host and path and are
-    allowed. Repeated rows are judged alike. Columns named like those added are replaced.
+    allowed. Repeated rows are judged alike. Columns named like those four are replaced; all others are kept.
     """
     spark = pages.sparkSession
+    _shared.bounded_batches(spark)
     host, path = parts(F.col("url").cast("string"))
     found = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    universe = found.select("host").distinct().select(F.explode(domains(F.col("host"))).alias("key"))
-    cascade = build(universe, listed)
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    if cascade is not None:
+    hosts = found.select("host").distinct()
+    sets = _shared.store(flagged(hosts.select(F.explode(domains(F.col("host"))).alias("key")), listed), "universe")
+    n, others = sets.where("listed").count(), sets.where("NOT listed").count()
+    # All levels after the first have some three bits a listed key together.
+    cascades = math.ceil(n * (_first_level(n, others) + 3) / math.log(2) / MOST_BITS)
+    (blocked,) = _shared.free(found, "_blocked")
+    if cascades <= 1:
         keys = domains(F.col("host"))
         h1, h2 = F.transform(keys, lambda k: hashes(k)[0]), F.transform(keys, lambda k: hashes(k)[1])
-        blocked = _any_listed(spark.sparkContext.broadcast(cascade))(h1, h2)
-        found = found.withColumn("_blocked", blocked)
+        found = found.withColumn(blocked, _any_listed(spark.sparkContext.broadcast(build(sets)))(h1, h2))
     else:
-        hosts = found.select("host").distinct().select("host", F.explode(domains(F.col("host"))).alias("key"))
-        hosts = hosts.join(listed.select("key").distinct(), "key", "left_semi").select("host").distinct().withColumn("_blocked", F.lit(True))
-        found = found.join(hosts, "host", "left")
-    found = found.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.coalesce("_blocked", F.lit(False)), "block").otherwise("allow"))})
-    return found.drop("_blocked")
+        lookup = _shared.store(_blocked_hosts(hosts, sets, cascades), "blocked").withColumn(blocked, F.lit(True))
+        found = _shared.skew_join(found, lookup, "host", "url", "left")
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    verdict = F.coalesce(verdict, F.when(F.coalesce(F.col(blocked), F.lit(False)), "block").otherwise("allow"))
+    return found.withColumns({"rule": rule, "verdict": verdict}).drop(blocked)
 
 
 def op2_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

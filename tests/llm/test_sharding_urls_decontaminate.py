@@ -78,11 +78,15 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), blocks).collect() == [] and urls.judge(pages, blocks.limit(0)).count() == len(cases)
 
 
-def test_url_list_too_long_for_filters(spark, monkeypatch):
-    monkeypatch.setattr(urls, "MOST_BITS", 10)
-    pages = spark.createDataFrame([(1, "http://a.evil/"), (2, "http://good/"), (3, None)], "page_id long, url string")
-    got = {r.page_id: r.verdict for r in urls.judge(pages, spark.createDataFrame([("evil",)], "key string")).collect()}
-    assert got == {1: "block", 2: "allow", 3: "allow"}
+def test_a_long_list_is_split_into_several_cascades(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MOST_BITS", 200)
+    rng = random.Random(3)
+    listed = {f"bad{i}" for i in range(60)} | {"evil.org"}
+    cases = [None, "x", "http://a.evil.org/", "http://good/"] + [f"http://{rng.choice(['', 'w.'])}{rng.choice(['bad', 'fine'])}{rng.randrange(90)}/" for _ in range(400)]
+    pages = spark.createDataFrame([(i, u, "kept") for i, u in enumerate(cases)], "page_id long, url string, _blocked string")
+    rows = urls.judge(pages, spark.createDataFrame([(x,) for x in listed], "key string")).collect()
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows} == {i: naive_urls(u, listed) for i, u in enumerate(cases)}
+    assert all(r._blocked == "kept" for r in rows)
 
 
 def naive_hits(text, items, window=10):
