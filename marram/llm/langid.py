@@ -35,13 +35,25 @@ SHARPNESS = (2.0, 5.0, 10.0, 20.0, 40.0)
 _PAD, _END = "\x02", "\x03"
 
 
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
 @lru_cache(1)
-def letters() -> re.Pattern:
-    """Runs of letters: characters of the Unicode categories L. ``\\w`` has numerals of other kinds than digits besides."""
+def _letters() -> re.Pattern:
     others = "".join(chr(i) for i in range(0x110000) if chr(i).isalnum() and not chr(i).isalpha())
     return re.compile(f"[^\\W_{others}]+")
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, lower-cased: characters of the Unicode categories L. ``\\w`` has numerals of other kinds than
+    digits besides; they are rare, and the pattern without them is slow.
+    """
+    words = _WORDS.findall((text or "").lower())
+    if not words or "".join(words).isalpha():
+        return words
+    return [part for w in words for part in ([w] if w.isalpha() else _letters().findall(w))]
+
+
 def _hash(codes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-grams that end at each place from n - 1 on."""
     out = np.full(len(codes) - n + 1, n, np.uint64)
@@ -141,7 +153,7 @@ class Scorer:
         """(cross-entropy by language, characters) of each whole text; texts without letters have 0 characters."""
         entropy, sizes = np.zeros((len(texts), len(self.models.languages))), np.zeros(len(texts))
         for i in range(0, len(texts), 64):
-            words = [letters().findall((t or "").lower()) for t in texts[i : i + 64]]
+            words = [words_of(t) for t in texts[i : i + 64]]
             seen = set().union(*words)
             if len(seen) > self.kept:  # more than is ever kept
                 for k, own in enumerate(words):
@@ -207,7 +219,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: dict[tuple[str, str], int] = {}
         for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for w in letters().findall((text or "").lower()):
+            for w in words_of(text):
                 found[lang, w] = found.get((lang, w), 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
 
