@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from . import _shared
 
@@ -28,7 +29,6 @@ BROADCAST_ROWS, BROADCAST_IDS = 100_000, 1_000_000
 
 #: Word characters are ASCII letters and digits and all of code points over 127; the rest parts words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 SHARDS = "starts binary, firsts binary, digests binary, vocabulary binary, ids binary, suffixes binary"
 RUNS = "h1 long, h2 long, item string, line long, shift long, begin long, end long"
@@ -39,6 +39,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+@F.arrow_udf(LongType())
+def _n_words(texts: pa.Array) -> pa.Array:
+    return pa.array([len(words_of(t.as_py())) for t in texts], pa.int64())
+
+
 def digest(text: Column) -> tuple[Column, Column]:
     """Two hashes with seeds of their own."""
     return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
@@ -263,7 +268,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     match, none = F.col(at), F.lit(0).cast("long")
     empty = lambda c, kind: F.coalesce(match[c], F.array().cast(f"array<{kind}>")).alias(c)
     whole = F.struct(
-        F.coalesce(F.regexp_count(text, F.lit(_WORD)).cast("long"), none).alias("n_words"), F.coalesce(match["n_hit"], none).alias("n_hit"), empty("hit_from", "bigint"), empty("hit_to", "bigint"), empty("items", "string"),
+        _n_words(text).alias("n_words"), F.coalesce(match["n_hit"], none).alias("n_hit"), empty("hit_from", "bigint"), empty("hit_to", "bigint"), empty("items", "string"),
         F.coalesce(match["longest_words"], none).alias("longest_words"), *[match[c].alias(c) for c in ("longest_from", "longest_item", "longest_item_from")],
     )
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], whole.alias("_found"))
