@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -47,15 +48,18 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, "[\\s,，、/]+"), lambda t: t != "")
 
 
-def search_score(query: str, identifier: Column, label: Column, words: Column) -> Column:
-    """Relevance of a folded entry to a query: whole phrase 30, label or identifier inside the query 20, each token 5; a blank query scores 1."""
+def search_score(query: str, identifier: Column, label: Column, words: Column, terms: Column) -> Column:
+    """Relevance of a folded entry to a query: whole phrase 30, label or identifier inside the query 20, each token 5, each of
+    its terms inside the query 8; phrases are compared in compact form. A blank query scores 1.
+    """
     q = fold(query)
-    if not q:
+    short = re.sub("[^0-9a-z\u3400-\u9fff]+", "", q)
+    if not short:
         return F.lit(1)
     text = F.concat_ws(" ", identifier, label, words)
-    parts = [p for p in q.replace(",", " ").replace("/", " ").replace("，", " ").replace("、", " ").split() if p]
+    inside = lambda c: (compact(c) != "") & F.contains(F.lit(short), compact(c))
     hit = lambda c, n: F.when(c, n).otherwise(0)
-    score = hit(F.contains(text, F.lit(q)), 30) + hit(F.contains(F.lit(q), label), 20) + hit(F.contains(F.lit(q), identifier), 20)
-    for p in parts:
+    score = hit(F.contains(compact(text), F.lit(short)), 30) + hit(inside(label), 20) + hit(inside(identifier), 20)
+    for p in [p for p in re.split("[\\s,，、/]+", q) if p]:
         score = score + hit(F.contains(text, F.lit(p)), 5)
-    return score
+    return score + 8 * F.size(F.filter(terms, inside))

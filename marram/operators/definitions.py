@@ -5,12 +5,15 @@ A definition row has metric_id, position, context, category, model, agg, expr, f
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.operators.metrics import compute
 from marram.operators.relational import best_rows
 from marram.plans.catalog import METRICS
+from marram.sources.tables import content_digest, read_csv
 
 #: Accepted spellings of aggregations. Fixed values.
 SPELLINGS = {"average": "average", "avg": "average", "count": "count", "count distinct": "count_distinct", "count_distinct": "count_distinct", "min": "min", "sum": "sum"}
@@ -35,19 +38,56 @@ def catalog_status(rows: DataFrame) -> DataFrame:
 
 
 def preferred(rows: DataFrame) -> DataFrame:
-    """Of each metric the definition used by most rows; of equals, the one that comes first."""
+    """Of the rows of each metric and meaning one: with an order (order_by) before without, then with a label of its own
+    before one that repeats the id; of equals, the one that comes first. ``uses`` counts the rows.
+    """
     own = normalized(rows).withColumn("signature", signature())
-    counted = own.groupBy("metric_id", "signature").agg(F.count("*").alias("uses"), F.min("position").alias("first"))
-    return best_rows(counted, ["metric_id"], F.col("uses"), -F.col("first"))
+    blank = F.coalesce(F.trim("order_by"), F.lit("")) != ""
+    order = F.struct(blank.alias("a"), (~F.col("label").eqNullSafe(F.col("metric_id"))).alias("b"), (-F.col("position")).alias("c"))
+    return own.groupBy("metric_id", "signature").agg(F.count("*").alias("uses"), F.max_by(F.struct("position", "label", "order_by"), order).alias("best")).select("metric_id", "signature", "uses", "best.*")
+
+
+def build(rows: DataFrame, dimensions: DataFrame, digest: str, version: str) -> dict:
+    """The catalog document of definition rows and dimension rows (dimension_id, label): a metric a row of ``preferred``,
+    published if it has one meaning. It names the digest of its sources.
+    """
+    status = catalog_status(rows).withColumnRenamed("status", "state")
+    chosen = best_rows(preferred(rows), ["metric_id"], F.col("uses"), -F.col("position")).join(status, "metric_id").orderBy("metric_id")
+    known = {r.dimension_id: {"label": r.label} for r in dimensions.orderBy("dimension_id").collect()}
+    metrics = {}
+    for r in chosen.collect():  # a catalog has a row a metric
+        own = json.loads(r.signature)
+        names = [d for d in (own["dimensions"] or "").split(", ") if d]
+        if missing := [d for d in names if d not in known]:
+            raise ValueError(f"{r.metric_id} has unknown dimensions {missing}")
+        metrics[r.metric_id] = own | {"dimensions": names, "label": r.label, "status": r.state, "variants": r.variants}
+    return {"catalog_version": version, "source_sha256": digest, "dimensions": known, "metrics": metrics}
+
+
+def build_from_csv(spark: SparkSession, metrics: str, dimensions: str, version: str) -> dict:
+    """``build`` from two CSV files of strict headers."""
+    rows = read_csv(spark, metrics, ["metric_id", "position", "context", "category", "model", "agg", "expr", "filter", "dimensions", "label", "order_by"], ["metric_id", "model", "agg"])
+    return build(rows.withColumn("position", F.col("position").cast("int")), read_csv(spark, dimensions, ["dimension_id", "label"], ["dimension_id"]), content_digest(spark, [metrics, dimensions]), version)
+
+
+def fleet_status(spark: SparkSession, results: list[dict]) -> DataFrame:
+    """Of ``validate``'s results: passed and failed checks of each dataset and of all (dataset null), and whether all passed. No
+    results at all are a failure.
+    """
+    rows = spark.createDataFrame([(r["dataset"], r["status"] == "passed") for r in results], "dataset string, passed boolean")
+    found = [F.count_if("passed").alias("n_passed"), F.count_if(~F.col("passed")).alias("n_failed"), F.bool_and("passed").alias("all_passed"), F.bool_or("passed").alias("any_passed")]
+    every = rows.agg(F.lit(None).cast("string").alias("dataset"), *found)  # a row even without results
+    out = rows.groupBy("dataset").agg(*found).unionByName(every)
+    return out.select("dataset", "n_passed", "n_failed", F.coalesce("any_passed", F.lit(False)).alias("any_passed"), F.when(F.coalesce("all_passed", F.lit(False)), "passed").otherwise("failed").alias("status"))
 
 
 def validate(spark: SparkSession, directories: dict[str, str]) -> list[dict]:
     """Analyse every published metric against every dataset without reading data; failures do not stop the rest."""
     out = []
     for name, directory in directories.items():
-        for m in METRICS:
+        for m, profiles in ((m, METRICS[m].profiles) for m in METRICS if METRICS[m].profiles):
             try:
-                columns, error = compute(spark, directory, m).columns, None
+                columns, error = compute(spark, directory, m, profile=profiles[0]).columns, None
             except Exception as e:  # whatever the analysis says belongs to the report
                 columns, error = [], type(e).__name__
             out.append({"dataset": name, "metric_id": m, "columns": columns, "error": error, "status": "failed" if error else "passed"})

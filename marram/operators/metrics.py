@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marram.functions.text import search_score
 from marram.plans import models
-from marram.plans.catalog import METRICS, TIME, CatalogError, Metric, common_profiles, metric
+from marram.plans.catalog import METRICS, TIME, CatalogError, Metric, common_profiles, metric, resolved_profile
 
 MOST_METRICS, MOST_ROWS, ROWS, MOST_HITS = 5, 200, 50, 25
 
@@ -40,38 +40,42 @@ def bounded(rows: DataFrame, model: str, period: tuple[date, date] | None) -> Da
     return rows if period is None or column is None else rows.where(F.col(column).between(F.lit(period[0]), F.lit(period[1])))
 
 
-def compute(spark: SparkSession, directory: str, metric_id: str, period: tuple[date, date] | None = None) -> DataFrame:
+def compute(spark: SparkSession, directory: str, metric_id: str, period: tuple[date, date] | None = None, profile: str | None = None) -> DataFrame:
     """A row per combination of the metric's dimensions (one row without dimensions), in no order."""
-    m = metric(metric_id)
+    m = metric(metric_id, profile)
     rows = bounded(models.MODELS[m.model](spark, directory), m.model, period)
     if m.filter:
         rows = rows.where(m.filter)
     return rows.groupBy(*m.dimensions).agg(value(m, filtered=True))
 
 
-def fused(spark: SparkSession, directory: str, metric_ids: list[str], period: tuple[date, date] | None = None) -> DataFrame:
+def fused(spark: SparkSession, directory: str, metric_ids: list[str], period: tuple[date, date] | None = None, profile: str | None = None) -> DataFrame:
     """Several metrics of one model and the same dimensions in a single aggregation, a column each.
 
     Unlike ``compute``, a group stays if any of the metrics has rows in it; a count is then 0.
     """
-    own = [metric(m) for m in metric_ids]
+    own = [metric(m, profile) for m in metric_ids]
     if len({(m.model, m.dimensions) for m in own}) != 1:
         raise CatalogError("invalid_metric_request", "metrics of different models or dimensions")
     rows = bounded(models.MODELS[own[0].model](spark, directory), own[0].model, period)
     return rows.groupBy(*own[0].dimensions).agg(*[value(m) for m in own])
 
 
-def check_request(metric_ids: list[str], profile: str | None = None) -> list[str]:
-    """Distinct ids in their order. The limit counts ids before repeats go."""
+def request_ids(metric_ids: list[str]) -> list[str]:
+    """Distinct ids in their order, of one profile at least. The limit counts ids before repeats go."""
     if not isinstance(metric_ids, list) or not metric_ids or not all(isinstance(m, str) and re.fullmatch("[a-z0-9_]+", m) for m in metric_ids):
         raise CatalogError("invalid_metric_request", str(metric_ids))
     if len(metric_ids) > MOST_METRICS:
         raise CatalogError("too_many_metrics", str(len(metric_ids)))
     ids = list(dict.fromkeys(metric_ids))
-    for m in ids:
-        metric(m, profile)
-    if profile is None and not common_profiles(ids):
-        raise CatalogError("semantic_profile_required", ", ".join(ids))
+    common_profiles(ids)
+    return ids
+
+
+def check_request(metric_ids: list[str], profile: str | None = None) -> list[str]:
+    """Ids of a request that ``profile``, or any that all profiles agree on, can answer."""
+    ids = request_ids(metric_ids)
+    resolved_profile(ids, profile)
     return ids
 
 
@@ -85,21 +89,30 @@ def top_rows(rows: DataFrame, order: list[Column], limit: int = ROWS) -> tuple[l
 def request(spark: SparkSession, directory: str, metric_ids: list[str], period: tuple[date, date], profile: str | None = None, limit: int = ROWS) -> list[dict]:
     """The service's answer: for each metric its rows, date scope and whether they were cut off."""
     out = []
-    for m in map(metric, check_request(metric_ids, profile)):
-        rows, truncated = top_rows(compute(spark, directory, m.id, period), [F.desc(m.id), *map(F.col, m.dimensions)], limit)
+    ids = check_request(metric_ids, profile)
+    profile, _ = resolved_profile(ids, profile)
+    for m in (metric(i, profile) for i in ids):
+        rows, truncated = top_rows(compute(spark, directory, m.id, period, profile), [F.desc(m.id), *map(F.col, m.dimensions)], limit)
         out.append({"metric_id": m.id, "date_scope": m.date_scope, "dimensions": list(m.dimensions), "rows": rows, "truncated": truncated})
     return out
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    rows = [(m.id, m.label.casefold(), " ".join([*m.aliases, *m.dimensions]).casefold(), m.model, list(m.profiles)) for m in METRICS.values()]
-    return spark.createDataFrame(rows, "metric_id string, label string, words string, model string, profiles array<string>")
+    """A row per metric and profile that publishes it: metric_id, label, words, terms, profile, definition."""
+    rows = []
+    for m in METRICS.values():
+        terms = [m.label.casefold(), *[d.replace("_", " ") for d in m.dimensions]]
+        words = " ".join([*m.aliases, *m.dimensions, *terms[1:]]).casefold()
+        for p in m.profiles:
+            rows.append((m.id, terms[0], words, terms, p, repr(metric(m.id, p))))
+    return spark.createDataFrame(rows, "metric_id string, label string, words string, terms array<string>, profile string, definition string")
 
 
 def search(spark: SparkSession, query: str, profile: str | None = None, limit: int = 10) -> DataFrame:
-    """Metrics by relevance, then id; ``limit`` is 1 to 25."""
+    """Metrics by relevance, then id; ``limit`` is 1 to 25. Profiles that define a metric alike are one hit, with the best of their scores."""
     found = catalog(spark)
     if profile is not None:
-        found = found.where(F.array_contains("profiles", profile))
-    found = found.withColumn("score", search_score(query, F.col("metric_id"), F.col("label"), F.col("words")))
-    return found.where("score > 0").orderBy(F.desc("score"), "metric_id").limit(max(1, min(MOST_HITS, limit))).select("metric_id", "score")
+        found = found.where(F.col("profile") == profile)
+    found = found.withColumn("score", search_score(query, F.col("metric_id"), F.col("label"), F.col("words"), F.col("terms")))
+    hits = found.where("score > 0").groupBy("metric_id", "definition").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("profile")).alias("profiles"))
+    return hits.orderBy(F.desc("score"), "metric_id", "definition").limit(max(1, min(MOST_HITS, limit))).select("metric_id", "score", "profiles")

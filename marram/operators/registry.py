@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marram.functions.text import aliases, blank_to_null, fold, folded
@@ -17,7 +17,9 @@ CANDIDATES = 22
 MATCHES = ("exact", "alias", "partial")
 
 #: Words too general to name a customer. Fixed values.
-GENERIC = ("公司", "股份有限公司", "有限公司", "集團", "品牌", "官網", "company", "brand", "group", "inc", "ltd")
+GENERIC = ("公司", "企業", "集團", "有限公司", "股份有限公司", "有限責任公司", "company", "co", "co.", "corporation", "corp", "inc", "inc.", "incorporated", "ltd", "ltd.", "limited", "group")
+#: Tenants that an issue names at most, the smallest ids; all are counted.
+SHOWN = 100
 
 
 def named(registry: DataFrame) -> DataFrame:
@@ -114,29 +116,48 @@ def active_customers(registry: DataFrame) -> DataFrame:
     return rows.where(active).join(once, "normalized_name", "left_semi").select("tenant_id", "tenant_name", "normalized_name", profile.alias("profile"))
 
 
-def _issue(rows: DataFrame, code: str, tenants: Column, alias: Column) -> DataFrame:
-    return rows.select(F.lit(code).alias("code"), tenants.cast("array<string>").alias("tenant_ids"), alias.cast("string").alias("alias"))
+def _issue(rows: DataFrame, code: str, alias: Column) -> DataFrame:
+    return rows.select(F.lit(code).alias("code"), F.array("tenant_id").alias("tenant_ids"), F.lit(1).cast("long").alias("n_tenants"), alias.cast("string").alias("alias"))
 
 
 def quality_issues(registry: DataFrame) -> DataFrame:
-    """(code, tenant_ids, alias) of every violated rule. Rows without a name are not judged."""
-    one, none = F.array("tenant_id"), F.lit(None)
+    """(code, tenant_ids, n_tenants, alias) of every violated rule. Rows without a name are not judged.
+
+    An alias that very many tenants have is one issue: its tenants are counted, and the ``SHOWN`` smallest ids are listed,
+    so that no row grows with the registry.
+    """
+    none = F.lit(None).cast("string")
     names, parts = named(registry), alias_rows(registry)
     raw = F.split("aliases", "[|]")
-    ids = F.array_sort(F.collect_set("tenant_id"))
-    shown = F.min_by("alias", F.struct("tenant_id", "alias_no"))
-    formal = names.groupBy(F.col("normalized_name").alias("key")).agg(ids.alias("formal_ids"), F.count("*").alias("n"))
-    by_alias = parts.groupBy(F.col("normalized_alias").alias("key")).agg(ids.alias("alias_ids"), F.count("*").alias("n"), shown.alias("alias"))
     repeated = parts.groupBy("tenant_id", "normalized_name", "normalized_alias").agg(F.count("*").alias("n"), F.max_by("alias", "alias_no").alias("alias")).where("n > 1")
-    conflict = by_alias.join(formal.select("key", "formal_ids"), "key").where("formal_ids <> alias_ids")
+    # A row a key and tenant: how often it is a formal name and an alias there.
+    formal = names.select(F.col("normalized_name").alias("key"), "tenant_id", F.lit(1).alias("formal"), F.lit(0).alias("aliased"), none.alias("alias"), F.lit(0).alias("alias_no"))
+    pairs = formal.unionByName(parts.select(F.col("normalized_alias").alias("key"), "tenant_id", F.lit(0).alias("formal"), F.lit(1).alias("aliased"), "alias", "alias_no"))
+    shown = F.min(F.when(F.col("aliased") == 1, F.struct("alias_no", "alias")))
+    pairs = pairs.groupBy("key", "tenant_id").agg(F.sum("formal").alias("formal"), F.sum("aliased").alias("aliased"), shown.alias("shown"))
+    is_formal, is_alias = F.col("formal") > 0, F.col("aliased") > 0
+    first = F.min(F.when(is_alias, F.struct("tenant_id", F.col("shown.alias").alias("alias"))))["alias"]
+    keys = pairs.groupBy("key").agg(F.sum("formal").alias("formal_rows"), F.sum("aliased").alias("alias_rows"), F.count_if(is_formal).alias("n_formal"), F.count_if(is_alias).alias("n_alias"), F.count("*").alias("n_all"), first.alias("alias"))
+    # The same tenants are on both sides only if each is as many as all.
+    conflict = (F.col("n_formal") > 0) & (F.col("n_alias") > 0) & ((F.col("n_formal") < F.col("n_all")) | (F.col("n_alias") < F.col("n_all")))
+    kinds = (
+        ("duplicate_formal_name", F.col("formal_rows") > 1, is_formal, "n_formal", none),
+        ("duplicate_alias_across_tenants", F.col("alias_rows") > 1, is_alias, "n_alias", F.col("alias")),
+        ("alias_conflicts_with_formal_name", conflict, F.lit(True), "n_all", F.col("alias")),
+    )
+    cases = F.array_compact(F.array(*[F.when(broken, F.struct(F.lit(code).alias("code"), F.col(n).alias("n_tenants"), alias.alias("alias"))) for code, broken, _, n, alias in kinds]))
+    broken = keys.select("key", F.explode(cases).alias("case"))
+    member = F.create_map(*[x for code, _, belongs, _, _ in kinds for x in (F.lit(code), belongs)])
+    listed = broken.join(pairs, "key").where(member[F.col("case.code")])
+    rank = F.row_number().over(Window.partitionBy("case.code", "key").orderBy("tenant_id"))
+    listed = listed.withColumn("rank", rank).where(F.col("rank") <= SHOWN)
+    many = listed.groupBy("key", "case").agg(F.array_sort(F.collect_list("tenant_id")).alias("tenant_ids")).select("case.code", "tenant_ids", "case.n_tenants", "case.alias")
     found = (
-        _issue(names.where(blank_to_null(F.col("aliases")).isNotNull() & F.exists(raw, lambda a: F.trim(a) == "")), "empty_alias", one, none),
-        _issue(parts.where(F.col("normalized_alias").isin(*GENERIC)), "generic_alias", one, F.col("alias")),
-        _issue(repeated, "duplicate_alias_within_tenant", one, F.col("alias")),
-        _issue(parts.where("normalized_alias = normalized_name"), "alias_matches_formal_name", one, F.col("alias")),
-        _issue(formal.where("n > 1"), "duplicate_formal_name", F.col("formal_ids"), none),
-        _issue(by_alias.where("n > 1"), "duplicate_alias_across_tenants", F.col("alias_ids"), F.col("alias")),
-        _issue(conflict, "alias_conflicts_with_formal_name", F.array_sort(F.array_union("alias_ids", "formal_ids")), F.col("alias")),
+        _issue(names.where(blank_to_null(F.col("aliases")).isNotNull() & F.exists(raw, lambda a: F.trim(a) == "")), "empty_alias", none),
+        _issue(parts.where(F.col("normalized_alias").isin(*GENERIC)), "generic_alias", F.col("alias")),
+        _issue(repeated, "duplicate_alias_within_tenant", F.col("alias")),
+        _issue(parts.where("normalized_alias = normalized_name"), "alias_matches_formal_name", F.col("alias")),
+        many,
     )
     out = found[0]
     for rows in found[1:]:
@@ -157,7 +178,7 @@ def from_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 def from_customers(customers: DataFrame) -> DataFrame:
-    """A registry of the customer table's size: names as they are, the market segment as alias, one in three not active."""
+    """A registry of the customer table's size: names as they are, the market segment as alias, a generic one for some, one in three not active."""
     key = F.col("c_custkey")
     return customers.select(
         key.cast("string").alias("tenant_id"),
@@ -165,5 +186,5 @@ def from_customers(customers: DataFrame) -> DataFrame:
         F.concat(F.lit("project-"), (key % 5).cast("string")).alias("project_id"),
         F.when(key % 3 == 0, "provisioning").otherwise(" Active ").alias("status"),
         F.when(key % 4 == 0, F.lit(True)).when(key % 4 == 1, F.lit(False)).alias("ec"),
-        F.concat(F.lit("client "), key.cast("string"), F.lit("| |"), F.col("c_mktsegment")).alias("aliases"),
+        F.concat(F.lit("client "), key.cast("string"), F.lit("| |"), F.col("c_mktsegment"), F.when(key % 50 == 0, "|Ltd.").otherwise("")).alias("aliases"),
     )

@@ -30,8 +30,8 @@ def aggregates(rows: DataFrame, start: date, end: date) -> DataFrame:
     bounded = rows.where(F.col("session_date").between(F.lit(before), F.lit(end))).select(
         F.when(since < days, "previous").otherwise("current").alias("period_key"), (since % days).alias("day_index"), "session_uid", "user_pseudo_id", "user_label"
     )
-    # Few columns and exact repeats gone before the distinct counts multiply the rows.
-    found = bounded.distinct().groupingSets(
+    # Repeats of a session do not count: all four are distinct counts, combined map-side.
+    found = bounded.groupingSets(
         [[F.col("period_key")], [F.col("period_key"), F.col("day_index")]], F.col("period_key"), F.col("day_index")
     ).agg(
         F.grouping("day_index").cast("int").alias("is_headline"),

@@ -4,17 +4,21 @@
 ``web_events``     a row per event with page, search term and calendar columns
 ``order_items``    a row per order with its items nested
 ``users``          a row per customer with purchase counts and revenue
+``all_orders``     a row per order; ``labelled_orders`` says too whether it is its customer's first
 ``traffic_flows``  a row per step from one event type to the next inside a session
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marram.sources.tables import table
+from marram.sources.tables import shared_dir, table
 
 GAP_MINUTES = 30
+SESSIONS = "session_uid string, session_date date, user_pseudo_id string, user_label string, session_source string, session_medium string, session_campaign string, device_category string, country string, region string, first_page_title string, exit_event string, n_events long, n_purchases long, bounced boolean"
 
 #: What the events' integer property selects. Fixed values.
 SOURCES = ("google", "newsletter", "direct", "facebook", "partner")
@@ -55,10 +59,35 @@ def sessionize(events: DataFrame, minutes: int = GAP_MINUTES) -> DataFrame:
     return known.join(days, ["user_id", "_day"]).withColumn("session_no", F.col("_base") + F.col("_in_day")).drop("_day", "_new", "_in_day", "_base")
 
 
+#: Session tables by application and dataset, with the state of the events that they were built from.
+_built: dict[tuple[str, str], tuple[object, str]] = {}
+
+
 def sessions(spark: SparkSession, directory: str) -> DataFrame:
+    """The session table, partitioned by session_date: it is built once for a dataset and read by day from then on.
+
+    It is built anew if the files of the events table are others than before.
+    """
+    key, state = (spark.sparkContext.applicationId, directory), events_state(spark, directory)
+    if key not in _built or _built[key][0] != state:
+        path = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+        # Days in as few files as their size allows; a hot day is still several tasks' work.
+        found = build_sessions(spark, directory).repartition("session_date", F.pmod(F.xxhash64("session_uid"), F.lit(4)))
+        found.write.partitionBy("session_date").parquet(path)
+        _built[key] = state, path
+    return spark.read.schema(SESSIONS).parquet(_built[key][1])
+
+
+def events_state(spark: SparkSession, directory: str) -> object:
+    """Names, sizes and times of the events table's files, folded to one row by Spark."""
+    files = table(spark, directory, "events").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return tuple(files.agg(F.count("*"), F.sum("file_size"), F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time"))).first())
+
+
+def build_sessions(spark: SparkSession, directory: str) -> DataFrame:
     events = sessionize(prop(table(spark, directory, "events")))
     at = F.struct("ts", "event_id", "k", "event_type")
-    rows = events.groupBy("user_id", "session_no").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n_events"), F.sum("value").alias("session_value"))
+    rows = events.groupBy("user_id", "session_no").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n_events"), F.count_if(F.col("event_type") == "purchase").alias("n_purchases"))
     k = F.col("first.k")
     return rows.select(
         F.concat_ws("-", "user_id", "session_no").alias("session_uid"),
@@ -74,6 +103,7 @@ def sessions(spark: SparkSession, directory: str) -> DataFrame:
         F.concat(F.lit("Page "), "first.event_type").alias("first_page_title"),
         F.col("last.event_type").alias("exit_event"),
         "n_events",
+        "n_purchases",
         (F.col("n_events") == 1).alias("bounced"),
     )
 
@@ -125,6 +155,10 @@ def labelled_orders(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select("o_orderkey", "o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("order_date"), F.when(F.col("o_orderkey") == F.col("first.o_orderkey"), "first").otherwise("repeat").alias("order_label"))
 
 
+def all_orders(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("order_date"))
+
+
 def traffic_flows(spark: SparkSession, directory: str) -> DataFrame:
     events = sessionize(table(spark, directory, "events"))
     step = Window.partitionBy("user_id", "session_no").orderBy("ts", "event_id")
@@ -132,4 +166,4 @@ def traffic_flows(spark: SparkSession, directory: str) -> DataFrame:
     return rows.where("traffic_flow_target IS NOT NULL")
 
 
-MODELS = {"sessions": sessions, "web_events": web_events, "users": users, "labelled_orders": labelled_orders, "traffic_flows": traffic_flows}
+MODELS = {"sessions": sessions, "web_events": web_events, "users": users, "labelled_orders": labelled_orders, "all_orders": all_orders, "traffic_flows": traffic_flows}

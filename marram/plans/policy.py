@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import threading
+import time
 import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 
@@ -25,6 +28,23 @@ class Policy:
     max_bytes_per_request: int = 10_000_000_000
     timeout_s: float = 60.0
 
+    @classmethod
+    def from_environment(cls, values: Mapping[str, str] | None = None) -> Policy:
+        """Limits from ``MARRAM_EARLIEST_DATE``, ``MARRAM_MAX_DAYS``, ``MARRAM_MAX_BYTES_PER_JOB``, ``MARRAM_MAX_BYTES_PER_REQUEST`` and
+        ``MARRAM_TIMEOUT_S``; what is not set keeps its default, what cannot be read is an error.
+        """
+        values, found = os.environ if values is None else values, {}
+        kinds = {"earliest": ("EARLIEST_DATE", date.fromisoformat), "max_days": ("MAX_DAYS", int), "max_bytes_per_job": ("MAX_BYTES_PER_JOB", int), "max_bytes_per_request": ("MAX_BYTES_PER_REQUEST", int), "timeout_s": ("TIMEOUT_S", float)}
+        for name, (key, kind) in kinds.items():
+            if (text := values.get(f"MARRAM_{key}")) is not None:
+                try:
+                    found[name] = kind(text)
+                except ValueError as e:
+                    raise ValueError(f"MARRAM_{key}: {e}") from e
+                if name != "earliest" and found[name] <= 0:
+                    raise ValueError(f"MARRAM_{key} is not positive")
+        return cls(**found)
+
     def dates(self, start: str, end: str, today: date, comparison_periods: int = 0) -> tuple[date, date]:
         """The two dates, or the first limit that they break: form, order, earliest day, span, look-back, future."""
         if comparison_periods < 0:
@@ -102,16 +122,39 @@ class Run:
     status: str = "not_executed"
     estimated_bytes: int = 0
     plan: str = ""
+    arguments: dict = field(default_factory=dict)
+    seconds: float = 0.0
     rows: list[Row] = field(default_factory=list)
 
+    def record(self) -> dict:
+        """What the answer says about the query, without its rows. The tag finds its jobs in Spark's own records."""
+        return {"query": self.name, "tag": self.tag, "status": self.status, "estimated_bytes": self.estimated_bytes, "arguments": self.arguments, "seconds": round(self.seconds, 3), "plan": self.plan}
+
+
+def label(text: str) -> str:
+    """A name as a label may have it: no underscores, 63 characters at most."""
+    return text.replace("_", "-")[:63]
+
+
+def failure(error: Exception, late: bool) -> str:
+    """The code of a failed query."""
+    name = type(error).__name__
+    if late:
+        return "query_timeout"
+    if name == "AnalysisException" or name == "ParseException":
+        return "query_invalid"
+    if "PATH_NOT_FOUND" in str(error) or "FileNotFoundException" in str(error):
+        return "data_unavailable"
+    return "query_failed"
+
 
-def execute(queries: dict[str, DataFrame], policy: Policy, most_rows: int = 200) -> list[Run]:
+def execute(queries: dict[str, DataFrame], policy: Policy, most_rows: int = 200, arguments: dict | None = None) -> list[Run]:
     """Run bounded queries one after the other, each under a tag and a time limit, after all of them passed the preflight.
 
     After a failure the rest is reported as not executed, with the records so far in the error's details.
     """
     estimates = policy.preflight(queries)
-    runs = [Run(n, f"marram-{uuid.uuid4().hex}", estimated_bytes=estimates[n]) for n in queries]
+    runs = [Run(n, f"marram-{label(n)}-{uuid.uuid4().hex}", estimated_bytes=estimates[n], arguments=arguments or {}) for n in queries]
     for run, df in zip(runs, queries.values(), strict=True):
         spark = df.sparkSession
         run.plan = df._jdf.queryExecution().optimizedPlan().toString()
@@ -124,12 +167,14 @@ def execute(queries: dict[str, DataFrame], policy: Policy, most_rows: int = 200)
         timer = threading.Timer(policy.timeout_s, stop)
         spark.addTag(run.tag)
         timer.start()
+        began = time.monotonic()
         try:
             run.rows, run.status = df.limit(most_rows + 1).collect(), "executed"
         except Exception as e:
             run.status = "failed"
-            raise PolicyError("query_timeout" if late.is_set() else "query_failed", query=run.name, runs=runs) from e
+            raise PolicyError(failure(e, late.is_set()), query=run.name, runs=runs) from e
         finally:
+            run.seconds = time.monotonic() - began
             timer.cancel()
             spark.removeTag(run.tag)
     return runs

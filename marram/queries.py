@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marram.functions import dates, text
 from marram.operators import definitions, intervals, metrics, registry, relational, traffic, usage
 from marram.plans import models, oracle
-from marram.plans.catalog import METRICS, TIME, Metric
+from marram.plans.catalog import METRICS, TIME, Metric, metric
 from marram.sources.tables import table
 from marram.streaming import events as streams
 
@@ -78,6 +78,20 @@ def traffic_summary_nested(spark: SparkSession, d: str) -> DataFrame:
     return traffic.traffic_summary(spark, d, START, END)
 
 
+@query(
+    f"WITH {_AGGREGATES}, h AS (SELECT 1 AS one{_HEAD} FROM aggregates WHERE is_headline = 1), s AS (SELECT count(*) AS n_days, CAST(sum(total_sessions) AS BIGINT) AS day_sessions FROM aggregates WHERE is_headline = 0 AND period_key = 'current') "
+    f"SELECT DATE '{START}' AS start_date, DATE '{END}' AS end_date, DATE '{_FIRST}' AS previous_start_date, DATE '{_LAST}' AS previous_end_date, n_days, day_sessions, "
+    + ", ".join(f"{k}_{c}" for k in ("current", "previous") for c in traffic.COUNTS)
+    + " FROM h, s"
+)
+def traffic_summary_flat(spark: SparkSession, d: str) -> DataFrame:
+    """The report's row with its structs spread out and its daily series added up."""
+    row, n = traffic.traffic_summary(spark, d, START, END), F.lit(0).cast("long")
+    days = F.aggregate("daily_series", n, lambda acc, x: acc + x["current"]["total_sessions"])
+    dates_ = [f"{k}{e}_date" for k in ("", "previous_") for e in ("start", "end")]
+    return row.select(*dates_, F.size("daily_series").cast("long").alias("n_days"), days.alias("day_sessions"), *[F.col(f"{k}_period.{c}").alias(f"{k}_{c}") for k in ("current", "previous") for c in traffic.COUNTS])
+
+
 @query(f"WITH {_AGGREGATES} SELECT CAST(day_index AS INT) AS day_index{_HEAD} FROM aggregates WHERE is_headline = 0 GROUP BY day_index")
 def daily_series_rows(spark: SparkSession, d: str) -> DataFrame:
     day = traffic.traffic_summary(spark, d, START, END).select(F.inline("daily_series"))
@@ -123,10 +137,13 @@ def _metric_sql(m: Metric, period: bool) -> str:
 
 
 def _metric_queries() -> None:
-    for m in METRICS.values():
-        period = None if m.model == "labelled_orders" else (START, END)
-        QUERIES[m.id] = lambda spark, d, m=m, period=period: metrics.compute(spark, d, m.id, period)
-        SQL[m.id] = _metric_sql(m, period is not None)
+    for base in METRICS.values():
+        for profile in base.profiles if base.filters else base.profiles[:1]:
+            m = metric(base.id, profile)
+            name = f"{m.id}_{profile}" if base.filters else m.id
+            period = None if m.model in ("labelled_orders", "all_orders") else (START, END)
+            QUERIES[name] = lambda spark, d, m=m, period=period, profile=profile: metrics.compute(spark, d, m.id, period, profile)
+            SQL[name] = _metric_sql(m, period is not None)
 
 
 _metric_queries()
@@ -138,29 +155,27 @@ def count_distinct_filtered(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_pseudo_id").alias("users"), F.round(F.avg(F.when(F.col("event_hour") >= 12, 1.0).otherwise(0.0)), 6).alias("afternoon_share"))
 
 
-@query(f"WITH {oracle.SESSIONS} SELECT session_source, count(*) FILTER (WHERE user_label = 'new_user') AS fresh, count(*) AS n FROM sessions GROUP BY session_source")
+@query(
+    f"WITH {oracle.SESSIONS} SELECT count(DISTINCT session_uid) AS total_sessions, count(DISTINCT user_pseudo_id) AS total_users, CAST(sum(n_events) FILTER (WHERE NOT bounced) AS BIGINT) AS engagement, "
+    f"round(CAST(count(DISTINCT user_pseudo_id) FILTER (WHERE user_label = 'returning_user') AS DOUBLE) / count(DISTINCT user_pseudo_id), 6) AS returning_user_share FROM sessions WHERE session_date BETWEEN DATE '{START}' AND DATE '{END}'"
+)
 def fused_metrics(spark: SparkSession, d: str) -> DataFrame:
-    s = models.sessions(spark, d)
-    return s.groupBy("session_source").agg(metrics.aggregate("count", "*", "user_label = 'new_user'").alias("fresh"), metrics.aggregate("count", "*", None).alias("n"))
+    return metrics.fused(spark, d, ["total_sessions", "total_users", "engagement", "returning_user_share"], (START, END))
 
 
 @query("SELECT p_name AS item_name, count(*) AS lines, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_name")
 def items_by_name(spark: SparkSession, d: str) -> DataFrame:
-    """Quantities are whole numbers, so their sum is exact in any order."""
-    items = models.order_items(spark, d).select(F.explode("items").alias("item"))
-    return items.groupBy(F.col("item.item_name").alias("item_name")).agg(F.count("*").alias("lines"), F.sum("item.quantity").cast("long").alias("quantity"))
-
-
-@query("SELECT CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS total_revenue_cents FROM orders")
-def total_revenue(spark: SparkSession, d: str) -> DataFrame:
-    """In cents, so that the sum does not depend on the order of rows."""
-    return table(spark, d, "orders").agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("total_revenue_cents"))
+    """Lines are added up by part before parts give their names. Quantities are whole numbers, so their sum is exact in any order."""
+    lines, parts = table(spark, d, "lineitem"), table(spark, d, "part")
+    sold = lines.groupBy("l_partkey").agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"))
+    rows = sold.join(parts, sold["l_partkey"] == parts["p_partkey"]).groupBy(F.col("p_name").alias("item_name"))
+    return rows.agg(F.sum("lines").alias("lines"), F.sum("quantity").cast("long").alias("quantity"))
 
 
-@query("SELECT round(CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100, 4) AS aov FROM orders")
-def aov(spark: SparkSession, d: str) -> DataFrame:
-    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double")
-    return table(spark, d, "orders").agg(F.round(F.try_divide(cents, F.count("*")) / 100, 4).alias("aov"))
+@query("SELECT l_orderkey AS order_id, count(*) AS n_items, string_agg(p_name, '|' ORDER BY p_name, l_quantity, l_linenumber) AS items FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey")
+def order_items(spark: SparkSession, d: str) -> DataFrame:
+    items = models.order_items(spark, d)
+    return items.select("order_id", F.size("items").cast("long").alias("n_items"), F.array_join("items.item_name", "|").alias("items"))
 
 
 @query(f"WITH {oracle.WEB_EVENTS} SELECT event_date, page_location_clean, count(*) AS n FROM web_events GROUP BY ALL ORDER BY n DESC, event_date, page_location_clean LIMIT 51")
@@ -172,7 +187,7 @@ def top_k_limit_plus_one(spark: SparkSession, d: str) -> DataFrame:
 # Registry
 
 _REGISTRY = """r AS (SELECT CAST(c_custkey AS VARCHAR) AS tenant_id, CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_name END AS tenant_name, CASE WHEN c_custkey % 3 = 0 THEN 'provisioning' ELSE ' Active ' END AS status,
-  CASE c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS ec, 'client ' || c_custkey || '| |' || c_mktsegment AS aliases FROM customer),
+  CASE c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS ec, 'client ' || c_custkey || '| |' || c_mktsegment || CASE WHEN c_custkey % 50 = 0 THEN '|Ltd.' ELSE '' END AS aliases FROM customer),
 n AS (SELECT *, lower(trim(tenant_name)) AS normalized_name FROM r WHERE nullif(trim(tenant_name), '') IS NOT NULL),
 a AS (SELECT tenant_id, normalized_name, trim(x) AS alias, lower(trim(x)) AS normalized_alias FROM (SELECT *, unnest(string_split(aliases, '|')) AS x FROM n) WHERE trim(x) <> '')"""
 
@@ -216,12 +231,12 @@ def registry_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_REGISTRY} SELECT code, count(*) AS n FROM (SELECT 'empty_alias' AS code FROM n UNION ALL SELECT 'duplicate_alias_across_tenants' FROM (SELECT normalized_alias FROM a GROUP BY 1 HAVING count(*) > 1)
-  UNION ALL SELECT 'duplicate_formal_name' FROM (SELECT normalized_name FROM n GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'alias_matches_formal_name' FROM a WHERE normalized_alias = normalized_name) GROUP BY code""")
+  UNION ALL SELECT 'duplicate_formal_name' FROM (SELECT normalized_name FROM n GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'alias_matches_formal_name' FROM a WHERE normalized_alias = normalized_name UNION ALL SELECT 'generic_alias' FROM a WHERE normalized_alias = 'ltd.') GROUP BY code""")
 def registry_issues(spark: SparkSession, d: str) -> DataFrame:
     return registry.quality_issues(_registry(spark, d)).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT c_custkey, lower(c_name) AS name_key, regexp_replace(lower(c_name), '[^0-9a-z]+', '', 'g') AS compact_key FROM customer")
 def name_keys(spark: SparkSession, d: str) -> DataFrame:
     """Unicode-aware keys of names in full-width letters."""
     wide = F.translate("c_name", "CustomerABC#0123456789", "Ｃｕｓｔｏｍｅｒ" + "ＡＢＣ＃０１２３４５６７８９")
@@ -229,9 +244,22 @@ def name_keys(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("compact_key", text.compact(F.col("name_key")))
 
 
-@query()
+def _search_sql(short: str, tokens: tuple[str, ...]) -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    rows = []
+    for m in METRICS.values():
+        terms = [m.label.lower(), *[x.replace("_", " ") for x in m.dimensions]]
+        text = " ".join([m.id, terms[0], *m.aliases, *m.dimensions, *terms[1:]]).lower()
+        rows += [f"({quoted(m.id)}, {quoted(terms[0])}, {quoted(text)}, [{', '.join(map(quoted, terms))}], {quoted(p)}, {quoted(repr(metric(m.id, p)))})" for p in m.profiles]
+    k = lambda c: f"regexp_replace({c}, '[^0-9a-z㐀-鿿]+', '', 'g')"
+    hits = [f"30 * CAST(contains({k('txt')}, '{short}') AS INT)"] + [f"20 * CAST({k(c)} <> '' AND contains('{short}', {k(c)}) AS INT)" for c in ("label", "metric_id")] + [f"5 * CAST(contains(txt, '{t}') AS INT)" for t in tokens]
+    score = " + ".join([*hits, f"8 * len(list_filter(terms, lambda t: {k('t')} <> '' AND contains('{short}', {k('t')})))"])
+    return f"WITH c(metric_id, label, txt, terms, profile, definition) AS (VALUES {', '.join(rows)}), s AS (SELECT *, {score} AS score FROM c) SELECT metric_id, CAST(max(score) AS INT) AS score, string_agg(profile, ',' ORDER BY profile) AS profiles FROM s WHERE score > 0 GROUP BY metric_id, definition ORDER BY score DESC, metric_id, definition LIMIT 25"
+
+
+@query(_search_sql("sessionsbysource", ("sessions", "by", "source")))
 def metric_search(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.search(spark, "sessions by source", limit=25)
+    return metrics.search(spark, "sessions by source", limit=25).withColumn("profiles", F.array_join("profiles", ","))
 
 
 # Periods
@@ -253,8 +281,10 @@ def interval_union_days(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT o_custkey, s AS start, max(e) AS \"end\", count(*) AS n FROM (SELECT x.o_custkey, x.s, x.e FROM ({_SPANS}) x JOIN ({_SPANS}) y ON x.o_custkey = y.o_custkey AND x.s <= y.e AND y.s <= x.e) GROUP BY o_custkey, s"
 )
 def interval_overlap_join(spark: SparkSession, d: str) -> DataFrame:
-    spans = _spans(spark, d)
-    return intervals.overlap_join(spans, spans, ["o_custkey"]).groupBy("o_custkey", "start").agg(F.max("end").alias("end"), F.count("*").alias("n"))
+    """Equal intervals are counted first, so a customer's pairs are bounded by the pairs of days."""
+    spans = _spans(spark, d).groupBy("o_custkey", "start", "end").agg(F.count("*").alias("n"))
+    pairs = intervals.overlap_join(spans, spans.withColumnRenamed("n", "other_n"), ["o_custkey"])
+    return pairs.groupBy("o_custkey", "start").agg(F.max("end").alias("end"), F.sum(F.col("n") * F.col("other_n")).alias("n"))
 
 
 def _period_sql(kind: str, start: str, end: str) -> str:
@@ -364,6 +394,7 @@ def _definitions(spark: SparkSession, d: str) -> DataFrame:
         F.col("p_brand").alias("metric_id"), F.col("p_partkey").alias("position"), F.lit("page").alias("context"), F.lit("simple").alias("category"), F.lit("sessions").alias("model"),
         F.when(size % 5 == 0, " Count Distinct ").otherwise("count_distinct").alias("agg"), F.concat(F.lit("expr_"), (size % 3).cast("string")).alias("expr"),
         F.when(size % 2 == 0, "k <> null").otherwise("k IS NOT NULL").alias("filter"), F.when(size % 7 == 0, "a,b").otherwise("a , b").alias("dimensions"),
+        F.when(size % 4 == 0, F.col("p_brand")).otherwise("label").alias("label"), F.when(size % 6 == 0, "x").otherwise(" ").alias("order_by"),
     )
 
 
@@ -372,9 +403,9 @@ def catalog_status(spark: SparkSession, d: str) -> DataFrame:
     return definitions.catalog_status(_definitions(spark, d))
 
 
-@query("SELECT metric_id, uses, first FROM (SELECT p_brand AS metric_id, p_size % 3 AS kind, count(*) AS uses, min(p_partkey) AS first, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, min(p_partkey)) AS rank FROM part GROUP BY 1, 2) WHERE rank = 1")
+@query("SELECT metric_id, uses, position FROM (SELECT p_brand AS metric_id, p_partkey AS position, count(*) OVER (PARTITION BY p_brand, p_size % 3) AS uses, row_number() OVER (PARTITION BY p_brand, p_size % 3 ORDER BY p_size % 6 <> 0, p_size % 4 = 0, p_partkey) AS rank FROM part) WHERE rank = 1")
 def preferred_definitions(spark: SparkSession, d: str) -> DataFrame:
-    return definitions.preferred(_definitions(spark, d)).select("metric_id", "uses", "first")
+    return definitions.preferred(_definitions(spark, d)).select("metric_id", "uses", "position")
 
 
 @query("SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) = (SELECT count(DISTINCT o_orderpriority) FROM orders)")
@@ -428,14 +459,33 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return streams.run(found.select("event_id", "user_id", "event_type"), streams.work_dir(spark))
 
 
-@query()
+def _batch(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(
+    """WITH n AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM (
+  SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS opens FROM events WHERE user_id IS NOT NULL))
+SELECT user_id, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) + 1800000000 AS closes_us, count(*) AS n_events FROM n GROUP BY user_id, no"""
+)
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return streams.run(streams.sessions(streams.read_events(spark, d)), streams.work_dir(spark))
+    closed = streams.run(streams.sessions(streams.read_events(spark, d)), streams.work_dir(spark))
+    found = streams.with_open(closed, streams.sessions(_batch(spark, d)), "user_id", "started_at")
+    return found.select("user_id", F.unix_micros("started_at").alias("started_us"), F.unix_micros("closes_at").alias("closes_us"), "n_events")
 
 
-@query()
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
-    return streams.run(streams.daily_counts(streams.read_events(spark, d)), streams.work_dir(spark))
+    closed = streams.run(streams.daily_counts(streams.read_events(spark, d)), streams.work_dir(spark))
+    return streams.with_open(closed, streams.daily_counts(_batch(spark, d)), "day", "event_type")
+
+
+@query("SELECT CAST(date_trunc('week', ts + INTERVAL 8 HOUR) AS DATE) AS week, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_weekly_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Weeks that open on Monday in Taipei."""
+    counts = lambda e: streams.windowed_counts(e).withColumnRenamed("start", "week")
+    closed = streams.run(counts(streams.read_events(spark, d).withWatermark("ts", streams.LATENESS)), streams.work_dir(spark))
+    return streams.with_open(closed, counts(_batch(spark, d)), "week", "event_type")
 
 
 @query("SELECT user_id, epoch_us(min(ts)) AS first_success_us FROM events WHERE event_type <> 'error' AND user_id IS NOT NULL GROUP BY user_id")

@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a local master may go without, with a folder of its own until the end."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="marram-tables-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+    return _own[app]
+
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -47,9 +67,18 @@ def write_json_document(document: dict, path: str) -> None:
         f.write("\n")
 
 
-def write_events(events: DataFrame, path: str, day: str = "event_date") -> None:
-    """Append events to a table partitioned by day, so that reads prune and retention drops whole partitions."""
-    events.repartition(day).write.mode("append").partitionBy(day).parquet(path)
+def content_digest(spark: SparkSession, paths: list[str]) -> str:
+    """SHA-256 over the SHA-256 of every file under ``paths``, in order of their names; contents are hashed where they are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    each = files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.sha2("content", 256).alias("digest"))
+    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "digest"))), lambda x: x["digest"]), ""), 256)).first()[0]  # a row a file
+
+
+def write_events(events: DataFrame, path: str, day: str = "event_date", tasks_a_day: int = 4) -> None:
+    """Append events to a table partitioned by day, so that reads prune and retention drops whole partitions. A day is
+    written by several tasks, however hot it is.
+    """
+    events.repartition(day, F.pmod(F.xxhash64(*events.columns), F.lit(tasks_a_day))).write.mode("append").partitionBy(day).parquet(path)
 
 
 def retained(events: DataFrame, today: date, days: int, day: str = "event_date") -> DataFrame:

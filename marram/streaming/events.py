@@ -6,34 +6,20 @@ checkpoints beside them, so a restarted query goes on where it stopped.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-LATENESS, GAP = "1 hour", "30 minutes"
-
+from marram.sources.tables import shared_dir
 
-@lru_cache(None)
-def _own_dir(app: str) -> str:
-    path = tempfile.mkdtemp(prefix="marram-stream-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
+LATENESS, GAP = "1 hour", "30 minutes"
 
 
 def work_dir(spark: SparkSession) -> str:
     """A new folder in ``spark.checkpoint.dir``; a local master may go without that setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _own_dir(spark.sparkContext.applicationId)
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read_events(spark: SparkSession, directory: str) -> DataFrame:
@@ -56,9 +42,27 @@ def sessions(events: DataFrame, lateness: str = LATENESS, gap: str = GAP) -> Dat
 
 
 def daily_counts(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Events of each type by calendar day, as windows close."""
-    found = events.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return found.select(F.to_date("w.start").alias("day"), "event_type", "n")
+    """Events of each type by UTC day, as windows close."""
+    return windowed_counts(events.withWatermark("ts", lateness), "1 day", "0 days").withColumnRenamed("start", "day")
+
+
+def windowed_counts(events: DataFrame, width: str = "7 days", offset: str = "-80 hours") -> DataFrame:
+    """Events of each type by window of ``width``. The default offset makes weeks that open on Monday in Taipei (the epoch
+    was a Thursday, and days there open at 16:00 UTC); ``1 day`` and ``-8 hours`` make its calendar days. ``start`` is the
+    first day by the clock of the offset.
+    """
+    hours = 8 if "-" in offset else 0
+    found = events.groupBy(F.window("ts", width, startTime=offset).alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return found.select(F.to_date(F.col("w.start") + F.make_interval(hours=F.lit(hours))).alias("start"), "event_type", "n")
+
+
+def with_open(closed: DataFrame, batch: DataFrame, *keys: str) -> DataFrame:
+    """A stream's closed windows, and from the same table in batch those that were still open at its end.
+
+    Not an anti-join: that would be pushed below the aggregation, where session windows are not merged yet.
+    """
+    seen = closed.select(*keys, F.lit(True).alias("_closed"))
+    return closed.unionByName(batch.join(seen, list(keys), "left").where("_closed IS NULL").select(*closed.columns))
 
 
 def append(stream: DataFrame, path: str) -> StreamingQuery:

@@ -63,14 +63,6 @@ def test_contract_accepts_whole_decimals_and_checks_days(spark):
         traffic.contract([row])
 
 
-def test_report_reads_the_events_once(spark):
-    plan = traffic.traffic_summary(spark, SF, queries.START, queries.END)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Join") <= 2 and "CartesianProduct" not in plan
-    rows = spark.read.parquet(f"{SF}/events.parquet").where(F.to_date("ts").between(F.lit(queries.START), F.lit(queries.END))).select("event_id")
-    physical = rows._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in physical
-
-
 def naive_sessions(rows):
     last, number, out = {}, {}, {}
     for user, ts, i in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1], r[2])):
@@ -116,9 +108,10 @@ def test_refused_requests(ids, profile, code):
 
 
 def test_search_ranks_and_limits(spark):
-    found = [tuple(r) for r in metrics.search(spark, "sessions by source").collect()]
+    found = [tuple(r)[:2] for r in metrics.search(spark, "sessions by source").collect()]
     assert found[0][0] == "sessions_by_source" and found == sorted(found, key=lambda r: (-r[1], r[0]))
     assert metrics.search(spark, "平均回購次數", "ecommerce").first().metric_id == "avg_repurchase_count"
+    assert {tuple(r.profiles) for r in metrics.search(spark, "conversions").where("metric_id = 'total_conversions'").collect()} == {("ecommerce",), ("non_ecommerce",)}
     assert metrics.search(spark, "", limit=99).count() == 25 and metrics.search(spark, "qqqq").count() == 0
 
 
@@ -148,25 +141,79 @@ def test_names_resolve_across_widths_and_cases(spark):
 
 
 def test_registry_rules(spark):
-    found = {(r.code, tuple(r.tenant_ids), r.alias) for r in registry.quality_issues(registry.from_rows(spark, ROWS)).collect()}
+    found = {(r.code, tuple(r.tenant_ids), r.n_tenants, r.alias) for r in registry.quality_issues(registry.from_rows(spark, ROWS)).collect()}
     assert found == {
-        ("empty_alias", ("1",), None),
-        ("duplicate_alias_across_tenants", ("1", "3"), "Sunny"),
-        ("generic_alias", ("5",), "公司"),
-        ("generic_alias", ("5",), "Brand"),
-        ("generic_alias", ("5",), "ｂｒａｎｄ"),
-        ("duplicate_alias_within_tenant", ("5",), "ｂｒａｎｄ"),
-        ("duplicate_alias_across_tenants", ("5",), "Brand"),
-        ("alias_matches_formal_name", ("5",), "Brand"),
-        ("alias_matches_formal_name", ("5",), "ｂｒａｎｄ"),
-        ("duplicate_formal_name", ("3", "6"), None),
-        ("alias_conflicts_with_formal_name", ("2", "6"), "OTHER"),
+        ("empty_alias", ("1",), 1, None),
+        ("duplicate_alias_across_tenants", ("1", "3"), 2, "Sunny"),
+        ("generic_alias", ("5",), 1, "公司"),
+        ("duplicate_alias_within_tenant", ("5",), 1, "ｂｒａｎｄ"),
+        ("duplicate_alias_across_tenants", ("5",), 1, "Brand"),
+        ("alias_matches_formal_name", ("5",), 1, "Brand"),
+        ("alias_matches_formal_name", ("5",), 1, "ｂｒａｎｄ"),
+        ("duplicate_formal_name", ("3", "6"), 2, None),
+        ("alias_conflicts_with_formal_name", ("2", "6"), 2, "OTHER"),
     }
     row = registry.quality_report(registry.from_rows(spark, ROWS)).first()
     assert (row.status, row.tenant_count, row.skipped_unnamed_tenant_count, row.alias_count) == ("failed", 6, 1, 7)
     assert registry.quality_report(registry.from_rows(spark, [])).first().status == "passed"
 
 
+def test_generic_names_and_aliases_of_very_many_tenants(spark, monkeypatch):
+    rows = [(f"{i:03}", f"Name {i}", "p", "active", None, "Shared" if i % 2 else "ＬＴＤ．") for i in range(40)]
+    monkeypatch.setattr(registry, "SHOWN", 5)
+    r = registry.from_rows(spark, rows)
+    found = {i.alias: i for i in registry.quality_issues(r).where("code = 'duplicate_alias_across_tenants'").collect()}
+    assert found["Shared"].n_tenants == 20 and found["Shared"].tenant_ids == ["001", "003", "005", "007", "009"]
+    assert registry.quality_issues(r).where("code = 'generic_alias'").count() == 20
+    wide = registry.from_rows(spark, [("1", "Brand company", "p", "active", None, None), ("2", "Co. of brands", "p", "active", None, None)])
+    assert code_of(registry.resolve, wide, "company") == code_of(registry.resolve, wide, "co.") == "customer_name_too_broad"
+    assert code_of(registry.resolve, wide, "brands") == "tenant_confirmation_required"
+
+
+def test_metrics_that_profiles_define_differently():
+    for ids, profile, code in ((["total_conversions"], None, "semantic_profile_required"), (["session_value"], "ecommerce", "metric_definition_conflict"), (["session_value"], None, "metric_definition_conflict")):
+        with pytest.raises(catalog.CatalogError) as e:
+            metrics.check_request(ids, profile)
+        assert e.value.code == code
+    assert {p: catalog.metric("total_conversions", p).filter for p in catalog.PROFILES} == {"ecommerce": "event_type = 'purchase'", "non_ecommerce": "event_type = 'signup'"}
+    assert catalog.resolved_profile(["aov", "total_users"], None) == ("ecommerce", "only_common_profile")
+    assert catalog.resolved_profile(["total_users"], None) == ("ecommerce", "same_in_all_profiles")
+    assert catalog.resolved_profile(["total_conversions"], "non_ecommerce") == ("non_ecommerce", "requested")
+
+
+def test_service_answers_and_refuses(spark):
+    from marram.plans.service import Service
+
+    asked = Service(spark, registry.from_rows(spark, ROWS), lambda t: SF, D(2024, 2, 1))
+    report = asked.traffic_summary("小太陽", "2024-01-16", "2024-01-30", include_query=True)
+    assert report["customer"] == {"requested_name": "小太陽", "resolved_name": "Ｓｕｎｎｙ Digital", "match_type": "alias"}
+    assert report["report"]["period"]["days"] == 15 and report["report"] == traffic.contract(queries.traffic_summary_nested(spark, SF).collect())
+    (record,) = report["query_provenance"]
+    assert record["status"] == "executed" and record["estimated_bytes"] > 0 and record["arguments"] == {"start_date": "2024-01-16", "end_date": "2024-01-30"}
+    answer = asked.metrics("sunny digital", ["total_users", "sessions_by_source", "aov", "total_sessions", "total_users"], "2024-01-16", "2024-01-30", limit=2)
+    assert [m["metric_id"] for m in answer["metrics"]] == ["total_users", "sessions_by_source", "aov", "total_sessions"] and answer["profile"] == "ecommerce" and "query_provenance" not in answer
+    assert [len(m["rows"]) for m in answer["metrics"]] == [1, 2, 1, 1] and answer["metrics"][1]["truncated"] and answer["metrics"][0]["rows"][0]["total_users"] == report["report"]["current"]["total_users"]
+    for call, code, resolved in (
+        (lambda: asked.traffic_summary("nobody", "2024-01-16", "2024-01-30"), "tenant_not_found", None),
+        (lambda: asked.traffic_summary("Sunny Digital", "2024-01-16", "2024-02-30"), "invalid_date_format", None),
+        (lambda: asked.metrics("Sunny Digital", ["invented_roas"], "2024-01-16", "2024-01-30"), "unsupported_metric", None),
+        (lambda: asked.metrics("Sunny Digital", ["total_users"], "2024-01-16", "2024-02-10"), "future_date_not_allowed", None),
+        (lambda: Service(spark, asked.tenants, asked.directory, asked.today, policy.Policy(max_bytes_per_job=1)).metrics("Sunny Digital", ["total_users"], "2024-01-16", "2024-01-30"), "query_cost_limit_exceeded", "Ｓｕｎｎｙ Digital"),
+    ):
+        with pytest.raises((LookupError, ValueError)) as e:
+            call()
+        assert e.value.code == code and e.value.request["resolved_name"] == resolved
+
+
+def test_policy_from_environment():
+    own = policy.Policy.from_environment({"MARRAM_MAX_DAYS": "30", "MARRAM_EARLIEST_DATE": "2022-01-01", "MARRAM_TIMEOUT_S": "2.5"})
+    assert own == policy.Policy(earliest=D(2022, 1, 1), max_days=30, timeout_s=2.5)
+    for bad in ({"MARRAM_MAX_DAYS": "x"}, {"MARRAM_EARLIEST_DATE": "1"}, {"MARRAM_MAX_BYTES_PER_JOB": "0"}):
+        with pytest.raises(ValueError):
+            policy.Policy.from_environment(bad)
+    assert policy.label("a_b" * 40) == ("a-b" * 40)[:63]
+
+
 def test_folding(spark):
     cases = ["Straße", "ＳＵＮ", "ひ", "ヒ", " a\t", "ǅ", "", None, "ﬁ"]
     rows = spark.createDataFrame([(c,) for c in cases], "t string").select(text.folded(F.col("t")).alias("f")).collect()
@@ -306,10 +353,31 @@ def test_definitions(spark):
     rows = [("a", 1, "x", "simple", "s", "AVG", "v", "k <> NULL", "a,b"), ("a", 2, "y", "simple", "s", "average ", "v", "k IS NOT NULL", "a , b"), ("b", 3, "x", "simple", "s", "sum", "v", " ", None), ("b", 4, "x", "simple", "s", "sum", "w", None, None), ("c", 5, "x", "simple", "s", "max", "v", None, None)]
     df = spark.createDataFrame(rows, columns)
     assert {r.metric_id: r.status for r in definitions.catalog_status(df).collect()} == {"a": "published", "b": "conflict", "c": "published"}
-    assert {r.metric_id: r["first"] for r in definitions.preferred(df).collect()} == {"a": 1, "b": 3, "c": 5}
+    labelled = df.withColumn("label", F.when(F.col("position") == 1, F.col("metric_id")).otherwise("own")).withColumn("order_by", F.when(F.col("position") == 4, "v"))
+    assert {(r.metric_id, r.position, r.uses) for r in definitions.preferred(labelled).collect()} == {("a", 2, 2), ("b", 3, 1), ("b", 4, 1), ("c", 5, 1)}
     assert [r["agg"] for r in definitions.normalized(df).orderBy("position").collect()] == ["average", "average", "sum", "sum", None]
     report = definitions.validate(spark, {"good": SF, "bad": "/nowhere"})
     assert {(r["dataset"], r["status"]) for r in report} == {("good", "passed"), ("bad", "failed")}
+    fleet = {r.dataset: (r.n_failed > 0, r.any_passed, r.status) for r in definitions.fleet_status(spark, report).collect()}
+    assert fleet == {"good": (False, True, "passed"), "bad": (True, False, "failed"), None: (True, True, "failed")}
+    assert [r.status for r in definitions.fleet_status(spark, []).collect()] == ["failed"]
+
+
+def test_catalog_from_two_csv_files(spark, tmp_path):
+    from marram.operators import definitions
+
+    metrics_csv, dimensions_csv = tmp_path / "metrics.csv", tmp_path / "dimensions.csv"
+    metrics_csv.write_text("metric_id,position,context,category,model,agg,expr,filter,dimensions,label,order_by\na,1,x,simple,s,AVG,v,k <> NULL,\"d1,d2\",A,\na,2,y,simple,s,average,v,k IS NOT NULL,\"d1 , d2\",a,\nb,3,x,simple,s,sum,v,,,B,v\nb,4,x,simple,s,sum,w,,,B,\n", encoding="utf-8")
+    dimensions_csv.write_text("dimension_id,label\nd1,One\nd2,Two\n", encoding="utf-8")
+    made = definitions.build_from_csv(spark, str(metrics_csv), str(dimensions_csv), "2.0.0")
+    assert made["catalog_version"] == "2.0.0" and made["dimensions"] == {"d1": {"label": "One"}, "d2": {"label": "Two"}}
+    assert {k: (m["status"], m["variants"], m["dimensions"], m["label"]) for k, m in made["metrics"].items()} == {"a": ("published", 1, ["d1", "d2"], "A"), "b": ("conflict", 2, [], "B")}
+    again = definitions.build_from_csv(spark, str(metrics_csv), str(dimensions_csv), "2.0.0")
+    dimensions_csv.write_text("dimension_id,label\nd1,Uno\nd2,Two\n", encoding="utf-8")
+    assert again == made != definitions.build_from_csv(spark, str(metrics_csv), str(dimensions_csv), "2.0.0")
+    dimensions_csv.write_text("dimension_id,label\nd1,One\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="unknown dimensions"):
+        definitions.build_from_csv(spark, str(metrics_csv), str(dimensions_csv), "2.0.0")
 
 
 def test_relational_operators(spark):

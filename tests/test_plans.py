@@ -1,7 +1,8 @@
 """Plans that must hold at scale: what is scanned, pushed down and never shuffled."""
 
 from marram import queries
-from marram.operators import intervals, usage
+from marram.operators import intervals, traffic, usage
+from marram.plans import models
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,27 @@ def test_overlap_joins_are_equi_joins(spark):
 def test_distinct_users_use_two_phases(spark):
     plan = physical(usage.active_users(usage.usage_events(spark, SF), "day"))
     assert plan.count("HashAggregate") >= 3 and "BatchEvalPython" not in plan
+
+
+def test_report_scans_the_wanted_days_once(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = physical(traffic.traffic_summary(spark, SF, queries.START, queries.END))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) == 1 and "sessions-" in scans[0]
+    assert "PartitionFilters: [isnotnull(session_date" in scans[0] and ">= 2024-01-01)" in scans[0] and "<= 2024-01-30)" in scans[0]
+    assert "session_source" not in scans[0].split("ReadSchema")[1]
+
+
+def test_sessions_are_built_anew_when_events_change(spark, tmp_path):
+    path = str(tmp_path / "events.parquet")
+    rows = spark.read.parquet(f"{SF}/events.parquet")
+    rows.where("user_id % 2 = 0").write.parquet(path)
+    first = models.sessions(spark, str(tmp_path)).count()
+    assert models.sessions(spark, str(tmp_path)).count() == first == models.build_sessions(spark, str(tmp_path)).count()
+    rows.where("user_id % 2 = 1").write.mode("append").parquet(path)
+    assert models.sessions(spark, str(tmp_path)).count() == models.sessions(spark, SF).count() > first
+
+
+def test_usage_scans_the_events_once(spark):
+    assert physical(usage.deduplicated(usage.usage_events(spark, SF))).count("FileScan") == 1
