@@ -3,7 +3,9 @@
 A template of m shingles is looked for in windows of whole blocks of ``stride`` shingles, one window a block,
 long enough to hold it wherever it lies. At least two fifths of the united shingles of a window and a template
 that it holds to ``PERCENT`` are shared (half, if it holds it whole), so that with ``BANDS`` bands of one value
-each, a match is missed with a chance under 1e-6. All windows are built from the same block minima.
+each, a match is missed with a chance under 1e-6. All windows are built from the same block minima. Templates whose
+windows have the same shape share a band table, sorted by value: a window is looked up in it, whatever the number of
+templates. Shapes are few: about three for each doubling of a template's length.
 """
 
 from __future__ import annotations
@@ -15,13 +17,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _shared
 from .decontaminate import words_of
 
 SHINGLE, PERCENT, BANDS = 5, 80, 32
+#: Words of templates that are sent to the executors at once; more templates take more passes.
+PASS_WORDS = 1_000_000
 _KEPT = 200_000
 
 #: Texts that declare a license, as their publishers word them. Fixed values.
@@ -36,6 +40,10 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "ISC-full": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "MIT-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
@@ -75,26 +83,46 @@ def window_of(m: int) -> tuple[int, int]:
 
 
 @dataclass
-class _Template:
-    name: str
+class _Shape:
+    """The templates whose windows have one shape, and their band table: by band, sorted values and whose they are."""
+
     stride: int
     length: int
-    hashes: np.ndarray
-    least: np.ndarray
+    names: list[str]
+    hashes: list[np.ndarray]
+    values: np.ndarray
+    owners: np.ndarray
 
 
-def _prepare(templates: dict[str, str]) -> list[_Template]:
+def _prepare(templates: dict[str, str]) -> list[_Shape]:
     a, b = _permutations()
-    out = []
+    shapes: dict[tuple[int, int], list[tuple[str, np.ndarray]]] = {}
     for name, text in sorted(templates.items()):
         hashes = np.unique(_shingles(words_of(text)))
         if not len(hashes):
             raise ValueError(f"template {name} has fewer than {SHINGLE} words")
-        out.append(_Template(name, *window_of(len(hashes)), hashes, (a * (hashes >> np.uint64(32)).astype(np.uint32) + b).min(1)))
+        shapes.setdefault(window_of(len(hashes)), []).append((name, hashes))
+    out = []
+    for (stride, length), own in sorted(shapes.items()):
+        least = np.stack([(a * (h >> np.uint64(32)).astype(np.uint32) + b).min(1) for _, h in own], 1)
+        owners = np.argsort(least, axis=1, kind="stable")
+        out.append(_Shape(stride, length, [n for n, _ in own], [h for _, h in own], np.take_along_axis(least, owners, 1), owners))
     return out
 
 
-def _find(docs: list[np.ndarray], templates: list[_Template], pad: int) -> list[set[str]]:
+def _candidates(window: np.ndarray, shape: _Shape) -> np.ndarray:
+    """(window, template) pairs that share a band, by looking each window's values up in the band table."""
+    found = []
+    for values, owners, own in zip(shape.values, shape.owners, window, strict=True):
+        first, last = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        hit = np.flatnonzero(last > first)
+        n = last[hit] - first[hit]
+        at = np.arange(n.sum()) + np.repeat(first[hit] - (np.cumsum(n) - n), n)
+        found.append(np.stack([np.repeat(hit, n), owners[at]], 1))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _find(docs: list[np.ndarray], shapes: list[_Shape], pad: int) -> list[set[str]]:
     """Names of the templates found in each document (shingle hashes)."""
     found: list[set[str]] = [set() for _ in docs]
     starts = np.cumsum([0] + [-(-len(d) // pad) * pad for d in docs])
@@ -109,28 +137,28 @@ def _find(docs: list[np.ndarray], templates: list[_Template], pad: int) -> list[
     y = a * x + b
     y[:, ~real] = 2**32 - 1
     minima, stride = {}, 1
-    while stride < max(t.stride for t in templates):
+    while stride < max(s.stride for s in shapes):
         y = np.minimum(y[:, ::2], y[:, 1::2])
         stride *= 2
         minima[stride] = y
-    for t in templates:
-        blocks = minima[t.stride]
+    for s in shapes:
+        blocks = minima[s.stride]
         window = blocks
         n = blocks.shape[1]
-        for k in range(1, min(t.length // t.stride, n)):  # windows at the end are shorter: they keep the blocks reached so far
+        for k in range(1, min(s.length // s.stride, n)):  # windows at the end are shorter: they keep the blocks reached so far
             window = np.concatenate([np.minimum(window[:, : n - k], blocks[:, k:]), window[:, n - k :]], axis=1)
-        for w in np.flatnonzero((window == t.least[:, None]).any(0)).tolist():
-            d = int(np.searchsorted(starts, w * t.stride, "right")) - 1
-            own = docs[d][w * t.stride - starts[d] :][: t.length]
-            if t.name not in found[d] and 100 * len(np.intersect1d(own, t.hashes)) >= PERCENT * len(t.hashes):
-                found[d].add(t.name)
+        for w, t in _candidates(window, s).tolist():
+            d = int(np.searchsorted(starts, w * s.stride, "right")) - 1
+            own = docs[d][w * s.stride - starts[d] :][: s.length]
+            if s.names[t] not in found[d] and 100 * len(np.intersect1d(own, s.hashes[t])) >= PERCENT * len(s.hashes[t]):
+                found[d].add(s.names[t])
     return found
 
 
 def _scan(templates: dict[str, str]):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ready = _prepare(templates)
-        pad = max(t.stride for t in ready)
+        pad = max(s.stride for s in ready)
         for texts in batches:
             out, docs, n = [], [], 0
             for text in texts.to_pylist():
@@ -145,14 +173,31 @@ def _scan(templates: dict[str, str]):
     return F.arrow_udf(run, "array<string>").asNondeterministic()
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def _passes(templates: dict[str, str] | DataFrame) -> Iterator[dict[str, str]]:
+    """Templates in passes of bounded size; a table (name, text) is never all on the driver if it is long."""
+    items = templates.items() if isinstance(templates, dict) else templates.select("name", "text").distinct().toLocalIterator()
+    found, n = {}, 0
+    for name, text in items:
+        found[name] = text
+        n += len(words_of(text))
+        if n >= PASS_WORDS:
+            yield found
+            found, n = {}, 0
+    if found:
+        yield found
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES) -> DataFrame:
     """All columns of ``docs`` and ``_licenses``: the names of the templates that a whole text holds, sorted.
 
-    A window holds a template if ``PERCENT`` of the template's distinct word shingles are in it. Null texts and those
-    of fewer words than a shingle hold none. Repeated rows are scanned alike; a column named ``_licenses`` is replaced.
+    ``templates`` are texts by name, or a table (name, text) of one row a name. A window holds a template if ``PERCENT`` of
+    the template's distinct word shingles are in it. Null texts and those of fewer words than a shingle hold none; without
+    templates, nothing does. Repeated rows are scanned alike; a column named ``_licenses`` is replaced, all others are kept.
     """
     _shared.bounded_batches(docs.sparkSession)
-    return docs.drop("_licenses").withColumn("_licenses", _scan(templates)(F.col("text").cast("string")))
+    text, none = F.col("text").cast("string"), F.array().cast("array<string>")
+    found: list[Column] = [_scan(some)(text) for some in _passes(templates)]
+    return docs.drop("_licenses").withColumn("_licenses", F.array_sort(F.array_distinct(F.concat(none, *found))))
 
 
 def op9_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

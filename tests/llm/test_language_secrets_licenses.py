@@ -266,3 +266,16 @@ def test_licenses_equal_brute_force(spark):
     rows = licenses.scan(docs).orderBy("doc_id").collect()
     assert [r._licenses for r in rows] == [naive_licenses(t) for t in texts]
     assert licenses.scan(docs.limit(0)).collect() == []
+
+
+def test_templates_from_a_table_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "PASS_WORDS", 40)
+    table = spark.createDataFrame(list(licenses.TEMPLATES.items()), "name string, text string")
+    body = licenses.TEMPLATES["MIT-full"].split()
+    body[3:160:9] = ["other"] * len(body[3:160:9])
+    texts = [" ".join(["x"] * 37 + licenses.TEMPLATES[n].split() + ["y"] * 11) for n in licenses.TEMPLATES] + [" ".join(body), " ".join(licenses.TEMPLATES["MIT-full"].split()[10:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = licenses.scan(docs, table).orderBy("doc_id").collect()
+    assert [r._licenses for r in rows] == [naive_licenses(t) for t in texts]
+    assert all(n in r._licenses for n, r in zip(licenses.TEMPLATES, rows)) and rows[-1]._licenses == ["MIT-full"] and rows[-2]._licenses == []
+    assert licenses.scan(docs, table.limit(0)).select("_licenses").distinct().collect()[0][0] == []
