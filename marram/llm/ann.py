@@ -30,7 +30,7 @@ BOUND = 1.5
 #: Rows of a block of candidates and of queries, and blocks of either side that meet in one group of a join.
 CANDIDATES, QUERIES, MEETING = 8192, 512, 4
 #: Numbers of the sample that centres are fitted on, rows of it, rows a centre, and most centres.
-SAMPLE_VALUES, SAMPLE_ROWS, ROWS_A_CENTRE, CENTRES = 4_000_000, 20_000, 2048, 256
+SAMPLE_VALUES, SAMPLE_ROWS, ROWS_A_CENTRE, CENTRES = 4_000_000, 20_000, 4096, 256
 #: Dimensions that have centres of their own, by rows; others have one centre each.
 DIMENSIONS = 16
 #: Share of the sample's true neighbours that lie with the centres visited.
@@ -113,11 +113,13 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scalars: np
             if len(ids) <= FIRST * k:
                 pick = np.arange(len(ids))
             else:
+                first = np.zeros(0, int)
                 if floor == -np.inf:
                     first = np.argpartition(-estimate, FIRST * k)[: FIRST * k]
                     first = first[ids[first] != own]
                     floor = np.partition(vectors[first].astype(np.float64) @ exact[q], -k)[-k]
                 pick = np.flatnonzero(estimate >= (floor - slack) - BOUND * lengths[q] * scalars[1])
+                pick = np.union1d(pick, first)  # k of the first reach the floor, whatever their estimates
                 pick = pick[vectors[pick] @ queries[q] >= floor - slack]
             pick = pick[ids[pick] != own]
             score = (vectors[pick].astype(np.float64) * exact[q]).sum(1)

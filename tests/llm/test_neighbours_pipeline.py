@@ -76,6 +76,16 @@ def test_clustered_vectors_visit_few_centres_and_copies_do_not_multiply(spark, m
     assert found / (30 * 20) > 0.95
 
 
+def test_every_query_gets_k_rows(monkeypatch):
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((500, 64)).astype(np.float32)
+    codes, scalars = ann.encode(vectors)
+    for bound in (ann.BOUND, 0.0, -3.0):
+        monkeypatch.setattr(ann, "BOUND", bound)
+        found = ann.nearest(np.arange(500), vectors, codes, scalars, np.zeros(64), np.arange(0, 500, 5), vectors[::5], 20, {})
+        assert [len(ids) for _, ids, _ in found] == [20] * 100 and all(q[0] not in ids for q, ids, _ in found)
+
+
 def test_whole_numbers_are_read_as_doubles(spark):
     df = spark.createDataFrame([(0, [2**40 + 1, 1]), (20, [1, 0]), (3, [2**40, 9])], "vec_id long, embedding array<long>")
     rows = [(r.vec_id, r.score) for r in ann.search(df, df.where("vec_id = 20")).orderBy("rank").collect()]
