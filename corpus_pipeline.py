@@ -1,7 +1,11 @@
 """Corpus pipeline: stages that each work on all that the one before has kept.
 
 Every stage's table is written as Parquet and read again as the next one's documents. All but the last return
-the columns of ``documents``.
+the columns of ``documents``, and further columns of their input as they are, whatever their names.
+
+In every stage repeated rows are treated alike, texts are read whole however long they are, and an empty table gives an
+empty one. Documents whose text is null, empty or without a letter go in the first stage; rows without a doc_id or a
+lang stay, but teach no language model.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from marram.llm import _shared, decontaminate, langid, neardup, packing, secret_
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those that the models reject go."""
+    """Documents whose language is recognised, with the language predicted as their ``lang``; those that the models reject go."""
     return langid.keep_identified(docs, langid.fit(docs.select("doc_id", "text", "lang")))
 
 
