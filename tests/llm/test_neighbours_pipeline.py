@@ -116,3 +116,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert "[SECRET]" in state.where("doc_id = 105").first().text
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} == left[-1] and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_pipeline_stages_on_empty_tables_and_further_columns(spark, tmp_path):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, _language string, _spans int, _found int, _h1 int, _gone int"
+    prose = ["kato rimu neka toka mune rika", "tori kamu nerito kaka mumu toto", "rineka tomu kato ririka munemu"]
+    rows = [(i, f"{prose[i % 3]} {prose[i % 2]} {i} {'to' * (i % 4)}", "aa", "s", 1, "x", 2, 3, 4, 5) for i in range(12)] + [(None, None, None, None, None, None, None, None, None, None)] * 2
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for table in (rows, []):
+        state = spark.createDataFrame(table, kinds)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            state = stage(spark, state, str(tmp_path))
+            assert state.columns == spark.createDataFrame([], kinds).columns
+        assert {(r._language, r._spans, r._found, r._h1, r._gone) for r in state.collect()} == ({("x", 2, 3, 4, 5)} if table else set())
+        assert (corpus_pipeline.STAGES[-1][1](spark, state, str(tmp_path)).count() > 0) == bool(table)
