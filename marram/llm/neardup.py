@@ -218,10 +218,10 @@ def _split(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     facts = facts.join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left").withColumn("frequent", F.col("n") - F.coalesce("rare", F.lit(0)))
     # Most shingles that a partner may have for the frequent ones to suffice.
     facts = _shared.store(facts.withColumn("most_n", F.floor((100 + percent) * F.col("frequent") / percent) - F.col("n")), "facts")
-    old = big.join(facts.select("node", "most_n"), "node").withColumn("out", F.coalesce(F.col("root") != F.col("home"), F.lit(True)))
+    old = _shared.store(big.join(facts.select("node", "most_n"), "node").withColumn("out", F.coalesce(F.col("root") != F.col("home"), F.lit(True))), "old-buckets")
     bounds = old.groupBy("bucket").agg(F.min("n").alias("least_n"), F.max("most_n").alias("of_all"), F.max(F.when(F.col("out"), F.col("most_n"))).alias("of_out"))
     stay = _shared.skew_join(old, bounds, "bucket", "node").where((F.col("most_n") >= F.col("least_n")) & (F.col("n") <= F.when(F.col("out"), F.col("of_all")).otherwise(F.col("of_out"))))
-    new = rare.join(facts, "node").select(F.xxhash64("h", F.lit("rare")).alias("bucket"), "node", "n", "common", "root")
+    new = _shared.store(rare.join(facts, "node").select(F.xxhash64("h", F.lit("rare")).alias("bucket"), "node", "n", "common", "root"), "new-buckets")
     shared = new.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
     return rows.where(F.col("members") <= BIG).select(*columns).union(stay.select(*columns)).union(_shared.skew_join(new, shared, "bucket", "node").select(*columns))
 
