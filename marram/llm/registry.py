@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, langid, licenses, neardup, packing, secret_scan, sharding, token_files, urls
+from . import ann, decontaminate, filter_audit, hard_negatives, langid, licenses, neardup, packing, secret_scan, sharding, token_files, toxicity, urls
 
 QUERIES = {
     "op1_min_max_hash": neardup.op1_min_max_hash,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_suffix_arrays": decontaminate.op8_suffix_arrays,
     "op9_license_windows": licenses.op9_license_windows,
     "op10_token_files": token_files.op10_token_files,
+    "op11_residual_norms": hard_negatives.op11_residual_norms,
+    "op12_filter_windows": filter_audit.op12_filter_windows,
+    "op13_noisy_channel": toxicity.op13_noisy_channel,
 }
 
 SQL = {
@@ -22,4 +25,6 @@ SQL = {
     "op2_bloom_cascade": urls.OP2_SQL,
     "op8_suffix_arrays": decontaminate.OP8_SQL,
     "op9_license_windows": licenses.OP9_SQL,
+    "op11_residual_norms": hard_negatives.OP11_SQL,
+    "op12_filter_windows": filter_audit.OP12_SQL,
 }
