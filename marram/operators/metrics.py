@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.functions.text import search_score
-from marram.plans import models
+from marram.plans import models, sessions
 from marram.plans.catalog import METRICS, TIME, CatalogError, Metric, common_profiles, metric, resolved_profile
 
+MODELS = models.MODELS | {"sessions": sessions.sessions}
 MOST_METRICS, MOST_ROWS, ROWS, MOST_HITS = 5, 200, 50, 25
 
 
@@ -43,7 +44,12 @@ def bounded(rows: DataFrame, model: str, period: tuple[date, date] | None) -> Da
 def compute(spark: SparkSession, directory: str, metric_id: str, period: tuple[date, date] | None = None, profile: str | None = None) -> DataFrame:
     """A row per combination of the metric's dimensions (one row without dimensions), in no order."""
     m = metric(metric_id, profile)
-    rows = bounded(models.MODELS[m.model](spark, directory), m.model, period)
+    return over(MODELS[m.model](spark, directory), m, period)
+
+
+def over(rows: DataFrame, m: Metric, period: tuple[date, date] | None = None) -> DataFrame:
+    """A metric of rows of its model."""
+    rows = bounded(rows, m.model, period)
     if m.filter:
         rows = rows.where(m.filter)
     return rows.groupBy(*m.dimensions).agg(value(m, filtered=True))
@@ -57,7 +63,7 @@ def fused(spark: SparkSession, directory: str, metric_ids: list[str], period: tu
     own = [metric(m, profile) for m in metric_ids]
     if len({(m.model, m.dimensions) for m in own}) != 1:
         raise CatalogError("invalid_metric_request", "metrics of different models or dimensions")
-    rows = bounded(models.MODELS[own[0].model](spark, directory), own[0].model, period)
+    rows = bounded(MODELS[own[0].model](spark, directory), own[0].model, period)
     return rows.groupBy(*own[0].dimensions).agg(*[value(m) for m in own])
 
 

@@ -2,7 +2,8 @@
 
 Sessions are aggregated first, by grouping sets over the arithmetic position of their date; the spine of 2 (n + 1)
 rows is joined afterwards, so the join never sees a session. Both periods, the headline and the days come from one
-scan.
+scan: of sessions (``aggregates``), or of the bitmaps of users kept for each day (``stored_aggregates``), whose size does not
+depend on how often users come.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.functions.dates import previous
-from marram.plans.models import sessions
+from marram.plans import sessions
 
 COUNTS = ("total_sessions", "total_users", "new_users", "returning_users")
 CONTRACT_VERSION = "1.0.0"
@@ -25,7 +26,7 @@ def aggregates(rows: DataFrame, start: date, end: date) -> DataFrame:
 
     ``rows`` has session_date, session_uid, user_pseudo_id, user_label; session dates are taken as they are.
     """
-    spark, days, before = rows.sparkSession, (end - start).days + 1, previous(start, end)[0]
+    days, before = (end - start).days + 1, previous(start, end)[0]
     since = F.datediff("session_date", F.lit(before))
     bounded = rows.where(F.col("session_date").between(F.lit(before), F.lit(end))).select(
         F.when(since < days, "previous").otherwise("current").alias("period_key"), (since % days).alias("day_index"), "session_uid", "user_pseudo_id", "user_label"
@@ -40,7 +41,30 @@ def aggregates(rows: DataFrame, start: date, end: date) -> DataFrame:
         F.expr("count(DISTINCT user_pseudo_id) FILTER (WHERE user_label = 'new_user')").alias("new_users"),
         F.expr("count(DISTINCT user_pseudo_id) FILTER (WHERE user_label = 'returning_user')").alias("returning_users"),
     )
-    return spine(spark, start, end).join(found.select("period_key", F.coalesce("day_index", F.lit(-1)).alias("day_index"), *COUNTS), ["period_key", "day_index"], "left").select(
+    return _filled(found, start, end)
+
+
+def stored_aggregates(visitors: DataFrame, start: date, end: date) -> DataFrame:
+    """``aggregates`` from rows of (session_date, user_label, bucket, bitmap, n_sessions), a session in one of them only."""
+    days, before = (end - start).days + 1, previous(start, end)[0]
+    since = F.datediff("session_date", F.lit(before))
+    period, day, bucket = (F.col(c) for c in ("period_key", "day_index", "bucket"))
+    rows = visitors.where(F.col("session_date").between(F.lit(before), F.lit(end))).withColumns({"period_key": F.when(since < days, "previous").otherwise("current"), "day_index": since % days})
+    seen = lambda label=None: F.bitmap_count(F.bitmap_or_agg(F.col("bitmap") if label is None else F.when(F.col("user_label") == label, F.col("bitmap"))))
+    parts = rows.groupingSets([[period, bucket], [period, day, bucket]], period, day, bucket).agg(F.sum("n_sessions").alias("total_sessions"), seen().alias("total_users"), seen("new_user").alias("new_users"), seen("returning_user").alias("returning_users"))
+    return _filled(parts.groupBy("period_key", "day_index").agg(*[F.sum(c).alias(c) for c in COUNTS]), start, end)
+
+
+def active_users(visitors: DataFrame, bucket: str) -> DataFrame:
+    """Distinct users by ``day``, ``week`` or ``month`` of their sessions, from the bitmaps of days."""
+    at = {"day": F.col("session_date"), "week": F.date_trunc("week", "session_date").cast("date"), "month": F.trunc("session_date", "month")}[bucket]
+    parts = visitors.groupBy(at.alias(bucket), "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bitmap")).alias("n"))
+    return parts.groupBy(bucket).agg(F.sum("n").alias("active_users"))
+
+
+def _filled(found: DataFrame, start: date, end: date) -> DataFrame:
+    """Every row of the spine; what was not found is zero."""
+    return spine(found.sparkSession, start, end).join(found.select("period_key", F.coalesce("day_index", F.lit(-1)).alias("day_index"), *COUNTS), ["period_key", "day_index"], "left").select(
         "period_key", F.when(F.col("day_index") >= 0, F.col("day_index")).alias("day_index"), "metric_date", F.when(F.col("day_index") < 0, 1).otherwise(0).alias("is_headline"), *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS]
     )
 
@@ -68,8 +92,13 @@ def change(current: Column, before: Column) -> Column:
 
 
 def report(rows: DataFrame, start: date, end: date) -> DataFrame:
+    """The report of sessions."""
+    return report_of(aggregates(rows, start, end), start, end)
+
+
+def report_of(found: DataFrame, start: date, end: date) -> DataFrame:
     """One row: the dates, both periods, change_pct, and the ordered daily series."""
-    p = pivoted(aggregates(rows, start, end))
+    p = pivoted(found)
     head = lambda c: F.max(F.when(F.col("is_headline") == 1, F.col(c)))
     group = lambda k: F.struct(*[F.col(f"{k}_{c}").alias(c) for c in COUNTS])
     day = F.struct("day_index", F.col("current_metric_date").alias("date"), F.col("previous_metric_date").alias("comparison_date"), group("current").alias("current"), group("previous").alias("previous"))
@@ -83,7 +112,8 @@ def report(rows: DataFrame, start: date, end: date) -> DataFrame:
 
 
 def traffic_summary(spark: SparkSession, directory: str, start: date, end: date) -> DataFrame:
-    return report(sessions(spark, directory), start, end)
+    """The report from the stored bitmaps of the wanted days."""
+    return report_of(stored_aggregates(sessions.visitors(spark, directory), start, end), start, end)
 
 
 class ContractError(ValueError):

@@ -10,15 +10,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marram.sources.tables import shared_dir, table
+from marram.sources.tables import table
 
 GAP_MINUTES = 30
-SESSIONS = "session_uid string, session_date date, user_pseudo_id string, user_label string, session_source string, session_medium string, session_campaign string, device_category string, country string, region string, first_page_title string, exit_event string, n_events long, n_purchases long, bounced boolean"
+SESSIONS = "session_uid string, session_date date, user_pseudo_id string, user_label string, session_source string, session_medium string, session_campaign string, device_category string, country string, region string, first_page_title string, exit_event string, n_events long, n_purchases long, bounced boolean, ended_at timestamp_ntz"
+SESSION_COLUMNS = [c.split()[0] for c in SESSIONS.split(", ")]
 
 #: What the events' integer property selects. Fixed values.
 SOURCES = ("google", "newsletter", "direct", "facebook", "partner")
@@ -37,11 +36,12 @@ def prop(events: DataFrame) -> DataFrame:
     return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
-def sessionize(events: DataFrame, minutes: int = GAP_MINUTES) -> DataFrame:
+def sessionize(events: DataFrame, minutes: int = GAP_MINUTES, carried: DataFrame | None = None) -> DataFrame:
     """``events`` with ``session_no``, counted from 1 for each user.
 
     A user's days are ordered one by one, and only a row per day is looked at across days: a user with a large share
-    of all events is still spread over as many tasks as there are days. Events without a user are left out.
+    of all events is still spread over as many tasks as there are days. Events without a user are left out. ``carried`` has,
+    by user_id, the sessions before these events (n_sessions) and the end of the last one (ended_at), which may go on.
     """
     known = events.where("user_id IS NOT NULL").withColumn("_day", F.to_date("ts"))
     day = Window.partitionBy("user_id", "_day").orderBy("ts", "event_id")
@@ -51,45 +51,25 @@ def sessionize(events: DataFrame, minutes: int = GAP_MINUTES) -> DataFrame:
     known = known.withColumn("_in_day", F.sum("_new").over(day.rowsBetween(Window.unboundedPreceding, 0)))
     days = known.groupBy("user_id", "_day").agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"), F.sum("_new").alias("_n"))
     across = Window.partitionBy("user_id").orderBy("_day")
-    before = F.lag("_last").over(across)
+    before, counted = F.lag("_last").over(across), F.lit(0)
+    if carried is not None:
+        days = days.join(carried.select("user_id", F.col("n_sessions").alias("_had"), F.col("ended_at").cast(events.schema["ts"].dataType).alias("_ended")), "user_id", "left")
+        before, counted = F.coalesce(before, "_ended"), F.coalesce("_had", F.lit(0))
     opens = F.when(before.isNull() | (F.col("_first") > before + gap), 1).otherwise(0)
     days = days.withColumn("_opens", opens)
     earlier = F.coalesce(F.sum(F.col("_opens") + F.col("_n")).over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    days = days.select("user_id", "_day", (earlier + F.col("_opens")).alias("_base"))
+    days = days.select("user_id", "_day", (counted + earlier + F.col("_opens")).alias("_base"))
     return known.join(days, ["user_id", "_day"]).withColumn("session_no", F.col("_base") + F.col("_in_day")).drop("_day", "_new", "_in_day", "_base")
 
 
-#: Session tables by application and dataset, with the state of the events that they were built from.
-_built: dict[tuple[str, str], tuple[object, str]] = {}
-
-
-def sessions(spark: SparkSession, directory: str) -> DataFrame:
-    """The session table, partitioned by session_date: it is built once for a dataset and read by day from then on.
-
-    It is built anew if the files of the events table are others than before.
-    """
-    key, state = (spark.sparkContext.applicationId, directory), events_state(spark, directory)
-    if key not in _built or _built[key][0] != state:
-        path = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
-        # Days in as few files as their size allows; a hot day is still several tasks' work.
-        found = build_sessions(spark, directory).repartition("session_date", F.pmod(F.xxhash64("session_uid"), F.lit(4)))
-        found.write.partitionBy("session_date").parquet(path)
-        _built[key] = state, path
-    return spark.read.schema(SESSIONS).parquet(_built[key][1])
-
-
-def events_state(spark: SparkSession, directory: str) -> object:
-    """Names, sizes and times of the events table's files, folded to one row by Spark."""
-    files = table(spark, directory, "events").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    return tuple(files.agg(F.count("*"), F.sum("file_size"), F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time"))).first())
-
-
-def build_sessions(spark: SparkSession, directory: str) -> DataFrame:
-    events = sessionize(prop(table(spark, directory, "events")))
+def session_rows(events: DataFrame) -> DataFrame:
+    """A row per session of ``events`` (as ``sessionize``, with ``prop``), with user_id and session_no."""
     at = F.struct("ts", "event_id", "k", "event_type")
     rows = events.groupBy("user_id", "session_no").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n_events"), F.count_if(F.col("event_type") == "purchase").alias("n_purchases"))
     k = F.col("first.k")
     return rows.select(
+        "user_id",
+        "session_no",
         F.concat_ws("-", "user_id", "session_no").alias("session_uid"),
         F.to_date("first.ts").alias("session_date"),
         F.col("user_id").cast("string").alias("user_pseudo_id"),
@@ -105,9 +85,15 @@ def build_sessions(spark: SparkSession, directory: str) -> DataFrame:
         "n_events",
         "n_purchases",
         (F.col("n_events") == 1).alias("bounced"),
+        F.col("last.ts").cast("timestamp_ntz").alias("ended_at"),
     )
 
 
+def build_sessions(spark: SparkSession, directory: str) -> DataFrame:
+    """All sessions from all events; ``plans/sessions.py`` keeps them as a table."""
+    return session_rows(sessionize(prop(table(spark, directory, "events")))).select(*SESSION_COLUMNS)
+
+
 def web_events(spark: SparkSession, directory: str) -> DataFrame:
     e = prop(table(spark, directory, "events"))
     location = F.concat(F.lit("https://shop.example/"), "event_type", F.lit("/"), (F.col("k") % 10).cast("string"), F.lit("?k="), F.col("k").cast("string"), F.lit("#top"))
@@ -166,4 +152,5 @@ def traffic_flows(spark: SparkSession, directory: str) -> DataFrame:
     return rows.where("traffic_flow_target IS NOT NULL")
 
 
-MODELS = {"sessions": sessions, "web_events": web_events, "users": users, "labelled_orders": labelled_orders, "all_orders": all_orders, "traffic_flows": traffic_flows}
+#: By name, with what reads them; sessions come from their table (``plans/sessions.py``).
+MODELS = {"web_events": web_events, "users": users, "labelled_orders": labelled_orders, "all_orders": all_orders, "traffic_flows": traffic_flows}

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marram.functions import dates, text
-from marram.operators import definitions, intervals, metrics, registry, relational, traffic, usage
-from marram.plans import models, oracle
+from marram.operators import definitions, intervals, metrics, registry, relational, scan, traffic, usage
+from marram.plans import models, oracle, sessions
 from marram.plans.catalog import METRICS, TIME, Metric, metric
 from marram.sources.tables import table
 from marram.streaming import events as streams
@@ -23,8 +24,12 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, of_sessions: bool = False) -> Callable[[Query], Query]:
+    """Registers a query and its SQL; one ``of_sessions`` builds what its dataset's session table lacks first."""
+
     def add(f: Query) -> Query:
+        if of_sessions:
+            f = _prepared(f)
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
@@ -33,6 +38,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _prepared(f: Query) -> Query:
+    @wraps(f)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        sessions.prepare(spark, d)
+        return f(spark, d)
+
+    return run
+
+
 # Traffic report
 
 _AGGREGATES = f"""{oracle.SESSIONS},
@@ -45,20 +59,20 @@ _HEAD = "".join(f", max(CASE WHEN period_key = '{k}' THEN {c} END) AS {k}_{c}" f
 
 
 def _aggregates(spark: SparkSession, d: str) -> DataFrame:
-    return traffic.aggregates(models.sessions(spark, d), START, END)
+    return traffic.aggregates(sessions.sessions(spark, d), START, END)
 
 
-@query(f"WITH {_AGGREGATES} SELECT period_key, total_sessions, total_users, new_users, returning_users FROM aggregates WHERE is_headline = 1")
+@query(f"WITH {_AGGREGATES} SELECT period_key, total_sessions, total_users, new_users, returning_users FROM aggregates WHERE is_headline = 1", of_sessions=True)
 def traffic_headline(spark: SparkSession, d: str) -> DataFrame:
     return _aggregates(spark, d).where("is_headline = 1").select("period_key", *traffic.COUNTS)
 
 
-@query(f"WITH {_AGGREGATES} SELECT period_key, CAST(day_index AS INT) AS day_index, metric_date, total_sessions, total_users, new_users, returning_users FROM aggregates WHERE is_headline = 0")
+@query(f"WITH {_AGGREGATES} SELECT period_key, CAST(day_index AS INT) AS day_index, metric_date, total_sessions, total_users, new_users, returning_users FROM aggregates WHERE is_headline = 0", of_sessions=True)
 def traffic_daily(spark: SparkSession, d: str) -> DataFrame:
     return _aggregates(spark, d).where("is_headline = 0").select("period_key", "day_index", "metric_date", *traffic.COUNTS)
 
 
-@query(f"WITH {_AGGREGATES} SELECT CAST(day_index AS INT) AS day_index{_HEAD} FROM aggregates GROUP BY day_index")
+@query(f"WITH {_AGGREGATES} SELECT CAST(day_index AS INT) AS day_index{_HEAD} FROM aggregates GROUP BY day_index", of_sessions=True)
 def pivot_current_previous(spark: SparkSession, d: str) -> DataFrame:
     return traffic.pivoted(_aggregates(spark, d)).drop("is_headline", "current_metric_date", "previous_metric_date")
 
@@ -66,14 +80,15 @@ def pivot_current_previous(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"WITH {_AGGREGATES}, h AS (SELECT 1 AS one{_HEAD} FROM aggregates WHERE is_headline = 1) SELECT "
     + ", ".join(f"CASE WHEN previous_{c} = 0 THEN NULL ELSE round(CAST(current_{c} - previous_{c} AS DOUBLE) / previous_{c} * 100, 2) END AS {c}_change_pct" for c in traffic.COUNTS)
-    + " FROM h"
+    + " FROM h",
+    of_sessions=True,
 )
 def traffic_change_pct(spark: SparkSession, d: str) -> DataFrame:
     row = traffic.traffic_summary(spark, d, START, END)
     return row.select(*[F.col(f"change_pct.{c}").alias(f"{c}_change_pct") for c in traffic.COUNTS])
 
 
-@query()
+@query(of_sessions=True)
 def traffic_summary_nested(spark: SparkSession, d: str) -> DataFrame:
     return traffic.traffic_summary(spark, d, START, END)
 
@@ -82,7 +97,8 @@ def traffic_summary_nested(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {_AGGREGATES}, h AS (SELECT 1 AS one{_HEAD} FROM aggregates WHERE is_headline = 1), s AS (SELECT count(*) AS n_days, CAST(sum(total_sessions) AS BIGINT) AS day_sessions FROM aggregates WHERE is_headline = 0 AND period_key = 'current') "
     f"SELECT DATE '{START}' AS start_date, DATE '{END}' AS end_date, DATE '{_FIRST}' AS previous_start_date, DATE '{_LAST}' AS previous_end_date, n_days, day_sessions, "
     + ", ".join(f"{k}_{c}" for k in ("current", "previous") for c in traffic.COUNTS)
-    + " FROM h, s"
+    + " FROM h, s",
+    of_sessions=True,
 )
 def traffic_summary_flat(spark: SparkSession, d: str) -> DataFrame:
     """The report's row with its structs spread out and its daily series added up."""
@@ -92,7 +108,7 @@ def traffic_summary_flat(spark: SparkSession, d: str) -> DataFrame:
     return row.select(*dates_, F.size("daily_series").cast("long").alias("n_days"), days.alias("day_sessions"), *[F.col(f"{k}_period.{c}").alias(f"{k}_{c}") for k in ("current", "previous") for c in traffic.COUNTS])
 
 
-@query(f"WITH {_AGGREGATES} SELECT CAST(day_index AS INT) AS day_index{_HEAD} FROM aggregates WHERE is_headline = 0 GROUP BY day_index")
+@query(f"WITH {_AGGREGATES} SELECT CAST(day_index AS INT) AS day_index{_HEAD} FROM aggregates WHERE is_headline = 0 GROUP BY day_index", of_sessions=True)
 def daily_series_rows(spark: SparkSession, d: str) -> DataFrame:
     day = traffic.traffic_summary(spark, d, START, END).select(F.inline("daily_series"))
     return day.select("day_index", *[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in ("current", "previous") for c in traffic.COUNTS])
@@ -103,15 +119,34 @@ def date_spine(spark: SparkSession, d: str) -> DataFrame:
     return traffic.spine(spark, START, END).where("day_index >= 0")
 
 
-@query(f"WITH {oracle.SESSIONS} SELECT session_source, session_medium, CAST(grouping(session_medium) AS INT) AS all_media, count(DISTINCT user_pseudo_id) AS users FROM sessions GROUP BY GROUPING SETS ((session_source), (session_source, session_medium))")
+@query(f"WITH {oracle.SESSIONS} SELECT session_source, session_medium, CAST(grouping(session_medium) AS INT) AS all_media, count(DISTINCT user_pseudo_id) AS users FROM sessions GROUP BY GROUPING SETS ((session_source), (session_source, session_medium))", of_sessions=True)
 def grouping_sets_sessions(spark: SparkSession, d: str) -> DataFrame:
     s, m = F.col("session_source"), F.col("session_medium")
-    return models.sessions(spark, d).groupingSets([[s], [s, m]], s, m).agg(F.grouping("session_medium").cast("int").alias("all_media"), F.count_distinct("user_pseudo_id").alias("users"))
+    return sessions.sessions(spark, d).groupingSets([[s], [s, m]], s, m).agg(F.grouping("session_medium").cast("int").alias("all_media"), F.count_distinct("user_pseudo_id").alias("users"))
 
 
-@query(f"WITH {oracle.SESSIONS} SELECT session_uid, session_date, user_pseudo_id, user_label, n_events, exit_event FROM sessions")
+@query(f"WITH {oracle.SESSIONS} SELECT session_uid, session_date, user_pseudo_id, user_label, n_events, exit_event FROM sessions", of_sessions=True)
 def inferred_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return models.sessions(spark, d).select("session_uid", "session_date", "user_pseudo_id", "user_label", "n_events", "exit_event")
+    return sessions.sessions(spark, d).select("session_uid", "session_date", "user_pseudo_id", "user_label", "n_events", "exit_event")
+
+
+_BITMAPS = f"WITH {oracle.SESSIONS} SELECT {{0}} AS {{1}}, count(DISTINCT user_pseudo_id) AS active_users FROM sessions GROUP BY 1"
+
+
+@query(f"WITH {_AGGREGATES} SELECT period_key, CAST(day_index AS INT) AS day_index, metric_date, CAST(is_headline AS INT) AS is_headline, total_sessions, total_users, new_users, returning_users FROM aggregates", of_sessions=True)
+def traffic_bitmaps(spark: SparkSession, d: str) -> DataFrame:
+    """Headline and days of both periods from the bitmaps of days alone."""
+    return traffic.stored_aggregates(sessions.visitors(spark, d), START, END)
+
+
+@query(_BITMAPS.format("CAST(date_trunc('week', session_date) AS DATE)", "week"), of_sessions=True)
+def session_wau(spark: SparkSession, d: str) -> DataFrame:
+    return traffic.active_users(sessions.visitors(spark, d), "week")
+
+
+@query(_BITMAPS.format("CAST(date_trunc('month', session_date) AS DATE)", "month"), of_sessions=True)
+def session_mau(spark: SparkSession, d: str) -> DataFrame:
+    return traffic.active_users(sessions.visitors(spark, d), "month")
 
 
 # Metrics: one query each, by the catalog
@@ -142,7 +177,8 @@ def _metric_queries() -> None:
             m = metric(base.id, profile)
             name = f"{m.id}_{profile}" if base.filters else m.id
             period = None if m.model in ("labelled_orders", "all_orders") else (START, END)
-            QUERIES[name] = lambda spark, d, m=m, period=period, profile=profile: metrics.compute(spark, d, m.id, period, profile)
+            compute = lambda spark, d, m=m, period=period, profile=profile: metrics.compute(spark, d, m.id, period, profile)
+            QUERIES[name] = _prepared(compute) if m.model == "sessions" else compute
             SQL[name] = _metric_sql(m, period is not None)
 
 
@@ -157,7 +193,8 @@ def count_distinct_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"WITH {oracle.SESSIONS} SELECT count(DISTINCT session_uid) AS total_sessions, count(DISTINCT user_pseudo_id) AS total_users, CAST(sum(n_events) FILTER (WHERE NOT bounced) AS BIGINT) AS engagement, "
-    f"round(CAST(count(DISTINCT user_pseudo_id) FILTER (WHERE user_label = 'returning_user') AS DOUBLE) / count(DISTINCT user_pseudo_id), 6) AS returning_user_share FROM sessions WHERE session_date BETWEEN DATE '{START}' AND DATE '{END}'"
+    f"round(CAST(count(DISTINCT user_pseudo_id) FILTER (WHERE user_label = 'returning_user') AS DOUBLE) / count(DISTINCT user_pseudo_id), 6) AS returning_user_share FROM sessions WHERE session_date BETWEEN DATE '{START}' AND DATE '{END}'",
+    of_sessions=True,
 )
 def fused_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics.fused(spark, d, ["total_sessions", "total_users", "engagement", "returning_user_share"], (START, END))
@@ -184,6 +221,29 @@ def top_k_limit_plus_one(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(F.desc("n"), "event_date", "page_location_clean").limit(metrics.ROWS + 1)
 
 
+# Scans over one global order
+
+
+@query("SELECT o_orderkey, spent, spent <= 1000000000 AS admitted FROM (SELECT o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM orders)")
+def budget_admission(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as requests in time, admitted while their cost in cents is within one budget."""
+    requests = table(spark, d, "orders").select("o_orderkey", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("cost"))
+    return scan.admitted(requests, ["o_orderdate", "o_orderkey"], "cost", 1_000_000_000).select("o_orderkey", "spent", "admitted")
+
+
+_BUSY = "SELECT epoch_us(ts) AS s, epoch_us(ts) + 60000000 * (1 + event_id % 20) AS e FROM events WHERE event_type = 'purchase'"
+
+
+@query(
+    f"SELECT min(s) AS start_us, max(e) AS end_us FROM (SELECT s, e, sum(opens) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT s, e, CASE WHEN s > max(e) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS opens FROM (SELECT s, max(e) AS e FROM ({_BUSY}) GROUP BY s))) GROUP BY island"
+)
+def busy_periods(spark: SparkSession, d: str) -> DataFrame:
+    """The times in which any purchase was under way, over all users at once."""
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    spans = table(spark, d, "events").where("event_type = 'purchase'").select(start.alias("start"), (start + 60_000_000 * (1 + F.col("event_id") % 20)).alias("end"))
+    return scan.islands(spans).select(F.col("start").alias("start_us"), F.col("end").alias("end_us"))
+
+
 # Registry
 
 _REGISTRY = """r AS (SELECT CAST(c_custkey AS VARCHAR) AS tenant_id, CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE c_name END AS tenant_name, CASE WHEN c_custkey % 3 = 0 THEN 'provisioning' ELSE ' Active ' END AS status,

@@ -43,6 +43,12 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, modified) of the Parquet files under ``path``: they are listed, not opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str], required: list[str] = ()) -> DataFrame:
     """A CSV of text columns, whose header must be ``columns`` in that order; rows lacking a required cell are an error when read."""
     schema = ", ".join(f"`{c}` string" for c in columns)
@@ -75,11 +81,11 @@ def content_digest(spark: SparkSession, paths: list[str]) -> str:
     return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "digest"))), lambda x: x["digest"]), ""), 256)).first()[0]  # a row a file
 
 
-def write_events(events: DataFrame, path: str, day: str = "event_date", tasks_a_day: int = 4) -> None:
+def write_events(events: DataFrame, path: str, day: str = "event_date") -> None:
     """Append events to a table partitioned by day, so that reads prune and retention drops whole partitions. A day is
-    written by several tasks, however hot it is.
+    written by as many tasks as its size asks for, and small days share one.
     """
-    events.repartition(day, F.pmod(F.xxhash64(*events.columns), F.lit(tasks_a_day))).write.mode("append").partitionBy(day).parquet(path)
+    events.hint("rebalance", day).write.mode("append").partitionBy(day).parquet(path)
 
 
 def retained(events: DataFrame, today: date, days: int, day: str = "event_date") -> DataFrame:
