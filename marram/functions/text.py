@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 ALIAS_SEPARATOR = "|"
 
@@ -19,15 +18,45 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFKC", text).casefold().strip()
 
 
-@pandas_udf(StringType())
-def _fold(texts: pd.Series) -> pd.Series:
-    return texts.map(fold, na_action="ignore")
+def _all_folded(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else fold(t) for t in texts.to_pylist()], pa.string())
+
+
+def _fold_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from map(_all_folded, batches)
+
+
+def _fold_lists(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for lists in batches:
+        yield pa.array([None if texts is None else [None if t is None else fold(t) for t in texts] for texts in lists.to_pylist()], pa.list_(pa.string()))
+
+
+def is_plain(text: Column) -> Column:
+    """ASCII only; null is plain."""
+    return F.coalesce(text.rlike("^[\\x00-\\x7f]*$"), F.lit(True))
+
+
+def folded_plain(text: Column) -> Column:
+    """``fold`` of an ASCII column, in the JVM."""
+    return F.trim(F.lower(F.regexp_replace(text, "^\\s+|\\s+$", "")))
+
+
+def folded_any(text: Column) -> Column:
+    """``fold`` of a column, through Arrow: for rows that are known not to be plain."""
+    return F.arrow_udf(_fold_texts, "string")(text)
+
+
+def folded_lists(texts: Column) -> Column:
+    """``fold`` of every text of an array column, through Arrow."""
+    return F.arrow_udf(_fold_lists, "array<string>")(texts)
 
 
 def folded(text: Column) -> Column:
-    """``fold`` of a column: ASCII stays in the JVM, only other text goes through Arrow."""
-    plain = text.rlike("^[\\x00-\\x7f]*$")
-    return F.when(plain, F.trim(F.lower(F.regexp_replace(text, "^\\s+|\\s+$", "")))).otherwise(_fold(F.when(~plain, text)))
+    """``fold`` of a column of any text. ASCII is folded in the JVM, but Spark hands every row to Python, plain ones as nulls: fold tables
+    that are read often once (``registry.prepared``).
+    """
+    plain = is_plain(text)
+    return F.when(plain, folded_plain(text)).otherwise(folded_any(F.when(~plain, text)))
 
 
 def blank_to_null(text: Column) -> Column:

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marram.functions.text import aliases, blank_to_null, fold, folded
+from marram.functions.text import aliases, blank_to_null, fold, folded, folded_any, folded_lists, folded_plain, is_plain
 
 SCHEMA = "tenant_id string, tenant_name string, project_id string, status string, ec boolean, aliases string"
 CANDIDATES = 22
@@ -18,20 +18,40 @@ MATCHES = ("exact", "alias", "partial")
 
 #: Words too general to name a customer. Fixed values.
 GENERIC = ("公司", "企業", "集團", "有限公司", "股份有限公司", "有限責任公司", "company", "co", "co.", "corporation", "corp", "inc", "inc.", "incorporated", "ltd", "ltd.", "limited", "group")
+#: Characters of the substrings that names are looked up by.
+GRAM = 3
 #: Tenants that an issue names at most, the smallest ids; all are counted.
 SHOWN = 100
 
 
+def prepared(registry: DataFrame) -> DataFrame:
+    """The registry with what all its queries ask for: ``normalized_name`` (null without a name) and ``alias_keys``, a tenant's aliases as
+    (alias_no, alias, normalized_alias). Store it: only names and aliases beyond ASCII are folded in Python, and only here.
+    """
+    parts = aliases(F.col("aliases"))
+    keys = lambda folds: F.transform(F.arrays_zip(parts.alias("alias"), folds.alias("key")), lambda x, i: F.struct(i.alias("alias_no"), x["alias"].alias("alias"), x["key"].alias("normalized_alias")))
+    name = F.when(blank_to_null(F.col("tenant_name")).isNotNull(), F.col("tenant_name"))
+    plain = is_plain(F.col("tenant_name")) & is_plain(F.col("aliases"))
+    own = registry.where(plain).withColumns({"normalized_name": folded_plain(name), "alias_keys": keys(F.transform(parts, folded_plain))})
+    other = registry.where(~plain).withColumns({"normalized_name": folded_any(name), "alias_keys": keys(folded_lists(parts))})
+    return own.unionByName(other)
+
+
+def _ready(registry: DataFrame) -> DataFrame:
+    return registry if "alias_keys" in registry.columns else prepared(registry)
+
+
 def named(registry: DataFrame) -> DataFrame:
     """Rows with a name, and its folded form; rows without are left out."""
+    if "normalized_name" in registry.columns:
+        return registry.where("normalized_name IS NOT NULL")
     rows = registry.where(blank_to_null(F.col("tenant_name")).isNotNull())
     return rows.withColumn("normalized_name", folded(F.col("tenant_name")))
 
 
 def alias_rows(registry: DataFrame) -> DataFrame:
     """A row per alias of a named tenant, with its folded form; tenants without aliases have none."""
-    rows = named(registry).select("*", F.posexplode(aliases(F.col("aliases"))).alias("alias_no", "alias"))
-    return rows.withColumn("normalized_alias", folded(F.col("alias")))
+    return named(_ready(registry)).select("*", F.inline("alias_keys")).drop("alias_keys")
 
 
 def matches(registry: DataFrame, name: str) -> DataFrame:
@@ -57,12 +77,49 @@ def candidates(registry: DataFrame, name: str) -> DataFrame:
 
 def matches_of(registry: DataFrame, requests: DataFrame) -> DataFrame:
     """Batch resolution of ``requests`` (name): exact and alias matches by an equi-join on the folded key."""
-    wanted = requests.select("name", folded(F.col("name")).alias("key"))
+    registry, wanted = _ready(registry), requests.select("name", folded(F.col("name")).alias("key"))
     keys = named(registry).select("tenant_id", F.col("normalized_name").alias("key"), F.lit("exact").alias("match_type"))
     keys = keys.unionByName(alias_rows(registry).select("tenant_id", F.col("normalized_alias").alias("key"), F.lit("alias").alias("match_type")))
     return wanted.join(keys, "key").select("name", "tenant_id", "match_type")
 
 
+def _grams(text: Column, sizes: Column) -> Column:
+    """Distinct substrings of a text, of the given sizes."""
+    of = lambda k: F.transform(F.when(F.length(text) >= k, F.sequence(F.lit(1), F.length(text) - k + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(text, i, k))
+    return F.array_distinct(F.flatten(F.transform(sizes, of)))
+
+
+def postings(registry: DataFrame) -> DataFrame:
+    """(gram, tenant_id, normalized_name): a row for every distinct substring of up to ``GRAM`` characters of a tenant's folded name."""
+    rows = named(_ready(registry)).select("tenant_id", "normalized_name")
+    return rows.select(F.explode(_grams(F.col("normalized_name"), F.sequence(F.lit(1), F.lit(GRAM)))).alias("gram"), "*")
+
+
+def partial_matches(index: DataFrame, requests: DataFrame) -> DataFrame:
+    """(name, tenant_id, normalized_name): tenants whose folded name holds a requested one; ``index`` as ``postings``, ``requests`` has name.
+
+    A request is looked up by its rarest gram alone, and what that finds is verified. Repeated requests count once; null and blank ones
+    match nothing.
+    """
+    wanted = requests.select("name").distinct().withColumn("key", folded(F.col("name"))).where("key <> ''")
+    own = wanted.select("name", "key", F.explode(_grams(F.col("key"), F.array(F.least(F.length("key"), F.lit(GRAM))))).alias("gram"))
+    counts = index.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    # A gram that no name has leaves a request without a match: it is the rarest.
+    rarest = own.join(counts, "gram", "left").groupBy("name", "key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x")).where("x.n > 0")
+    found = rarest.select("name", "key", F.col("x.gram").alias("gram")).join(index, "gram")
+    return found.where(F.contains("normalized_name", F.col("key"))).select("name", "tenant_id", "normalized_name")
+
+
+def resolutions(registry: DataFrame, index: DataFrame, requests: DataFrame) -> DataFrame:
+    """(name, rank, tenant_id, match_type): the first ``CANDIDATES`` matches of each request, as ``candidates`` has them for one."""
+    names = named(_ready(registry)).select("tenant_id", "normalized_name").distinct()
+    known = matches_of(registry, requests.select("name").distinct()).join(names, "tenant_id")
+    every = known.unionByName(partial_matches(index, requests).withColumn("match_type", F.lit("partial")))
+    order = F.array_position(F.lit(list(MATCHES)), F.col("match_type"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(order, "normalized_name", "tenant_id"))
+    return every.withColumn("rank", rank).where(F.col("rank") <= CANDIDATES).select("name", "rank", "tenant_id", "match_type")
+
+
 class TenantError(LookupError):
     """An unresolved name; ``code`` says why, ``context`` what is known so far."""
 
@@ -116,10 +173,6 @@ def active_customers(registry: DataFrame) -> DataFrame:
     return rows.where(active).join(once, "normalized_name", "left_semi").select("tenant_id", "tenant_name", "normalized_name", profile.alias("profile"))
 
 
-def _issue(rows: DataFrame, code: str, alias: Column) -> DataFrame:
-    return rows.select(F.lit(code).alias("code"), F.array("tenant_id").alias("tenant_ids"), F.lit(1).cast("long").alias("n_tenants"), alias.cast("string").alias("alias"))
-
-
 def quality_issues(registry: DataFrame) -> DataFrame:
     """(code, tenant_ids, n_tenants, alias) of every violated rule. Rows without a name are not judged.
 
@@ -127,6 +180,7 @@ def quality_issues(registry: DataFrame) -> DataFrame:
     so that no row grows with the registry.
     """
     none = F.lit(None).cast("string")
+    registry = _ready(registry)
     names, parts = named(registry), alias_rows(registry)
     raw = F.split("aliases", "[|]")
     repeated = parts.groupBy("tenant_id", "normalized_name", "normalized_alias").agg(F.count("*").alias("n"), F.max_by("alias", "alias_no").alias("alias")).where("n > 1")
@@ -152,17 +206,13 @@ def quality_issues(registry: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("case.code", "key").orderBy("tenant_id"))
     listed = listed.withColumn("rank", rank).where(F.col("rank") <= SHOWN)
     many = listed.groupBy("key", "case").agg(F.array_sort(F.collect_list("tenant_id")).alias("tenant_ids")).select("case.code", "tenant_ids", "case.n_tenants", "case.alias")
-    found = (
-        _issue(names.where(blank_to_null(F.col("aliases")).isNotNull() & F.exists(raw, lambda a: F.trim(a) == "")), "empty_alias", none),
-        _issue(parts.where(F.col("normalized_alias").isin(*GENERIC)), "generic_alias", F.col("alias")),
-        _issue(repeated, "duplicate_alias_within_tenant", F.col("alias")),
-        _issue(parts.where("normalized_alias = normalized_name"), "alias_matches_formal_name", F.col("alias")),
-        many,
-    )
-    out = found[0]
-    for rows in found[1:]:
-        out = out.unionByName(rows)
-    return out
+    # What a row tells by itself comes from one scan.
+    issue = lambda code, alias: F.struct(F.lit(code).alias("code"), alias.cast("string").alias("alias"))
+    empty = F.when(blank_to_null(F.col("aliases")).isNotNull() & F.exists(raw, lambda a: F.trim(a) == ""), F.array(issue("empty_alias", none)))
+    of_alias = lambda code, broken: F.transform(F.filter("alias_keys", broken), lambda k: issue(code, k["alias"]))
+    own = F.concat(F.coalesce(empty, F.array().cast("array<struct<code:string,alias:string>>")), of_alias("generic_alias", lambda k: k["normalized_alias"].isin(*GENERIC)), of_alias("alias_matches_formal_name", lambda k: k["normalized_alias"] == F.col("normalized_name")))
+    single = names.select("tenant_id", F.inline(own)).unionByName(repeated.select("tenant_id", F.lit("duplicate_alias_within_tenant").alias("code"), "alias"))
+    return single.select("code", F.array("tenant_id").alias("tenant_ids"), F.lit(1).cast("long").alias("n_tenants"), "alias").unionByName(many)
 
 
 def quality_report(registry: DataFrame) -> DataFrame:

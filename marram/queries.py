@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 from functools import wraps
@@ -10,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marram.functions import dates, text
-from marram.operators import definitions, intervals, metrics, registry, relational, scan, traffic, usage
+from marram.operators import definitions, fleet, intervals, metrics, registry, relational, scan, traffic, usage
 from marram.plans import models, oracle, sessions
 from marram.plans.catalog import METRICS, TIME, Metric, metric
-from marram.sources.tables import table
+from marram.sources.tables import derived, shared_dir, table
 from marram.streaming import events as streams
 
 START, END = date(2024, 1, 16), date(2024, 1, 30)
@@ -221,6 +222,45 @@ def top_k_limit_plus_one(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(F.desc("n"), "event_date", "page_location_clean").limit(metrics.ROWS + 1)
 
 
+# All tenants at once
+
+_TENANTS = 20
+_FLEET = f"""{oracle.SESSIONS}, owned AS (SELECT *, CAST(CAST(user_pseudo_id AS BIGINT) % {_TENANTS} + 1 AS VARCHAR) AS tenant_id FROM sessions),
+spine AS (SELECT p AS period_key, i AS day_index, CAST(s + INTERVAL (i) DAY AS DATE) AS metric_date FROM (VALUES ('current', DATE '{START}'), ('previous', DATE '{_FIRST}')) v(p, s), range(0, {(END - START).days + 1}) r(i)),
+active AS (SELECT CAST(c_custkey AS VARCHAR) AS tenant_id FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 3 <> 0 AND c_custkey <= {_TENANTS + 5}),
+places AS (SELECT * FROM active, spine),
+found AS (SELECT places.tenant_id, period_key, day_index, metric_date, CAST(grouping(day_index) AS INT) AS is_headline, count(DISTINCT session_uid) AS total_sessions, count(DISTINCT user_pseudo_id) AS total_users,
+  count(DISTINCT CASE WHEN user_label = 'new_user' THEN user_pseudo_id END) AS new_users, count(DISTINCT CASE WHEN user_label = 'returning_user' THEN user_pseudo_id END) AS returning_users
+  FROM places LEFT JOIN owned ON owned.tenant_id = places.tenant_id AND session_date = metric_date GROUP BY GROUPING SETS ((places.tenant_id, period_key), (places.tenant_id, period_key, day_index, metric_date)))"""
+_fleets: dict[tuple[str, str, int], str] = {}
+
+
+def _fleet(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sessions by tenant and day, written once for each version of the session table; and the active tenants."""
+    key = (spark.sparkContext.applicationId, d, sessions.prepare(spark, d).version)
+    if key not in _fleets:
+        _fleets[key] = f"{shared_dir(spark)}/fleet-{uuid.uuid4().hex}"
+        tenant = (F.col("user_pseudo_id").cast("long") % _TENANTS + 1).cast("string")
+        fleet.write(sessions.sessions(spark, d).withColumn("tenant_id", tenant), _fleets[key])
+    active = registry.active_customers(_registry(spark, d)).where(F.col("tenant_id").cast("long") <= _TENANTS + 5)
+    return spark.read.schema(models.SESSIONS + ", tenant_id string").parquet(_fleets[key]), active
+
+
+@query(f"WITH {_FLEET} SELECT tenant_id, period_key, CAST(day_index AS INT) AS day_index, metric_date, is_headline, total_sessions, total_users, new_users, returning_users FROM found")
+def fleet_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Every active tenant's headline and days in one plan."""
+    return fleet.reports(*_fleet(spark, d), START, END)
+
+
+@query(
+    f"WITH {_FLEET}, h AS (SELECT tenant_id{_HEAD} FROM found WHERE is_headline = 1 GROUP BY tenant_id) SELECT *, "
+    + ", ".join(f"CASE WHEN previous_{c} = 0 THEN NULL ELSE round(CAST(current_{c} - previous_{c} AS DOUBLE) / previous_{c} * 100, 2) END AS {c}_change_pct" for c in traffic.COUNTS)
+    + " FROM h"
+)
+def fleet_summary(spark: SparkSession, d: str) -> DataFrame:
+    return fleet.summary(fleet.reports(*_fleet(spark, d), START, END))
+
+
 # Scans over one global order
 
 
@@ -253,7 +293,12 @@ a AS (SELECT tenant_id, normalized_name, trim(x) AS alias, lower(trim(x)) AS nor
 
 
 def _registry(spark: SparkSession, d: str) -> DataFrame:
-    return registry.from_customers(table(spark, d, "customer"))
+    """The registry with its names folded, stored once for the customers as they are."""
+    return derived(spark, "registry", f"{d}/customer.parquet", lambda: registry.prepared(registry.from_customers(table(spark, d, "customer"))))
+
+
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    return derived(spark, "postings", f"{d}/customer.parquet", lambda: registry.postings(_registry(spark, d)))
 
 
 @query(f"WITH {_REGISTRY} SELECT tenant_id, tenant_name, normalized_name, CASE WHEN ec THEN 'ecommerce' ELSE 'non_ecommerce' END AS profile FROM n WHERE lower(trim(status)) = 'active' AND normalized_name IN (SELECT normalized_name FROM n GROUP BY 1 HAVING count(*) = 1)")
@@ -284,6 +329,31 @@ def batch_resolution(spark: SparkSession, d: str) -> DataFrame:
     return registry.matches_of(_registry(spark, d), wanted)
 
 
+_REQUESTS = "q AS (SELECT DISTINCT upper(substr(c_name, 8 + c_custkey % 8, 2 + c_custkey % 5)) AS name FROM customer WHERE c_custkey % 25 = 0)"
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    return table(spark, d, "customer").where(key % 25 == 0).select(F.upper(F.substr("c_name", (8 + key % 8).cast("int"), (2 + key % 5).cast("int"))).alias("name"))
+
+
+@query(f"WITH {_REGISTRY}, {_REQUESTS} SELECT name, tenant_id, normalized_name FROM q JOIN n ON contains(normalized_name, lower(name))")
+def batch_partial_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Many requested substrings against all names, by their rarest three characters."""
+    return registry.partial_matches(_postings(spark, d), _requests(spark, d))
+
+
+@query(
+    f"WITH {_REGISTRY}, {_REQUESTS}, w AS (SELECT name FROM q UNION SELECT upper(c_mktsegment) FROM customer), m AS (SELECT name, tenant_id, normalized_name, 'exact' AS match_type, 1 AS o FROM w JOIN n ON normalized_name = lower(name) "
+    "UNION ALL SELECT name, tenant_id, normalized_name, 'alias', 2 FROM w JOIN a ON normalized_alias = lower(name) UNION ALL SELECT name, tenant_id, normalized_name, 'partial', 3 FROM w JOIN n ON contains(normalized_name, lower(name))) "
+    "SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY o, normalized_name, tenant_id) AS INT) AS rank, tenant_id, match_type FROM m QUALIFY rank <= 22"
+)
+def batch_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The first 22 matches of every request: exact, by alias, partial."""
+    requests = _requests(spark, d).union(table(spark, d, "customer").select(F.upper("c_mktsegment")))
+    return registry.resolutions(_registry(spark, d), _postings(spark, d), requests)
+
+
 @query(f"WITH {_REGISTRY} SELECT normalized_alias AS alias_key, count(*) AS n_rows, count(DISTINCT tenant_id) AS n_tenants FROM a GROUP BY 1 HAVING count(*) > 1")
 def registry_duplicates(spark: SparkSession, d: str) -> DataFrame:
     rows = registry.alias_rows(_registry(spark, d)).groupBy(F.col("normalized_alias").alias("alias_key"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import json
 import shutil
 import tempfile
+from collections.abc import Callable
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +51,20 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
+#: Tables that ``derived`` has stored.
+_derived: set[str] = set()
+
+
+def derived(spark: SparkSession, label: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table made from the files under ``source``, stored in the shared folder for as long as these stay as they are."""
+    files = listing(spark, source).agg(F.count("*"), F.sum("bytes"), F.bit_xor(F.xxhash64("path", "bytes", "modified"))).first()
+    path = f"{shared_dir(spark)}/{label}-{hashlib.sha256(repr((source, tuple(files))).encode()).hexdigest()[:16]}"
+    if path not in _derived:
+        make().write.mode("overwrite").parquet(path)
+        _derived.add(path)
+    return spark.read.parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str], required: list[str] = ()) -> DataFrame:
     """A CSV of text columns, whose header must be ``columns`` in that order; rows lacking a required cell are an error when read."""
     schema = ", ".join(f"`{c}` string" for c in columns)
