@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,21 +42,21 @@ def bounded(rows: DataFrame, model: str, period: tuple[date, date] | None) -> Da
     return rows if period is None or column is None else rows.where(F.col(column).between(F.lit(period[0]), F.lit(period[1])))
 
 
-def compute(spark: SparkSession, directory: str, metric_id: str, period: tuple[date, date] | None = None, profile: str | None = None) -> DataFrame:
-    """A row per combination of the metric's dimensions (one row without dimensions), in no order."""
+def compute(spark: SparkSession, directory: str, metric_id: str, period: tuple[date, date] | None = None, profile: str | None = None, watch: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """A row per combination of the metric's dimensions (one row without dimensions), in no order. ``watch`` is applied to the period's rows."""
     m = metric(metric_id, profile)
-    return over(MODELS[m.model](spark, directory), m, period)
+    return over(MODELS[m.model](spark, directory), m, period, watch)
 
 
-def over(rows: DataFrame, m: Metric, period: tuple[date, date] | None = None) -> DataFrame:
+def over(rows: DataFrame, m: Metric, period: tuple[date, date] | None = None, watch: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """A metric of rows of its model."""
-    rows = bounded(rows, m.model, period)
+    rows = watch(bounded(rows, m.model, period))
     if m.filter:
         rows = rows.where(m.filter)
     return rows.groupBy(*m.dimensions).agg(value(m, filtered=True))
 
 
-def fused(spark: SparkSession, directory: str, metric_ids: list[str], period: tuple[date, date] | None = None, profile: str | None = None) -> DataFrame:
+def fused(spark: SparkSession, directory: str, metric_ids: list[str], period: tuple[date, date] | None = None, profile: str | None = None, watch: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Several metrics of one model and the same dimensions in a single aggregation, a column each.
 
     Unlike ``compute``, a group stays if any of the metrics has rows in it; a count is then 0.
@@ -63,7 +64,7 @@ def fused(spark: SparkSession, directory: str, metric_ids: list[str], period: tu
     own = [metric(m, profile) for m in metric_ids]
     if len({(m.model, m.dimensions) for m in own}) != 1:
         raise CatalogError("invalid_metric_request", "metrics of different models or dimensions")
-    rows = bounded(MODELS[own[0].model](spark, directory), own[0].model, period)
+    rows = watch(bounded(MODELS[own[0].model](spark, directory), own[0].model, period))
     return rows.groupBy(*own[0].dimensions).agg(*[value(m) for m in own])
 
 

@@ -9,6 +9,7 @@ depend on how often users come.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,9 +112,10 @@ def report_of(found: DataFrame, start: date, end: date) -> DataFrame:
     )
 
 
-def traffic_summary(spark: SparkSession, directory: str, start: date, end: date) -> DataFrame:
-    """The report from the stored bitmaps of the wanted days."""
-    return report_of(stored_aggregates(sessions.visitors(spark, directory), start, end), start, end)
+def traffic_summary(spark: SparkSession, directory: str, start: date, end: date, watch: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """The report from the stored bitmaps of the wanted days; ``watch`` is applied to their rows."""
+    rows = sessions.visitors(spark, directory).where(F.col("session_date").between(F.lit(previous(start, end)[0]), F.lit(end)))
+    return report_of(stored_aggregates(watch(rows), start, end), start, end)
 
 
 class ContractError(ValueError):

@@ -1,17 +1,24 @@
-"""Gates before a query runs: date limits, scan estimates, and guarded execution with provenance."""
+"""Gates before a query runs: date limits, costs from listed files, and guarded execution with measured provenance."""
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 import re
 import threading
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import functions as F
+
+#: What makes a query: it is given a function to watch the rows that the query reads, and applies it to them.
+Watch = Callable[[DataFrame], DataFrame]
+Make = Callable[[Watch], DataFrame]
 
 
 class PolicyError(ValueError):
@@ -26,15 +33,16 @@ class Policy:
     max_days: int = 90
     max_bytes_per_job: int = 2_000_000_000
     max_bytes_per_request: int = 10_000_000_000
+    max_bytes_per_day: int = 49_999_167_488
     timeout_s: float = 60.0
 
     @classmethod
     def from_environment(cls, values: Mapping[str, str] | None = None) -> Policy:
-        """Limits from ``MARRAM_EARLIEST_DATE``, ``MARRAM_MAX_DAYS``, ``MARRAM_MAX_BYTES_PER_JOB``, ``MARRAM_MAX_BYTES_PER_REQUEST`` and
-        ``MARRAM_TIMEOUT_S``; what is not set keeps its default, what cannot be read is an error.
+        """Limits from ``MARRAM_EARLIEST_DATE``, ``MARRAM_MAX_DAYS``, ``MARRAM_MAX_BYTES_PER_JOB``, ``MARRAM_MAX_BYTES_PER_REQUEST``,
+        ``MARRAM_MAX_BYTES_PER_DAY`` and ``MARRAM_TIMEOUT_S``; what is not set keeps its default, what cannot be read is an error.
         """
         values, found = os.environ if values is None else values, {}
-        kinds = {"earliest": ("EARLIEST_DATE", date.fromisoformat), "max_days": ("MAX_DAYS", int), "max_bytes_per_job": ("MAX_BYTES_PER_JOB", int), "max_bytes_per_request": ("MAX_BYTES_PER_REQUEST", int), "timeout_s": ("TIMEOUT_S", float)}
+        kinds = {"earliest": ("EARLIEST_DATE", date.fromisoformat), "max_days": ("MAX_DAYS", int), "max_bytes_per_job": ("MAX_BYTES_PER_JOB", int), "max_bytes_per_request": ("MAX_BYTES_PER_REQUEST", int), "max_bytes_per_day": ("MAX_BYTES_PER_DAY", int), "timeout_s": ("TIMEOUT_S", float)}
         for name, (key, kind) in kinds.items():
             if (text := values.get(f"MARRAM_{key}")) is not None:
                 try:
@@ -68,54 +76,33 @@ class Policy:
             raise PolicyError("future_date_not_allowed", today=today)
         return first, last
 
-    def preflight(self, queries: dict[str, DataFrame]) -> dict[str, int]:
-        """Estimated bytes of every query; the first over the job's cap, or that takes the sum over the request's, is refused. Nothing runs."""
-        estimates, total = {}, 0
-        for name, df in queries.items():
-            estimates[name] = n = scanned_bytes(df)
+    def preflight(self, costs: Mapping[str, Callable[[], int]], spent_today: int = 0) -> dict[str, int]:
+        """Bytes of every query; the first over the job's cap, or that takes the sum over the request's or the day's, is refused. No query
+        has been made by then: a cost comes from listed files.
+        """
+        found, total = {}, 0
+        for name, cost in costs.items():
+            try:
+                found[name] = n = cost()
+            except Exception as e:
+                if hasattr(e, "code"):
+                    raise
+                raise PolicyError("query_cost_estimate_failed", query=name) from e
             if n > self.max_bytes_per_job:
                 raise PolicyError("query_cost_limit_exceeded", query=name, estimated_bytes=n)
             total += n
             if total > self.max_bytes_per_request:
                 raise PolicyError("query_cost_limit_exceeded", query=name, request_bytes=total)
-        return estimates
-
-
-def scanned_bytes(df: DataFrame) -> int:
-    """Estimated file bytes that a query's scans read: over the leaves only, since a join's own estimate multiplies its
-    sides, and by the share of the columns' default widths that the scan keeps.
-    """
-    leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        n = int(str(leaf.stats().sizeInBytes()))
-        if leaf.nodeName().startswith("LogicalRelation") or leaf.nodeName().startswith("Relation"):
-            whole, scan = leaf.output(), _scan_width(df, leaf)
-            width = sum(whole.apply(k).dataType().defaultSize() for k in range(whole.size()))
-            n = n * scan // max(1, width)
-        total += n
-    return total
-
-
-def _scan_width(df: DataFrame, leaf) -> int:
-    """Default width of the columns that the plan above takes from a leaf."""
-    used = set()
-    nodes = [df._jdf.queryExecution().optimizedPlan()]
-    while nodes:
-        node = nodes.pop()
-        children = node.children()
-        nodes += [children.apply(i) for i in range(children.size())]
-        refs = node.references().toSeq()
-        used |= {refs.apply(i).exprId().id() for i in range(refs.size())}
-    top = df._jdf.queryExecution().optimizedPlan().output()
-    used |= {top.apply(i).exprId().id() for i in range(top.size())}
-    out = leaf.output()
-    return sum(out.apply(i).dataType().defaultSize() for i in range(out.size()) if out.apply(i).exprId().id() in used)
+            if spent_today + total > self.max_bytes_per_day:
+                raise PolicyError("daily_query_quota_exceeded", query=name, day_bytes=spent_today + total)
+        return found
 
 
 @dataclass
 class Run:
-    """What a guarded query did; ``estimated_bytes`` are file bytes, an estimate."""
+    """What a guarded query did. ``estimated_bytes`` are those of the files in question; ``rows_read`` were counted while it ran, null if it
+    reads nothing that is watched; its jobs and stages are Spark's.
+    """
 
     name: str
     tag: str
@@ -125,10 +112,13 @@ class Run:
     arguments: dict = field(default_factory=dict)
     seconds: float = 0.0
     rows: list[Row] = field(default_factory=list)
+    rows_read: int | None = None
+    job_ids: list[int] = field(default_factory=list)
+    stages: int = 0
 
     def record(self) -> dict:
         """What the answer says about the query, without its rows. The tag finds its jobs in Spark's own records."""
-        return {"query": self.name, "tag": self.tag, "status": self.status, "estimated_bytes": self.estimated_bytes, "arguments": self.arguments, "seconds": round(self.seconds, 3), "plan": self.plan}
+        return {"query": self.name, "tag": self.tag, "status": self.status, "estimated_bytes": self.estimated_bytes, "rows_read": self.rows_read, "rows_returned": len(self.rows), "job_ids": self.job_ids, "stages": self.stages, "arguments": self.arguments, "seconds": round(self.seconds, 3), "plan": self.plan}
 
 
 def label(text: str) -> str:
@@ -141,6 +131,8 @@ def failure(error: Exception, late: bool) -> str:
     name = type(error).__name__
     if late:
         return "query_timeout"
+    if hasattr(error, "code"):
+        return error.code
     if name == "AnalysisException" or name == "ParseException":
         return "query_invalid"
     if "PATH_NOT_FOUND" in str(error) or "FileNotFoundException" in str(error):
@@ -148,33 +140,51 @@ def failure(error: Exception, late: bool) -> str:
     return "query_failed"
 
 
-def execute(queries: dict[str, DataFrame], policy: Policy, most_rows: int = 200, arguments: dict | None = None) -> list[Run]:
-    """Run bounded queries one after the other, each under a tag and a time limit, after all of them passed the preflight.
+def described(df: DataFrame) -> str:
+    """A query's plan as Spark prints it."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
+
 
-    After a failure the rest is reported as not executed, with the records so far in the error's details.
+def execute(spark: SparkSession, queries: Mapping[str, Make], costs: Mapping[str, Callable[[], int]], policy: Policy, most_rows: int = 200, arguments: dict | None = None, spent_today: int = 0) -> list[Run]:
+    """Make and run bounded queries one after the other, each as a job group and under a time limit, after all of them passed the preflight.
+
+    Making counts in the time limit. After a failure the rest is reported as not executed, with the records so far in the
+    error's details.
     """
-    estimates = policy.preflight(queries)
+    estimates = policy.preflight(costs, spent_today)
     runs = [Run(n, f"marram-{label(n)}-{uuid.uuid4().hex}", estimated_bytes=estimates[n], arguments=arguments or {}) for n in queries]
-    for run, df in zip(runs, queries.values(), strict=True):
-        spark = df.sparkSession
-        run.plan = df._jdf.queryExecution().optimizedPlan().toString()
-        late = threading.Event()
+    context = spark.sparkContext
+    for run, make in zip(runs, queries.values(), strict=True):
+        late, seen = threading.Event(), []
 
-        def stop(tag=run.tag, spark=spark, late=late):
+        def stop(tag=run.tag, late=late):
             late.set()
-            spark.interruptTag(tag)
+            context.cancelJobGroup(tag)  # tags belong to the thread that set them, groups do not
+
+        def watch(rows: DataFrame, seen=seen) -> DataFrame:
+            seen.append(Observation())
+            return rows.observe(seen[-1], F.count(F.lit(1)).alias("n"))
 
         timer = threading.Timer(policy.timeout_s, stop)
-        spark.addTag(run.tag)
+        context.setJobGroup(run.tag, run.name, interruptOnCancel=True)
         timer.start()
         began = time.monotonic()
         try:
+            df = make(watch)
+            run.plan = described(df)
             run.rows, run.status = df.limit(most_rows + 1).collect(), "executed"
+            run.rows_read = sum(o.get["n"] for o in seen) if seen else None
         except Exception as e:
             run.status = "failed"
             raise PolicyError(failure(e, late.is_set()), query=run.name, runs=runs) from e
         finally:
             run.seconds = time.monotonic() - began
             timer.cancel()
-            spark.removeTag(run.tag)
+            context.setLocalProperty("spark.jobGroup.id", None)
+            tracker = context.statusTracker()
+            run.job_ids = sorted(tracker.getJobIdsForGroup(run.tag))
+            run.stages = sum(len(job.stageIds) for i in run.job_ids if (job := tracker.getJobInfo(i)))
     return runs

@@ -1,21 +1,27 @@
 """The two calls of the service: a tenant's traffic report, and metrics of the catalog, from request to answer.
 
-Either resolves the tenant, checks dates and cost before anything runs, runs under a time limit, and shapes the rows.
+Either resolves the tenant, checks dates and cost before a query is made, makes and runs it under a time limit, and shapes
+the rows. The service only reads: a dataset whose session table has not been built (``sessions.prepare``) is not available.
 An error carries what was known of the tenant by then in ``request``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
-from datetime import date
+from dataclasses import dataclass, field
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.operators import metrics, registry, traffic
+from marram.plans import sessions
 from marram.plans.catalog import VERSION, metric, resolved_profile
-from marram.plans.policy import Policy, execute
+from marram.plans.policy import Make, Policy, Run, execute
+from marram.sources.tables import listing
+
+#: The tables that a model reads besides sessions, whose files cost.
+SOURCES = {"web_events": ("events",), "traffic_flows": ("events",), "users": ("orders", "customer"), "labelled_orders": ("orders",), "all_orders": ("orders",)}
 
 
 @dataclass(frozen=True)
@@ -26,6 +32,8 @@ class Service:
     directory: Callable[[registry.Tenant], str]
     today: date
     policy: Policy = Policy()
+    #: Bytes that this service's queries have read so far, by day.
+    spent: dict[date, int] = field(default_factory=dict)
 
     def traffic_summary(self, customer: str, start: str, end: str, include_query: bool = False) -> dict:
         """The period-over-period report of a customer as its validated contract."""
@@ -33,8 +41,9 @@ class Service:
         try:
             first, last = self.policy.dates(start, end, self.today, comparison_periods=1)
             tenant = self._resolve(customer, request)
-            rows = traffic.traffic_summary(self.spark, self.directory(tenant), first, last)
-            runs = execute({"traffic_summary": rows}, self.policy, 1, {"start_date": start, "end_date": end})
+            directory, before = self.directory(tenant), first - (last - first) - timedelta(days=1)
+            make: Make = lambda watch: traffic.traffic_summary(self.spark, directory, first, last, watch)
+            runs = self._execute({"traffic_summary": make}, {"traffic_summary": lambda: sessions.cost(self.spark, directory, before, last, "visitors")}, 1, start, end)
             answer = {"customer": request, "report": traffic.contract(runs[0].rows)}
         except Exception as e:
             e.request = request
@@ -55,11 +64,14 @@ class Service:
             for m in own:
                 if not m.dimensions:
                     single.setdefault(m.model, []).append(m.id)
-            queries = {f"{model}_totals": metrics.fused(self.spark, directory, names, period, profile) for model, names in single.items()}
+            queries: dict[str, Make] = {f"{model}_totals": lambda watch, names=names: metrics.fused(self.spark, directory, names, period, profile, watch) for model, names in single.items()}
+            of = {f"{model}_totals": model for model in single}
             for m in own:
                 if m.dimensions:
-                    queries[m.id] = metrics.compute(self.spark, directory, m.id, period, profile).orderBy(F.desc(m.id), *m.dimensions).limit(limit + 1)
-            runs = execute(queries, self.policy, limit, {"start_date": start, "end_date": end})
+                    queries[m.id] = lambda watch, m=m: metrics.compute(self.spark, directory, m.id, period, profile, watch).orderBy(F.desc(m.id), *m.dimensions).limit(limit + 1)
+                    of[m.id] = m.model
+            costs = {name: lambda model=model: self._cost(directory, model, period) for name, model in of.items()}
+            runs = self._execute(queries, costs, limit, start, end)
         except Exception as e:
             e.request = request
             raise
@@ -71,6 +83,17 @@ class Service:
         head = {"customer": request, "catalog_version": VERSION, "profile": profile, "profile_resolution": "tenant", "period": {"start_date": start, "end_date": end}}
         return head | {"metrics": answers} | self._provenance(runs, include_query)
 
+    def _cost(self, directory: str, model: str, period: tuple[date, date]) -> int:
+        """File bytes that a model's rows of a period can need: of sessions the wanted days', of other tables all."""
+        if model == "sessions":
+            return sessions.cost(self.spark, directory, *period)
+        return sum(listing(self.spark, f"{directory}/{t}.parquet").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] for t in SOURCES[model])
+
+    def _execute(self, queries: dict[str, Make], costs: dict[str, Callable[[], int]], most_rows: int, start: str, end: str) -> list[Run]:
+        runs = execute(self.spark, queries, costs, self.policy, most_rows, {"start_date": start, "end_date": end}, self.spent.get(self.today, 0))
+        self.spent[self.today] = self.spent.get(self.today, 0) + sum(r.estimated_bytes for r in runs)
+        return runs
+
     def _resolve(self, customer: str, request: dict) -> registry.Tenant:
         try:
             tenant = registry.resolve(self.tenants, customer)

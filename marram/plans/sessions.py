@@ -203,15 +203,18 @@ def visitors(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.schema(VISITORS + ", version int").option("basePath", f"{built.root}/visitors").parquet(*paths).drop("version")
 
 
-def sizes(spark: SparkSession, directory: str) -> DataFrame:
-    """(session_date, bytes) of the newest version's files, by listing them."""
+def sizes(spark: SparkSession, directory: str, of: str = "rows") -> DataFrame:
+    """(session_date, bytes) of the newest version's files of sessions (``rows``) or of ``visitors``, by listing them."""
     built = _of(spark, directory)
     day, version = (F.regexp_extract("path", p, 1) for p in ("session_date=([0-9-]+)", "version=(\\d+)"))
-    files = listing(spark, f"{built.root}/rows").select(day.cast("date").alias("session_date"), version.cast("int").alias("in_version"), "bytes")
-    days = spark.read.parquet(f"{built.root}/days/version={built.version}")
-    return files.join(days, ["session_date", "in_version"]).groupBy("session_date").agg(F.sum("bytes").alias("bytes"))
+    files = listing(spark, f"{built.root}/{of}").select(F.try_to_date(day).alias("session_date"), version.cast("int").alias("in_version"), "bytes")
+    if of == "rows":
+        files = files.join(spark.read.parquet(f"{built.root}/days/version={built.version}").select("session_date", "in_version"), ["session_date", "in_version"])
+    else:
+        files = files.where(F.col("in_version").between(_first(spark, built), built.version))
+    return files.groupBy("session_date").agg(F.sum("bytes").alias("bytes"))
 
 
-def cost(spark: SparkSession, directory: str, first: date, last: date) -> int:
+def cost(spark: SparkSession, directory: str, first: date, last: date, of: str = "rows") -> int:
     """File bytes of the wanted days: what a scan of them reads at most."""
-    return sizes(spark, directory).where(F.col("session_date").between(F.lit(first), F.lit(last))).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    return sizes(spark, directory, of).where(F.col("session_date").between(F.lit(first), F.lit(last))).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]

@@ -66,12 +66,14 @@ def derived(spark: SparkSession, label: str, source: str, make: Callable[[], Dat
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str], required: list[str] = ()) -> DataFrame:
-    """A CSV of text columns, whose header must be ``columns`` in that order; rows lacking a required cell are an error when read."""
+    """A CSV of text columns. Every file's header must be ``columns`` in that order: of the first file it is checked now, of all when they are
+    read; rows lacking a required cell are an error when read.
+    """
     schema = ", ".join(f"`{c}` string" for c in columns)
     found = spark.read.option("header", True).option("multiLine", True).csv(path).columns
-    if [c.lstrip("﻿") for c in found] != list(columns):
+    if [c.lstrip("\ufeff") for c in found] != list(columns):
         raise ValueError(f"header is {found}, not {list(columns)}")
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("enforceSchema", True).csv(path)
+    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("enforceSchema", False).csv(path)
     for c in required:
         empty = F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).isNull()
         rows = rows.withColumn(c, F.when(empty, F.raise_error(F.lit(f"a row lacks {c}"))).otherwise(F.col(f"`{c}`")))
@@ -83,11 +85,10 @@ def read_json_document(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
-def write_json_document(document: dict, path: str) -> None:
-    """One JSON document with sorted keys, on the driver's file system."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(document, f, ensure_ascii=False, indent=2, sort_keys=True)
-        f.write("\n")
+def write_json_document(spark: SparkSession, document: dict, path: str) -> None:
+    """One JSON document with sorted keys, in a folder of any store that Spark writes."""
+    text = json.dumps(document, ensure_ascii=False, indent=2, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def content_digest(spark: SparkSession, paths: list[str]) -> str:

@@ -6,6 +6,7 @@ from marram import queries
 from marram.functions import dates, text
 from marram.operators import intervals, metrics, registry, traffic, usage
 from marram.plans import catalog, models, policy
+from marram.plans import sessions as session_table
 from marram.sources import tables
 from marram.streaming import events as streams
 from pyspark.sql import functions as F
@@ -89,6 +90,7 @@ def test_sessions_over_days_equal_one_pass(spark):
 
 
 def test_metric_requests(spark):
+    session_table.prepare(spark, SF)
     period = (queries.START, queries.END)
     out = metrics.request(spark, SF, ["total_sessions", "sessions_by_source", "total_sessions"], period, limit=2)
     assert [m["metric_id"] for m in out] == ["total_sessions", "sessions_by_source"] and not out[0]["truncated"] and out[1]["truncated"] and len(out[1]["rows"]) == 2
@@ -185,11 +187,20 @@ def test_service_answers_and_refuses(spark):
     from marram.plans.service import Service
 
     asked = Service(spark, registry.from_rows(spark, ROWS), lambda t: SF, D(2024, 2, 1))
+    models_before = dict(session_table._built)
+    session_table._built.clear()
+    missing = Service(spark, asked.tenants, lambda t: "/root/testdata/sf0.01", asked.today)
+    for call in (lambda: missing.traffic_summary("小太陽", "2024-01-16", "2024-01-30"), lambda: missing.metrics("小太陽", ["total_users"], "2024-01-16", "2024-01-30")):
+        with pytest.raises(session_table.NotBuilt) as e:
+            call()
+        assert e.value.code == "data_unavailable" and e.value.request["resolved_name"] and not session_table._built
+    session_table._built.update(models_before)
+    session_table.prepare(spark, SF)
     report = asked.traffic_summary("小太陽", "2024-01-16", "2024-01-30", include_query=True)
     assert report["customer"] == {"requested_name": "小太陽", "resolved_name": "Ｓｕｎｎｙ Digital", "match_type": "alias"}
     assert report["report"]["period"]["days"] == 15 and report["report"] == traffic.contract(queries.traffic_summary_nested(spark, SF).collect())
     (record,) = report["query_provenance"]
-    assert record["status"] == "executed" and record["estimated_bytes"] > 0 and record["arguments"] == {"start_date": "2024-01-16", "end_date": "2024-01-30"}
+    assert record["status"] == "executed" and record["estimated_bytes"] > 0 and record["job_ids"] and 0 < record["rows_read"] < 300 and record["arguments"] == {"start_date": "2024-01-16", "end_date": "2024-01-30"}
     answer = asked.metrics("sunny digital", ["total_users", "sessions_by_source", "aov", "total_sessions", "total_users"], "2024-01-16", "2024-01-30", limit=2)
     assert [m["metric_id"] for m in answer["metrics"]] == ["total_users", "sessions_by_source", "aov", "total_sessions"] and answer["profile"] == "ecommerce" and "query_provenance" not in answer
     assert [len(m["rows"]) for m in answer["metrics"]] == [1, 2, 1, 1] and answer["metrics"][1]["truncated"] and answer["metrics"][0]["rows"][0]["total_users"] == report["report"]["current"]["total_users"]
@@ -271,20 +282,27 @@ def test_date_limits_allow_ninety_days():
 
 
 def test_preflight_and_guarded_runs(spark):
-    one = spark.read.parquet(f"{SF}/events.parquet").select("event_id")
-    every = spark.read.parquet(f"{SF}/events.parquet")
-    assert 0 < policy.scanned_bytes(one) < policy.scanned_bytes(every)
-    crossed = one.crossJoin(one.withColumnRenamed("event_id", "b"))
-    assert policy.scanned_bytes(crossed) <= 2 * policy.scanned_bytes(every)
-    limit = policy.Policy(max_bytes_per_job=policy.scanned_bytes(one))
+    made = []
+    rows = lambda n, read=100: lambda watch: (made.append(n), watch(spark.range(read)).limit(n))[1]
+    limit = policy.Policy(max_bytes_per_job=10, max_bytes_per_request=15, max_bytes_per_day=20)
+    for costs, spent, code in (({"a": 5, "b": 11}, 0, "query_cost_limit_exceeded"), ({"a": 8, "b": 8}, 0, "query_cost_limit_exceeded"), ({"a": 8, "b": 5}, 8, "daily_query_quota_exceeded")):
+        with pytest.raises(policy.PolicyError) as e:
+            policy.execute(spark, {"a": rows(1), "b": rows(2)}, {k: lambda v=v: v for k, v in costs.items()}, limit, spent_today=spent)
+        assert e.value.code == code and e.value.details["query"] == "b" and made == []
+    with pytest.raises(policy.PolicyError) as e:
+        limit.preflight({"a": lambda: 1 // 0})
+    assert e.value.code == "query_cost_estimate_failed"
+    free = {"a": lambda: 1, "b": lambda: 2}
+    runs = policy.execute(spark, {"a": rows(3), "b": lambda watch: watch(spark.range(70)).groupBy(F.col("id") % 9).count()}, free, policy.Policy(), most_rows=5)
+    assert [r.status for r in runs] == ["executed"] * 2 and [len(r.rows) for r in runs] == [3, 6] and [r.estimated_bytes for r in runs] == [1, 2]
+    assert runs[1].rows_read == 70 and all(r.job_ids and r.stages >= 1 and r.record()["job_ids"] == r.job_ids for r in runs) and not set(runs[0].job_ids) & set(runs[1].job_ids)
     with pytest.raises(policy.PolicyError) as e:
-        limit.preflight({"a": one, "b": every})
-    assert e.value.code == "query_cost_limit_exceeded" and e.value.details["query"] == "b"
-    runs = policy.execute({"a": one.limit(3), "b": one}, policy.Policy(), most_rows=5)
-    assert [r.status for r in runs] == ["executed"] * 2 and [len(r.rows) for r in runs] == [3, 6] and runs[0].estimated_bytes > 0
+        policy.execute(spark, {"a": lambda watch: spark.range(3).select(F.raise_error(F.lit("no"))), "b": rows(1)}, free, policy.Policy())
+    assert [r.status for r in e.value.details["runs"]] == ["failed", "not_executed"] and e.value.code == "query_failed"
+    slow = F.udf(lambda x: __import__("time").sleep(30) or x, "long")
     with pytest.raises(policy.PolicyError) as e:
-        policy.execute({"a": one.select(F.raise_error(F.lit("no"))), "b": one}, policy.Policy())
-    assert [r.status for r in e.value.details["runs"]] == ["failed", "not_executed"]
+        policy.execute(spark, {"a": lambda watch: spark.range(1).select(slow("id"))}, {"a": lambda: 1}, policy.Policy(timeout_s=2))
+    assert e.value.code == "query_timeout"
 
 
 def test_sources(spark, tmp_path):
@@ -298,7 +316,13 @@ def test_sources(spark, tmp_path):
         tables.read_csv(spark, str(path), ["id"])
     with pytest.raises(Exception, match="a row lacks name"):
         tables.read_csv(spark, str(path), ["id", "name"], ["name"]).collect()
-    tables.write_json_document({"b": 1, "a": "é"}, str(tmp_path / "d.json"))
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,name\n1,x\n", encoding="utf-8")
+    (folder / "b.csv").write_text("name,id\ny,2\n", encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_csv(spark, str(folder), ["id", "name"]).collect()
+    tables.write_json_document(spark, {"b": 1, "a": "é"}, str(tmp_path / "d.json"))
     assert tables.read_json_document(spark, str(tmp_path / "d.json")) == {"a": "é", "b": 1}
     events = spark.createDataFrame([(1, D(2024, 1, 1)), (2, D(2024, 1, 20))], "id int, event_date date")
     tables.write_events(events, str(tmp_path / "e"))
