@@ -15,6 +15,7 @@ from marram.operators import definitions, fleet, intervals, metrics, registry, r
 from marram.plans import models, oracle, sessions
 from marram.plans.catalog import METRICS, TIME, Metric, metric
 from marram.sources.tables import derived, shared_dir, table
+from marram.streaming import contract
 from marram.streaming import events as streams
 
 START, END = date(2024, 1, 16), date(2024, 1, 30)
@@ -589,33 +590,75 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return streams.run(found.select("event_id", "user_id", "event_type"), streams.work_dir(spark))
 
 
-def _batch(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+# A stream writes a window once its end is an hour behind the newest event; watermarks are whole milliseconds.
+_MARK = "SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 FROM events"
 
 
 @query(
-    """WITH n AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM (
+    f"""WITH n AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM (
   SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS opens FROM events WHERE user_id IS NOT NULL))
-SELECT user_id, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) + 1800000000 AS closes_us, count(*) AS n_events FROM n GROUP BY user_id, no"""
+SELECT user_id, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) + 1800000000 AS closes_us, count(*) AS n_events FROM n GROUP BY user_id, no HAVING epoch_us(max(ts)) + 1800000000 <= ({_MARK} WHERE user_id IS NOT NULL)"""
 )
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """What the stream has written: sessions that are closed."""
     closed = streams.run(streams.sessions(streams.read_events(spark, d)), streams.work_dir(spark))
-    found = streams.with_open(closed, streams.sessions(_batch(spark, d)), "user_id", "started_at")
-    return found.select("user_id", F.unix_micros("started_at").alias("started_us"), F.unix_micros("closes_at").alias("closes_us"), "n_events")
+    return closed.select("user_id", F.unix_micros("started_at").alias("started_us"), F.unix_micros("closes_at").alias("closes_us"), "n_events")
 
 
-@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query(f"SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE epoch_us(date_trunc('day', ts) + INTERVAL 1 DAY) <= ({_MARK}) GROUP BY ALL")
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
-    closed = streams.run(streams.daily_counts(streams.read_events(spark, d)), streams.work_dir(spark))
-    return streams.with_open(closed, streams.daily_counts(_batch(spark, d)), "day", "event_type")
+    """What the stream has written: days that are over."""
+    return streams.run(streams.daily_counts(streams.read_events(spark, d)), streams.work_dir(spark))
 
 
-@query("SELECT CAST(date_trunc('week', ts + INTERVAL 8 HOUR) AS DATE) AS week, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query(f"SELECT CAST(date_trunc('week', ts + INTERVAL 8 HOUR) AS DATE) AS week, event_type, count(*) AS n FROM events WHERE epoch_us(date_trunc('week', ts + INTERVAL 8 HOUR) + INTERVAL 7 DAY - INTERVAL 8 HOUR) <= ({_MARK}) GROUP BY ALL")
 def stream_weekly_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Weeks that open on Monday in Taipei."""
-    counts = lambda e: streams.windowed_counts(e).withColumnRenamed("start", "week")
-    closed = streams.run(counts(streams.read_events(spark, d).withWatermark("ts", streams.LATENESS)), streams.work_dir(spark))
-    return streams.with_open(closed, counts(_batch(spark, d)), "week", "event_type")
+    """What the stream has written: weeks, opening on Monday in Taipei, that are over."""
+    found = streams.windowed_counts(streams.read_events(spark, d).withWatermark("ts", streams.LATENESS)).withColumnRenamed("start", "week")
+    return streams.run(found, streams.work_dir(spark))
+
+
+@query("SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS event_date FROM events")
+def stream_stored_once(spark: SparkSession, d: str) -> DataFrame:
+    """The events, of which every third has been sent again, stored by day, each once."""
+    path, sent = streams.work_dir(spark), streams.read_events(spark, d)
+    again = sent.select("*", F.explode(F.when(F.col("event_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("col")
+    streams.store_once(again, path, ["event_id"]).awaitTermination()
+    return spark.read.parquet(path).select("event_id", "user_id", "event_type", "event_date")
+
+
+_ATTACHED = "ts + INTERVAL (event_id % 50) HOUR"
+
+
+@query(
+    f"WITH x AS (SELECT event_id, ts, {_ATTACHED} AS attached_at FROM events WHERE event_type = 'error'), mark AS (SELECT (least((SELECT max(epoch_us(ts)) FROM events), (SELECT max(epoch_us(attached_at)) FROM x)) // 1000 - 3600000) * 1000 AS m) "
+    "SELECT e.event_id, CAST(date_diff('hour', e.ts, x.attached_at) AS BIGINT) AS hours FROM events e LEFT JOIN x ON x.event_id = e.event_id AND x.attached_at <= e.ts + INTERVAL 48 HOUR, mark WHERE x.event_id IS NOT NULL OR epoch_us(e.ts) + 172800000000 < m"
+)
+def stream_attachments(spark: SparkSession, d: str) -> DataFrame:
+    """Events with what is attached to errors some hours later, if within two days; others once their two days are over."""
+    events = streams.read_events(spark, d).select("event_id", "ts")
+    late = F.col("ts") + F.make_interval(hours=(F.col("event_id") % 50).cast("int"))
+    extras = streams.read_events(spark, d).where("event_type = 'error'").select("event_id", late.alias("attached_at"))
+    found = streams.run(streams.attached(events, extras, "event_id", "48 hours"), streams.work_dir(spark))
+    return found.select("event_id", ((F.unix_micros("attached_at") - F.unix_micros("ts")) / 3_600_000_000).cast("long").alias("hours"))
+
+
+@query(
+    "SELECT reason, count(*) AS n FROM (SELECT CASE event_id % 20 WHEN 0 THEN 'not_an_object' WHEN 1 THEN 'unknown_schema_version' WHEN 2 THEN 'missing_transport' WHEN 3 THEN 'wrong_type_user_id' WHEN 4 THEN 'unknown_status' WHEN 5 THEN 'invalid_event_time' "
+    "WHEN 6 THEN 'invalid_latency_ms' WHEN 7 THEN 'invalid_requested_days' WHEN 8 THEN 'invalid_metrics' WHEN 9 THEN 'stored: wrong_type_tenant_id' ELSE 'stored' END AS reason FROM events) GROUP BY reason"
+)
+def ingest_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Events as JSON lines, half of them broken in some way, through the ingest: lines stored and in quarantine, by reason."""
+    path, fault = streams.work_dir(spark), F.col("event_id") % 20
+    line = F.concat(
+        F.lit('{"schema_version": "'), F.when(fault == 1, "0.9").otherwise("1.0"), F.lit('", "event_name": "analytics_request_completed", "event_time": "'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(fault == 5, "+08:00").otherwise("Z"),
+        F.lit('", "interaction_id": "i'), F.col("event_id").cast("string"), F.when(fault == 2, '", ').otherwise('", "transport": "mcp", '), F.lit('"user_id": '), F.when(fault == 3, "7").otherwise('"u7"'),
+        F.lit(', "identity_status": "verified", "host": "other", "authorization_result": "allowed", "tool_name": "traffic_summary", "tenant_id": '), F.when(fault == 9, "5").otherwise('"005"'), F.lit(', "resolution": "supported", "status": "'), F.when(fault == 4, "ok").otherwise("success"),
+        F.lit('", "latency_ms": '), F.when(fault == 6, "1.5").otherwise("12"), F.lit(', "requested_days": '), F.when(fault == 7, "0").otherwise("null"), F.lit(', "error_code": null, "metrics": '), F.when(fault == 8, '"total_users"').otherwise('["total_users", "total_users"]'), F.lit(', "dimensions": []'), F.when(fault == 0, "").otherwise("}"),
+    )
+    contract.ingest(streams.read_events(spark, d).select(line.alias("value")), path).awaitTermination()
+    stored = spark.read.schema(contract.EVENT).parquet(f"{path}/events").select(F.concat_ws(": ", F.lit("stored"), "flaw").alias("reason"))
+    return stored.unionByName(spark.read.parquet(f"{path}/quarantine").select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, epoch_us(min(ts)) AS first_success_us FROM events WHERE event_type <> 'error' AND user_id IS NOT NULL GROUP BY user_id")

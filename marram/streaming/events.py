@@ -1,4 +1,4 @@
-"""Usage events as streams: dedup of resends, 30-minute sessions, and the first-success ledger.
+"""Usage events as streams: dedup of resends, 30-minute sessions, attachments, and the first-success ledger.
 
 Sources are file streams over the same tables as in batch; sinks are Parquet tables in the shared folder, with their
 checkpoints beside them, so a restarted query goes on where it stopped.
@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marram.sources.tables import shared_dir
 
 LATENESS, GAP = "1 hour", "30 minutes"
+#: Parts that the ledger's users are dealt to by hash.
+LEDGER_BUCKETS = 64
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -56,13 +59,17 @@ def windowed_counts(events: DataFrame, width: str = "7 days", offset: str = "-80
     return found.select(F.to_date(F.col("w.start") + F.make_interval(hours=F.lit(hours))).alias("start"), "event_type", "n")
 
 
-def with_open(closed: DataFrame, batch: DataFrame, *keys: str) -> DataFrame:
-    """A stream's closed windows, and from the same table in batch those that were still open at its end.
+def attached(events: DataFrame, extras: DataFrame, key: str, within: str = "30 days", lateness: str = LATENESS) -> DataFrame:
+    """Events (``key``, ts, ...) with the columns of their attachment (``key``, attached_at, ...), both streams.
 
-    Not an anti-join: that would be pushed below the aggregation, where session windows are not merged yet.
+    An attachment counts if it comes from its event's time until ``within`` later; an older one is refused, whenever it
+    is replayed. State is kept that long: an event without one comes out with nulls once the watermark has passed its term.
     """
-    seen = closed.select(*keys, F.lit(True).alias("_closed"))
-    return closed.unionByName(batch.join(seen, list(keys), "left").where("_closed IS NULL").select(*closed.columns))
+    rest = [c for c in extras.columns if c != key]
+    left = events.withWatermark("ts", lateness)
+    right = extras.select(F.col(key).alias("_key"), *rest).withWatermark("attached_at", lateness)
+    meets = F.expr(f"{key} = _key AND attached_at >= ts AND attached_at <= ts + INTERVAL {within}")
+    return left.join(right, meets, "leftOuter").drop("_key")
 
 
 def append(stream: DataFrame, path: str) -> StreamingQuery:
@@ -77,22 +84,86 @@ def run(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def store_once(events: DataFrame, path: str, keys: list[str], at: str = "ts") -> StreamingQuery:
+    """Append a stream to a table by UTC day, each identity (``keys``, which must not change between resends, nor may ``at``) once, however late it
+    is sent again. A batch is compared with the stored days that its own times name; no other day is read, and no
+    state is kept. A batch that is replayed finds its rows there.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.dropDuplicates(keys).withColumn("event_date", F.to_date(at)).persist()
+        try:
+            days = [r.event_date for r in rows.select("event_date").distinct().collect()]
+            try:
+                stored = spark.read.schema(rows.schema).parquet(path)
+            except AnalysisException as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                stored = spark.createDataFrame([], rows.schema)
+            seen = stored.where(F.col("event_date").isin(days)).select(*keys)
+            new = rows.join(seen, keys, "left_anti")
+            new.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
+        finally:
+            rows.unpersist()
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+
+
 def keep_ledger(events: DataFrame, path: str) -> StreamingQuery:
-    """Upkeep of (user_id, first_success_at): every batch is merged with the version before it by a minimum, into a
-    version of its own. A batch that is replayed writes the same version again, and late events can only lower a time.
+    """Upkeep of (user_id, first_success_at). A batch writes the users that are new or whose time it lowers, and no others: it reads the
+    buckets of users that it touches and adds its changes to them. A batch that is replayed writes the same changes again; late
+    events can only lower a time. ``fold_ledger`` joins changes that have piled up.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.where("user_id IS NOT NULL AND event_type <> 'error'").select("user_id", F.col("ts").alias("first_success_at"))
-        if number:
-            new = new.unionByName(batch.sparkSession.read.schema(new.schema).parquet(f"{path}/version={number - 1}"))
-        new.groupBy("user_id").agg(F.min("first_success_at").alias("first_success_at")).write.mode("overwrite").parquet(f"{path}/version={number}")
+        new = batch.where("user_id IS NOT NULL AND event_type <> 'error'").groupBy("user_id").agg(F.min("ts").alias("first_success_at")).withColumn("bucket", _bucket()).persist()
+        try:
+            touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # of LEDGER_BUCKETS
+            known = _changes(batch.sparkSession, path, new.schema, before=number).where(F.col("bucket").isin(touched))
+            known = known.groupBy("user_id").agg(F.min("first_success_at").alias("_known"))
+            lowered = new.join(known, "user_id", "left").where(F.col("_known").isNull() | (F.col("first_success_at") < F.col("_known"))).drop("_known")
+            lowered.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/changes/batch={number}")
+        finally:
+            new.unpersist()
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("user_id"), F.lit(LEDGER_BUCKETS)).cast("int")
+
+
+def _changes(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
+    """What the batches before a number have written, as folded so far: folded ones count by the last batch in them."""
+    empty, out, through = spark.createDataFrame([], schema), None, -1
+    for part in ("folded", "changes"):
+        try:
+            rows = spark.read.parquet(f"{path}/{part}")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            continue
+        rows = rows if before is None else rows.where(F.col("batch") < before)
+        if part == "folded":
+            through = rows.agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+            rows = rows.where(F.col("batch") == through)
+        else:
+            rows = rows.where(F.col("batch") > through)
+        rows = rows.select(*empty.columns)
+        out = rows if out is None else out.unionByName(rows)
+    return empty if out is None else out
+
+
+def fold_ledger(spark: SparkSession, path: str) -> None:
+    """Join all changes so far into one table by bucket: readers and later batches read that and the changes after it."""
+    last = spark.read.parquet(f"{path}/changes").agg(F.max("batch")).first()[0]
+    if last is not None:
+        rows = ledger(spark, path).withColumn("bucket", _bucket())
+        rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/folded/batch={last}")
+
+
 def ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger's newest version."""
-    rows = spark.read.parquet(path)
-    newest = rows.agg(F.max("version")).first()[0]
-    return rows.where(F.col("version") == newest).drop("version")
+    """(user_id, first_success_at) as of now."""
+    schema = spark.read.parquet(f"{path}/changes").drop("batch").schema
+    return _changes(spark, path, schema).groupBy("user_id").agg(F.min("first_success_at").alias("first_success_at"))
