@@ -4,7 +4,7 @@ Training texts are gathered in shards of about ``SHARD_WORDS`` words. A shard ho
 suffix array: every position, sorted by all the words that follow it in its document. Shards are stored once. Test
 items come in passes of bounded size; in each, every test suffix is binary-searched in every shard (all suffixes in
 step), which yields each verbatim occurrence and its place, and each occurrence is followed to its end: the longest
-matches. Results belong to a text's digest, so copies of a text need no search of their own in a shard.
+matches. Items of equal words are one, and equal windows are searched once. Results belong to a text's digest, so copies of a text need no search of their own in a shard.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from . import _shared
 WINDOW = 10
 #: Words of test items that are searched in one pass and sent to the executors; more items take more passes.
 PASS_WORDS = 2_000_000
+#: Places of items that meet places of texts at once.
+AT_ONCE = 1 << 20
 #: Words of a shard, about; a longer text is cut into pieces that overlap by a window.
 SHARD_WORDS = 1 << 20
 #: Rows of found matches, and ids of affected texts, that are broadcast; more are joined by a shuffle.
@@ -31,7 +33,7 @@ BROADCAST_ROWS, BROADCAST_IDS = 100_000, 1_000_000
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 SHARDS = "starts binary, firsts binary, digests binary, vocabulary binary, ids binary, suffixes binary"
-RUNS = "h1 long, h2 long, item string, line long, shift long, begin long, end long"
+RUNS = "h1 long, h2 long, names array<string>, line long, shift long, begin long, end long"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -129,23 +131,31 @@ def _shards(window: int, size: int):
 
 
 class Suffixes:
-    """Test suffixes that begin a window, ready to be searched: word numbers, window lengths, items."""
+    """Test suffixes that begin a window, ready to be searched: distinct word numbers and window lengths, and where in which items each occurs."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int, lines_before: int = 0):
-        self.window, self.vocabulary, self.names, self.lines_before = window, {}, [], lines_before
-        starts, lengths, of, at, ids = [], [], [], [], []
+        self.window, self.vocabulary, self.lines_before = window, {}, lines_before
+        equal: dict[tuple[int, ...], list[str]] = {}
         for name, words in items:
-            own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
+            equal.setdefault(tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words), []).append(name)
+        self.names = [sorted(set(names)) for names in equal.values()]
+        starts, lengths, of, at, ids = [], [], [], [], []
+        for line, own in enumerate(equal):
             for k in range(max(1, len(own) - window + 1) if own else 0):
                 starts.append(len(ids) + k)
                 lengths.append(min(window, len(own)))
-                of.append(len(self.names))
+                of.append(line)
                 at.append(k)
             ids += [*own, 0]
-            self.names.append(name)
         ids = np.array(ids + [0] * window, np.int32)
-        self.lengths, self.of, self.at = np.array(lengths, np.int64), np.array(of, np.int64), np.array(at, np.int64)
-        self.rows = ids[np.array(starts, int)[:, None] + np.arange(window)] if starts else np.zeros((0, window), np.int32)
+        lengths = np.array(lengths, np.int32)
+        rows = ids[np.array(starts, int)[:, None] + np.arange(window)] if starts else np.zeros((0, window), np.int32)
+        rows = np.where(np.arange(window) < lengths[:, None], rows, 0)  # a short window's zeros set it apart
+        self.rows, which = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
+        order = np.argsort(which.ravel(), kind="stable")
+        self.first = np.searchsorted(which.ravel()[order], np.arange(len(self.rows) + 1))
+        self.of, self.at = np.array(of, np.int64)[order], np.array(at, np.int64)[order]
+        self.lengths = (self.rows > 0).sum(1).astype(np.int64)
         self.inside = np.arange(window) < self.lengths[:, None]
 
     def _bound(self, ids: np.ndarray, suffixes: np.ndarray, rows: np.ndarray, inside: np.ndarray, upper: bool) -> np.ndarray:
@@ -162,7 +172,7 @@ class Suffixes:
         return lo
 
     def search(self, vocabulary: list[bytes], ids: np.ndarray, suffixes: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray]:
-        """All occurrences in a shard: positions, and which test suffix begins there."""
+        """All occurrences in a shard: positions, and which distinct window begins there. At a place there is one of each length at most."""
         number = np.full(len(self.vocabulary) + 1, -1, np.int32)
         known = np.fromiter((self.vocabulary.get(w, 0) for w in vocabulary), np.int64, len(vocabulary))
         number[known[known > 0]] = np.flatnonzero(known > 0) + pieces
@@ -184,17 +194,25 @@ def _search(shared):
                 starts, firsts, digests, vocabulary, ids, suffixes = (c[r].as_py() for c in batch.columns)
                 starts, firsts, digests = np.frombuffer(starts, "<i8"), np.frombuffer(firsts, "<i8"), np.frombuffer(digests, "<i8").reshape(-1, 2)
                 position, suffix = test.search(vocabulary.split(b" "), _numbers(ids), _numbers(suffixes), len(starts))
-                piece = np.searchsorted(starts, position, "right") - 1
-                begin = position - starts[piece] + firsts[piece]
-                line, shift = test.of[suffix], begin - test.at[suffix]
-                # Windows at consecutive places of a text and an item are one match.
-                order = np.lexsort((begin, shift, line, piece))
-                piece, begin, line, shift = piece[order], begin[order], line[order], shift[order]
-                head = np.append(True, (np.diff(piece) != 0) | (np.diff(line) != 0) | (np.diff(shift) != 0) | (np.diff(begin) != 1))[: len(begin)]
-                tail = np.append(head[1:], True)[: len(begin)]
-                end = (begin + test.lengths[suffix[order]])[tail]
-                columns = [*digests[piece[head]].T, [test.names[i] for i in line[head]], line[head] + test.lines_before, shift[head], begin[head], end]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 2 else pa.int64()) for k, c in enumerate(columns)], names=["h1", "h2", "item", "line", "shift", "begin", "end"])
+                order = np.argsort(position, kind="stable")
+                position, suffix = position[order], suffix[order]
+                n = np.diff(test.first)[suffix]
+                for chunk in np.split(np.arange(len(position)), np.flatnonzero(np.diff(np.cumsum(n) // AT_ONCE)) + 1):
+                    # Every place of the window in items; a match that goes over chunks is put together later.
+                    own = n[chunk]
+                    place = np.arange(own.sum()) + np.repeat(test.first[suffix[chunk]] - (np.cumsum(own) - own), own)
+                    at, length = np.repeat(position[chunk], own), np.repeat(test.lengths[suffix[chunk]], own)
+                    piece = np.searchsorted(starts, at, "right") - 1
+                    begin = at - starts[piece] + firsts[piece]
+                    line, shift = test.of[place], begin - test.at[place]
+                    # Windows at consecutive places of a text and an item are one match.
+                    order = np.lexsort((begin, shift, line, piece))
+                    piece, begin, line, shift, length = piece[order], begin[order], line[order], shift[order], length[order]
+                    head = np.append(True, (np.diff(piece) != 0) | (np.diff(line) != 0) | (np.diff(shift) != 0) | (np.diff(begin) != 1))[: len(begin)]
+                    tail = np.append(head[1:], True)[: len(begin)]
+                    names = pa.array([test.names[i] for i in line[head]], pa.list_(pa.string()))
+                    columns = [*map(pa.array, digests[piece[head]].T), names, *map(pa.array, (line[head] + test.lines_before, shift[head], begin[head], (begin + length)[tail]))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in RUNS.split(", ")])
 
     return run
 
@@ -231,10 +249,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     by = Window.partitionBy("h1", "h2", "line", "shift").orderBy("begin")
     opens = F.when(F.col("begin") <= F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
     pieces = runs.distinct().withColumn("opens", opens).withColumn("run", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = pieces.groupBy("h1", "h2", "item", "line", "shift", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    whole = pieces.groupBy("h1", "h2", "names", "line", "shift", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).withColumn("item", F.col("names")[0])
     longest = F.min(F.struct((F.col("begin") - F.col("end")).alias("n"), F.col("begin"), F.col("item"), (F.col("begin") - F.col("shift")).alias("item_from")))
     spans = F.array_sort(F.collect_set(F.struct(F.col("begin").alias("a"), F.col("end").alias("b"))))
-    texts = whole.groupBy("h1", "h2").agg(spans.alias("spans"), F.array_sort(F.collect_set("item")).alias("items"), longest.alias("longest"))
+    texts = whole.groupBy("h1", "h2").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("items"), longest.alias("longest"))
     return texts.select("h1", "h2", F.struct(F.col("spans.a").alias("hit_from"), F.col("spans.b").alias("hit_to"), _covered(F.col("spans")).alias("n_hit"), "items", (-F.col("longest.n")).alias("longest_words"), F.col("longest.begin").alias("longest_from"), F.col("longest.item").alias("longest_item"), F.col("longest.item_from").alias("longest_item_from")).alias("found"))
 
 

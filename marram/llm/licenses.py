@@ -26,6 +26,8 @@ from .decontaminate import words_of
 SHINGLE, PERCENT, BANDS = 5, 80, 32
 #: Words of templates that are sent to the executors at once; more templates take more passes.
 PASS_WORDS = 1_000_000
+#: Shingles of texts that are permuted at once: a longer text is cut into overlapping pieces.
+AT_ONCE = 1 << 15
 _KEPT = 200_000
 
 #: Texts that declare a license, as their publishers word them. Fixed values.
@@ -94,13 +96,14 @@ class _Shape:
     owners: np.ndarray
 
 
-def _prepare(templates: dict[str, str]) -> list[_Shape]:
+def _prepare(templates: list[tuple[str, str | None]]) -> list[_Shape]:
+    """Templates (name, text) by shape; those of fewer words than a shingle hold nothing and are left out."""
     a, b = _permutations()
     shapes: dict[tuple[int, int], list[tuple[str, np.ndarray]]] = {}
-    for name, text in sorted(templates.items()):
+    for name, text in sorted(templates, key=lambda t: (t[0], t[1] or "")):
         hashes = np.unique(_shingles(words_of(text)))
         if not len(hashes):
-            raise ValueError(f"template {name} has fewer than {SHINGLE} words")
+            continue
         shapes.setdefault(window_of(len(hashes)), []).append((name, hashes))
     out = []
     for (stride, length), own in sorted(shapes.items()):
@@ -127,7 +130,7 @@ def _find(docs: list[np.ndarray], shapes: list[_Shape], pad: int) -> list[set[st
     found: list[set[str]] = [set() for _ in docs]
     starts = np.cumsum([0] + [-(-len(d) // pad) * pad for d in docs])
     total = int(starts[-1])
-    if not total:
+    if not total or not shapes:
         return found
     x, real = np.zeros(total, np.uint32), np.zeros(total, bool)
     for at, d in zip(starts.tolist(), docs, strict=False):
@@ -155,34 +158,47 @@ def _find(docs: list[np.ndarray], shapes: list[_Shape], pad: int) -> list[set[st
     return found
 
 
-def _scan(templates: dict[str, str]):
+def _scan(templates: list[tuple[str, str | None]]):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ready = _prepare(templates)
-        pad = max(s.stride for s in ready)
+        pad, reach = max((s.stride for s in ready), default=1), max((s.length for s in ready), default=0)
+        step = -(-AT_ONCE // pad) * pad
         for texts in batches:
-            out, docs, n = [], [], 0
-            for text in texts.to_pylist():
-                docs.append(_shingles(words_of(text)))
-                n += len(docs[-1])
-                if n > 50_000:  # bounds the table of permuted values
-                    out += _find(docs, ready, pad)
-                    docs, n = [], 0
-            out += _find(docs, ready, pad)
+            out: list[set[str]] = [set() for _ in range(len(texts))]
+            docs, of, n = [], [], 0
+
+            def look(out=out) -> None:
+                for i, found in zip(of, _find(docs, ready, pad), strict=True):
+                    out[i] |= found
+                docs.clear()
+                of.clear()
+
+            for i, text in enumerate(texts):
+                own = _shingles(words_of(text.as_py()))
+                # A long text comes in pieces that begin at blocks of any shape and overlap by the longest window.
+                for first in range(0, len(own), step):
+                    docs.append(own[first : first + step + reach])
+                    of.append(i)
+                    n += len(docs[-1])
+                    if n > AT_ONCE:  # bounds the table of permuted values
+                        look()
+                        n = 0
+            look()
             yield pa.array([sorted(s) for s in out], pa.list_(pa.string()))
 
     return F.arrow_udf(run, "array<string>").asNondeterministic()
 
 
-def _passes(templates: dict[str, str] | DataFrame) -> Iterator[dict[str, str]]:
-    """Templates in passes of bounded size; a table (name, text) is never all on the driver if it is long."""
-    items = templates.items() if isinstance(templates, dict) else templates.select("name", "text").distinct().toLocalIterator()
-    found, n = {}, 0
+def _passes(templates: dict[str, str] | DataFrame) -> Iterator[list[tuple[str, str | None]]]:
+    """Templates (name, text) in passes of bounded size; a table is never all on the driver if it is long."""
+    items = templates.items() if isinstance(templates, dict) else templates.where("name IS NOT NULL").select("name", "text").distinct().toLocalIterator()
+    found, n = [], 0
     for name, text in items:
-        found[name] = text
+        found.append((name, text))
         n += len(words_of(text))
         if n >= PASS_WORDS:
             yield found
-            found, n = {}, 0
+            found, n = [], 0
     if found:
         yield found
 
@@ -190,7 +206,8 @@ def _passes(templates: dict[str, str] | DataFrame) -> Iterator[dict[str, str]]:
 def scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES) -> DataFrame:
     """All columns of ``docs`` and ``_licenses``: the names of the templates that a whole text holds, sorted.
 
-    ``templates`` are texts by name, or a table (name, text) of one row a name. A window holds a template if ``PERCENT`` of
+    ``templates`` are texts by name, or a table (name, text). A name of several texts is found where any of them is; null
+    texts, and those of fewer words than a shingle, are found nowhere; rows without a name are left out. A window holds a template if ``PERCENT`` of
     the template's distinct word shingles are in it. Null texts and those of fewer words than a shingle hold none; without
     templates, nothing does. Repeated rows are scanned alike; a column named ``_licenses`` is replaced, all others are kept.
     """

@@ -24,8 +24,9 @@ RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 #: Domains that are blocked with all their subdomains where no rule fits.
 BLOCKED_DOMAINS = [f"{name}.example.{tld}" for name in ("ads-track", "casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets") for tld in ("com", "net", "org")]
 
-#: Bits of a cascade's levels that are sent to the executors, about (16 MB). A longer list is split into several cascades by the hash of the key.
-MOST_BITS = 1 << 27
+#: Bits of a cascade's levels that are sent to the executors, about (16 MB). A longer list is split into several cascades by the hash of the
+#: key; so many of them are asked in one pass over the pages.
+MOST_BITS, A_PASS = 1 << 27, 8
 #: Each level halves what is left, so these serve 2**64 keys. Beyond is only a pair of keys that share 128 bits of hashes: an error, not a wrong answer.
 MOST_LEVELS = 64
 
@@ -149,31 +150,21 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 
 
 def _any_listed(shared):
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for h1, h2 in batches:
+    """Whether any key of a row (its hashes, and the cascade that each is dealt to) is listed, by the cascades (number, cascade) at hand."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for h1, h2, deal in batches:
             lengths = np.diff(h1.offsets.to_numpy())
-            hit = shared.value.listed(_u64(h1.flatten()), _u64(h2.flatten()))
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            yield pa.array(np.bincount(row[hit], minlength=len(lengths)) > 0)
+            row, at = np.repeat(np.arange(len(lengths)), lengths), deal.flatten().to_numpy(zero_copy_only=False)
+            h1, h2, out = _u64(h1.flatten()), _u64(h2.flatten()), np.zeros(len(lengths), bool)
+            for k, cascade in shared.value:
+                own = np.flatnonzero(at == k)
+                out[row[own[cascade.listed(h1[own], h2[own])]]] = True
+            yield pa.array(out)
 
     return F.arrow_udf(run, "boolean").asNondeterministic()
 
 
-def _blocked_hosts(hosts: DataFrame, sets: DataFrame, cascades: int) -> DataFrame:
-    """Hosts that a long list blocks. Keys are dealt to ``cascades`` by their hash; each is built and asked in a pass of its own."""
-    deal = F.pmod(F.xxhash64("h1"), F.lit(cascades)).alias("deal")
-    h1, h2 = hashes(F.col("key"))
-    keys = hosts.select("host", F.explode(domains(F.col("host"))).alias("key")).select("host", h1.alias("h1"), h2.alias("h2"))
-    keys = _shared.store(keys.select("host", F.array("h1").alias("h1"), F.array("h2").alias("h2"), deal), "host-keys")
-    sets, out = _shared.store(sets.withColumn("deal", deal), "dealt-keys"), None
-    for k in range(cascades):
-        cascade = build(sets.where(F.col("deal") == k).drop("deal"))
-        found = keys.where(F.col("deal") == k).where(_any_listed(hosts.sparkSession.sparkContext.broadcast(cascade))("h1", "h2")).select("host")
-        found = _shared.store(found, "blocked-hosts")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
-
-
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """All columns of ``pages`` (page_id, url, ...) and host, path, rule, verdict.
 
@@ -189,17 +180,26 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     sets = _shared.store(flagged(hosts.select(F.explode(domains(F.col("host"))).alias("key")), listed), "universe")
     n, others = sets.where("listed").count(), sets.where("NOT listed").count()
     # All levels after the first have some three bits a listed key together.
-    cascades = math.ceil(n * (_first_level(n, others) + 3) / math.log(2) / MOST_BITS)
+    cascades = max(1, math.ceil(n * (_first_level(n, others) + 3) / math.log(2) / MOST_BITS))
     (blocked,) = _shared.free(found, "_blocked")
-    if cascades <= 1:
-        keys = domains(F.col("host"))
-        h1, h2 = F.transform(keys, lambda k: hashes(k)[0]), F.transform(keys, lambda k: hashes(k)[1])
-        found = found.withColumn(blocked, _any_listed(spark.sparkContext.broadcast(build(sets)))(h1, h2))
-    else:
-        lookup = _shared.store(_blocked_hosts(hosts, sets, cascades), "blocked").withColumn(blocked, F.lit(True))
-        found = _shared.skew_join(found, lookup, "host", "url", "left")
+    found = found.withColumn(blocked, F.lit(False))
+    dealt = lambda h: F.pmod(F.xxhash64(h), F.lit(cascades)).cast("int")
+    keys = domains(F.col("host"))
+    h1, h2 = F.transform(keys, lambda k: hashes(k)[0]), F.transform(keys, lambda k: hashes(k)[1])
+    if cascades > 1:
+        sets = _shared.store(sets.withColumn("deal", dealt("h1")), "dealt-keys")
+    earlier = None
+    for first in range(0, cascades, A_PASS):
+        some = range(first, min(first + A_PASS, cascades))
+        built = [(k, build(sets.where(F.col("deal") == k).drop("deal") if cascades > 1 else sets)) for k in some]
+        found = found.withColumn(blocked, F.col(blocked) | _any_listed(spark.sparkContext.broadcast(built))(h1, h2, F.transform(h1, dealt)))
+        if cascades > A_PASS:  # only one pass's cascades are on the executors at a time
+            found = _shared.store(found, "judged")
+            if earlier is not None:
+                _shared.drop(earlier)
+            earlier = found
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    verdict = F.coalesce(verdict, F.when(F.coalesce(F.col(blocked), F.lit(False)), "block").otherwise("allow"))
+    verdict = F.coalesce(verdict, F.when(F.col(blocked), "block").otherwise("allow"))
     return found.withColumns({"rule": rule, "verdict": verdict}).drop(blocked)
 
 

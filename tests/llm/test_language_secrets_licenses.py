@@ -238,7 +238,7 @@ def naive_licenses(t):
 
 def test_templates_at_the_end_of_a_group():
     rng = random.Random(8)
-    ready = licenses._prepare(licenses.TEMPLATES)
+    ready = licenses._prepare(list(licenses.TEMPLATES.items()))
     noise = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     for name in ("Apache-2.0-header", "GPL-notice"):
         for before in range(9):
@@ -279,3 +279,34 @@ def test_templates_from_a_table_in_passes(spark, monkeypatch):
     assert [r._licenses for r in rows] == [naive_licenses(t) for t in texts]
     assert all(n in r._licenses for n, r in zip(licenses.TEMPLATES, rows)) and rows[-1]._licenses == ["MIT-full"] and rows[-2]._licenses == []
     assert licenses.scan(docs, table.limit(0)).select("_licenses").distinct().collect()[0][0] == []
+
+
+def test_templates_that_are_null_short_or_share_a_name(spark, monkeypatch):
+    long = " ".join(f"word{i}" for i in range(60))
+    table = [("null", None), ("short", "too few words here"), ("two", "alpha beta gamma delta epsilon zeta"), ("two", "one two three four five six"), (None, "alpha beta gamma delta epsilon"), ("two", "alpha beta gamma delta epsilon zeta"), ("long", long)]
+    templates = spark.createDataFrame(table, "name string, text string")
+    far = " ".join(f"x{i}" for i in range(3000))
+    texts = ["see alpha beta gamma delta epsilon zeta", "one two three four five six", "too few words here", None, f"{far} {long} {far}", f"{far} one two three four five six"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [["two"], ["two"], [], [], ["long"], ["two"]]
+    for words, shingles in ((licenses.PASS_WORDS, licenses.AT_ONCE), (1, 256)):
+        monkeypatch.setattr(licenses, "PASS_WORDS", words)
+        monkeypatch.setattr(licenses, "AT_ONCE", shingles)
+        assert [r._licenses for r in licenses.scan(docs, templates).orderBy("doc_id").collect()] == want
+    assert licenses.scan(docs, templates.where("name = 'short'")).where("size(_licenses) > 0").count() == 0
+
+
+def test_pieces_of_a_long_text_find_what_the_whole_does():
+    rng = random.Random(3)
+    pool = [w for name in ("MIT-full", "Zlib", "GPL-notice") for w in licenses.TEMPLATES[name].split()]
+    ready = licenses._prepare(list(licenses.TEMPLATES.items()))
+    pad, reach = max(s.stride for s in ready), max(s.length for s in ready)
+    for _ in range(6):
+        words = []
+        while len(words) < 4000:
+            name, noise = rng.choice(list(licenses.TEMPLATES)), rng.randrange(200)
+            words += licenses.TEMPLATES[name].split() + [rng.choice(pool) for _ in range(noise)]
+        own = licenses._shingles(licenses.words_of(" ".join(words)))
+        (whole,) = licenses._find([own], ready, pad)
+        pieces = licenses._find([own[i : i + 4 * pad + reach] for i in range(0, len(own), 4 * pad)], ready, pad)
+        assert set().union(*pieces) == whole and len(whole) > 5

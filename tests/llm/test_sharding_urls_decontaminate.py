@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -84,7 +85,9 @@ def test_a_long_list_is_split_into_several_cascades(spark, monkeypatch):
     listed = {f"bad{i}" for i in range(60)} | {"evil.org"}
     cases = [None, "x", "http://a.evil.org/", "http://good/"] + [f"http://{rng.choice(['', 'w.'])}{rng.choice(['bad', 'fine'])}{rng.randrange(90)}/" for _ in range(400)]
     pages = spark.createDataFrame([(i, u, "kept") for i, u in enumerate(cases)], "page_id long, url string, _blocked string")
-    rows = urls.judge(pages, spark.createDataFrame([(x,) for x in listed], "key string")).collect()
+    judged = urls.judge(pages, spark.createDataFrame([(x,) for x in listed], "key string"))
+    assert "Join" not in judged._jdf.queryExecution().executedPlan().toString()
+    rows = judged.collect()
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows} == {i: naive_urls(u, listed) for i, u in enumerate(cases)}
     assert all(r._blocked == "kept" for r in rows)
 
@@ -172,3 +175,16 @@ def test_repeated_rows_are_judged_alike(spark):
     docs = spark.createDataFrame([(1, "zebra"), (1, "zebra"), (1, "lion")], DOCS)
     rows = decontaminate.scan(docs, spark.createDataFrame([(5, "zebra")], "item_id long, text string")).select(F.size("_found.items")).collect()
     assert sorted(r[0] for r in rows) == [0, 1, 1]
+
+
+def test_equal_words_and_items_are_searched_once(spark):
+    docs = [(0, "same " * 4000), (1, "same " * 9), (2, "other " * 12 + "same " * 10), (3, None)]
+    items = [(i, "same " * 200) for i in range(20)] + [(90, "other other"), (91, "other other"), (92, "same"), (92, "never seen")]
+    began = time.monotonic()
+    rows = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()
+    twenty = sorted(map(str, range(20)))
+    found = [(r._found.n_words, r._found.n_hit, r._found["items"], r._found.longest_words) for r in rows]
+    assert found == [(4000, 4000, sorted([*twenty, "92"]), 200), (9, 9, ["92"], 1), (22, 22, sorted([*twenty, "90", "91", "92"]), 10), (0, 0, [], 0)]
+    assert time.monotonic() - began < 60
+    test = decontaminate.Suffixes([(str(i), decontaminate.words_of("same " * 200)) for i in range(20)], 10)
+    assert len(test.rows) == 1 and len(test.of) == 191 and test.names == [twenty]
