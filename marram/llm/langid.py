@@ -191,9 +191,13 @@ def _predict(shared):
             best, some = entropy.argmin(1), sizes > 0
             low = entropy[np.arange(len(best)), best]
             lang = [m.languages[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)]
-            # The share of the best language when entropies are weighed against each other.
-            score = np.where(some, 1 / np.exp(-m.sharpness * (entropy - low[:, None])).sum(1), 0.0)
-            rejected = ~some | (m.excess(low, best, sizes) > m.limit)
+            # The share of the best language when entropies are weighed against each other; it falls as a text is further off than
+            # texts of that language are.
+            excess = m.excess(low, best, sizes)
+            rejected = ~some | (excess > m.limit)
+            with np.errstate(invalid="ignore"):
+                off = np.where(some & rejected, m.limit / np.maximum(excess, 1e-9), 1.0) ** 2
+            score = np.where(some, off / np.exp(-m.sharpness * (entropy - low[:, None])).sum(1), 0.0)
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(np.where(some, low, np.nan)), pa.array(rejected)], fields=list(kind))
 
     return F.arrow_udf(run, "struct<lang:string,score:double,entropy:double,rejected:boolean>").asNondeterministic()
@@ -315,8 +319,9 @@ def _predicted(docs: DataFrame, models: Models):
 def predict(docs: DataFrame, models: Models) -> DataFrame:
     """All columns of ``docs`` and a struct ``_language``: lang, score (0 to 1), entropy, rejected.
 
-    Only the text is looked at. Null texts and texts without letters are ``und``, with score 0, and rejected; so is
-    every text if no language was learned. Ties go to the first language by name. A column named ``_language`` is
+    Only the text is looked at, whole, however long. Null texts and texts without letters are ``und``, with score 0, and rejected; so is
+    every text if no language was learned. A text that the models reject keeps the nearest language, with a score that falls
+    with its distance. Ties go to the first language by name. A column named ``_language`` is
     replaced.
     """
     _shared.bounded_batches(docs.sparkSession)
@@ -343,4 +348,4 @@ def held_out(doc_id: str = "doc_id"):
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _shared.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     models = fit(docs.where(~held_out()))
-    return predict(docs.select("doc_id", "text"), models).select("doc_id", held_out().alias("held_out"), F.col("_language.lang").alias("lang_pred"), F.col("_language.score").alias("score"))
+    return predict(docs.select("doc_id", "text"), models).select("doc_id", held_out().alias("held_out"), F.col("_language.lang").alias("lang_pred"), F.col("_language.score").alias("score"), F.col("_language.rejected").alias("rejected"))

@@ -33,13 +33,24 @@ def test_language_edge_cases(spark):
     odd = [(1, None), (2, ""), (3, "123 !? __"), (4, "日本語のテキスト" * 50), (5, "ka" * 50_000), (6, "KATO RIMU"), (6, "KATO RIMU")]
     rows = langid.predict(spark.createDataFrame(odd, "doc_id long, text string"), models).orderBy("doc_id").collect()
     assert [r._language.lang for r in rows[:3]] == ["und"] * 3 and all(r._language.rejected and r._language.score == 0 for r in rows[:3])
-    assert rows[3]._language.rejected and rows[3]._language.lang != "und"
+    assert rows[3]._language.rejected and rows[3]._language.lang != "und" and rows[3]._language.score < 0.5
+    assert not any(r._language.rejected for r in rows[5:]) and all(r._language.score > 0.9 for r in rows[5:])
     assert [r._language.lang for r in rows[4:]] == ["aa"] * 3
     none = langid.fit(labelled(spark).limit(0))
     assert langid.predict(labelled(spark).limit(2), none).select("_language.lang").distinct().collect()[0][0] == "und"
     assert langid.predict(labelled(spark).limit(0), models).collect() == []
 
 
+def test_the_query_says_what_it_rejects(spark, tmp_path):
+    rng = random.Random(4)
+    junk = ["".join(rng.choices(string.ascii_lowercase, k=9)) + " " + "".join(rng.choices(string.ascii_lowercase, k=9)) for _ in range(20)]
+    docs = labelled(spark, n=400).unionByName(spark.createDataFrame([(8000 + i, " ".join([t] * 9), None) for i, t in enumerate(junk)], "doc_id long, text string, lang string"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = langid.op3_kneser_ney(spark, str(tmp_path)).collect()
+    odd = [r for r in rows if r.doc_id >= 8000]
+    assert all(r.rejected and r.score < 0.8 and r.lang_pred in SYLLABLES for r in odd) and sum(r.rejected for r in rows if r.doc_id < 8000) <= 4
+
+
 def naive_kneser_ney(words, order, symbols):
     """Probability of a character after a context, by the textbook recursion over plain dictionaries."""
     top = Counter()
