@@ -46,7 +46,9 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), own.cast("int").alias("own"))
     rows = rows.groupBy("doc_id", "part", "digest", "own").agg(F.count("*").alias("n"))
     known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.coalesce(F.max((F.col(c) == 1).cast("int")), F.lit(0)).alias(a) for c, a in (("quality", "good"), ("toxic", "toxic"))])
-    rows = rows.where("doc_id IS NOT NULL").join(known, "doc_id", "left").unionByName(rows.where("doc_id IS NULL"), allowMissingColumns=True)
+    # Rows without a doc_id have no label: a second key deals them to many tasks.
+    rows = rows.withColumn("spread", F.when(F.col("doc_id").isNull(), F.xxhash64("digest")).otherwise(F.lit(0)))
+    rows = rows.join(known.withColumn("spread", F.lit(0).cast("long")), ["doc_id", "spread"], "left").drop("spread")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("good", "toxic")})
     # Of each text and kind, all rows, those of the smallest doc_id, and those without one. A row a doc_id comes in, so the first ones are found by a combinable minimum.
     kinds = ["digest", "own", "part", "good", "toxic"]
