@@ -68,12 +68,19 @@ def first_success(events: DataFrame) -> DataFrame:
     return events.where("status = 'succeeded' AND user_id IS NOT NULL").groupBy("user_id").agg(F.min("event_time").alias("first_success_at"))
 
 
-def retention(events: DataFrame) -> DataFrame:
-    """Cohorts by week of first success, and how many of them come back 1 to 4 weeks later; null while a week is not complete."""
+def retention(events: DataFrame, covered: DataFrame | None = None) -> DataFrame:
+    """Cohorts by week of first success, and how many of them come back 1 to 4 weeks later; null while a week is not complete.
+
+    ``covered`` (one row, through: a time before which all events are known, or null) says up to which day events are whole;
+    without it the day of the last event counts as whole.
+    """
     cohorts = first_success(events).select("user_id", local_week(F.col("first_success_at")).alias("cohort"))
     weeks = events.where("user_id IS NOT NULL").select("user_id", local_week(F.col("event_time")).alias("week")).distinct()
     joined = cohorts.join(weeks, "user_id").withColumn("offset", (F.datediff("week", "cohort") / 7).cast("int"))
-    last = events.agg(F.max(local_day(F.col("event_time"))).alias("last_day"))
+    if covered is None:
+        last = events.agg(F.max(local_day(F.col("event_time"))).alias("last_day"))
+    else:
+        last = covered.select(F.date_sub(local_day(F.col("through")), 1).alias("last_day"))
     back = [F.count_if(F.col("offset") == i).alias(f"w{i}") for i in range(1, RETENTION_WEEKS + 1)]
     found = joined.groupBy("cohort").agg(F.count_distinct("user_id").alias("cohort_size"), *back).crossJoin(F.broadcast(last))  # one row
     complete = lambda i: F.date_add("cohort", 7 * i + 6) <= F.col("last_day")

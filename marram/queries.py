@@ -14,6 +14,7 @@ from marram.functions import dates, text
 from marram.operators import definitions, fleet, intervals, metrics, registry, relational, scan, traffic, usage
 from marram.plans import models, oracle, sessions
 from marram.plans.catalog import METRICS, TIME, Metric, metric
+from marram.sources import daily
 from marram.sources.tables import derived, shared_dir, table
 from marram.streaming import contract
 from marram.streaming import events as streams
@@ -574,6 +575,20 @@ def customers_without_or_many_orders(spark: SparkSession, d: str) -> DataFrame:
     return none.union(many).distinct()
 
 
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM events) - 20 GROUP BY 1")
+def retained_days(spark: SparkSession, d: str) -> DataFrame:
+    """Events appended in five parts to a table by day, compacted, and expired after 20 days."""
+    root, events = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}", table(spark, d, "events").select("event_id", "ts")
+    for k in range(5):
+        daily.append(events.where(F.col("event_id") % 5 == k), root)
+    schema = "event_id long, ts " + dict(events.dtypes)["ts"]
+    daily.compact(spark, root, schema)
+    today = events.agg(F.max(F.to_date("ts"))).first()[0]
+    daily.expire(spark, root, today, 20)
+    daily.vacuum(spark, root, 1)
+    return daily.read(spark, root, schema).groupBy("day").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query("SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' GROUP BY event_type")
 def named_parameters(spark: SparkSession, d: str) -> DataFrame:
     """SQL text with bound parameters; the table is a parameter too."""
@@ -661,6 +676,19 @@ def ingest_reasons(spark: SparkSession, d: str) -> DataFrame:
     return stored.unionByName(spark.read.parquet(f"{path}/quarantine").select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"WITH {_USAGE}, mark AS (SELECT CAST(make_timestamp(({_MARK} WHERE user_id % 10 <> 0)) + INTERVAL 8 HOUR AS DATE) - 1 AS last_day) SELECT cohort, count(DISTINCT user_id) AS cohort_size, "
+    + ", ".join(f"CASE WHEN cohort + {7 * i + 6} <= any_value(last_day) THEN count(*) FILTER (WHERE week = cohort + {7 * i}) END AS w{i}" for i in range(1, 5))
+    + " FROM c JOIN w USING (user_id), mark GROUP BY cohort"
+)
+def stream_retention(spark: SparkSession, d: str) -> DataFrame:
+    """Retention of a stream's known users: weeks count as complete up to the watermark that the stream has recorded."""
+    path, known = streams.work_dir(spark), streams.read_events(spark, d).where("user_id % 10 <> 0")
+    status = F.when(F.col("event_type") == "error", "failed").otherwise("succeeded")
+    rows = streams.run_recorded(streams.deduplicated(known, "event_id").select(F.col("user_id").cast("string").alias("user_id"), F.col("ts").alias("event_time"), status.alias("status")), path)
+    return usage.retention(rows, streams.coverage(spark, path))
+
+
 @query("SELECT user_id, epoch_us(min(ts)) AS first_success_us FROM events WHERE event_type <> 'error' AND user_id IS NOT NULL GROUP BY user_id")
 def stream_ledger(spark: SparkSession, d: str) -> DataFrame:
     path = streams.work_dir(spark)

@@ -84,6 +84,22 @@ def run(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def run_recorded(stream: DataFrame, path: str) -> DataFrame:
+    """``run``, and beside the rows what the stream knows to be whole: each batch's watermark, at ``path``-progress."""
+    query = append(stream, path)
+    query.awaitTermination()
+    spark = stream.sparkSession
+    found = [(p["batchId"], p["eventTime"].get("watermark")) for p in query.recentProgress]
+    marks = spark.createDataFrame([(b, w) for b, w in found if w], "batch long, watermark string").withColumn("watermark", F.to_timestamp("watermark"))
+    marks.coalesce(1).write.mode("append").parquet(f"{path}-progress")
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def coverage(spark: SparkSession, path: str) -> DataFrame:
+    """One row (through): the time before which all events have come; null before any batch has a watermark. The epoch is none."""
+    return spark.read.schema("batch long, watermark timestamp").parquet(f"{path}-progress").agg(F.max(F.when(F.unix_micros("watermark") > 0, F.col("watermark"))).alias("through"))
+
+
 def store_once(events: DataFrame, path: str, keys: list[str], at: str = "ts") -> StreamingQuery:
     """Append a stream to a table by UTC day, each identity (``keys``, which must not change between resends, nor may ``at``) once, however late it
     is sent again. A batch is compared with the stored days that its own times name; no other day is read, and no

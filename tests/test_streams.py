@@ -106,3 +106,52 @@ def test_no_line_is_lost_over_restarts(spark, tmp_path):
         contract.ingest(spark.readStream.text(path), out).awaitTermination()
     assert spark.read.parquet(f"{out}/events").select("interaction_id").distinct().count() == spark.read.parquet(f"{out}/events").count() == 60
     assert [tuple(r) for r in spark.read.parquet(f"{out}/quarantine").groupBy("reason").count().collect()] == [("not_an_object", 6)]
+
+
+def test_retention_is_null_past_the_recorded_watermark(spark, tmp_path):
+    from marram.operators import usage
+
+    kind = "event_id long, ts timestamp, user_id string, status string"
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run():
+        rows = source(spark, path, kind).withWatermark("ts", "9 days").dropDuplicatesWithinWatermark(["event_id"])
+        rows = streams.run_recorded(rows.select("user_id", F.col("ts").alias("event_time"), "status"), out)
+        return {r.cohort: (r.cohort_size, r.w1, r.w2) for r in usage.retention(rows, streams.coverage(spark, out)).collect()}, {r.cohort: (r.cohort_size, r.w1, r.w2) for r in usage.retention(rows).collect()}
+
+    monday = datetime(2024, 1, 1, 4)
+    put(spark, path, [(1, monday, "u", "succeeded"), (2, monday + timedelta(days=7), "u", "failed"), (3, monday + timedelta(days=20), "u", "failed")], kind)
+    covered, last_event = run()
+    assert covered == {date(2024, 1, 1): (1, None, None)} and last_event == {date(2024, 1, 1): (1, 1, 1)}  # whole up to January 11
+    put(spark, path, [(4, monday + timedelta(days=24), "v", "failed")], kind)
+    covered, _ = run()
+    assert covered == {date(2024, 1, 1): (1, 1, None)}  # up to January 15
+
+
+def test_expired_days_leave_storage_and_readers_keep_their_version(spark, tmp_path):
+    from marram.sources import daily
+
+    root, schema = str(tmp_path / "t"), "id long, ts timestamp"
+    days = [T + timedelta(days=i) for i in range(5)]
+    assert daily.read(spark, root, schema).collect() == [] and daily.vacuum(spark, root) == [] and daily.newest(spark, root) is None
+    for k in range(6):
+        daily.append(spark.createDataFrame([(10 * k + i, d) for i, d in enumerate(days)] + [(999, None)], schema), root)
+    ids = lambda df: sorted(r.id for r in df.collect())
+    every = sorted(10 * k + i for k in range(6) for i in range(5))
+    before = daily.read(spark, root, schema)
+    assert ids(before) == every and daily.compact(spark, root, schema, most_parts=9) is None
+    compacted = daily.compact(spark, root, schema)
+    assert ids(daily.read(spark, root, schema)) == every and daily.manifest(spark, root).count() == 5
+    assert daily.manifest(spark, root).where("bytes > 0").count() == 5
+    assert ids(daily.read(spark, root, schema, days[1].date(), days[2].date())) == [i for i in every if i % 10 in (1, 2)]
+    kept = daily.expire(spark, root, days[-1].date(), 3)
+    left = [i for i in every if i % 10 >= 2]
+    assert ids(daily.read(spark, root, schema)) == left and ids(before) == every  # files are there as long as a version names them
+    assert ids(daily.read(spark, root, schema, version=compacted)) == every
+    gone = daily.vacuum(spark, root, keep_versions=1)
+    assert len(gone) == 32 and not list((tmp_path / "t").rglob("day=2024-03-01")) and not list((tmp_path / "t").rglob("day=2024-03-02"))
+    assert daily.newest(spark, root) == kept and ids(daily.read(spark, root, schema)) == left
+    daily.append(spark.createDataFrame([(7000, days[0])], schema), root)  # a late row of an expired day goes with the next expiry
+    daily.expire(spark, root, days[-1].date() + timedelta(days=9), 3)
+    assert ids(daily.read(spark, root, schema)) == [] and daily.manifest(spark, root).count() == 0
+    assert len(daily.vacuum(spark, root, 1)) == 4
