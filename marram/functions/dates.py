@@ -34,6 +34,11 @@ def period(kind: str, today: Column, n: Column | int = 1) -> Column:
     return F.struct(start.alias("start"), end.alias("end"))
 
 
+def explicit(text: Column) -> Column:
+    """The day that a text of the form YYYY-MM-DD names; null for any other text and for days that no calendar has."""
+    return F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(text))
+
+
 def days_of(interval: Column) -> Column:
     return F.datediff(interval["end"], interval["start"]) + 1
 

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marram.operators import scan
+
 
 def islands(intervals: DataFrame, *keys: str) -> DataFrame:
     """Maximal disjoint intervals (start, end) of each key; overlapping and adjacent ones merge.
 
-    Repeats go first with a map-side combine: of intervals that start together only the longest matters.
+    Repeats go first with a map-side combine: of intervals that start together only the longest matters. Without keys the whole
+    table is one order, which is scanned in ranges.
     """
+    if not keys:
+        return scan.islands(intervals)
     by = Window.partitionBy(*keys).orderBy("start")
     longest = intervals.where("start <= end").groupBy(*keys, "start").agg(F.max("end").alias("end"))
     before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))

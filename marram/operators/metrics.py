@@ -116,8 +116,14 @@ def catalog(spark: SparkSession) -> DataFrame:
 
 
 def search(spark: SparkSession, query: str, profile: str | None = None, limit: int = 10) -> DataFrame:
-    """Metrics by relevance, then id; ``limit`` is 1 to 25. Profiles that define a metric alike are one hit, with the best of their scores."""
-    found = catalog(spark)
+    """``search_rows`` over the published catalog."""
+    return search_rows(catalog(spark), query, profile, limit)
+
+
+def search_rows(found: DataFrame, query: str, profile: str | None = None, limit: int = 10) -> DataFrame:
+    """Entries of ``found`` (as ``catalog``) by relevance, then id; ``limit`` is 1 to 25. Profiles that define an entry alike are one hit, with the
+    best of their scores. The first hits are found without sorting the others.
+    """
     if profile is not None:
         found = found.where(F.col("profile") == profile)
     found = found.withColumn("score", search_score(query, F.col("metric_id"), F.col("label"), F.col("words"), F.col("terms")))

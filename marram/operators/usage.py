@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marram.operators import scan
 from marram.sources.tables import table
 
 ZONE = "Asia/Taipei"
@@ -88,9 +89,24 @@ def retention(events: DataFrame, covered: DataFrame | None = None) -> DataFrame:
 
 
 def latency(events: DataFrame) -> DataFrame:
-    """Exact 50th and 95th percentiles by status: counted per distinct value, so equal latencies are combined map-side."""
-    p = lambda q: F.round(F.percentile("latency_ms", q), 4)
-    return events.groupBy("status").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.count("*").alias("n"))
+    """Exact 50th and 95th percentiles by status, interpolated between neighbours; null latencies count as requests only.
+
+    Equal latencies are counted first; a scan over all statuses and values then tells which of them hold a percentile's ranks, so no
+    status is ordered in one task, however many values it has.
+    """
+    counts = events.where("latency_ms IS NOT NULL").groupBy("status", "latency_ms").agg(F.count("*").alias("n"))
+    placed = scan.running(counts, ["status", "latency_ms"], {"upto": scan.Step("sum", F.col("n"))})
+    own = placed.groupBy("status").agg(F.min(F.col("upto") - F.col("n")).alias("before"), F.sum("n").alias("total"))
+    rows = placed.join(own, "status").withColumn("last", F.col("upto") - F.col("before") - 1).withColumn("first", F.col("last") - F.col("n") + 1)
+    at = lambda rank: F.max(F.when(rank.between(F.col("first"), F.col("last")), F.col("latency_ms")))
+
+    def percentile(q: float) -> Column:
+        rank = F.lit(q) * (F.col("total") - 1)
+        low, high = at(F.floor(rank)), at(F.ceil(rank))
+        return F.round(low + F.max(rank - F.floor(rank)) * (high - low), 4)
+
+    found = rows.groupBy("status").agg(percentile(0.5).alias("p50"), percentile(0.95).alias("p95"))
+    return events.groupBy("status").agg(F.count("*").alias("n")).join(found, "status", "left").select("status", "p50", "p95", "n")
 
 
 def top_reasons(events: DataFrame, k: int = 5) -> DataFrame:

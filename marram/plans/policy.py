@@ -13,9 +13,11 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
+from marram.functions.dates import explicit
+
 #: What makes a query: it is given a function to watch the rows that the query reads, and applies it to them.
 Watch = Callable[[DataFrame], DataFrame]
 Make = Callable[[Watch], DataFrame]
@@ -76,6 +78,21 @@ class Policy:
             raise PolicyError("future_date_not_allowed", today=today)
         return first, last
 
+    def code(self, start: Column, end: Column, today: Column, comparison_periods: int = 0) -> Column:
+        """``dates`` for a column of requests: the code of the first limit that two texts break, null if they break none."""
+        first, last = explicit(start), explicit(end)
+        days = F.datediff(last, first) + 1
+        earliest = F.lit(self.earliest)
+        rules = [
+            (first.isNull() | last.isNull(), "invalid_date_format"),
+            (days < 1, "invalid_date_range"),
+            (first < earliest, "date_before_available_range"),
+            (days > self.max_days, "date_range_too_large"),
+            (F.date_sub(first, days * comparison_periods) < earliest, "date_before_available_range"),
+            (last > today, "future_date_not_allowed"),
+        ]
+        return F.coalesce(*[F.when(broken, F.lit(name)) for broken, name in rules])
+
     def preflight(self, costs: Mapping[str, Callable[[], int]], spent_today: int = 0) -> dict[str, int]:
         """Bytes of every query; the first over the job's cap, or that takes the sum over the request's or the day's, is refused. No query
         has been made by then: a cost comes from listed files.

@@ -14,6 +14,7 @@ from marram.functions import dates, text
 from marram.operators import definitions, fleet, intervals, metrics, registry, relational, scan, traffic, usage
 from marram.plans import models, oracle, sessions
 from marram.plans.catalog import METRICS, TIME, Metric, metric
+from marram.plans.policy import Policy
 from marram.sources import daily
 from marram.sources.tables import derived, shared_dir, table
 from marram.streaming import contract
@@ -394,8 +395,44 @@ def metric_search(spark: SparkSession, d: str) -> DataFrame:
     return metrics.search(spark, "sessions by source", limit=25).withColumn("profiles", F.array_join("profiles", ","))
 
 
+_PARTS = "SELECT 'part_' || p_partkey AS metric_id, lower(p_name) AS label, lower(p_brand || ' ' || p_type) AS words, [lower(p_name), lower(p_brand), lower(p_type)] AS terms, CASE WHEN p_size % 2 = 0 THEN 'ecommerce' ELSE 'non_ecommerce' END AS profile FROM part"
+
+
+def _part_search_sql(short: str, tokens: tuple[str, ...]) -> str:
+    k = lambda c: f"regexp_replace({c}, '[^0-9a-z㐀-鿿]+', '', 'g')"
+    hits = [f"30 * CAST(contains({k('txt')}, '{short}') AS INT)"] + [f"20 * CAST({k(c)} <> '' AND contains('{short}', {k(c)}) AS INT)" for c in ("label", "metric_id")] + [f"5 * CAST(contains(txt, '{t}') AS INT)" for t in tokens]
+    score = " + ".join([*hits, f"8 * len(list_filter(terms, lambda t: {k('t')} <> '' AND contains('{short}', {k('t')})))"])
+    return f"WITH p AS ({_PARTS}), s AS (SELECT *, metric_id || ' ' || label || ' ' || words AS txt FROM p) SELECT metric_id, CAST({score} AS INT) AS score, profile AS profiles FROM s WHERE {score} > 0 ORDER BY score DESC, metric_id LIMIT 25"
+
+
+@query(_part_search_sql("smallringofbrand17economy", ("small", "ring", "of", "brand#17", "economy")))
+def part_search(spark: SparkSession, d: str) -> DataFrame:
+    """The search over a catalog of the parts: by phrase, name, tokens and terms."""
+    name, brand, kind = (F.lower(c) for c in ("p_name", "p_brand", "p_type"))
+    key = F.concat(F.lit("part_"), F.col("p_partkey").cast("string"))
+    profile = F.when(F.col("p_size") % 2 == 0, "ecommerce").otherwise("non_ecommerce")
+    rows = table(spark, d, "part").select(key.alias("metric_id"), name.alias("label"), F.concat_ws(" ", brand, kind).alias("words"), F.array(name, brand, kind).alias("terms"), profile.alias("profile"), key.alias("definition"))
+    return metrics.search_rows(rows, "Small ring of Brand#17, ECONOMY", limit=25).withColumn("profiles", F.array_join("profiles", ","))
+
+
 # Periods
 
+_LIMITS = """SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN strftime(s, '%Y/%m/%d') WHEN o_orderkey % 17 = 0 THEN '2024-02-30' ELSE strftime(s, '%Y-%m-%d') END AS start_text, strftime(e, '%Y-%m-%d') AS end_text, s, e, date_diff('day', s, e) + 1 AS n,
+  o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 AS bad FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) + 9400 AS s, CAST(o_orderdate AS DATE) + 9400 + CAST(o_orderkey % 120 - 5 AS INT) AS e FROM orders)"""
+
+
+@query(
+    f"SELECT o_orderkey, start_text, end_text, CASE WHEN bad THEN 'invalid_date_format' WHEN n < 1 THEN 'invalid_date_range' WHEN s < DATE '2020-10-14' THEN 'date_before_available_range' WHEN n > 90 THEN 'date_range_too_large' WHEN s - CAST(n AS INT) < DATE '2020-10-14' THEN 'date_before_available_range' WHEN e > DATE '2026-09-14' THEN 'future_date_not_allowed' END AS code FROM ({_LIMITS})"
+)
+def request_limits(spark: SparkSession, d: str) -> DataFrame:
+    """A table of requested periods, as texts, against the policy with a comparison period."""
+    key, start = F.col("o_orderkey"), F.date_add(F.to_date("o_orderdate"), 9400)
+    end = F.date_format(F.date_add(start, (key % 120 - 5).cast("int")), "yyyy-MM-dd")
+    text_ = F.when(key % 13 == 0, F.date_format(start, "yyyy/MM/dd")).when(key % 17 == 0, "2024-02-30").otherwise(F.date_format(start, "yyyy-MM-dd"))
+    rows = table(spark, d, "orders").select("o_orderkey", text_.alias("start_text"), end.alias("end_text"))
+    return rows.withColumn("code", Policy().code(F.col("start_text"), F.col("end_text"), F.lit(date(2026, 9, 14)), 1))
+
+
 _SPANS = "SELECT o_custkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate + INTERVAL (1 + o_orderkey % 90) DAY AS DATE) AS e FROM orders"
 
 

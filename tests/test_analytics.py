@@ -277,6 +277,19 @@ def test_date_limits(args, code):
     assert e.value.code == code
 
 
+def test_date_limits_of_a_table(spark):
+    cases = [("2024-1-01", "2024-01-02"), ("2024-02-30", "2024-03-02"), ("2024-02-03", "2024-02-02"), ("2020-10-13", "2020-10-20"), ("2024-01-01", "2024-03-31"), ("2020-10-20", "2020-11-20"), ("2026-09-01", "2026-09-15"), ("2026-06-17", "2026-09-14"), (None, "2024-01-01"), ("2024-01-01 ", "2024-01-01"), ("2024-01-01", "２024-01-01")]
+    rows = spark.createDataFrame(cases, "a string, b string").select(policy.Policy().code(F.col("a"), F.col("b"), F.lit(D(2026, 9, 14)), 1)).collect()
+
+    def one(a, b):
+        try:
+            policy.Policy().dates(a, b, D(2026, 9, 14), 1)
+        except policy.PolicyError as e:
+            return e.code
+
+    assert [r[0] for r in rows] == [one(a, b) for a, b in cases] and rows[7][0] is None
+
+
 def test_date_limits_allow_ninety_days():
     assert policy.Policy().dates("2026-06-17", "2026-09-14", D(2026, 9, 14), 1) == (D(2026, 6, 17), D(2026, 9, 14))
 
@@ -330,6 +343,20 @@ def test_sources(spark, tmp_path):
     assert [r.id for r in kept.collect()] == [2] and "PartitionFilters: [isnotnull(event_date" in kept._jdf.queryExecution().executedPlan().toString()
 
 
+def test_percentiles_are_exact(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [(s, rng.choice([None, float(rng.randrange(n)), rng.random()])) for s, n in (("a", 5), ("b", 1000)) for _ in range(700)] + [("c", 2.5), ("d", None)]
+    got = {r.status: tuple(r)[1:] for r in usage.latency(spark.createDataFrame(rows, "status string, latency_ms double").repartition(3)).collect()}
+    for s in "abcd":
+        own = [v for k, v in rows if k == s and v is not None]
+        want = tuple(round(float(np.percentile(own, q)), 4) for q in (50, 95)) if own else (None, None)
+        assert got[s] == (*want, sum(k == s for k, _ in rows))
+
+
 def test_usage_measures(spark):
     t = lambda s: datetime.fromisoformat(s)
     rows = [("a", t("2024-01-01T15:59:00"), "u", "succeeded"), ("b", t("2024-01-01T16:01:00"), "u", "failed"), ("c", t("2024-01-09T00:00:00"), "u", "succeeded"), ("c", t("2024-01-09T00:00:00"), "u", "succeeded"), ("d", t("2024-01-20T00:00:00"), None, "failed")]
