@@ -1,6 +1,6 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Candidates are dealt to coarse centres, fitted on a bounded sample. What is left of a vector after its centre is
+Candidates are dealt to coarse centres, fitted on a bounded sample, in two levels where rows are many. What is left of a vector after its centre is
 rotated and reduced to the signs of its coordinates, packed into 64-bit words; with two correction scalars (its
 length over the alignment of code and vector, and the deviation of the error) the bits give an unbiased estimate of
 its inner product with any query. A query is rotated too and its coordinates are rounded to four bits, so that an
@@ -14,7 +14,7 @@ as many as a calibration on the sample needs: few if the vectors lie in clusters
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +31,8 @@ BOUND = 1.5
 CANDIDATES, QUERIES, MEETING = 8192, 512, 4
 #: Numbers of the sample that centres are fitted on, rows of it, rows a centre, and most centres.
 SAMPLE_VALUES, SAMPLE_ROWS, ROWS_A_CENTRE, CENTRES = 4_000_000, 20_000, 4096, 256
+#: Where more centres are wanted, each has so many of its own at most, fitted on so many rows for each; and scores held at once.
+UNDER, ROWS_UNDER, HELD = 256, 32, 1 << 22
 #: Dimensions that have centres of their own, by rows; others have one centre each.
 DIMENSIONS = 16
 #: Share of the sample's true neighbours that lie with the centres visited.
@@ -137,44 +139,107 @@ class Centres:
     """Coarse centres by dimension, and how many of them a query visits."""
 
     of: dict[int, tuple[np.ndarray, int]]
+    #: By dimension, centres of centres, and where each one's begin; dimensions with few centres have none.
+    above: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def split(self, vectors: np.ndarray, visit: bool) -> np.ndarray:
         """The nearest centre of each vector; or the centres that it visits as a query, by inner product."""
         if vectors.shape[1] not in self.of:
             return np.zeros((len(vectors), 1), np.int32)
         centres, visits = self.of[vectors.shape[1]]
-        both = vectors.astype(np.float64) @ centres.T
         if visit:
-            return np.argsort(-both, axis=1, kind="stable")[:, :visits].astype(np.int32)
-        return (both - (centres**2).sum(1) / 2).argmax(1).astype(np.int32)[:, None]
-
-
-def centres_of(sample: np.ndarray, n: int, k: int) -> tuple[np.ndarray, int]:
-    """``n`` centres of a sample by k-means, and the visits that find ``COVERED`` of its own neighbours."""
-    sample = sample[np.random.default_rng(1).permutation(len(sample))].astype(np.float64)
+            step = max(1, HELD // len(centres))
+            parts = [np.argsort(-(vectors[i : i + step].astype(np.float64) @ centres.T), axis=1, kind="stable")[:, :visits] for i in range(0, len(vectors), step)]
+            return np.concatenate(parts).astype(np.int32)
+        if vectors.shape[1] not in self.above:
+            return nearest_centre(vectors, centres).astype(np.int32)[:, None]
+        tops, starts = self.above[vectors.shape[1]]
+        top, out = nearest_centre(vectors, tops), np.zeros(len(vectors), np.int32)
+        for t in np.unique(top):
+            own = top == t
+            out[own] = starts[t] + nearest_centre(vectors[own], centres[starts[t] : starts[t + 1]])
+        return out[:, None]
+
+
+def nearest_centre(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    step, least = max(1, HELD // len(centres)), (centres**2).sum(1) / 2
+    parts = [(vectors[i : i + step].astype(np.float64) @ centres.T - least).argmax(1) for i in range(0, len(vectors), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def means(sample: np.ndarray, n: int) -> np.ndarray:
+    """``n`` centres of a sample by k-means."""
     centres = sample[:n].copy()
     for _ in range(10):
-        nearest_ = (sample @ centres.T - (centres**2).sum(1) / 2).argmax(1)
+        nearest_ = nearest_centre(sample, centres)
         sums, counts = np.zeros_like(centres), np.bincount(nearest_, minlength=len(centres))
         np.add.at(sums, nearest_, sample)
         centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
-    nearest_ = (sample @ centres.T - (centres**2).sum(1) / 2).argmax(1)
-    asked = sample[:500]
-    both = asked @ sample.T
-    both[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
-    k = min(k, len(sample) - 1)
-    near = np.argpartition(-both, k - 1, axis=1)[:, :k] if k else np.zeros((len(asked), 0), int)
-    order = np.argsort(-(asked @ centres.T), axis=1, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.broadcast_to(np.arange(len(centres)), order.shape), 1)
-    found = np.take_along_axis(rank, nearest_[near], 1)
-    return centres, int(np.quantile(found, COVERED, method="higher")) + 1 if found.size else len(centres)
+    return centres
+
+
+def centres_of(sample: np.ndarray, n: int, k: int) -> tuple[np.ndarray, int]:
+    """``n`` centres of a sample, and the visits that find ``COVERED`` of its own neighbours."""
+    sample = sample[np.random.default_rng(1).permutation(len(sample))].astype(np.float64)
+    centres = means(sample, n)
+    return centres, visits_of(sample, centres, nearest_centre(sample, centres), k)
+
+
+def visits_of(sample: np.ndarray, centres: np.ndarray, nearest_: np.ndarray, k: int) -> int:
+    """Of centres by inner product, how many a query visits to find ``COVERED`` of its ``k`` neighbours in a sample, whose nearest centres are known.
+    Neighbours in the whole table are nearer than in a sample, so more are found there.
+    """
+    k, found = min(k, len(sample) - 1), []
+    for i in range(0, min(500, len(sample)), 50):
+        asked = sample[i : i + 50]
+        both = asked @ sample.T
+        both[np.arange(len(asked)), i + np.arange(len(asked))] = -np.inf
+        near = np.argpartition(-both, k - 1, axis=1)[:, :k] if k else np.zeros((len(asked), 0), int)
+        order = np.argsort(-(asked @ centres.T), axis=1, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.broadcast_to(np.arange(len(centres)), order.shape), 1)
+        found.append(np.take_along_axis(rank, nearest_[near], 1))
+    found = np.concatenate(found) if found else np.zeros((0, 0))
+    return int(np.quantile(found, COVERED, method="higher")) + 1 if found.size else len(centres)
+
+
+def centres_under(vectors: DataFrame, dim: int, n: int, sample: np.ndarray, tops: np.ndarray, k: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """(centres, visits, where each of ``tops`` begins its own): each has about as many under it as its ``n`` rows ask for, fitted by Spark on a
+    bounded number of rows of each.
+    """
+    spark = vectors.sparkSession
+    nearest_ = nearest_centre(sample, tops)
+    rows = np.maximum(1, np.bincount(nearest_, minlength=len(tops)) * n // len(sample))
+    wanted = np.clip(rows // ROWS_A_CENTRE, 1, UNDER)
+    share = [int(min(1 << 30, (int(w) * ROWS_UNDER << 30) // int(r))) for w, r in zip(wanted, rows, strict=True)]
+    shared = spark.sparkContext.broadcast(Centres({dim: (tops, 1)}))
+    picked = vectors.where(F.size("embedding") == dim).mapInArrow(_split(shared, "<f8", False), ROWS)
+    place = F.pmod(F.xxhash64("vec_id", F.lit("under")), F.lit(1 << 30))
+    picked = picked.where(place < F.element_at(F.lit(share), F.col("centre") + 1))
+
+    def under(table: pa.Table) -> pa.Table:
+        own = np.frombuffer(b"".join(table["vector"].to_pylist()), "<f8").reshape(-1, dim)
+        at = table["centre"][0].as_py()
+        found = means(own[np.random.default_rng(at).permutation(len(own))], min(int(wanted[at]), len(own)))
+        return pa.table({"centre": pa.array([at] * len(found), pa.int32()), "vector": pa.array([v.tobytes() for v in found], pa.binary())})
+
+    found = picked.groupBy("centre").applyInArrow(under, "centre int, vector binary").toArrow()  # UNDER x CENTRES rows at most
+    owner = found["centre"].to_numpy()
+    order = np.argsort(owner, kind="stable")
+    own = np.frombuffer(b"".join(found["vector"].to_pylist()), "<f8").reshape(-1, dim)[order]
+    parts = [own[owner[order] == t] if (owner == t).any() else tops[t : t + 1] for t in range(len(tops))]
+    centres, starts = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+    level = Centres({dim: (centres, 1)}, {dim: (tops, starts)})
+    sample = sample[np.random.default_rng(1).permutation(len(sample))].astype(np.float64)
+    return centres, visits_of(sample, centres, level.split(sample, False).ravel(), k), starts
 
 
 def fit(vectors: DataFrame, k: int = K) -> Centres:
-    """Centres for ``vectors`` (embedding), fitted on a sample of bounded size that is drawn evenly over all rows."""
+    """Centres for ``vectors`` (vec_id, embedding), fitted on a sample of bounded size that is drawn evenly over all rows; where the rows ask for more
+    than ``CENTRES``, in two levels.
+    """
     sizes = vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(DIMENSIONS).collect()
-    out = {}
+    out, above = {}, {}
     for dim, n in sizes:
         wanted = min(CENTRES, n // ROWS_A_CENTRE)
         if wanted < 2:
@@ -185,7 +250,11 @@ def fit(vectors: DataFrame, k: int = K) -> Centres:
         sample = picked["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         if wanted < len(sample):
             out[dim] = centres_of(sample, wanted, k)
-    return Centres(out)
+            if n // ROWS_A_CENTRE > CENTRES:
+                tops = out[dim][0]
+                centres, visits, starts = centres_under(vectors, dim, n, sample, tops, k)
+                out[dim], above[dim] = (centres, visits), (tops, starts)
+    return Centres(out, above)
 
 
 def _split(shared, kind: str, visit: bool):

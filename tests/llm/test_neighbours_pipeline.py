@@ -76,6 +76,34 @@ def test_clustered_vectors_visit_few_centres_and_copies_do_not_multiply(spark, m
     assert found / (30 * 20) > 0.95
 
 
+def test_centres_in_two_levels_grow_with_the_rows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(ann, "ROWS_A_CENTRE", 40)
+    monkeypatch.setattr(ann, "CENTRES", 6)
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 500)
+    monkeypatch.setattr(ann, "CANDIDATES", 100)
+    monkeypatch.setattr(ann, "QUERIES", 20)
+    met = {}
+    for n in (2000, 4000):
+        middles = rng.standard_normal((n // 40, 32)) * 3
+        vectors = (middles[rng.integers(0, n // 40, n)] + rng.standard_normal((n, 32)) / 4).astype(np.float32)
+        vectors[: n // 3] = vectors[0] + rng.standard_normal((n // 3, 32)).astype(np.float32) / 9  # a centre with a third of the rows
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+        centres = ann.fit(df, 20)
+        (own, visits), (tops, starts) = centres.of[32], centres.above[32]
+        assert len(tops) == 6 and len(own) == starts[-1] and n / 40 * 0.6 < len(own) < n / 40 * 1.2
+        assert (centres.split(vectors, False)[:, 0] < len(own)).all() and centres.split(vectors[:3], True).shape == (3, visits)
+        met[n] = visits / len(own)
+        got, found = {}, 0
+        for r in ann.search(df, df.where("vec_id % 100 = 0")).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        for q in range(0, n, 100):
+            scores = vectors.astype(float) @ vectors[q].astype(float)
+            found += len(got[q] & set([i for i in np.lexsort((np.arange(n), -scores)).tolist() if i != q][:20]))
+        assert found / (n / 100 * 20) > 0.9
+    assert met[4000] < 0.5
+
+
 def test_every_query_gets_k_rows(monkeypatch):
     rng = np.random.default_rng(8)
     vectors = rng.standard_normal((500, 64)).astype(np.float32)
