@@ -51,10 +51,27 @@ KEPT, COUNTED, PIECE = 200_000, 500_000, 1 << 20
 
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _STRONG = re.compile(r"[\s,;:?/\\\"“”„«»<>=\[\]{})#%&…·•]+")
-_EDGE_RUN = re.compile(r"^(?:([^\w\s])\1+)+|(?:([^\w\s])\2+)+$")
 _TRIPLE, _DOUBLE = re.compile(r"(.)\1\1"), re.compile(r"(.)\1")
 
 
+def stripped(token: str) -> str:
+    """A token without what is punctuation at its edges: signs that stand between letters, and other signs in runs of two or more."""
+
+    def edge(chars: str) -> int:
+        i = 0
+        while i < len(chars) and not chars[i].isalnum():
+            c, run = chars[i], i
+            while run < len(chars) and chars[run] == c:
+                run += 1
+            if c not in BETWEEN and run - i < 2:
+                break
+            i = run
+        return i
+
+    first = edge(token)
+    return token[first : len(token) - edge(token[:first:-1]) if first < len(token) else first]
+
+
 def _byte_symbols() -> np.ndarray:
     """The symbol of each UTF-8 byte: a character beyond ASCII counts as one other letter, by its first byte; 255 adds nothing."""
     table = np.zeros(256, np.uint8)
@@ -106,6 +123,14 @@ def _symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27
 
 
+def _spelled(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, x = path
+        out.append(x)
+    return "".join(reversed(out))
+
+
 class Restorer:
     """Reads tokens under a character model, and keeps the readings of those seen before."""
 
@@ -124,7 +149,12 @@ class Restorer:
         """The cheapest reading of a token's lattice: words with spaces between them."""
         costs, base, n = self.costs, SYMBOLS ** (ORDER - 1), len(token)
         states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        done: list[str] = []
         for i, c in enumerate(token):
+            if len(states) == 1 and i % 64 == 0:  # all paths agree so far: what they read is settled, and a long token's paths stay short
+                ((h, (total, path)),) = states.items()
+                done.append(_spelled(path))
+                states = {h: (total, None)}
             before, after = token[i - 1] if i else " ", token[i + 1] if i + 1 < n else " "
             run = 0
             while run < i and run < 3 and token[i - 1 - run] == c:
@@ -156,17 +186,12 @@ class Restorer:
                         found[new] = cost, to
             states = found
         path = min((total + (costs[h * SYMBOLS] if h else 0.0), h, p) for h, (total, p) in states.items())[2] if len(states) > 1 else next(iter(states.values()))[1]
-        out = []
-        while path:
-            path, x = path
-            out.append(x)
-        return "".join(reversed(out)).strip()
+        return "".join([*done, _spelled(path)]).strip()
 
     def _read(self, token: str) -> str:
         words = []
         for part in _STRONG.split(token):
-            while (cut := _EDGE_RUN.sub("", part).strip(".-_*~^'`")) != part:
-                part = cut
+            part = stripped(part)
             if not part or not any(c.isalpha() for c in part):
                 continue
             if not part.isalpha() or _TRIPLE.search(part):

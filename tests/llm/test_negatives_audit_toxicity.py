@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import permutations
 
 import numpy as np
@@ -190,6 +191,16 @@ def test_viterbi_finds_the_cheapest_path(model):
     assert [reader.viterbi(t) for t in ("1d10t", "m0r0n", "s.t.u.p.i.d", "cl0wwwn", "i d i o t")] == ["idiot", "moron", "stupid", "clown", "idiot"]
 
 
+def test_long_tokens_and_runs_of_signs_take_linear_time(model):
+    reader, began = toxicity.Restorer(model), time.monotonic()
+    cases = {"wow" + "!" * 50_000 + "no": None, "!!??" * 20_000 + "idiot" + "$$" * 20_000: "idiot", "1d10t" * 8000: None, "a" * 100_000: None, "i " * 20_000: None, "&" * 100_000: "", "x-" * 30_000 + "y": None}
+    for text, want in cases.items():
+        got = reader.text(text)
+        assert want is None or got == want
+    assert time.monotonic() - began < 40 and reader.text("1d10t" * 8000).count("idiot") > 7000
+    assert [toxicity.stripped(t) for t in ("idiot", "!!idiot!", "..i.d..", "!!??$$a&&", "!", "!!", "", "--", "a", "(b)", "$a$$")] == ["idiot", "idiot!", "i.d", "a", "!", "", "", "", "a", "(b)", "$a"]
+
+
 def test_texts_are_restored(spark, model):
     cases = {"You IDIOT!!": "you idiot", "m o r o n that": "moron that", "stuuuupid": "stupid", "the%%% and&&&": "the and", "little class": "little class", "tr@sh, c1own": "trash clown", None: "", "": "", "... !!! 2024": ""}
     df = spark.createDataFrame([(t, 1) for t in cases], "text string, _restored int")
