@@ -134,7 +134,7 @@ def code_of(f, *args):
 
 
 def test_names_resolve_across_widths_and_cases(spark):
-    r = registry.from_rows(spark, ROWS)
+    r = registry.prepared(registry.from_rows(spark, ROWS)).cache()
     assert registry.resolve(r, " sunny DIGITAL ") == registry.Tenant("1", "Ｓｕｎｎｙ Digital", "p-1", "ecommerce", "exact")
     assert registry.resolve(r, "小太陽").match_type == "alias"
     expected = {"": "invalid_customer_name", "nobody": "tenant_not_found", "Sunny": "ambiguous_tenant", "THIRD": "ambiguous_tenant", "digi": "tenant_confirmation_required", "r": "customer_name_too_broad", "Brand": "tenant_inactive", "other": "invalid_tenant_routing"}
@@ -163,11 +163,11 @@ def test_registry_rules(spark):
 def test_generic_names_and_aliases_of_very_many_tenants(spark, monkeypatch):
     rows = [(f"{i:03}", f"Name {i}", "p", "active", None, "Shared" if i % 2 else "ＬＴＤ．") for i in range(40)]
     monkeypatch.setattr(registry, "SHOWN", 5)
-    r = registry.from_rows(spark, rows)
+    r = registry.prepared(registry.from_rows(spark, rows)).cache()
     found = {i.alias: i for i in registry.quality_issues(r).where("code = 'duplicate_alias_across_tenants'").collect()}
     assert found["Shared"].n_tenants == 20 and found["Shared"].tenant_ids == ["001", "003", "005", "007", "009"]
     assert registry.quality_issues(r).where("code = 'generic_alias'").count() == 20
-    wide = registry.from_rows(spark, [("1", "Brand company", "p", "active", None, None), ("2", "Co. of brands", "p", "active", None, None)])
+    wide = registry.prepared(registry.from_rows(spark, [("1", "Brand company", "p", "active", None, None), ("2", "Co. of brands", "p", "active", None, None)])).cache()
     assert code_of(registry.resolve, wide, "company") == code_of(registry.resolve, wide, "co.") == "customer_name_too_broad"
     assert code_of(registry.resolve, wide, "brands") == "tenant_confirmation_required"
 
