@@ -1,4 +1,4 @@
-"""Closed date intervals: unions by gaps and islands, and overlap joins in day buckets."""
+"""Closed date intervals: unions by gaps and islands, overlap joins in day buckets, overlap counts by a sweep."""
 
 from __future__ import annotations
 
@@ -44,3 +44,20 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket_days
     meets = (F.col("start") <= F.col("other_end")) & (F.col("other_start") <= F.col("end"))
     first = F.floor(F.unix_date(F.greatest("start", "other_start")) / bucket_days) == F.col("_bucket")
     return a.join(b, [*keys, "_bucket"]).where(meets & first).drop("_bucket")
+
+
+def overlap_counts(intervals: DataFrame, *keys: str) -> DataFrame:
+    """By key and start: the latest end, and n, the pairs that intervals of this start form with all of the key's intervals that
+    share a day with them, themselves included.
+
+    No pair is formed. An interval meets those that have begun by its end, but for those that had ended before its start; both are
+    running sums over the key's starts and ends in one order. Equal intervals are counted first.
+    """
+    spans = intervals.where("start <= end").groupBy(*keys, "start", "end").agg(F.count("*").alias("_n"))
+    ends = F.explode(F.array(F.struct(F.col("start").alias("day"), F.lit(0).alias("kind")), F.struct(F.col("end").alias("day"), F.lit(1).alias("kind"))))
+    points = spans.select("*", ends.alias("_at"))
+    sweep = Window.partitionBy(*keys).orderBy("_at.day", "_at.kind")  # a day's starts come before its ends
+    is_end = F.col("_at.kind") == 1
+    begun, ended = (F.sum(F.when(c, F.col("_n")).otherwise(0)).over(sweep) for c in (~is_end, is_end))
+    met = points.select(*keys, "start", "end", (F.col("_n") * F.when(is_end, begun).otherwise(-ended)).alias("_met"))
+    return met.groupBy(*keys, "start").agg(F.max("end").alias("end"), F.sum("_met").alias("n"))

@@ -146,10 +146,17 @@ def all_orders(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def traffic_flows(spark: SparkSession, directory: str) -> DataFrame:
-    events = sessionize(table(spark, directory, "events"))
-    step = Window.partitionBy("user_id", "session_no").orderBy("ts", "event_id")
-    rows = events.select("user_id", "session_no", F.to_date("ts").alias("session_date"), F.col("event_type").alias("traffic_flow_source"), F.lead("event_type").over(step).alias("traffic_flow_target"))
-    return rows.where("traffic_flow_target IS NOT NULL")
+    """Events are ordered once, by user and day: only an event of a day's first minutes can go on from the day before, so these few
+    are dealt to that day too, where they end a step but begin none.
+    """
+    events = table(spark, directory, "events").where("user_id IS NOT NULL")
+    gap, own = F.make_interval(mins=F.lit(GAP_MINUTES)), F.to_date("ts")
+    before = F.to_date(F.col("ts") - gap)
+    dealt = events.withColumn("_day", F.explode(F.when(before < own, F.array(own, before)).otherwise(F.array(own))))
+    step = Window.partitionBy("user_id", "_day").orderBy("ts", "event_id")
+    goes_on = F.lead("ts").over(step) <= F.col("ts") + gap
+    rows = dealt.select("user_id", "_day", own.alias("session_date"), F.col("event_type").alias("traffic_flow_source"), F.when(goes_on, F.lead("event_type").over(step)).alias("traffic_flow_target"))
+    return rows.where("session_date = _day AND traffic_flow_target IS NOT NULL").drop("_day")
 
 
 #: By name, with what reads them; sessions come from their table (``plans/sessions.py``).

@@ -450,10 +450,18 @@ def interval_union_days(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT o_custkey, s AS start, max(e) AS \"end\", count(*) AS n FROM (SELECT x.o_custkey, x.s, x.e FROM ({_SPANS}) x JOIN ({_SPANS}) y ON x.o_custkey = y.o_custkey AND x.s <= y.e AND y.s <= x.e) GROUP BY o_custkey, s"
 )
 def interval_overlap_join(spark: SparkSession, d: str) -> DataFrame:
+    """What a join of overlapping spans counts, without its pairs."""
+    return intervals.overlap_counts(_spans(spark, d), "o_custkey")
+
+
+@query(
+    f"SELECT x.o_custkey, x.s AS start, x.e AS \"end\", y.s AS other_start, y.e AS other_end, count(*) AS n FROM ({_SPANS}) x JOIN ({_SPANS}) y ON x.o_custkey = y.o_custkey AND x.s <= y.e AND y.s <= x.e GROUP BY ALL"
+)
+def interval_overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Equal intervals are counted first, so a customer's pairs are bounded by the pairs of days."""
     spans = _spans(spark, d).groupBy("o_custkey", "start", "end").agg(F.count("*").alias("n"))
     pairs = intervals.overlap_join(spans, spans.withColumnRenamed("n", "other_n"), ["o_custkey"])
-    return pairs.groupBy("o_custkey", "start").agg(F.max("end").alias("end"), F.sum(F.col("n") * F.col("other_n")).alias("n"))
+    return pairs.select("o_custkey", "start", "end", "other_start", "other_end", (F.col("n") * F.col("other_n")).alias("n"))
 
 
 def _period_sql(kind: str, start: str, end: str) -> str:

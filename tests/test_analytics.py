@@ -255,6 +255,13 @@ def test_interval_unions(spark):
     pairs = sorted((r.k, r.start, r.end, r.other_start, r.other_end) for r in intervals.overlap_join(df, df, ["k"], 7).collect())
     real = [r for r in rows if r[1] <= r[2]]
     assert pairs == sorted((a[0], a[1], a[2], b[1], b[2]) for a in real for b in real if a[0] == b[0] and a[1] <= b[2] and b[1] <= a[2])
+    met = {}
+    for k, start, end, *_ in pairs:
+        last, n = met.get((k, start), (end, 0))
+        met[k, start] = (max(last, end), n + 1)
+    counts = intervals.overlap_counts(df, "k")
+    assert {(r.k, r.start): (r.end, r.n) for r in counts.collect()} == met
+    assert intervals.overlap_counts(df.limit(0), "k").collect() == [] and "Join" not in counts._jdf.queryExecution().executedPlan().toString()
     touching = spark.createDataFrame([(D(2024, 1, 1), D(2024, 1, 5)), (D(2024, 1, 6), D(2024, 1, 9)), (D(2024, 1, 11), D(2024, 1, 11))], "start date, end date")
     assert sorted((r.start.day, r.end.day) for r in intervals.islands(touching).collect()) == [(1, 9), (11, 11)]
 

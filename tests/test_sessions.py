@@ -138,3 +138,22 @@ def test_islands_of_a_whole_table(spark):
     days = spark.createDataFrame([(date(2024, 1, 1), date(2024, 1, 5)), (date(2024, 1, 6), date(2024, 1, 9)), (date(2024, 1, 11), date(2024, 1, 11))], "start date, end date")
     assert sorted((r.start.day, r.end.day) for r in scan.islands(days).collect()) == [(1, 9), (11, 11)]
     assert scan.islands(days.limit(0)).collect() == []
+
+
+def test_flows_go_on_over_midnight_and_are_ordered_once(spark, tmp_path):
+    rng, directory = random.Random(12), str(tmp_path)
+    rows = visits(rng, [1, 2, 3, 4], range(1, 40))
+    at = datetime(2024, 1, 2, 23, 40)
+    for minutes, kind in ((0, "view"), (0, "cart"), (30, "purchase"), (30, "view"), (60, "error"), (91, "view")):  # gaps of 30 minutes go on, of 31 do not
+        rows.append((90_000 + len(rows), at + timedelta(minutes=minutes), 99, kind, 1.0, "{}"))
+    rows += [(99_998, at, None, "view", 1.0, "{}"), (99_999, datetime(2024, 1, 3), 98, "view", 1.0, "{}")]
+    write(spark, f"{directory}/events.parquet", rows)
+    want, ordered = [], sorted((u, t, i, kind) for i, t, u, kind, *_ in rows if u is not None)
+    for (u, t, _, a), (v, s, _, b) in zip(ordered, ordered[1:], strict=False):
+        if u == v and s - t <= timedelta(minutes=30):
+            want.append((u, t.date(), a, b))
+    flows = models.traffic_flows(spark, directory)
+    assert sorted(map(tuple, flows.select("user_id", "session_date", "traffic_flow_source", "traffic_flow_target").collect())) == sorted(want)
+    assert sum(u == 99 for u, *_ in want) == 4 and any(d != e for (_, d, *_), (_, e, *_) in zip(want, want[1:], strict=False))
+    plan = flows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
