@@ -1,9 +1,12 @@
 import random
+import re
+import zlib
 
 import corpus_pipeline
 import numpy as np
-from marram.llm import ann
+from marram.llm import ann, langid, secret_scan, tokens
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 
 def test_search_equals_brute_force(spark, monkeypatch):
@@ -158,3 +161,102 @@ def test_pipeline_stages_on_empty_tables_and_further_columns(spark, tmp_path):
             assert state.columns == spark.createDataFrame([], kinds).columns
         assert {(r._language, r._spans, r._found, r._h1, r._gone) for r in state.collect()} == ({("x", 2, 3, 4, 5)} if table else set())
         assert (corpus_pipeline.STAGES[-1][1](spark, state, str(tmp_path)).count() > 0) == bool(table)
+
+
+def brute_near_duplicates(texts):
+    """Smallest id of each group, all pairs of five-word sets compared."""
+    sets, root = {}, {i: i for i in texts}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i for i in texts if find(i) == i}
+
+
+def brute_clean(texts, items):
+    """Documents without a window of ten words of an item."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(w[i : i + 10]) for w in map(words, items) if w for i in range(max(1, len(w) - 9))}
+    lengths = {len(w) for w in windows}
+    return {d for d, t in texts.items() if not any(tuple(w[i : i + n]) in windows for w in [words(t)] for n in lengths for i in range(len(w) - n + 1))}
+
+
+def best_fit(lengths, capacity):
+    rooms = []
+    for length in sorted(lengths, reverse=True):
+        fit = [r for r in rooms if r >= length]
+        if fit:
+            rooms.remove(min(fit))
+        rooms.append((min(fit) if fit else capacity) - length)
+    return len(rooms)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage on what the one before kept: copies, near copies in chains, passages of test items, secrets, junk and nulls."""
+    rng = random.Random(21)
+    syllables = ["ka", "to", "ri", "mu", "ne", "so", "la", "vi"]
+    vocabulary = ["".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items, texts = [prose(14), prose(11), prose(6), None, ""], [prose(rng.choice([30, 60, 90])) for _ in range(120)]
+    for k in range(70):  # chains of copies that move away from their origin word by word
+        words = texts[rng.randrange(len(texts))].split(" ")
+        for _ in range(rng.choice([0, 1, 1, 2, 5])):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        texts.append(" ".join(words).upper() if k % 9 == 0 else " ".join(words))
+    for k in range(20):
+        own = items[k % 3].split(" ")
+        a = rng.randrange(max(1, len(own) - 9))
+        texts.append(f"{prose(20)} {' '.join(own[a : a + rng.choice([5, 9, 10, 14])])} {prose(20)}")
+    texts += [f"{prose(30)} api_key={''.join(rng.choices('abcXYZ019', k=16))} {prose(10)}" for _ in range(5)] + [prose(4000), prose(3), "7 7 7", "!", "", None, None]
+    order = rng.sample(range(10_000), len(texts))
+    docs = spark.createDataFrame([(i, t, "aa" if t else None, "s", len(t or "")) for i, t in zip(order, texts, strict=True)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = lambda df: {r.doc_id: r.text for r in df.collect()}
+    states, state = [], docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        state = stage(spark, state, str(tmp_path)).cache()
+        states.append(kept(state))
+    first, second, third, fourth = states
+    models = langid.fit(docs.select("doc_id", "text", "lang"))
+    scorer, want = langid.Scorer(models), {}
+    for i, t in zip(order, texts, strict=True):
+        entropy, sizes = scorer.entropies([t])
+        if sizes[0] and models.excess(entropy[:, 0], np.zeros(1, int), sizes)[0] <= models.limit:
+            want[i] = t
+    assert first == want and len(first) >= len(texts) - 10 and not any(t is None or not re.search("[a-z]", t.lower()) for t in first.values())
+    assert second == {i: first[i] for i in brute_near_duplicates(first)} and len(second) < len(first) - 20
+    assert third == {i: second[i] for i in brute_clean(second, items)} and len(third) < len(second) - 5
+    spans = {r.doc_id: r._spans for r in secret_scan.scan(docs.where(F.col("doc_id").isin(list(third))), secret_scan.learn(docs.where(F.col("doc_id").isin(list(third))))).collect()}
+    written = {}
+    for i, t in third.items():
+        out, at = "", 0
+        for s in sorted(spans[i], key=lambda s: s.start):
+            if s.start >= at:
+                out += t[at : s.start] + "[SECRET]"
+            at = max(at, s.end)
+        written[i] = out + t[at:]
+    assert fourth == written and sum("[SECRET]" in t for t in fourth.values()) == 5
+    plain, pieces, sequences = Tokenizer.from_file(tokens.public_path("byte_bpe_50k.json")), [], {}
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    for i, t in fourth.items():
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
+        assert sum(r.length for r in own) == len(ids) and all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own)
+    for r in rows:
+        pieces.append(r.length)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        parts.sort()
+        assert [o for o, _ in parts] == np.cumsum([0] + [n for _, n in parts])[:-1].tolist() and sum(n for _, n in parts) <= 1024
+    assert {r.doc_id for r in rows} == set(fourth) and len(sequences) == best_fit(pieces, 1024)
