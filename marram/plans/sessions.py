@@ -2,8 +2,9 @@
 
 ``prepare`` lists the events' files. New files whose events are all of later days are sessionised alone: what each user had
 before (sessions so far, end of the last one) comes from a state table, and the sessions that were open are carried
-on, which rewrites only the days they began on. Anything else (changed files, late days) builds the table anew. A build
-writes a version; readers hold to the version that was newest when they asked, so none sees half a build.
+on, which rewrites only the days they began on. Late days go on from the last version that ended before them: days up to that
+one stay as they are. Changed files, and days before every version's end, build the table anew. A build writes a version;
+readers hold to the version that was newest when they asked, so none sees half a build.
 
 Beside the sessions a build keeps what reports count distinct users by: every user's number, and for each day and label
 bitmaps of the numbers seen. Distinct users of any days come from these bitmaps alone.
@@ -26,6 +27,8 @@ from marram.sources.tables import listing, shared_dir, table
 
 STATE = "user_id long, n_sessions long, open_date date, ended_at timestamp_ntz, number long"
 VISITORS = "session_date date, user_label string, bucket long, bitmap binary, n_sessions long"
+#: A version's days, each with the version that its rows are of, and the version that it goes on from.
+DAYS = "session_date date, in_version int, parent int"
 
 
 class NotBuilt(LookupError):
@@ -34,13 +37,16 @@ class NotBuilt(LookupError):
 
 @dataclass(frozen=True)
 class Built:
-    """A version: where each day's partition is, the last day, and the digest of the events' files."""
+    """A version: where each day's partition is, the last day, the digest of the events' files, and the versions that it goes on
+    from, from the last whole build up to itself.
+    """
 
     root: str
     version: int
     digest: tuple
     through: date | None
     days: dict[date, int]
+    chain: tuple[int, ...]
 
 
 #: The newest version by application and dataset, as known.
@@ -48,7 +54,7 @@ _built: dict[tuple[str, str], Built] = {}
 
 
 def _root(spark: SparkSession, directory: str) -> str:
-    return f"{shared_dir(spark)}/sessions-{hashlib.sha256(directory.encode()).hexdigest()[:16]}"
+    return f"{shared_dir(spark)}/sessions-chain-{hashlib.sha256(directory.encode()).hexdigest()[:16]}"
 
 
 def _digest(files: DataFrame) -> tuple:
@@ -58,22 +64,33 @@ def _digest(files: DataFrame) -> tuple:
 def prepare(spark: SparkSession, directory: str) -> Built:
     """Build what is missing of a dataset's session table; without new files only these are listed."""
     key, files = (spark.sparkContext.applicationId, directory), listing(spark, f"{directory}/events.parquet")
-    digest, old = _digest(files), _newest(spark, directory)
-    if old and old.digest == digest:
-        return old
-    events, state = table(spark, directory, "events"), None
-    if old:
-        known = spark.read.parquet(f"{old.root}/files/version={old.version}")
-        gone = known.join(files, ["path", "bytes", "modified"], "left_anti").limit(1).count()
-        if not gone and old.through:
-            paths = [r.path for r in files.join(known, ["path"], "left_anti").select("path").collect()]
-            new = spark.read.schema(events.schema).parquet(*paths)
-            if new.where(F.col("user_id").isNotNull()).agg(F.min(F.to_date("ts")) > old.through).first()[0]:
-                events, state = new, spark.read.schema(STATE).parquet(f"{old.root}/state/version={old.version}")
+    digest, newest = _digest(files), _newest(spark, directory)
+    if newest and newest.digest == digest:
+        return newest
+    events, old, state = table(spark, directory, "events"), None, None
+    if newest:
+        among = lambda v: spark.read.parquet(f"{newest.root}/files/version={v}")
+        of = lambda listed: spark.read.schema(events.schema).parquet(*[r.path for r in listed.select("path").collect()])
+        if not among(newest.version).join(files, ["path", "bytes", "modified"], "left_anti").limit(1).count():
+            first = of(files.join(among(newest.version), ["path"], "left_anti")).where("user_id IS NOT NULL").agg(F.min(F.to_date("ts"))).first()[0]
+            old = _before(spark, newest, first)
+        if old:
+            events, state = of(files.join(among(old.version), ["path"], "left_anti")), spark.read.schema(STATE).parquet(f"{old.root}/state/version={old.version}")
     _built[key] = _build(spark, _root(spark, directory), old, files, digest, events, state)
     return _built[key]
 
 
+def _before(spark: SparkSession, newest: Built, first: date | None) -> Built | None:
+    """The last of the versions that ``newest`` goes on from, itself included, whose days all lie before ``first``. What the versions after it
+    added is of later days too, so all files that it lacks can be added to it at once.
+    """
+    if first is None:
+        return None
+    ends = _days(spark, newest.root).where(F.col("version").isin(list(newest.chain))).groupBy("version").agg(F.max("session_date").alias("through"))
+    version = ends.where(F.col("through") < F.lit(first)).agg(F.max("version")).first()[0]
+    return newest if version == newest.version else None if version is None else _stored(spark, newest.root, version)
+
+
 def _build(spark: SparkSession, root: str, old: Built | None, files: DataFrame, digest: tuple, events: DataFrame, state: DataFrame | None) -> Built:
     number = _next(spark, root)
     place = lambda name: f"{root}/{name}/version={number}"
@@ -115,8 +132,9 @@ def _build(spark: SparkSession, root: str, old: Built | None, files: DataFrame,
     files.write.parquet(place("files"))
     found = {r.session_date: number for r in written.select("session_date").distinct().collect()}
     days = kept | ({d: number for d in again} if state is not None else {}) | found
-    spark.createDataFrame([(d, v) for d, v in days.items()] or [(None, number)], "session_date date, in_version int").coalesce(1).write.parquet(place("days"))
-    return Built(root, number, digest, max(days, default=None), days)
+    parent = old.version if old else None
+    spark.createDataFrame([(d, v, parent) for d, v in days.items()] or [(None, number, parent)], DAYS).coalesce(1).write.parquet(place("days"))
+    return Built(root, number, digest, max(days, default=None), days, ((*old.chain, number) if old else (number,)))
 
 
 def _write(rows: DataFrame, path: str) -> None:
@@ -130,17 +148,28 @@ def _newest(spark: SparkSession, directory: str) -> Built | None:
     if key not in _built:
         root = _root(spark, directory)
         try:
-            days = spark.read.parquet(f"{root}/days")
+            version = _days(spark, root).agg(F.max("version")).first()[0]
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return None
-        version = days.agg(F.max("version")).first()[0]
-        own = {r.session_date: r.in_version for r in days.where(F.col("version") == version).where("session_date IS NOT NULL").collect()}
-        _built[key] = Built(root, version, _digest(spark.read.parquet(f"{root}/files/version={version}")), max(own, default=None), own)
+        _built[key] = _stored(spark, root, version)
     return _built[key]
 
 
+def _days(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(DAYS + ", version int").parquet(f"{root}/days")
+
+
+def _stored(spark: SparkSession, root: str, version: int) -> Built:
+    days = _days(spark, root)
+    own = {r.session_date: r.in_version for r in days.where(F.col("version") == version).where("session_date IS NOT NULL").collect()}
+    parents, chain = dict(days.select("version", "parent").distinct().collect()), [version]
+    while parents[chain[-1]] is not None:
+        chain.append(parents[chain[-1]])
+    return Built(root, version, _digest(spark.read.parquet(f"{root}/files/version={version}")), max(own, default=None), own, tuple(reversed(chain)))
+
+
 def _next(spark: SparkSession, root: str) -> int:
     """A version that no build has begun."""
     try:
@@ -173,33 +202,13 @@ def sessions(spark: SparkSession, directory: str) -> DataFrame:
     return _read(spark, _of(spark, directory))
 
 
-_whole: dict[tuple[str, int], int] = {}
-
-
-def _first(spark: SparkSession, built: Built) -> int:
-    """The version of the last whole build: the newest one without sessions carried on."""
-    key = (built.root, built.version)
-    if key not in _whole:
-        number = built.version
-        while number > 0:
-            try:
-                spark.read.parquet(f"{built.root}/carried/version={number}")
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                break
-            number -= 1
-        _whole[key] = number
-    return _whole[key]
-
-
 def visitors(spark: SparkSession, directory: str) -> DataFrame:
     """(session_date, user_label, bucket, bitmap, n_sessions): which users, by number, began how many sessions on a day with a label.
 
     A day is of the version that first had it: later ones only carry its sessions on.
     """
     built = _of(spark, directory)
-    paths = [f"{built.root}/visitors/version={v}" for v in range(_first(spark, built), built.version + 1)]
+    paths = [f"{built.root}/visitors/version={v}" for v in built.chain]
     return spark.read.schema(VISITORS + ", version int").option("basePath", f"{built.root}/visitors").parquet(*paths).drop("version")
 
 
@@ -211,7 +220,7 @@ def sizes(spark: SparkSession, directory: str, of: str = "rows") -> DataFrame:
     if of == "rows":
         files = files.join(spark.read.parquet(f"{built.root}/days/version={built.version}").select("session_date", "in_version"), ["session_date", "in_version"])
     else:
-        files = files.where(F.col("in_version").between(_first(spark, built), built.version))
+        files = files.where(F.col("in_version").isin(list(built.chain)))
     return files.groupBy("session_date").agg(F.sum("bytes").alias("bytes"))
 
 

@@ -70,6 +70,35 @@ def test_days_are_added_and_open_sessions_go_on(spark, tmp_path):
     assert own == stored
 
 
+def test_late_days_go_on_from_the_version_before_them(spark, tmp_path):
+    rng, directory = random.Random(18), str(tmp_path)
+    path, users, built = f"{directory}/events.parquet", range(1, 25), []
+
+    def add(days, users, late=()):
+        write(spark, path, visits(rng, days, users, 10_000 * (1 + len(built))) + list(late))
+        built.append(sessions.prepare(spark, directory))
+        assert all_rows(sessions.sessions(spark, directory)) == all_rows(models.build_sessions(spark, directory))
+        for first, last in ((date(2024, 1, 3), date(2024, 1, 6)), (date(2024, 1, 5), date(2024, 1, 5))):
+            own, stored = counted(spark, directory, first, last)
+            assert own == stored
+        assert sessions.cost(spark, directory, date(2024, 1, 1), date(2024, 1, 31), "visitors") > 0
+        return built[-1]
+
+    first, second, third = add([1, 2], users), add([3, 4], [*users, 40]), add([5, 6], users)
+    assert third.chain == (first.version, second.version, third.version)
+    # Late events of day 5, of users known, new, and new in the version that is left out; one joins a session of day 4.
+    late = add([5], [3, 41, 42], [(90_000, datetime(2024, 1, 5, 0, 1), 40, "purchase", 1.0, '{"k": 4}')])
+    assert late.chain == (first.version, second.version, late.version)
+    assert {d.day: v for d, v in late.days.items() if d.day < 4} == {1: first.version, 2: first.version, 3: second.version} and late.days[date(2024, 1, 6)] == late.version
+    seventh = add([7], [*users, 42])
+    assert seventh.chain == (*late.chain, seventh.version)
+    sessions._built.clear()  # another application finds the chain
+    assert sessions.prepare(spark, directory) == seventh
+    assert add([3], [5]).chain[:1] == (first.version,)
+    whole = add([1], [6])
+    assert whole.chain == (whole.version,) and set(whole.days.values()) == {whole.version}
+
+
 def input_rows(spark, f):
     """Records that all jobs of a call read."""
     context = spark.sparkContext
