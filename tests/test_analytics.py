@@ -183,13 +183,13 @@ def test_metrics_that_profiles_define_differently():
     assert catalog.resolved_profile(["total_conversions"], "non_ecommerce") == ("non_ecommerce", "requested")
 
 
-def test_service_answers_and_refuses(spark):
+def test_service_answers_and_refuses(spark, tmp_path):
     from marram.plans.service import Service
 
     asked = Service(spark, registry.from_rows(spark, ROWS), lambda t: SF, D(2024, 2, 1))
     models_before = dict(session_table._built)
     session_table._built.clear()
-    missing = Service(spark, asked.tenants, lambda t: "/root/testdata/sf0.01", asked.today)
+    missing = Service(spark, asked.tenants, lambda t: str(tmp_path), asked.today)  # no application has built a table there
     for call in (lambda: missing.traffic_summary("小太陽", "2024-01-16", "2024-01-30"), lambda: missing.metrics("小太陽", ["total_users"], "2024-01-16", "2024-01-30")):
         with pytest.raises(session_table.NotBuilt) as e:
             call()
