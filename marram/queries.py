@@ -655,14 +655,14 @@ _MARK = "SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 FROM events"
 
 
 @query(
-    f"""WITH n AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM (
+    """WITH n AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM (
   SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS opens FROM events WHERE user_id IS NOT NULL))
-SELECT user_id, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) + 1800000000 AS closes_us, count(*) AS n_events FROM n GROUP BY user_id, no HAVING epoch_us(max(ts)) + 1800000000 <= ({_MARK} WHERE user_id IS NOT NULL)"""
+SELECT user_id, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) + 1800000000 AS closes_us, count(*) AS n_events FROM n GROUP BY user_id, no"""
 )
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """What the stream has written: sessions that are closed."""
-    closed = streams.run(streams.sessions(streams.read_events(spark, d)), streams.work_dir(spark))
-    return closed.select("user_id", F.unix_micros("started_at").alias("started_us"), F.unix_micros("closes_at").alias("closes_us"), "n_events")
+    """What the stream has written at the table's end: all sessions."""
+    found = streams.run_to_end(streams.read_events(spark, d), streams.sessions, streams.work_dir(spark), user_id=0)
+    return found.select("user_id", F.unix_micros("started_at").alias("started_us"), F.unix_micros("closes_at").alias("closes_us"), "n_events")
 
 
 @query(f"SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events WHERE epoch_us(date_trunc('day', ts) + INTERVAL 1 DAY) <= ({_MARK}) GROUP BY ALL")

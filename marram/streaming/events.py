@@ -7,6 +7,7 @@ checkpoints beside them, so a restarted query goes on where it stopped.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,8 @@ from marram.sources.tables import shared_dir
 LATENESS, GAP = "1 hour", "30 minutes"
 #: Parts that the ledger's users are dealt to by hash.
 LEDGER_BUCKETS = 64
+#: When the mark behind a finished table comes, in seconds: after any time that a timestamp's text can name (year 9999).
+END_SECONDS = 2**39
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -38,10 +41,12 @@ def deduplicated(events: DataFrame, *keys: str, lateness: str = LATENESS) -> Dat
 
 
 def sessions(events: DataFrame, lateness: str = LATENESS, gap: str = GAP) -> DataFrame:
-    """Closed sessions of known users: emitted when the watermark has passed the gap after their last event."""
+    """Closed sessions of known users: emitted when the watermark has passed the gap after their last event. An event that comes the
+    whole gap later opens a session; a session window would still take it, so the window is a microsecond shorter.
+    """
     known = events.where("user_id IS NOT NULL").withWatermark("ts", lateness)
-    found = known.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n_events"), F.sum("value").alias("session_value"))
-    return found.select("user_id", F.col("w.start").alias("started_at"), F.col("w.end").alias("closes_at"), "n_events", "session_value")
+    found = known.groupBy(F.session_window("ts", f"{gap} -1 microsecond").alias("w"), "user_id").agg(F.count("*").alias("n_events"), F.sum("value").alias("session_value"))
+    return found.select("user_id", F.col("w.start").alias("started_at"), (F.col("w.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("closes_at"), "n_events", "session_value")
 
 
 def daily_counts(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -84,6 +89,22 @@ def run(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def run_to_end(events: DataFrame, windows: Callable[[DataFrame], DataFrame], path: str, **mark: object) -> DataFrame:
+    """Run ``windows`` of a stream over a table that gets no more rows, and read all that it wrote: every window, the last ones too.
+
+    A mark follows the events once all are read: an event of its own, far behind any other, with the values that ``windows`` asks an
+    event for in ``mark``. The watermark that it moves closes every window before it; its own window stays open and is never written.
+    """
+    spark = events.sparkSession
+    # No glob finds the mark before it is written.
+    marks = spark.readStream.schema(events.schema).parquet(f"{path}-end*")
+    stream = windows(events.unionByName(marks))
+    run(stream, path)
+    end = spark.range(1).select(F.timestamp_seconds(F.lit(END_SECONDS)).alias("ts"), *[F.lit(v).cast(events.schema[c].dataType).alias(c) for c, v in mark.items()])
+    end.write.mode("ignore").parquet(f"{path}-end")
+    return run(stream, path)
+
+
 def run_recorded(stream: DataFrame, path: str) -> DataFrame:
     """``run``, and beside the rows what the stream knows to be whole: each batch's watermark, at ``path``-progress."""
     query = append(stream, path)

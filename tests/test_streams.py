@@ -1,7 +1,7 @@
 """Streams over restarts: resends, attachments, the ledger, and the ingest of lines."""
 
 import json
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 from marram.streaming import contract
 from marram.streaming import events as streams
@@ -80,6 +80,31 @@ def test_an_empty_stream_writes_no_window(spark, tmp_path):
     assert streams.run(found, str(tmp_path / "out")).collect() == []
 
 
+LAST = [(1, T, 7, "view", 1.0), (2, T + timedelta(minutes=10), 7, "view", 1.0), (3, T + timedelta(minutes=40), 7, "error", 1.0), (4, T + timedelta(minutes=41), 0, "view", 1.0), (5, T, None, "view", 1.0)]
+
+
+def at_end(spark, tmp_path, name, rows=LAST):
+    """A query's rows over a table whose last windows no later event closes, in two files."""
+    from marram import queries
+
+    for part in (rows[::2], rows[1::2]):
+        put(spark, str(tmp_path / "events.parquet"), part, EVENTS + ", value double")
+    return sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+
+
+def test_sessions_open_at_the_end_are_written(spark, tmp_path):
+    found = at_end(spark, tmp_path, "stream_sessions")
+    first = int(T.replace(tzinfo=timezone.utc).timestamp()) * 10**6
+    minutes = lambda n: first + n * 60 * 10**6
+    assert found == [(0, minutes(41), minutes(71), 1), (7, minutes(0), minutes(40), 2), (7, minutes(40), minutes(70), 1)]
+
+
+def test_a_stream_run_to_its_end_twice_writes_nothing_more(spark, tmp_path):
+    put(spark, str(tmp_path / "events.parquet"), LAST, EVENTS + ", value double")
+    run = lambda: streams.run_to_end(streams.read_events(spark, str(tmp_path)), streams.sessions, str(tmp_path / "out"), user_id=0).count()
+    assert (run(), run()) == (3, 3)
+
+
 GOOD = {
     "schema_version": "1.0", "event_name": "analytics_request_completed", "event_time": "2024-03-01T12:00:00Z", "interaction_id": "i1", "transport": "mcp", "user_id": None, "identity_status": "verified", "host": "other", "authorization_result": "allowed",
     "tool_name": "traffic_summary", "tenant_id": "005", "resolution": "supported", "status": "success", "latency_ms": 0, "requested_days": 7, "result_row_count": None, "metrics": ["a", "b", "a"], "dimensions": [], "error_code": None, "raw_request": "never stored",
