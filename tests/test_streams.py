@@ -99,6 +99,10 @@ def test_sessions_open_at_the_end_are_written(spark, tmp_path):
     assert found == [(0, minutes(41), minutes(71), 1), (7, minutes(0), minutes(40), 2), (7, minutes(40), minutes(70), 1)]
 
 
+def test_the_last_day_is_counted(spark, tmp_path):
+    assert at_end(spark, tmp_path, "stream_daily_counts") == [(T.date(), "error", 1), (T.date(), "view", 4)]
+
+
 def test_a_stream_run_to_its_end_twice_writes_nothing_more(spark, tmp_path):
     put(spark, str(tmp_path / "events.parquet"), LAST, EVENTS + ", value double")
     run = lambda: streams.run_to_end(streams.read_events(spark, str(tmp_path)), streams.sessions, str(tmp_path / "out"), user_id=0).count()
