@@ -103,6 +103,11 @@ def test_the_last_day_is_counted(spark, tmp_path):
     assert at_end(spark, tmp_path, "stream_daily_counts") == [(T.date(), "error", 1), (T.date(), "view", 4)]
 
 
+def test_the_last_week_is_counted(spark, tmp_path):
+    late = (6, datetime(2024, 3, 3, 16), 7, "view", 1.0)  # Monday in Taipei
+    assert at_end(spark, tmp_path, "stream_weekly_counts", [*LAST, late]) == [(date(2024, 2, 26), "error", 1), (date(2024, 2, 26), "view", 4), (date(2024, 3, 4), "view", 1)]
+
+
 def test_a_stream_run_to_its_end_twice_writes_nothing_more(spark, tmp_path):
     put(spark, str(tmp_path / "events.parquet"), LAST, EVENTS + ", value double")
     run = lambda: streams.run_to_end(streams.read_events(spark, str(tmp_path)), streams.sessions, str(tmp_path / "out"), user_id=0).count()
