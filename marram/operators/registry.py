@@ -5,12 +5,14 @@ A registry row has tenant_id, tenant_name, project_id, status, ec, aliases (deli
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marram.functions.text import aliases, blank_to_null, fold, folded, folded_any, folded_lists, folded_plain, is_plain
+from marram.sources.tables import shared_dir
 
 SCHEMA = "tenant_id string, tenant_name string, project_id string, status string, ec boolean, aliases string"
 CANDIDATES = 22
@@ -20,6 +22,8 @@ MATCHES = ("exact", "alias", "partial")
 GENERIC = ("公司", "企業", "集團", "有限公司", "股份有限公司", "有限責任公司", "company", "co", "co.", "corporation", "corp", "inc", "inc.", "incorporated", "ltd", "ltd.", "limited", "group")
 #: Characters of the substrings that names are looked up by.
 GRAM = 3
+#: Names that one task of the index takes; each gives some forty rows.
+NAMES_A_TASK = 50_000
 #: Tenants that an issue names at most, the smallest ids; all are counted.
 SHOWN = 100
 
@@ -90,8 +94,12 @@ def _grams(text: Column, sizes: Column) -> Column:
 
 
 def postings(registry: DataFrame) -> DataFrame:
-    """(gram, tenant_id, normalized_name): a row for every distinct substring of up to ``GRAM`` characters of a tenant's folded name."""
+    """(gram, tenant_id, normalized_name): a row for every distinct substring of up to ``GRAM`` characters of a tenant's folded name.
+
+    Its files are tiny for the rows they hold, so names are dealt by their number: no task writes or reads back most of the index.
+    """
     rows = named(_ready(registry)).select("tenant_id", "normalized_name")
+    rows = rows.repartition(rows.count() // NAMES_A_TASK + 1)
     return rows.select(F.explode(_grams(F.col("normalized_name"), F.sequence(F.lit(1), F.lit(GRAM)))).alias("gram"), "*")
 
 
@@ -99,14 +107,17 @@ def partial_matches(index: DataFrame, requests: DataFrame) -> DataFrame:
     """(name, tenant_id, normalized_name): tenants whose folded name holds a requested one; ``index`` as ``postings``, ``requests`` has name.
 
     A request is looked up by its rarest gram alone, and what that finds is verified. Repeated requests count once; null and blank ones
-    match nothing.
+    match nothing. The lookups are stored before they meet the index, so that Spark knows their size: where they are few, the index is
+    read in place and never shuffled.
     """
     wanted = requests.select("name").distinct().withColumn("key", folded(F.col("name"))).where("key <> ''")
     own = wanted.select("name", "key", F.explode(_grams(F.col("key"), F.array(F.least(F.length("key"), F.lit(GRAM))))).alias("gram"))
-    counts = index.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
     # A gram that no name has leaves a request without a match: it is the rarest.
     rarest = own.join(counts, "gram", "left").groupBy("name", "key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x")).where("x.n > 0")
-    found = rarest.select("name", "key", F.col("x.gram").alias("gram")).join(index, "gram")
+    path = f"{shared_dir(index.sparkSession)}/lookups-{uuid.uuid4().hex}"
+    rarest.select("name", "key", F.col("x.gram").alias("gram")).write.parquet(path)
+    found = index.join(index.sparkSession.read.parquet(path), "gram")
     return found.where(F.contains("normalized_name", F.col("key"))).select("name", "tenant_id", "normalized_name")
 
 

@@ -64,6 +64,15 @@ def test_partial_matches_equal_brute_force(spark):
         assert [(x.tenant_id, x.match_type) for x in many] == one
 
 
+def test_candidates_of_many_names_are_read_where_they_are(spark, monkeypatch):
+    assert "hashpartitioning(gram" not in physical(queries.QUERIES["batch_candidates"](spark, SF))
+    r = queries._registry(spark, SF)
+    want = sorted(map(str, registry.postings(r).collect()))
+    monkeypatch.setattr(registry, "NAMES_A_TASK", 20)
+    many = registry.postings(r)
+    assert many.rdd.getNumPartitions() == registry.named(r).count() // 20 + 1 > 3 and sorted(map(str, many.collect())) == want
+
+
 def test_a_prepared_registry_answers_without_python(spark):
     r = queries._registry(spark, SF)
     for name in ("registry_issues", "unique_active_customers", "alias_explode", "name_match_union", "registry_duplicates"):
