@@ -73,6 +73,11 @@ def test_candidates_of_many_names_are_read_where_they_are(spark, monkeypatch):
     assert many.rdd.getNumPartitions() == registry.named(r).count() // 20 + 1 > 3 and sorted(map(str, many.collect())) == want
 
 
+def test_partial_matches_shuffle_no_index(spark):
+    plan = physical(queries.QUERIES["batch_partial_matches"](spark, SF))
+    assert "hashpartitioning(gram" not in plan and plan.count("FileScan") == 2
+
+
 def test_a_prepared_registry_answers_without_python(spark):
     r = queries._registry(spark, SF)
     for name in ("registry_issues", "unique_active_customers", "alias_explode", "name_match_union", "registry_duplicates"):
