@@ -35,15 +35,19 @@ def judged(lines: DataFrame) -> DataFrame:
 
     Null and empty lines are not JSON. A value of another JSON type than the contract's breaks it: nothing is converted.
     """
-    json = F.col("value")
-    field = F.try_parse_json(json)
-    kind = lambda c: F.schema_of_variant(F.try_variant_get(field, f"$.{c}", "variant"))
-    text = lambda c: F.when(kind(c) == "STRING", F.try_variant_get(field, f"$.{c}", "string"))
-    number = lambda c: F.when(kind(c) == "BIGINT", F.try_variant_get(field, f"$.{c}", "long"))
+    names = (*TEXTS, "tenant_id", *NUMBERS, *LISTS)
+    # Step by step, so that a line is parsed and a field looked up once, whatever the rules ask of it.
+    rows = lines.select("value", F.try_parse_json("value").alias("line"))
+    rows = rows.select("value", F.schema_of_variant("line").alias("shape"), *[F.try_variant_get("line", f"$.{c}", "variant").alias(c) for c in names])
+    rows = rows.select("*", *[F.schema_of_variant(c).alias(f"{c}_kind") for c in names])
+    typed = {c: ("string", ("STRING",)) for c in (*TEXTS, "tenant_id")} | {c: ("long", ("BIGINT",)) for c in NUMBERS} | {c: ("array<string>", ("ARRAY<STRING>", "ARRAY<VOID>")) for c in LISTS}
+    rows = rows.select("value", "shape", *[f"{c}_kind" for c in names], *[F.when(F.col(f"{c}_kind").isin(*kinds), F.try_variant_get(c, "$", of)).alias(c) for c, (of, kinds) in typed.items()])
+    kind = lambda c: F.col(f"{c}_kind")
+    text = number = F.col
     missing = lambda c: kind(c).isNull() | (kind(c) == "VOID")
-    items = lambda c: F.when(kind(c).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.array_distinct(F.try_variant_get(field, f"$.{c}", "array<string>")))
+    items = lambda c: F.array_distinct(c)
     at = F.when(text("event_time").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?Z$"), F.try_to_timestamp(text("event_time")))
-    rules: list[tuple[Column, str]] = [(F.coalesce(F.schema_of_variant(field), F.lit("")).startswith("OBJECT") == F.lit(False), "not_an_object"), (~F.coalesce(text("schema_version") == VERSION, F.lit(False)), "unknown_schema_version")]
+    rules: list[tuple[Column, str]] = [(F.coalesce("shape", F.lit("")).startswith("OBJECT") == F.lit(False), "not_an_object"), (~F.coalesce(text("schema_version") == VERSION, F.lit(False)), "unknown_schema_version")]
     rules += [(missing(c), f"missing_{c}") for c in REQUIRED]
     rules += [(~missing(c) & text(c).isNull(), f"wrong_type_{c}") for c in TEXTS]
     rules += [(~F.coalesce(text(c).isin(*values), F.lit(False)), f"unknown_{c}") for c, values in CODES.items()]
@@ -56,20 +60,19 @@ def judged(lines: DataFrame) -> DataFrame:
     flaw = F.when(missing("tenant_id"), "missing_tenant_id").when(text("tenant_id").isNull(), "wrong_type_tenant_id")
     values = {c: text(c) for c in TEXTS} | {"event_time": at, "tenant_id": text("tenant_id")} | {c: number(c) for c in NUMBERS} | {c: items(c) for c in LISTS} | {"event_date": F.to_date(at), "flaw": flaw}
     event = F.struct(*[values[name].cast(of).alias(name) for name, of in (c.split(" ", 1) for c in EVENT.split(", "))])
-    return lines.select("value", reason.alias("reason"), event.alias("event"))
+    # A list of one: filters on the reason stay behind it and do not repeat all steps.
+    return rows.select("value", F.inline(F.array(F.struct(reason.alias("reason"), event.alias("event")))))
 
 
 def ingest(lines: DataFrame, path: str) -> StreamingQuery:
     """Write a stream of lines (value) to ``path``/events, by day, and ``path``/quarantine, by reason. A batch that is replayed writes its own
-    folder anew, so no line is there twice.
+    folder anew, so no line is there twice. Both read the batch from its source: judged lines are many times larger than what they come
+    from, and are not kept.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        found = judged(batch).persist()
-        try:
-            found.where("reason IS NULL").select("event.*").write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/events/batch={number}")
-            found.where("reason IS NOT NULL").select("value", "reason").write.mode("overwrite").partitionBy("reason").parquet(f"{path}/quarantine/batch={number}")
-        finally:
-            found.unpersist()
+        found = judged(batch)
+        found.where("reason IS NULL").select("event.*").write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/events/batch={number}")
+        found.where("reason IS NOT NULL").select("value", "reason").write.mode("overwrite").partitionBy("reason").parquet(f"{path}/quarantine/batch={number}")
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()

@@ -132,6 +132,21 @@ def test_lines_are_judged_one_by_one(spark):
     assert (second.tenant_id, second.flaw) == (None, "wrong_type_tenant_id")
 
 
+def test_judged_lines_are_parsed_once_and_not_kept(spark, tmp_path, monkeypatch):
+    lines = spark.createDataFrame([(json.dumps(GOOD),), ("{",), (None,)], "value string")
+    for rows in (contract.judged(lines), contract.judged(lines).where("reason IS NULL").select("event.*"), contract.judged(lines).where("reason IS NOT NULL").select("value", "reason")):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count("parse_json(") + plan.count("parseJson") == 1, plan
+
+    def kept(*_):
+        raise AssertionError("a batch is kept")
+
+    monkeypatch.setattr(type(lines), "persist", kept)
+    lines.write.text(str(tmp_path / "in"))
+    contract.ingest(spark.readStream.text(str(tmp_path / "in")), str(tmp_path / "out")).awaitTermination()
+    assert (spark.read.parquet(str(tmp_path / "out" / "events")).count(), spark.read.parquet(str(tmp_path / "out" / "quarantine")).count()) == (1, 2)
+
+
 def test_no_line_is_lost_over_restarts(spark, tmp_path):
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
     for batch in range(3):
