@@ -24,6 +24,8 @@ GENERIC = ("公司", "企業", "集團", "有限公司", "股份有限公司", "
 GRAM = 3
 #: Names that one task of the index takes; each gives some forty rows.
 NAMES_A_TASK = 50_000
+#: Bytes of lookups that are sent to the index at most; more meet it in a join that deals frequent substrings to several tasks.
+SENT_BYTES = 8 << 20
 #: Tenants that an issue names at most, the smallest ids; all are counted.
 SHOWN = 100
 
@@ -107,8 +109,8 @@ def partial_matches(index: DataFrame, requests: DataFrame) -> DataFrame:
     """(name, tenant_id, normalized_name): tenants whose folded name holds a requested one; ``index`` as ``postings``, ``requests`` has name.
 
     A request is looked up by its rarest gram alone, and what that finds is verified. Repeated requests count once; null and blank ones
-    match nothing. The lookups are stored before they meet the index, so that Spark knows their size: where they are few, the index is
-    read in place and never shuffled.
+    match nothing. The lookups are stored before they meet the index, so that their size is known: up to ``SENT_BYTES`` of them are sent to
+    the index, whatever the session broadcasts by itself, and it is read in place and never shuffled.
     """
     wanted = requests.select("name").distinct().withColumn("key", folded(F.col("name"))).where("key <> ''")
     own = wanted.select("name", "key", F.explode(_grams(F.col("key"), F.array(F.least(F.length("key"), F.lit(GRAM))))).alias("gram"))
@@ -116,11 +118,31 @@ def partial_matches(index: DataFrame, requests: DataFrame) -> DataFrame:
     # A gram that no name has leaves a request without a match: it is the rarest.
     rarest = own.join(counts, "gram", "left").groupBy("name", "key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x")).where("x.n > 0")
     path = f"{shared_dir(index.sparkSession)}/lookups-{uuid.uuid4().hex}"
-    rarest.select("name", "key", F.col("x.gram").alias("gram")).write.parquet(path)
-    found = index.join(index.sparkSession.read.parquet(path), "gram")
+    rarest.select("name", "key", "x.gram", "x.n").write.parquet(path)
+    lookups = index.sparkSession.read.schema("name string, key string, gram string, n long").parquet(path)
+    size = lookups.agg(F.coalesce(F.sum(F.octet_length("name") + F.octet_length("key") + 64), F.lit(0))).first()[0]
+    if size <= SENT_BYTES:
+        found = index.join(F.broadcast(lookups), "gram")
+    else:
+        every = lookups.withColumn("group", F.explode(F.sequence(F.lit(0), _last_group())))
+        found = _in_groups(index, counts, lookups).join(every, ["gram", "group"])
     return found.where(F.contains("normalized_name", F.col("key"))).select("name", "tenant_id", "normalized_name")
 
 
+def _last_group() -> Column:
+    return F.floor(F.col("n") / NAMES_A_TASK).cast("int")
+
+
+def _in_groups(index: DataFrame, counts: DataFrame, lookups: DataFrame) -> DataFrame:
+    """``index`` with a ``group``. All names may share a gram, so a frequent one's rows are dealt to groups of some ``NAMES_A_TASK``, which its
+    lookups all meet, and no task takes the gram whole. Rows of a frequent gram that no lookup has are left out.
+    """
+    asked = lookups.select("gram").distinct().withColumn("asked", F.lit(True))
+    frequent = counts.select("gram", _last_group().alias("last")).where("last > 0").join(asked, "gram", "left")  # at most one for NAMES_A_TASK rows of the index
+    group = F.pmod(F.xxhash64("tenant_id", "normalized_name"), F.coalesce("last", F.lit(0)) + 1).cast("int")
+    return index.join(F.broadcast(frequent), "gram", "left").where("last IS NULL OR asked").withColumn("group", group).drop("last", "asked")
+
+
 def resolutions(registry: DataFrame, index: DataFrame, requests: DataFrame) -> DataFrame:
     """(name, rank, tenant_id, match_type): the first ``CANDIDATES`` matches of each request, as ``candidates`` has them for one."""
     names = named(_ready(registry)).select("tenant_id", "normalized_name").distinct()

@@ -78,6 +78,48 @@ def test_partial_matches_shuffle_no_index(spark):
     assert "hashpartitioning(gram" not in plan and plan.count("FileScan") == 2
 
 
+def test_lookups_shuffle_no_index_where_spark_broadcasts_nothing(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical(queries.QUERIES["batch_partial_matches"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(gram" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_many_lookups_take_no_frequent_substring_into_one_task(spark, monkeypatch):
+    names = [f"customer {i}" for i in range(400)]
+    r = registry.prepared(registry.from_rows(spark, [(str(i), n, "p", "active", None, None) for i, n in enumerate(names)]))
+    requests = ["CUS", "us", "r 39", "7", "mer 12", "zz"]
+    monkeypatch.setattr(registry, "NAMES_A_TASK", 20)
+    monkeypatch.setattr(registry, "SENT_BYTES", 0, raising=False)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        found = registry.partial_matches(registry.postings(r), spark.createDataFrame([(x,) for x in requests], "name string"))
+        got = found.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = sorted((q, str(i), n) for q in requests for i, n in enumerate(names) if q.lower() in n)
+    assert sorted((x["name"], x.tenant_id, x.normalized_name) for x in got) == want
+    for q in ("CUS", "us"):
+        tasks = [x.task for x in got if x["name"] == q]
+        assert max(map(tasks.count, set(tasks))) < 200, q
+
+
+def test_a_frequent_substring_that_nobody_asks_for_is_not_dealt(spark, monkeypatch):
+    monkeypatch.setattr(registry, "NAMES_A_TASK", 20)
+    rows = [(str(i), f"customer {i}", "p", "active", None, None) for i in range(400)]
+    index = registry.postings(registry.prepared(registry.from_rows(spark, rows)))
+    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
+    dealt = registry._in_groups(index, counts, counts.where("gram IN ('cus', '7', '399')").withColumns({"name": F.col("gram"), "key": F.col("gram")})).groupBy("gram", "group").count().collect()
+    size = {g: [x["count"] for x in dealt if x.gram == g] for g in ("cus", "ust", "7", "399", "38")}
+    assert sum(size["cus"]) == 400 and max(size["cus"]) < 60 and len(size["7"]) > 1 and size["ust"] == [] and size["399"] == [1] and size["38"] == [14]
+
+
 def test_a_prepared_registry_answers_without_python(spark):
     r = queries._registry(spark, SF)
     for name in ("registry_issues", "unique_active_customers", "alias_explode", "name_match_union", "registry_duplicates"):
